@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP2_SQL, op2_chat_format
+from .packing import op10_pack
+from .tokenfile import op9_token_files
+from .tokenize import op5_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_chat_format": op2_chat_format}
+    return {
+        "op2_chat_format": op2_chat_format,
+        "op5_bpe": op5_bpe,
+        "op9_token_files": op9_token_files,
+        "op10_pack": op10_pack,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
