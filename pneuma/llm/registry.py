@@ -10,11 +10,13 @@ from .chat import OP2_SQL, op2_chat_format
 from .packing import op10_pack
 from .tokenfile import op9_token_files
 from .tokenize import op5_bpe
+from .warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": op2_chat_format,
+        "op4_warc": op4_warc,
         "op5_bpe": op5_bpe,
         "op9_token_files": op9_token_files,
         "op10_pack": op10_pack,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL}
+    return {"op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL}

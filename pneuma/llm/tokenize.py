@@ -16,7 +16,7 @@ from .frames import map_batches, pick, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Chunks kept by a worker; beyond that the cache starts anew (results do not depend on it).
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 
 
 def vocabulary_path(name: str) -> str:
