@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP2_SQL, op2_chat_format
+from .langid import op7_language
 from .packing import op10_pack
 from .tokenfile import op9_token_files
 from .tokenize import op5_bpe
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": op2_chat_format,
         "op4_warc": op4_warc,
         "op5_bpe": op5_bpe,
+        "op7_language": op7_language,
         "op9_token_files": op9_token_files,
         "op10_pack": op10_pack,
     }
