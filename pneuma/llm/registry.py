@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP2_SQL, op2_chat_format
 from .langid import op7_language
 from .packing import op10_pack
+from .pii import op8_pii
 from .tokenfile import op9_token_files
 from .tokenize import op5_bpe
 from .warc import OP4_SQL, op4_warc
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op5_bpe": op5_bpe,
         "op7_language": op7_language,
+        "op8_pii": op8_pii,
         "op9_token_files": op9_token_files,
         "op10_pack": op10_pack,
     }
