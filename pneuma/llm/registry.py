@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP2_SQL, op2_chat_format
 from .langid import op7_language
+from .ngram_join import OP1_SQL, op1_ngram_jaccard
 from .packing import op10_pack
 from .pii import op8_pii
 from .tokenfile import op9_token_files
@@ -17,6 +18,7 @@ from .warc import OP4_SQL, op4_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_chat_format": op2_chat_format,
         "op4_warc": op4_warc,
         "op5_bpe": op5_bpe,
@@ -28,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL}
