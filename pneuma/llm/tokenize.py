@@ -16,7 +16,7 @@ from .frames import map_batches, pick, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Chunks kept by a worker; beyond that the cache starts anew (results do not depend on it).
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 1_000_000, 1_400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -119,12 +119,12 @@ class SegmentTreeBpe:
 class ChunkCache(dict):
     """chunk -> entry, made on first use; starts anew when full."""
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, make: Callable[[str], object], most: int = CACHE_CHUNKS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, chunk: str):
-        if len(self) >= CACHE_CHUNKS:
+        if len(self) >= self.most:
             self.clear()
         entry = self[chunk] = self.make(chunk)
         return entry
@@ -229,17 +229,28 @@ class LibraryEncoder:
             spec = json.load(f)
         self.keeps_space = spec["normalizer"] is None
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cache = ChunkCache(self.whole)
+        self.cache = ChunkCache(self.chunk, CACHE_LIBRARY_CHUNKS)
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def chunk(self, chunk: str) -> bytes:
+        """A chunk not met before. A last full stop or comma behind a letter, and a lone line end, are pre-tokens of their own."""
+        if len(chunk) > 1 and chunk[-1] in ".,\n" and (chunk[-2].isalpha() or chunk[-1] == "\n" != chunk[-2] != " "):
+            return self.cache[chunk[:-1]] + self.cache[chunk[-1]]
+        head, end, rest = chunk.partition("\n")
+        if end and head.strip() and rest and not rest[0].isspace() and not head[-1].isspace():
+            return self.cache[head] + self.cache[end] + self.cache[rest]
+        return self.whole(chunk)
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any([s in text for s in self.special]):
             return self.whole(text)
         cache = self.cache
         if not self.keeps_space:
+            if "İ" not in text:  # lower case at once, so that fewer chunks differ; characters stand for themselves (no final sigma)
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
             return b"".join([cache[c] for c in text.replace("\n", " ").split(" ") if c])
         if "  " in text or not text:
             return self.whole(text)
