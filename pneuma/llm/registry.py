@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP2_SQL, op2_chat_format
+from .forest import OP6_SQL, op6_near_vectors
 from .langid import op7_language
+from .mtree import OP3_SQL, op3_top_k
 from .ngram_join import OP1_SQL, op1_ngram_jaccard
 from .packing import op10_pack
 from .pii import op8_pii
@@ -20,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_chat_format": op2_chat_format,
+        "op3_top_k": op3_top_k,
         "op4_warc": op4_warc,
         "op5_bpe": op5_bpe,
+        "op6_near_vectors": op6_near_vectors,
         "op7_language": op7_language,
         "op8_pii": op8_pii,
         "op9_token_files": op9_token_files,
@@ -30,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_top_k": OP3_SQL, "op4_warc": OP4_SQL, "op6_near_vectors": OP6_SQL}
