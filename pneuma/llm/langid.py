@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -218,6 +219,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score behind its own columns, by the same rules as identify."""
+    shared: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        langs, scores = [], []
+        for lo in range(0, len(texts), 2000):
+            a, b = predict(shared.value, texts.iloc[lo : lo + 2000].tolist())
+            langs += a
+            scores += b
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = docs.toDF(*names).withColumn("found", predicted(names[docs.columns.index("text")]))
+    return found.select(*names, "found.lang_pred", "found.score").toDF(*docs.columns, "lang_pred", "score")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))

@@ -148,8 +148,11 @@ _FOUND = pa.list_(
 _FOUND_SQL = "array<struct<start:bigint,end:bigint,kind:int,value:string,patterns:array<string>,seed:int>>"
 
 
-def _extract(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, found: base spans and candidates of each whole text. row_id is fixed once the result is written."""
+def _extract(rows: DataFrame, numbered: bool = False) -> DataFrame:
+    """row_id, key, found: base spans and candidates of each whole text (rows: key, text).
+
+    row_id is the key of numbered rows; else it is made here and fixed once the result is written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -164,11 +167,11 @@ def _extract(docs: DataFrame) -> DataFrame:
                     if base or _DIGITS.search(text) or "[at]" in text or "(at)" in text
                     else []
                 )
-            ids = pa.array(range(row, row + b.num_rows), pa.int64())
+            ids = b.column(0) if numbered else pa.array(range(row, row + b.num_rows), pa.int64())
             row += b.num_rows
-            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(found, _FOUND)], names=["row_id", "doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(found, _FOUND)], names=["row_id", "key", "found"])
 
-    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, f"row_id bigint, doc_id bigint, found {_FOUND_SQL}")
+    return rows.mapInArrow(run, f"row_id bigint, key bigint, found {_FOUND_SQL}")
 
 
 def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, rounds: int) -> DataFrame:
@@ -201,16 +204,11 @@ def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, round
     return scored.where((F.col("seed") == 0) & (F.col("score") >= confidence)).select("kind", "value").distinct()
 
 
-def find_personal_data(
-    docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS
-) -> DataFrame:
-    """doc_id and spans: array of (start, kind, end, seed) sorted by start, then kind; one row per row of docs.
+_SPANS = "array<struct<start:bigint,kind:int,end:bigint,seed:int>>"
 
-    Base spans (seed 1) are always there. Others (seed 0) are values of a
-    fitting shape that contexts learned from all base spans reach with the
-    confidence. Null and empty texts have none.
-    """
-    rows = written(_extract(docs), "pii-found")
+
+def _spans(rows: DataFrame, min_seeds: int, confidence: float, rounds: int) -> DataFrame:
+    """row_id, key, spans from the written rows of _extract."""
     spots = rows.select("row_id", F.explode("found").alias("f")).select("row_id", "f.*")
     edges = spots.select("kind", F.explode("patterns").alias("pattern"), "value", "seed")
     unseen = trusted_instances(edges, min_seeds, confidence, rounds)
@@ -221,9 +219,45 @@ def find_personal_data(
         .agg(F.collect_list(F.struct("start", "kind", "end", "seed")).alias("extra"))
     )
     base = F.transform(F.filter("found", lambda f: f["seed"] == 1), lambda f: F.struct(f["start"], f["kind"], f["end"], f["seed"]))
-    rows = rows.select("row_id", "doc_id", base.cast("array<struct<start:bigint,kind:int,end:bigint,seed:int>>").alias("base"))
-    both = F.array_sort(F.concat("base", F.coalesce("extra", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,seed:int>>)"))))
-    return rows.join(extra, "row_id", "left").select("doc_id", both.alias("spans"))
+    rows = rows.select("row_id", "key", base.cast(_SPANS).alias("base"))
+    both = F.array_sort(F.concat("base", F.coalesce("extra", F.expr(f"cast(array() as {_SPANS})"))))
+    return rows.join(extra, "row_id", "left").select("row_id", "key", both.alias("spans"))
+
+
+def find_personal_data(
+    docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS
+) -> DataFrame:
+    """doc_id and spans: array of (start, kind, end, seed) sorted by start, then kind; one row per row of docs.
+
+    Base spans (seed 1) are always there. Others (seed 0) are values of a
+    fitting shape that contexts learned from all base spans reach with the
+    confidence. Null and empty texts have none.
+    """
+    found = written(_extract(pick(docs, doc_id="bigint", text="string")), "pii-found")
+    return _spans(found, min_seeds, confidence, rounds).select(F.col("key").alias("doc_id"), "spans")
+
+
+def redact_documents(
+    docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS
+) -> DataFrame:
+    """All rows and columns of docs, with each span of personal data in `text` replaced by its kind, as [EMAIL].
+
+    Rows are numbered and written first, so rows that repeat a doc_id keep
+    their own spans. A null text stays null. n_chars, where there is one, is
+    counted anew.
+    """
+    text = docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = written(docs.toDF(*names).withColumn("row_id", F.monotonically_increasing_id()), "pii-rows")
+    found = written(_extract(rows.select("row_id", names[text]), True), "pii-found")
+    spans = _spans(found, min_seeds, confidence, rounds).where(F.size("spans") > 0).select("row_id", "spans")
+    body = F.col(names[text])
+    changed = F.when(F.col("spans").isNotNull(), redact(body, F.col("spans"))).otherwise(body)
+    out = rows.join(spans, "row_id", "left").withColumn(names[text], changed)
+    if "n_chars" in docs.columns:
+        count = names[docs.columns.index("n_chars")]
+        out = out.withColumn(count, F.when(F.col("spans").isNotNull(), F.char_length(names[text]).cast("bigint")).otherwise(F.col(count)))
+    return out.select(names).toDF(*docs.columns)
 
 
 def joined(spans: Column) -> Column:
