@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -15,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .frames import map_batches, pick, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
-#: Chunks kept by a worker; beyond that the cache starts anew (results do not depend on it).
-CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 1_000_000, 1_400_000
+#: Chunks of a generation that a worker keeps, of two generations (results do not depend on it).
+CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 450_000, 350_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -117,16 +119,20 @@ class SegmentTreeBpe:
 
 
 class ChunkCache(dict):
-    """chunk -> entry, made on first use; starts anew when full."""
+    """chunk -> entry, made on first use. When full, it becomes the older generation, from which chunks in use come back."""
 
     def __init__(self, make: Callable[[str], object], most: int = CACHE_CHUNKS):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, chunk: str):
+        entry = self.older.get(chunk)
+        if entry is None:
+            entry = self.make(chunk)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        entry = self[chunk] = self.make(chunk)
+        self[chunk] = entry
         return entry
 
 
@@ -230,10 +236,14 @@ class LibraryEncoder:
         self.keeps_space = spec["normalizer"] is None
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cache = ChunkCache(self.chunk, CACHE_LIBRARY_CHUNKS)
+        self.model = self.library.model
+        self.symbols = dict(enumerate(byte_symbols()))
+        # A word of these letters is one pre-token that no normaliser changes, so the library's model may take it as it is.
+        self.plain = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+" if self.keeps_space else "[a-zß-öø-ÿ]+")
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, chunk: str) -> bytes:
         """A chunk not met before. A last full stop or comma behind a letter, and a lone line end, are pre-tokens of their own."""
@@ -242,6 +252,9 @@ class LibraryEncoder:
         head, end, rest = chunk.partition("\n")
         if end and head.strip() and rest and not rest[0].isspace() and not head[-1].isspace():
             return self.cache[head] + self.cache[end] + self.cache[rest]
+        if self.plain.fullmatch(chunk):
+            ids = [t.id for t in self.model.tokenize(chunk.encode("utf-8").decode("latin-1").translate(self.symbols))]
+            return struct.pack(f"<{len(ids)}I", *ids)
         return self.whole(chunk)
 
     def __call__(self, text: str) -> bytes:
