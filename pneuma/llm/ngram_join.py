@@ -188,11 +188,17 @@ def linkable_sets(shared: DataFrame, share: int) -> DataFrame:
     return shared.groupBy("g").applyInArrow(run, "fp bigint, s bigint, bitmap array<bigint>, prefix array<bigint>, cuts array<array<bigint>>")
 
 
-def _sizes_fit(a: str | Column, b: str | Column, share: int) -> Column:
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+def _sizes_fit(a: str, b: str, share: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * share
 
 
+def _places_fit(a: str, at: str, b: str, other: str, share: int) -> Column:
+    """Whether a common n-gram at these places can be the first of enough: what follows it in either set must reach
+    the overlap ceil(share * (a + b) / (100 + share)). It is true for the first common n-gram of every linked pair."""
+    needed = F.ceil((F.col(a) + F.col(b)) * share / (100 + share))
+    return (F.col(a) - F.col(at) >= needed) & (F.col(b) - F.col(other) >= needed)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) with 100 * overlap >= share * union.
 
@@ -233,7 +239,9 @@ def set_components(sets: DataFrame, share: int) -> DataFrame:
     every pair that shares an element of the prefixes and is not joined yet is
     compared, so no link between components is missed.
     """
-    postings = written(sets.select("fp", "s", F.explode("prefix").alias("gram")), "postings")
+    size = F.aggregate("cuts", F.lit(0), lambda n, c: n + F.size(c))
+    postings = sets.select("fp", "s", (F.col("s") - size).alias("alone"), F.posexplode("prefix").alias("at", "gram"))
+    postings = written(postings.select("fp", "s", (F.col("alone") + F.col("at")).alias("at"), "gram"), "postings")
     label = sets.select(F.col("fp").alias("node"), F.col("fp").alias("component"))
     links = None
     for turn in range(STAR_ROUNDS + 1):
@@ -246,20 +254,20 @@ def set_components(sets: DataFrame, share: int) -> DataFrame:
             tier = F.floor(F.log(F.col("s").cast("double")) / F.log(F.lit(1.1)) + F.lit(0.5 * turn))
             at = at.withColumn("tier", tier)
             head = at.groupBy("gram", "tier").agg(
-                F.min_by(F.struct("fp", "s", "component"), F.xxhash64("fp", F.lit(turn))).alias("head"),
+                F.min_by(F.struct("fp", "s", "component", "at"), F.xxhash64("fp", "gram", F.lit(turn))).alias("head"),
                 F.min("component").alias("lo"), F.max("component").alias("hi"),
             )
             head = head.where("lo <> hi").select("gram", "tier", "head")
             pairs = at.join(head, ["gram", "tier"]).where(
-                (F.col("component") != F.col("head.component")) & _sizes_fit("s", "head.s", share)
+                (F.col("component") != F.col("head.component")) & _places_fit("s", "at", "head.s", "head.at", share)
             )
             pairs = pairs.select(*_ordered("fp", "head.fp"))
         else:
             each = at.groupBy("gram", "component").count()
             most = each.groupBy("gram").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
-            minor = at.join(most.where("kinds > 1"), "gram").where("component <> most").select("gram", "fp", "s", "component")
-            others = at.select("gram", *[F.col(c).alias(f"o_{c}") for c in ("fp", "s", "component")])
-            pairs = minor.join(others, "gram").where((F.col("component") != F.col("o_component")) & _sizes_fit("s", "o_s", share))
+            minor = at.join(most.where("kinds > 1"), "gram").where("component <> most").select("gram", "fp", "s", "component", "at")
+            others = at.select("gram", *[F.col(c).alias(f"o_{c}") for c in ("fp", "s", "component", "at")])
+            pairs = minor.join(others, "gram").where((F.col("component") != F.col("o_component")) & _places_fit("s", "at", "o_s", "o_at", share))
             pairs = pairs.select(*_ordered("fp", "o_fp"))
         new = written(verified(pairs.distinct(), sets, share), "links")
         links = new if links is None else links.unionByName(new)
