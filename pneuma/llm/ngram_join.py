@@ -199,6 +199,19 @@ def _places_fit(a: str, at: str, b: str, other: str, share: int) -> Column:
     return (F.col(a) - F.col(at) >= needed) & (F.col(b) - F.col(other) >= needed)
 
 
+def _marks(sets: DataFrame) -> DataFrame:
+    """fp, number of shared n-grams and the words of the bitmap."""
+    shared = F.aggregate("cuts", F.lit(0), lambda n, c: n + F.size(c)).cast("bigint").alias("k")
+    return sets.select("fp", shared, *[F.get("bitmap", F.lit(i)).alias(f"m{i}") for i in range(BITMAP_WORDS)])
+
+
+def _bitmaps_fit(a: str, ka: str, b: str, kb: str, other: str, share: int) -> Column:
+    """Whether two sets can overlap enough: their shared n-grams differ in at least as many elements as their bitmaps in bits."""
+    differing = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"{other}m{i}"))) for i in range(BITMAP_WORDS)), F.lit(0))
+    most = F.floor((F.col(ka) + F.col(kb) - differing) / 2)
+    return most * 100 >= (F.col(a) + F.col(b) - most) * share
+
+
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) with 100 * overlap >= share * union.
 
@@ -206,16 +219,10 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     cut's overlap is counted apart, and the partial counts are summed. n-grams
     of one document alone are in no overlap, so shared ones are enough.
     """
-    small = sets.select("fp", "s", "bitmap")
-    both = pairs.join(small.toDF("a", "sa", "ma"), "a").join(small.toDF("b", "sb", "mb"), "b")
-    # |a ^ b| >= differing bits once the n-grams of one set alone are added: |a ^ b| = sa + sb - 2 * overlap.
-    shared = sets.select("fp", F.aggregate("cuts", F.lit(0), lambda n, c: n + F.size(c)).cast("bigint").alias("k"))
-    both = both.join(shared.toDF("a", "ka"), "a").join(shared.toDF("b", "kb"), "b")
-    differing = F.aggregate(
-        F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
-    ).cast("bigint")
-    most = F.floor((F.col("ka") + F.col("kb") - differing) / 2)
-    both = both.where(_sizes_fit("sa", "sb", share) & (most * 100 >= (F.col("sa") + F.col("sb") - most) * share))
+    marks = _marks(sets).join(sets.select("fp", "s"), "fp")
+    left = marks.withColumnsRenamed({"fp": "a", "s": "sa", "k": "ka"})
+    right = marks.withColumnsRenamed({"fp": "b", "s": "sb", "k": "kb"} | {f"m{i}": f"o_m{i}" for i in range(BITMAP_WORDS)})
+    both = pairs.join(left, "a").join(right, "b").where(_sizes_fit("sa", "sb", share) & _bitmaps_fit("sa", "ka", "sb", "kb", "o_", share))
     both = both.select("a", "b", "sa", "sb")
     cuts = sets.select("fp", F.posexplode("cuts").alias("cut", "grams"))
     counted = (
@@ -265,9 +272,15 @@ def set_components(sets: DataFrame, share: int) -> DataFrame:
         else:
             each = at.groupBy("gram", "component").count()
             most = each.groupBy("gram").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
-            minor = at.join(most.where("kinds > 1"), "gram").where("component <> most").select("gram", "fp", "s", "component", "at")
-            others = at.select("gram", *[F.col(c).alias(f"o_{c}") for c in ("fp", "s", "component", "at")])
-            pairs = minor.join(others, "gram").where((F.col("component") != F.col("o_component")) & _places_fit("s", "at", "o_s", "o_at", share))
+            # Only n-grams of several components are left; bitmaps tell most of their pairs apart inside the join.
+            live = written(at.join(most.where("kinds > 1"), "gram").join(_marks(sets), "fp"), "live")
+            minor = live.where("component <> most").drop("most", "kinds")
+            others = live.drop("most", "kinds").select("gram", *[F.col(c).alias(f"o_{c}") for c in minor.columns if c != "gram"])
+            pairs = minor.join(others, "gram").where(
+                (F.col("component") != F.col("o_component"))
+                & _places_fit("s", "at", "o_s", "o_at", share)
+                & _bitmaps_fit("s", "k", "o_s", "o_k", "o_", share)
+            )
             pairs = pairs.select(*_ordered("fp", "o_fp"))
         new = written(verified(pairs.distinct(), sets, share), "links")
         links = new if links is None else links.unionByName(new)
