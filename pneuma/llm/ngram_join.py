@@ -19,10 +19,10 @@ from .components import components
 from .frames import pick, shuffle_partitions, table, written
 from .shingles import fingerprints, shingle_sets
 
-#: n-grams that a fragment holds on average; the number of fragments follows the input.
-FRAGMENT_GRAMS = 1 << 21
+#: n-grams that a fragment holds on average (the number of fragments follows the input), and documents that are cut up at once.
+FRAGMENT_GRAMS, SLICE_ROWS = 1 << 19, 2048
 #: An n-gram in more than 1 / HEAVY_SHARE of all set elements is heavy, so at most HEAVY_SHARE are; they come last in the order.
-HEAVY_SHARE, HEAVY_IN_BATCH = 100_000, 32
+HEAVY_SHARE, HEAVY_IN_SLICE = 100_000, 16
 HEAVY_COUNT = np.uint32(0xFFFFFFFF)
 #: Vertical cuts of the sets when pairs are counted.
 CUTS = 8
@@ -39,17 +39,23 @@ def _batch(arrays: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) if not isinstance(a, pa.Array) else a for a in arrays], names=names)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(lo, SLICE_ROWS)
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Per document (kind 0) doc_id, fingerprint, size; per batch (kind 1) n-grams that many of its distinct sets hold, with their number."""
+    """Per document (kind 0) doc_id, fingerprint, size; per slice (kind 1) n-grams that many of its distinct sets hold, with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             values, offsets = shingle_sets(b.column(1))
             prints, sizes = fingerprints(values, offsets), np.diff(offsets)
             _, first = np.unique(prints, return_index=True)
             once = np.repeat(np.isin(np.arange(len(sizes)), first), sizes)
             grams, count = np.unique(values[once], return_counts=True)
-            heavy = count >= HEAVY_IN_BATCH
+            heavy = count >= HEAVY_IN_SLICE
             n, m = b.num_rows, int(heavy.sum())
             yield _batch(
                 [
@@ -65,14 +71,14 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 def _fragments_of_sets(docs: DataFrame, fragments: int, heavy: np.ndarray) -> DataFrame:
-    """Each batch's sets, once per fingerprint, cut into the fragments of the order: f, prints, sizes, owner, grams (packed).
+    """Each slice's sets, once per fingerprint, cut into the fragments of the order: f, prints, sizes, owner, grams (packed).
 
     Heavy n-grams go to further fragments, dealt by document, as their count is known.
     """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY_SHARE values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             values, offsets = shingle_sets(b.column(1))
             prints, sizes = fingerprints(values, offsets), np.diff(offsets)
             known, first = np.unique(prints, return_index=True)
