@@ -6,11 +6,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .frames import pick, table
 
@@ -211,8 +211,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
                 langs, scores = predict(shared.value, b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
@@ -222,19 +222,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score behind its own columns, by the same rules as identify."""
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = docs.columns.index("text")
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = [], []
-        for lo in range(0, len(texts), 2000):
-            a, b = predict(shared.value, texts.iloc[lo : lo + 2000].tolist())
-            langs += a
-            scores += b
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
-
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    found = docs.toDF(*names).withColumn("found", predicted(names[docs.columns.index("text")]))
-    return found.select(*names, "found.lang_pred", "found.score").toDF(*docs.columns, "lang_pred", "score")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                langs, scores = predict(shared.value, b.column(text).to_pylist())
+                added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*plain.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, "lang_pred", "score")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,17 +140,17 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = SEARCH_NODES,
     return best
 
 
-def document_pieces(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]], capacity: int, end_id: int = 0) -> DataFrame:
+def document_pieces(docs: DataFrame, encode: Callable[[], Callable[[pa.Array], Iterator[bytes]]], capacity: int, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, spread: documents as ids with the end id, cut only where longer than the capacity."""
     end = end_id.to_bytes(4, "little")
     schema = pa.schema([(c, pa.int64() if c != "piece" else pa.int32()) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "spread")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
+        seen, column_ids = 0, encode()
         for b in batches:
-            text_ids, out = encode(), []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                content = text_ids(text.as_py() or "") + end
+            out = []
+            for doc_id, content in zip(b.column(0).to_pylist(), column_ids(b.column(1)), strict=True):
+                content += end
                 for piece, at in enumerate(range(0, len(content), 4 * capacity)):
                     cut = content[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut), seen))
@@ -201,7 +201,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048) -> DataFram
     than a packing of all pieces at once would.
     """
     blocks = max(1, -(-docs.count() // BLOCK_PIECES))
-    return pack_pieces(document_pieces(docs, lambda: library_encoder(path), capacity), blocks, capacity)
+    return pack_pieces(document_pieces(docs, lambda: library_encoder(path).stream, capacity), blocks, capacity)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,11 +85,11 @@ def _pieces(content: bytes) -> Iterator[bytes]:
         yield content[at : at + FRAME_BYTES]
 
 
-def write_token_files(docs: DataFrame, folder: str, encode: Callable[[], Callable[[str], bytes]], end_id: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, encode: Callable[[], Callable[[pa.Array], Iterator[bytes]]], end_id: int = 0) -> DataFrame:
     """Write documents in ascending doc_id order (nulls first, ties by text), one file per range of doc_id.
 
-    encode() makes, inside a task, the function from text to the bytes of its
-    32-bit ids. Null texts are empty: their document is the end id alone.
+    encode() makes, inside a task, the function from a column of texts to the
+    bytes of the 32-bit ids of each. Null texts are empty: their document is the end id alone.
     Returns one row per file: part, path, bytes, docs, tokens. A task writes
     under a name of its own attempt and renames it when whole, so a retried
     task leaves the same file.
@@ -105,15 +105,15 @@ def write_token_files(docs: DataFrame, folder: str, encode: Callable[[], Callabl
         fs, root = filesystem(folder)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        writer, text_ids = None, None
+        writer, column_ids = None, encode()
         index: list[tuple[int, int, int]] = []
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, content in zip(b.column(0).to_pylist(), column_ids(b.column(1)), strict=True):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     sink = fs.open_output_stream(f"{root}/_{part:06d}.{attempt}")
-                    writer, text_ids = FrameWriter(sink), encode()
-                content = text_ids(text.as_py() or "") + end
+                    writer = FrameWriter(sink)
+                content += end
                 for piece in _pieces(content):
                     writer.frame(piece)
                 index.append((doc_id or 0, doc_id is None, len(content) // 4))
@@ -171,5 +171,5 @@ def read_token_files(spark: SparkSession, files: list) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path(BYTE_BPE)
-    files = write_token_files(table(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), lambda: library_encoder(path))
+    files = write_token_files(table(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), lambda: library_encoder(path).stream)
     return read_token_files(spark, files.collect())

@@ -30,8 +30,10 @@ def test_segment_tree_bpe_equals_library(name):
 @pytest.mark.parametrize("name", [tok.WORD_BPE, tok.BYTE_BPE])
 def test_cached_chunks_equal_library(name):
     encode = tok.library_encoder(tok.vocabulary_path(name))
-    for text in TEXTS:
-        assert np.frombuffer(encode(text), "<u4").tolist() == encode.library.encode(text, add_special_tokens=False).ids
+    found = encode.batch(TEXTS)
+    for text, ids in zip(TEXTS, found, strict=True):
+        assert ids.tolist() == encode(text).tolist() == encode.library.encode(text, add_special_tokens=False).ids
+    assert encode.batch([]) == []
 
 
 def _docs(spark):
@@ -56,7 +58,7 @@ def test_op5_digests(spark):
 def test_token_files_round_trip(spark):
     path = tok.vocabulary_path(tok.BYTE_BPE)
     library = tok.library_encoder(path).library
-    files = tokenfile.write_token_files(_docs(spark), shared_dir(spark, "t"), lambda: tok.library_encoder(path)).collect()
+    files = tokenfile.write_token_files(_docs(spark), shared_dir(spark, "t"), lambda: tok.library_encoder(path).stream).collect()
     rows = tokenfile.read_token_files(spark, files).orderBy("start").collect()
     texts = {i: t for i, t in enumerate(TEXTS)} | {None: "no id", 100: "", 101: "same"}
     assert [r.doc_id for r in rows] == [None, *range(len(TEXTS)), 100, 101, 101]
@@ -119,7 +121,7 @@ def test_pack_documents(spark):
     texts = {i: t for i, t in enumerate(TEXTS)} | {None: "no id", 100: "", 101: "same"}
     by_sequence = {}
     for r in rows:
-        content = encode(texts[r.doc_id]) + b"\0" * 4
+        content = encode(texts[r.doc_id]).tobytes() + b"\0" * 4
         cut = content[4 * r.start : 4 * (r.start + r.length)]
         assert r.start == 64 * r.piece and len(cut) == 4 * r.length and r.ids_crc32 == zlib.crc32(cut)
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -129,5 +131,5 @@ def test_pack_documents(spark):
             assert offset == at
             at += length
         assert at <= 64
-    assert sum(r.length for r in rows) == sum(len(encode(texts[d])) // 4 + 1 for d in [*range(len(TEXTS)), None, 100, 101, 101])
+    assert sum(r.length for r in rows) == sum(len(encode(texts[d])) + 1 for d in [*range(len(TEXTS)), None, 100, 101, 101])
     assert packing.pack_documents(_docs(spark).limit(0), path).count() == 0
