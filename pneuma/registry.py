@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .jobs import recordings
+from .jobs import recordings, signals
 
-_ALL = recordings.QUERIES
+_ALL = recordings.QUERIES | signals.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
