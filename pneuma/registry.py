@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .jobs import recordings, signals
+from .jobs import cohort, recordings, signals
 
-_ALL = recordings.QUERIES | signals.QUERIES
+_ALL = recordings.QUERIES | signals.QUERIES | cohort.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
