@@ -21,7 +21,7 @@ LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 400, 16_000
 SEGMENT = 256
 #: Symbols of the automata: 0 is any run of non-letters, the last stands for letters outside the samples' alphabet.
 SYMBOLS = 64
-FLAG = 1 << 40
+FLAG = 1 << 30
 
 
 def code_points(text: str) -> np.ndarray:
@@ -79,7 +79,7 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = split
             last = new
-        step = np.zeros((len(nexts), SYMBOLS), np.int64)
+        step = np.zeros((len(nexts), SYMBOLS), np.int32)
         for c in range(SYMBOLS):
             step[:, c] = nexts[0].get(c, 0) * SYMBOLS + FLAG
         for state, out in enumerate(nexts):
@@ -89,7 +89,7 @@ class SuffixAutomaton:
 
     def phrases(self, segments: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each row: greedy longest matches. Rows are sorted by falling length."""
-        state = np.zeros(len(segments), np.int64)
+        state = np.zeros(len(segments), np.int32)
         ended = np.zeros(len(segments), np.int64)
         alive = np.searchsorted(-lengths, -np.arange(segments.shape[1]), side="left")
         for k in range(segments.shape[1]):
@@ -97,7 +97,7 @@ class SuffixAutomaton:
             if not n:
                 break
             now = self.step[state[:n] + segments[:n, k]]
-            ended[:n] += now >> 40
+            ended[:n] += now >> 30
             state[:n] = now & (FLAG - 1)
         return ended + (lengths > 0)
 

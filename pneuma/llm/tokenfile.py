@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import filesystem, pick, shared_dir, shuffle_partitions, table
-from .tokenize import BYTE_BPE, library_encoder, vocabulary_path
+from .tokenize import BYTE_BPE, BYTE_RANKS, rank_encoder, vocabulary_path
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -170,6 +170,6 @@ def read_token_files(spark: SparkSession, files: list) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path(BYTE_BPE)
-    files = write_token_files(table(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), lambda: library_encoder(path).stream)
+    path, ranks = vocabulary_path(BYTE_BPE), vocabulary_path(BYTE_RANKS)
+    files = write_token_files(table(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), lambda: rank_encoder(path, ranks).stream)
     return read_token_files(spark, files.collect())

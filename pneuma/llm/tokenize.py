@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import os
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .frames import map_batches, pick, table
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Chunks of a generation that a worker keeps, of two generations (results do not depend on it).
-CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS, BATCH_CHARS = 450_000, 80_000, 1 << 23
+CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS, BATCH_CHARS = 450_000, 60_000, 1 << 22
 
 
 def vocabulary_path(name: str) -> str:
@@ -323,3 +324,42 @@ def library_encoder(path: str) -> LibraryEncoder:
     if path not in _libraries:
         _libraries[path] = LibraryEncoder(path)
     return _libraries[path]
+
+
+class RankEncoder:
+    """The same ids as the library's from a byte-level vocabulary's ranks, which is several times faster on texts of many different words.
+
+    Special tokens and the split come from the library's file and its public
+    pattern. Texts that the rank encoder gives up on (very long runs of white
+    space) go to the library.
+    """
+
+    def __init__(self, path: str, ranks_path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        with open(path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.path = path
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(text) > 10_000 and _BLANK.search(text):
+            return library_encoder(self.path)(text)
+        return self.ranks.encode_to_numpy(text, allowed_special="all")
+
+    def stream(self, column: pa.Array) -> Iterator[bytes]:
+        for value in column:
+            yield self(value.as_py() or "").astype("<u4").tobytes()
+
+
+_BLANK = re.compile(r"\s{5000}")
+_ranks: dict[str, RankEncoder] = {}
+
+
+def rank_encoder(path: str, ranks_path: str) -> RankEncoder:
+    if path not in _ranks:
+        _ranks[path] = RankEncoder(path, ranks_path)
+    return _ranks[path]

@@ -36,6 +36,30 @@ def test_cached_chunks_equal_library(name):
     assert encode.batch([]) == []
 
 
+def test_rank_encoder_equals_library():
+    import random
+
+    rng = random.Random(4)
+    parts = ["a", "B", "é", "Σ", ".", " ", "\n", ",", "'s", "1", "  ", "\t", "İ", "\x02", "<|endoftext|>", "!", "th", " \n", "日", "\u00a0", "\x1c"]
+    texts = TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5000)] + [" " * 300_000 + "x", "é" * 20_000]
+    encode = tok.rank_encoder(tok.vocabulary_path(tok.BYTE_BPE), tok.vocabulary_path(tok.BYTE_RANKS))
+    library = tok.library_encoder(tok.vocabulary_path(tok.BYTE_BPE)).library
+    for text in texts:
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
+
+
+def test_chunk_batches_equal_library_on_random_texts():
+    import random
+
+    rng = random.Random(5)
+    parts = ["a", "B", "é", "Σ", ".", " ", "\n", ",", "'s", "1", "  ", "\t", "İ", "\x02", "<|endoftext|>", "!", "th", " \n", "K", "ǅ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    for name in (tok.WORD_BPE, tok.BYTE_BPE):
+        encode = tok.library_encoder(tok.vocabulary_path(name))
+        for text, ids in zip(texts, encode.batch(texts), strict=True):
+            assert ids.tolist() == encode.library.encode(text, add_special_tokens=False).ids, text
+
+
 def _docs(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", "x"), (100, None, "x"), (101, "same", "x"), (101, "same", "x")]
     return spark.createDataFrame(rows, "doc_id bigint, text string, TEXT string")
