@@ -79,9 +79,12 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = split
             last = new
-        step = np.zeros((len(nexts), SYMBOLS), np.int32)
+        # The last state stands behind a symbol that the sample never has: such a symbol is a phrase of its own.
+        unseen = len(nexts)
+        step = np.zeros((unseen + 1, SYMBOLS), np.int32)
         for c in range(SYMBOLS):
-            step[:, c] = nexts[0].get(c, 0) * SYMBOLS + FLAG
+            step[:, c] = nexts[0].get(c, unseen) * SYMBOLS + FLAG
+            step[0, c] -= FLAG  # the start ends no phrase
         for state, out in enumerate(nexts):
             for c, to in out.items():
                 step[state, c] = to * SYMBOLS
