@@ -7,13 +7,12 @@ import hashlib
 import json
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +20,7 @@ from .frames import map_batches, pick, table
 
 WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Chunks of a generation that a worker keeps, of two generations (results do not depend on it).
-CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS, BATCH_CHARS = 450_000, 60_000, 1 << 22
+CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 450_000, 300_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -218,20 +217,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ids by the tokenizers library, for the writers of token files and packed sequences
 
 
-#: Before a chunk that no space stood before.
-BARE = "\x02"
-_STOP = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])([.,])(?=[ \n])")
-_LINE = re.compile(r"(?<=\S)\n(?=\S)")
-
-
 class LibraryEncoder:
-    """uint32 ids of whole texts by the tokenizers library; of a batch, each distinct chunk is encoded once.
+    """Little-endian 32-bit ids of whole texts by the tokenizers library.
 
-    byte-level files: a lone space between two other characters always begins
-    a pre-token, so a text may be cut before it; texts with two spaces in a row,
-    where that does not hold, are encoded whole. Files that drop white space
-    may be cut at every space and line end, and their lower case may be taken
-    at once. Texts that hold a special token's string are encoded whole.
+    Files that drop white space may be cut at every space and line end, and
+    their lower case may be taken at once, so each chunk is encoded once while
+    the cache holds it. Texts that hold a special token's string, and files
+    that keep white space, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -248,75 +240,36 @@ class LibraryEncoder:
         self.cache = ChunkCache(self.chunk, CACHE_LIBRARY_CHUNKS)
         self.model = self.library.model
         self.symbols = dict(enumerate(byte_symbols()))
-        # A word of these letters is one pre-token that no normaliser changes, so the library's model may take it as it is.
-        self.plain = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+" if self.keeps_space else "[a-zß-öø-ÿ]+")
-
-    def whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a chunk not met before; unless it is marked, a space goes before it where the file keeps spaces."""
-        text = chunk[1:] if chunk[:1] == BARE else " " + chunk if self.keeps_space else chunk
-        if self.plain.fullmatch(text):
-            word = text.encode("utf-8").decode("latin-1").translate(self.symbols)
-            return [t.id for t in self.model.tokenize(word)]
-        return self.whole(text) if text else []
-
-    def _prepared(self, text: str) -> str | None:
-        """The text with spaces between chunks that may be encoded apart; None if it has to be encoded whole.
-
-        A full stop or comma behind a letter and before white space is a
-        pre-token of its own, and so is a lone line end; chunks that no space
-        stood before are marked.
-        """
-        if BARE in text or any([s in text for s in self.special]):
-            return None
-        if not self.keeps_space:
-            if "İ" in text:
-                return None
-            # Characters stand for themselves in lower case (no final sigma).
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            return _STOP.sub(r" \1", text).replace("\n", " ")
-        if "  " in text:
-            return None
-        text = _STOP.sub(f" {BARE}\\1", text)
-        return (BARE if text[:1] != " " else "") + _LINE.sub(f" {BARE}\n {BARE}", text)[text[:1] == " " :]
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        prepared = [self._prepared(t) for t in texts]
-        lists = pc.split_pattern(pa.array(prepared, pa.large_string()), " ")
-        cuts = lists.offsets.to_numpy()
-        coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
-        cuts, place = cuts - cuts[0], coded.indices.to_numpy()
-        cache = self.cache
-        known = [cache[c] for c in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        pool = np.fromiter(chain.from_iterable(known), np.uint32, int(sizes.sum()))
-        starts, size = (np.cumsum(sizes) - sizes)[place], sizes[place]
-        ends = np.cumsum(size)
-        ids = pool[np.repeat(starts - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.append(0, ends)[cuts]
-        return [
-            ids[bounds[d] : bounds[d + 1]] if p is not None and texts[d] else np.array(self.whole(texts[d]), np.uint32) for d, p in enumerate(prepared)
-        ]
 
-    def __call__(self, text: str) -> np.ndarray:
-        return self.batch([text])[0]
+    def whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def chunk(self, chunk: str) -> bytes:
+        """A chunk in lower case that is not in the cache; a last full stop or comma behind a word is a pre-token of its own."""
+        if _PLAIN.fullmatch(chunk):
+            # One pre-token that no normaliser changes: the library's model may take it as it is.
+            word = chunk.encode("utf-8").decode("latin-1").translate(self.symbols)
+            ids = [t.id for t in self.model.tokenize(word)]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if chunk[-1] in ".," and _PLAIN.fullmatch(chunk[:-1]):
+            return self.cache[chunk[:-1]] + self.cache[chunk[-1]]
+        return self.whole(chunk)
+
+    def __call__(self, text: str) -> bytes:
+        if self.keeps_space or "İ" in text or any([s in text for s in self.special]):
+            return self.whole(text)
+        # Characters stand for themselves in lower case (no final sigma).
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        cache = self.cache
+        return b"".join([cache[c] for c in text.replace("\n", " ").split(" ") if c])
 
     def stream(self, column: pa.Array) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text of a column (null: none), by batches of bounded size."""
-        held: list[str] = []
-        size = 0
-        for value in column:
-            held.append(value.as_py() or "")
-            size += len(held[-1])
-            if size >= BATCH_CHARS:
-                yield from (ids.astype("<u4").tobytes() for ids in self.batch(held))
-                held, size = [], 0
-        yield from (ids.astype("<u4").tobytes() for ids in self.batch(held))
+        """The ids of each text of a column (null: none)."""
+        return (self(value.as_py() or "") for value in column)
 
 
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _libraries: dict[str, LibraryEncoder] = {}
 
 
@@ -347,7 +300,7 @@ class RankEncoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if len(text) > 10_000 and _BLANK.search(text):
-            return library_encoder(self.path)(text)
+            return np.frombuffer(library_encoder(self.path)(text), "<u4")
         return self.ranks.encode_to_numpy(text, allowed_special="all")
 
     def stream(self, column: pa.Array) -> Iterator[bytes]:
