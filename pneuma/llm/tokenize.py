@@ -20,7 +20,7 @@ from .frames import map_batches, pick, table
 
 WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Chunks of a generation that a worker keeps, of two generations (results do not depend on it).
-CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 450_000, 300_000
+CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 500_000, 300_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -120,6 +120,10 @@ class SegmentTreeBpe:
         return [i for w in self.split.findall(self.normalise(chunk)) for i in self.merge(w)]
 
 
+#: Words that are one pre-token, and that no normaliser changes.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
 class ChunkCache(dict):
     """chunk -> entry, made on first use. When full, it becomes the older generation, from which chunks in use come back."""
 
@@ -150,7 +154,16 @@ def _encoder(path: str) -> tuple[SegmentTreeBpe, ChunkCache, regex.Pattern | Non
     if path not in _encoders:
         bpe = SegmentTreeBpe(path)
         marks = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")") if bpe.special else None
-        _encoders[path] = bpe, ChunkCache(lambda c: _entry(bpe, bpe.encode_chunk(c))), marks
+
+        def make(chunk: str) -> tuple[int, str, str]:
+            """A last full stop or comma behind a word is a pre-token of its own, and is not merged with it."""
+            if chunk[-1] in ".," and _PLAIN.fullmatch(chunk[:-1]):
+                (n, ids, decoded), (m, more, rest) = cache[chunk[:-1]], cache[chunk[-1]]
+                return n + m, f"{ids} {more}", f"{decoded} {rest}"
+            return _entry(bpe, bpe.encode_chunk(chunk))
+
+        cache = ChunkCache(make)
+        _encoders[path] = bpe, cache, marks
     return _encoders[path]
 
 
@@ -161,6 +174,8 @@ def _entries(path: str, text: str) -> Iterator[tuple[int, str, str]]:
         if k % 2:
             yield _entry(bpe, [bpe.special[part]])
         else:
+            if "İ" not in part:  # lower case at once, so that fewer chunks differ
+                part = bpe.normalise(part)
             yield from [e for c in part.replace("\n", " ").split(" ") if c and (e := cache[c])[0]]
 
 
@@ -269,7 +284,6 @@ class LibraryEncoder:
         return (self(value.as_py() or "") for value in column)
 
 
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _libraries: dict[str, LibraryEncoder] = {}
 
 

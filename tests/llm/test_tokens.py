@@ -52,6 +52,10 @@ def test_cached_chunks_equal_library_on_random_texts():
     rng = random.Random(5)
     parts = ["a", "B", "é", "Σ", ".", " ", "\n", ",", "'s", "1", "  ", "\t", "İ", "\x02", "<|endoftext|>", "!", "th", " \n", "K", "ǅ"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    library = Tokenizer.from_file(tok.vocabulary_path(tok.WORD_BPE))
+    for text in texts:
+        own = " ".join(e[1] for e in tok._entries(tok.vocabulary_path(tok.WORD_BPE), text))
+        assert own == " ".join(map(str, library.encode(text, add_special_tokens=False).ids)), text
     for name in (tok.WORD_BPE, tok.BYTE_BPE):
         encode = tok.library_encoder(tok.vocabulary_path(name))
         for text in texts:
