@@ -240,6 +240,20 @@ k AS (SELECT *, row_number() OVER w AS rk, lead(r) OVER w AS nxt FROM m WINDOW w
 SELECT participant_id, model, round(r, 6) AS r, round(r - nxt, 6) AS margin, r < 0.4 AS low_fit FROM k WHERE rk = 1"""
 
 
+def model_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return score_models(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("low_fit").alias("n_low"))
+
+
+FREQUENCY = f"WITH sc AS ({SCORES}) SELECT model, count(*) AS n, count(*) FILTER (low_fit) AS n_low FROM sc GROUP BY ALL"
+
+
+def batch_report(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve_participants(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+REPORT = f"WITH rs AS ({RESOLVE}) SELECT status, count(*) AS n FROM rs GROUP BY ALL"
+
+
 def quality_index(spark: SparkSession, sf: str) -> DataFrame:
     a = _axes(spark, sf).withColumns({"wx": F.lit(0.6), "wy": F.lit(-0.3), "wz": F.lit(0.75)})
     return rounded(K.quality_index(a, 15))
@@ -352,5 +366,5 @@ QUERIES = {
     "band_metrics": (band_metrics, BAND), "zero_phase_filter": (zero_phase_filter, ""), "decimate": (decimate, ""), "despike": (despike, ""), "stream_phase_rate": (stream_phase_rate, STREAM_PHASE),
     "stream_rolling_r": (stream_rolling_r, STREAM_R), "stream_amplitude_range": (stream_amplitude_range, STREAM_RANGE), "stream_trial_sessions": (stream_trial_sessions, STREAM_SESSIONS),
     "stream_dedupe": (stream_dedupe, "SELECT user_id AS participant_id, event_id, value FROM events"), "stream_clamped_breath": (stream_clamped_breath, "SELECT event_id, round(least(1, greatest(0, value / 100)), 6) AS breath FROM events"),
-    "stream_causal_filter": (stream_causal_filter, CAUSAL),
+    "stream_causal_filter": (stream_causal_filter, CAUSAL), "model_frequency": (model_frequency, FREQUENCY), "batch_report": (batch_report, REPORT),
 }

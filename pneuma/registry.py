@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .jobs import assembly, cohort, recordings, signals
+from .jobs import assembly, behaviour, cohort, recordings, signals
 
-_ALL = recordings.QUERIES | signals.QUERIES | cohort.QUERIES | assembly.QUERIES
+_ALL = recordings.QUERIES | signals.QUERIES | cohort.QUERIES | assembly.QUERIES | behaviour.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
