@@ -48,6 +48,17 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def put_in_place(fs: pafs.FileSystem, source: str, target: str) -> None:
+    """Give a whole file its final name; a file that an earlier attempt of the same task left there gives way."""
+    try:
+        fs.move(source, target)
+    except OSError:
+        if fs.get_file_info(target).type != pafs.FileType.File:
+            raise
+        fs.delete_file(target)
+        fs.move(source, target)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with one output batch for each input batch."""
 

@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from .frames import pick, table
 
 UNKNOWN = "und"
-#: The classifier is fitted on a bounded sample: at most this many languages (the most frequent), rows and characters for each.
-LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 400, 16_000
+#: The classifier is fitted on a bounded sample: at most this many languages (the most frequent), rows and characters for
+#: each, and characters of a row.
+LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 64, 400, 16_000, 4_000
 #: Texts are parsed in segments of this many symbols (phrases end there), all segments of a batch side by side.
 SEGMENT = 256
 #: Symbols of the automata: 0 is any run of non-letters, the last stands for letters outside the samples' alphabet.
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) ->
     share = F.least(F.lit(1.0), F.lit(2.0 * rows + 50) / F.col("count"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = labelled.join(F.broadcast(counts), "lang").where(draw < share)  # at most `languages` rows
-    drawn = drawn.select("lang", F.substring("text", 1, 4000).alias("text"), draw.alias("draw"), "doc_id")
+    drawn = drawn.select("lang", F.substring("text", 1, ROW_CHARS).alias("text"), draw.alias("draw"), "doc_id")
     samples: dict[str, list[str]] = {}
     for r in drawn.orderBy("draw", "doc_id", "text").collect():  # some `languages` * 2 * `rows` rows
         if len(samples.setdefault(r.lang, [])) < rows:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import filesystem, pick, shared_dir, shuffle_partitions, table
+from .frames import filesystem, pick, put_in_place, shared_dir, shuffle_partitions, table
 from .tokenize import BYTE_BPE, BYTE_RANKS, rank_encoder, vocabulary_path
 
 #: Fixed values of the seekable format.
@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, encode: Callable[[], Callabl
         writer.close()
         size = sink.tell()
         sink.close()
-        fs.move(f"{root}/_{part:06d}.{attempt}", path := f"{root}/part-{part:06d}.zst")
+        put_in_place(fs, f"{root}/_{part:06d}.{attempt}", path := f"{root}/part-{part:06d}.zst")
         scheme = folder[: len(folder) - len(folder.split("://", 1)[-1])]
         yield pa.RecordBatch.from_pydict(
             {"part": [part], "path": [f"{scheme}{path}"], "bytes": [size], "docs": [len(index)], "tokens": [int(tokens.sum())]},

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import filesystem, pick, shared_dir, shuffle_partitions, table
+from .frames import filesystem, pick, put_in_place, shared_dir, shuffle_partitions, table
 
 #: Fixed values of the formats.
 GZIP_MAGIC, WARC_MAGIC = b"\x1f\x8b\x08", b"WARC/1."
@@ -101,7 +101,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 6
             return
         size = sink.tell()
         sink.close()
-        fs.move(f"{root}/_{part:06d}.{attempt}", path := f"{root}/part-{part:06d}.warc.gz")
+        put_in_place(fs, f"{root}/_{part:06d}.{attempt}", path := f"{root}/part-{part:06d}.warc.gz")
         scheme = folder[: len(folder) - len(folder.split("://", 1)[-1])]
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{scheme}{path}"]), pa.array([size]), pa.array([records])], names=["part", "path", "bytes", "records"])
 
