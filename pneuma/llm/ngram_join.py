@@ -20,9 +20,9 @@ from .frames import pick, shuffle_partitions, table, written
 from .shingles import fingerprints, shingle_sets
 
 #: n-grams that a fragment holds on average (the number of fragments follows the input), and documents that are cut up at once.
-FRAGMENT_GRAMS, SLICE_ROWS = 1 << 20, 3072
+FRAGMENT_GRAMS, SLICE_ROWS = 1 << 20, 1536
 #: An n-gram in more than 1 / HEAVY_SHARE of all set elements is heavy, so at most HEAVY_SHARE are; they come last in the order.
-HEAVY_SHARE, HEAVY_IN_SLICE = 100_000, 16
+HEAVY_SHARE, HEAVY_IN_SLICE = 100_000, 12
 HEAVY_COUNT = np.uint32(0xFFFFFFFF)
 #: Vertical cuts of the sets when pairs are counted.
 CUTS = 8

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 
 WORDS = 5
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C13)
