@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC, rounded
+from ..functions.tdist import t_cdf, t_quantile
 from ..operators import clean as C
 from ..operators import trials as T
 from ..sources.tables import event_samples, read
@@ -149,6 +150,16 @@ TOST = f"""WITH {_R}, m AS (SELECT participant_id, avg(a - b) AS d FROM r GROUP
 SELECT s_nationkey, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(CASE WHEN n >= 3 AND sd > 0 THEN (mean + 1) / (sd / sqrt(n)) END, 6) AS t_lower, round(CASE WHEN n >= 3 AND sd > 0 THEN (mean - 1) / (sd / sqrt(n)) END, 6) AS t_upper FROM g"""
 
 
+def tost_p(spark: SparkSession, sf: str) -> DataFrame:
+    """As tost, with p (the larger of the two one-sided ones), the lower 95 % bound and the larger absolute 90 % limit of the mean."""
+    t = tost(spark, sf).where("t_lower is not null")
+    df = (F.col("n") - 1).cast("double")
+    se = F.col("sd") / F.sqrt("n")
+    half = t_quantile(F.lit(0.95), df) * se
+    p = F.greatest(1 - t_cdf("t_lower", df), t_cdf("t_upper", df))
+    return rounded(t.select("s_nationkey", "n", p.alias("p"), (F.col("mean") - half).alias("lower_bound"), F.greatest(F.abs(F.col("mean") - half), F.abs(F.col("mean") + half)).alias("equivalence_bound")))
+
+
 def alertness_slopes(spark: SparkSession, sf: str) -> DataFrame:
     """Alertness centred within the participant; slope of each device's measure on it, and the difference."""
     r = _rated(spark, sf).join(_rated(spark, sf).groupBy("participant_id").agg(F.avg("quality").alias("_q")), "participant_id").withColumn("q", F.col("quality") - F.col("_q"))
@@ -214,6 +225,6 @@ CASE WHEN o_orderkey % 2 = 0 THEN first WHEN first = 'A' THEN 'B' WHEN first = '
 QUERIES = {
     "expected_durations": (expected_durations, DURATIONS), "expected_waveform": (expected_waveform, WAVEFORM), "trial_qc_table": (trial_qc_table, QC_TABLE), "direction_correct": (direction_correct, DIRECTION),
     "qc_summary": (qc_summary, QC_SUMMARY), "good_subset": (good_subset, GOOD), "adherence_direction": (adherence_direction, ADHERENCE), "quality": (quality, QUALITY), "quality_segments": (quality_segments, SEGMENTS),
-    "vacant_channel_guard": (vacant_channel_guard, VACANT), "tost": (tost, TOST), "alertness_slopes": (alertness_slopes, ALERTNESS), "agreement_by_model": (agreement_by_model, BY_MODEL),
+    "vacant_channel_guard": (vacant_channel_guard, VACANT), "tost": (tost, TOST), "tost_p": (tost_p, ""), "alertness_slopes": (alertness_slopes, ALERTNESS), "agreement_by_model": (agreement_by_model, BY_MODEL),
     "dependent_corr_contrast": (dependent_corr_contrast, CONTRAST), "questionnaire_corr": (questionnaire_corr, QUESTIONNAIRE), "band_bias_table": (band_bias_table, BAND_BIAS), "attach_condition": (attach_condition, ATTACH),
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +92,42 @@ def quality_index(rows: DataFrame, window: int) -> DataFrame:
     q = rows.withColumn("p", along)
     share = F.try_divide(F.var_pop("p").over(w), F.var_pop("x").over(w) + F.var_pop("y").over(w) + F.var_pop("z").over(w))
     return q.withColumn("quality", share).withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") == window).select("participant_id", "idx", "quality", (F.col("quality") < 0.5).alias("low"))
+
+
+def _axes(c: pd.DataFrame) -> pd.DataFrame:
+    """First principal axis of a 3 x 3 covariance (columns xx, xy, xz, yy, yz, zz), its variance and the total; null where any entry is."""
+    m = c[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy(float).reshape(-1, 3, 3)
+    ok = np.isfinite(m).all(axis=(1, 2))
+    values, vectors = np.linalg.eigh(np.where(ok[:, None, None], m, 0.0))
+    out = pd.DataFrame({"w": list(vectors[:, :, 2]), "top": values[:, 2], "total": np.trace(m, axis1=1, axis2=2)})
+    out.loc[~ok, ["top", "total"]] = np.nan
+    out["w"] = [w if good else None for w, good in zip(out["w"], ok, strict=True)]
+    return out
+
+
+def leading_axis() -> Column:
+    """Struct of w, top and total from the covariance columns of the row."""
+    return F.pandas_udf(_axes, "w array<double>, top double, total double")(F.struct("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+def fit_pca(rows: DataFrame, by: str = "participant_id") -> DataFrame:
+    """Target regressed on the first principal axis of x, y, z; the fit's sign goes into the weights."""
+    s = rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.var_samp("target").alias("tt"), F.avg("target").alias("mt"), F.array(*[F.avg(c) for c in "xyz"]).alias("m"),
+        F.array(*[F.covar_samp(c, "target") for c in "xyz"]).alias("ct"), *[F.covar_samp(a, b).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")],
+    )
+    s = s.withColumn("p", leading_axis())
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, u: t + u)
+    s = s.withColumn("cov", dot(F.col("p.w"), "ct"))
+    slope = F.try_divide(F.col("cov"), F.col("p.top"))
+    w = F.transform("p.w", lambda u: u * slope)
+    r = F.try_divide(F.abs("cov"), F.sqrt(F.col("p.top") * F.col("tt")))
+    return s.select(by, "n", w[0].alias("wx"), w[1].alias("wy"), w[2].alias("wz"), (F.col("mt") - dot(w, "m")).alias("bias"), r.alias("r"))
+
+
+def axis_clarity(rows: DataFrame, window: int, by: str = "participant_id") -> DataFrame:
+    """Largest share of variance along one axis, in the window of samples up to each."""
+    w = Window.partitionBy(by).orderBy("idx").rowsBetween(-(window - 1), 0)
+    c = rows.withColumns({a + b: F.covar_pop(a, b).over(w) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")} | {"_n": F.count(F.lit(1)).over(w)})
+    c = c.where(F.col("_n") == window).withColumn("p", leading_axis())
+    return c.select(by, "idx", F.try_divide(F.col("p.top"), F.col("p.total")).alias("clarity"))

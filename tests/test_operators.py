@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pneuma.operators import breaths as B
+from pneuma.operators import calibration as K
 from pneuma.operators import extrema as X
 from pneuma.operators import spectrum as P
 from pneuma.operators import stats as A
@@ -123,6 +124,29 @@ def test_icc_and_kappa_of_perfect_and_constant_pairs(spark):
     assert same.agg(A.ccc("a", "b").alias("c")).first().c == pytest.approx(1.0)
 
 
+def test_t_distribution():
+    from pneuma.functions import tdist
+
+    for p, df, t in ((0.975, 10, 2.2281388520), (0.95, 5, 2.0150483733), (0.9, 1, 3.0776835372), (0.995, 120, 2.6174211)):
+        assert tdist.quantile(p, df) == pytest.approx(t, abs=1e-6) and tdist.cdf(t, df) == pytest.approx(p, abs=1e-8)
+        assert tdist.cdf(-t, df) == pytest.approx(1 - p, abs=1e-8)
+
+
+def test_pca_fit_and_clarity_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((80, 1)) * [[3.0, -1.0, 2.0]] + 0.1 * rng.standard_normal((80, 3))
+    target = x @ [0.5, 0.2, 0.1] + 0.05 * rng.standard_normal(80)
+    rows = spark.createDataFrame([(1, i, *map(float, v), float(y)) for i, (v, y) in enumerate(zip(x, target, strict=True))], "participant_id bigint, idx bigint, x double, y double, z double, target double")
+    fit = K.fit_pca(rows).first()
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    score = (x - x.mean(0)) @ vectors[:, 2]
+    slope = (score @ (target - target.mean())) / (score @ score)
+    assert [fit.wx, fit.wy, fit.wz] == pytest.approx(list(slope * vectors[:, 2])) and fit.r == pytest.approx(abs(np.corrcoef(score, target)[0, 1]))
+    clear = K.axis_clarity(rows, 20).orderBy("idx").collect()
+    last = np.linalg.eigvalsh(np.cov(x[-20:].T))
+    assert len(clear) == 61 and clear[-1].clarity == pytest.approx(last[-1] / last.sum())
+
+
 def test_operators_take_empty_recordings(spark):
     s = samples(spark)
     assert X.peak_prominence(s).count() == 0 and X.extrema_zerocross(s).count() == 0
