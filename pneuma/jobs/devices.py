@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.islands import REC, rounded
 from ..operators import devices as D
+from ..operators.matching import match_onsets
 from ..operators.spectrum import decimation_plan as plan
+from ..operators.timebase import assign_block
 from ..sources.tables import SAMPLES_SQL, event_samples, read, vector_samples
 from .assembly import _AX, _axes
 from .recordings import ALT_SQL, _alternating
@@ -67,13 +69,36 @@ ADHERENCE = f"""WITH {S}, {_W}, x AS (SELECT w.recording_id, trial, value, CASE
 
 def trial_breaths(spark: SparkSession, sf: str) -> DataFrame:
     t = _alternating(spark, sf).where("kind = 'trough'").join(event_samples(spark, sf).select(*REC, "idx", "t_s"), [*REC, "idx"])
-    return rounded(D.trial_breaths(t, _windows(spark, sf), 3600.0, 259200.0))
+    return rounded(D.trial_breaths(t, _windows(spark, sf), 3600.0, 259200.0), 4)
 
 
 TRIAL_BREATHS = f"""WITH {ALT_SQL}, {_W}, tr AS (SELECT recording_id, t_s FROM alt JOIN s USING (recording_id, idx) WHERE kind = 'trough'),
 h AS (SELECT w.recording_id, trial, t_s - lag(t_s) OVER (PARTITION BY w.recording_id, trial ORDER BY t_s) AS gap FROM w JOIN tr ON tr.recording_id = w.recording_id AND t_s BETWEEN a - 3600 AND z + 3600),
 g AS (SELECT recording_id, trial, count(*) AS n, count(gap) AS b, avg(gap) AS m FROM h GROUP BY ALL)
-SELECT w.recording_id, w.trial, coalesce(n, 0) AS n_troughs, coalesce(b, 0) AS n_breaths, round(m, 6) AS mean_s FROM w LEFT JOIN g ON g.recording_id = w.recording_id AND g.trial = w.trial"""
+SELECT w.recording_id, w.trial, coalesce(n, 0) AS n_troughs, coalesce(b, 0) AS n_breaths, round(m, 4) AS mean_s FROM w LEFT JOIN g ON g.recording_id = w.recording_id AND g.trial = w.trial"""
+
+
+def match_expected_breaths(spark: SparkSession, sf: str) -> DataFrame:
+    """Four expected breaths of half a day from the first detected one of each window: matched nearest first, error and missing ones."""
+    t = _alternating(spark, sf).where("kind = 'trough'").join(event_samples(spark, sf).select(*REC, "idx", "t_s"), [*REC, "idx"])
+    key = (F.col("recording_id") * 1_000_000 + F.col("trial")).alias("recording_id")
+    found = assign_block(t, _windows(spark, sf).select(*REC, "trial", "start", "end"), 259200.0).select(key, "idx", "t_s")
+    due = found.groupBy("recording_id").agg(F.min("t_s").alias("first")).select("recording_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("idx"), "first")
+    due = due.select("recording_id", F.col("idx").cast("bigint").alias("idx"), (F.col("first") + 43200.0 * (F.col("idx") - 1)).alias("t_s"))
+    m = match_onsets(due, found, 20000.0)
+    e = F.abs(F.col("a_t") - F.col("b_t"))
+    return rounded(m.groupBy(F.col("recording_id").alias("trial_key")).agg(F.count(F.lit(1)).alias("n_matched"), (4 - F.count(F.lit(1))).alias("n_missing"), F.avg(e).alias("mae_s"), F.avg(F.col("b_t") - F.col("a_t")).alias("bias_s")), 4)
+
+
+EXPECTED = f"""WITH RECURSIVE {ALT_SQL}, {_W}, tr AS (SELECT recording_id, idx, t_s FROM alt JOIN s USING (recording_id, idx) WHERE kind = 'trough'),
+f AS (SELECT w.recording_id * 1000000 + trial AS key, tr.idx, t_s FROM w JOIN tr ON tr.recording_id = w.recording_id AND t_s BETWEEN a AND z),
+due AS (SELECT key, k AS idx, fst + 43200.0::DOUBLE * (k - 1) AS t_s FROM (SELECT key, min(t_s) AS fst FROM f GROUP BY ALL), range(1, 5) r(k)),
+pr AS (SELECT due.key, due.idx AS a_idx, due.t_s AS a_t, f.idx AS b_idx, f.t_s AS b_t, row_number() OVER (PARTITION BY due.key ORDER BY abs(due.t_s - f.t_s), f.idx, due.idx) AS rk FROM due JOIN f ON f.key = due.key AND abs(due.t_s - f.t_s) <= 20000),
+st AS (SELECT key, []::BIGINT[] AS ua, []::BIGINT[] AS ub, []::BIGINT[] AS won, 1 AS rk FROM (SELECT DISTINCT key FROM pr)
+  UNION ALL SELECT st.key, CASE WHEN list_contains(ua, a_idx) OR list_contains(ub, b_idx) THEN ua ELSE list_append(ua, a_idx) END, CASE WHEN list_contains(ua, a_idx) OR list_contains(ub, b_idx) THEN ub ELSE list_append(ub, b_idx) END,
+    CASE WHEN list_contains(ua, a_idx) OR list_contains(ub, b_idx) THEN won ELSE list_append(won, st.rk) END, st.rk + 1 FROM st JOIN pr ON pr.key = st.key AND pr.rk = st.rk),
+fin AS (SELECT key, arg_max(won, rk) AS won FROM st GROUP BY ALL)
+SELECT pr.key AS trial_key, count(*) AS n_matched, 4 - count(*) AS n_missing, round(avg(abs(a_t - b_t)), 4) AS mae_s, round(avg(b_t - a_t), 4) AS bias_s FROM pr JOIN fin ON fin.key = pr.key AND list_contains(won, rk) GROUP BY pr.key"""
 
 
 def recording_qc_code(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,6 +151,6 @@ CONFIDENCE = "SELECT o_custkey, round(avg(o_totalprice), 4) AS confidence, count
 
 QUERIES = {
     "detect_onsets": (detect_onsets, ""), "cross_coherence": (cross_coherence, COHERENCE), "offset_per_breath": (offset_per_breath, OFFSET), "adherence_corr": (adherence_corr, ADHERENCE),
-    "trial_breaths": (trial_breaths, TRIAL_BREATHS), "recording_qc_code": (recording_qc_code, QC_CODE), "lag_confound": (lag_confound, CONFOUND), "trial_windows": (trial_windows, TRIAL_WINDOWS),
+    "trial_breaths": (trial_breaths, TRIAL_BREATHS), "match_expected_breaths": (match_expected_breaths, EXPECTED), "recording_qc_code": (recording_qc_code, QC_CODE), "lag_confound": (lag_confound, CONFOUND), "trial_windows": (trial_windows, TRIAL_WINDOWS),
     "decimation_plan": (decimation_plan, ""), "confidence_mean": (confidence_mean, CONFIDENCE),
 }

@@ -95,3 +95,35 @@ def stream_causal_filter(packets: DataFrame, alpha: float = 0.2) -> DataFrame:
     return keyed.applyInPandasWithState(
         step, "participant_id bigint, event_id bigint, seen bigint, filtered double", "y double, us bigint, seen bigint", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def stream_calib_status(packets: DataFrame, least_s: float, breaths: int, confidence: float, hold_s: float, timeout_s: float) -> DataFrame:
+    """One row per participant whose calibration ends: ready once enough time and breaths have passed and the confidence has
+    held for hold_s, or timeout. packets: participant_id, event_id, ts, confidence; each counts as a breath.
+
+    The state is the start, packets seen, since when all conditions hold, and whether it is over.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, seen, since, over = state.get if state.exists else (-1, 0, -1, False)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["us", "event_id"]).itertuples():
+            if over:
+                break
+            start, seen = (r.us if start < 0 else start), seen + 1
+            elapsed = (r.us - start) / 1e6
+            good = elapsed >= least_s and seen >= breaths and r.confidence >= confidence
+            since = (r.us if since < 0 else since) if good else -1
+            if good and (r.us - since) / 1e6 >= hold_s:
+                out.append((key[0], r.event_id, "ready", elapsed))
+                over = True
+            elif elapsed >= timeout_s:
+                out.append((key[0], r.event_id, "timeout", elapsed))
+                over = True
+        state.update((int(start), int(seen), int(since), bool(over)))
+        yield pd.DataFrame(out, columns=["participant_id", "event_id", "status", "elapsed_s"])
+
+    keyed = packets.select("participant_id", "event_id", F.unix_micros("ts").alias("us"), "confidence").groupBy("participant_id")
+    return keyed.applyInPandasWithState(
+        step, "participant_id bigint, event_id bigint, status string, elapsed_s double", "start bigint, seen bigint, since bigint, over boolean", "append", GroupStateTimeout.NoTimeout
+    )
