@@ -45,18 +45,11 @@ def breath_table(extrema: DataFrame, samples: DataFrame, polarity: str = "up", m
     )
 
 
-def with_mad(df: DataFrame, value: str, by: tuple[str, ...] = REC) -> DataFrame:
-    """Adds _med and _mad (scaled) of the value per group, by two grouped medians."""
-    med = df.groupBy(*by).agg(F.median(value).alias("_med"))
-    df = df.join(med, list(by), "left")
-    mad = df.groupBy(*by).agg((F.median(F.abs(F.col(value) - F.col("_med"))) * MAD_SCALE).alias("_mad"))
-    return df.join(mad, list(by), "left")
-
-
 def flag_breaths(breaths: DataFrame, low_frac: float = 0.2, mads: float = 5.0) -> DataFrame:
     """bad_amplitude (not positive), low_amplitude, duration_outlier and keep. Unknown values raise no flag but a null duration is not kept."""
-    amp = breaths.groupBy(*REC).agg(F.median("amplitude").alias("_amp"))
-    b = with_mad(breaths.join(amp, list(REC)), "duration")
+    every = Window.partitionBy(*REC)
+    b = breaths.withColumns({"_amp": F.median("amplitude").over(every), "_med": F.median("duration").over(every)})
+    b = b.withColumn("_mad", MAD_SCALE * F.median(F.abs(F.col("duration") - F.col("_med"))).over(every))
     t = lambda c: F.coalesce(c, F.lit(False))
     b = b.withColumns(
         {
@@ -104,13 +97,17 @@ def with_differences(df: DataFrame, value: str, order: str, by: tuple[str, ...]
 def summarise_breaths(breaths: DataFrame, by: tuple[str, ...] = REC) -> DataFrame:
     """The feature row of each group: on kept breaths where there are flags, with the number of all."""
     keep = F.coalesce("keep", F.lit(False)) if "keep" in breaths.columns else F.lit(True)
-    total = breaths.groupBy(*by).agg(F.count(F.lit(1)).alias("n_breaths_total"))
-    b = with_differences(with_differences(breaths.where(keep), "duration", "breath", by), "amplitude", "breath", by)
+    values = ["duration", "amplitude", "t_start", "rate_bpm", "inhale_dur", "exhale_dur", "duty_cycle", "ie_ratio", "rvt", "flow_in", "flow_out", "baseline"]
+    b = breaths.select(*by, "breath", keep.alias("_kept"), (keep & ~F.col("has_peak")).alias("_bare"), *[F.when(keep, F.col(c)).alias(c) for c in values])
+    b = with_differences(with_differences(b, "duration", "breath", by), "amplitude", "breath", by)
+    place = F.sum(F.col("_kept").cast("double")).over(Window.partitionBy(*by).orderBy("breath"))
+    b = b.withColumns({"duration_k": place, "amplitude_k": place})
     amp = [c for c in variation("amplitude", "t_start", "amplitude")]
     f = b.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_breaths"),
-        F.count_if(~F.col("has_peak")).alias("n_breaths_no_peak"),
-        F.sum("duration").alias("window_coverage_s"),
+        F.count(F.lit(1)).alias("n_breaths_total"),
+        F.count_if("_kept").alias("n_breaths"),
+        F.count_if("_bare").alias("n_breaths_no_peak"),
+        F.coalesce(F.sum("duration"), F.lit(0.0)).alias("window_coverage_s"),
         *variation("duration", "t_start", "duration"),
         F.avg("rate_bpm").alias("rate_bpm_mean"),
         F.try_divide(F.lit(60.0), F.avg("duration")).alias("rate_from_mean_duration"),
@@ -124,8 +121,7 @@ def summarise_breaths(breaths: DataFrame, by: tuple[str, ...] = REC) -> DataFram
         F.avg("flow_out").alias("flow_out_mean"),
         slope("baseline", "t_start").alias("baseline_drift"),
     )
-    out = total.join(f, list(by), "left").fillna(0, ["n_breaths", "n_breaths_no_peak"]).fillna(0.0, ["window_coverage_s"])
-    return out.withColumn("pct_breaths_rejected", 100.0 * (F.col("n_breaths_total") - F.col("n_breaths")) / F.col("n_breaths_total"))
+    return f.withColumn("pct_breaths_rejected", 100.0 * (F.col("n_breaths_total") - F.col("n_breaths")) / F.col("n_breaths_total"))
 
 
 def durations_ms(onsets: DataFrame, lo: float = 1500.0, hi: float = 12000.0, by: tuple[str, ...] = REC) -> DataFrame:
