@@ -16,47 +16,98 @@ from .vectors import usable_vectors
 
 #: The trees are fitted on a bounded sample of distinct vectors; every vector is then indexed.
 SAMPLE_VECTORS, SAMPLE_LEAF = 20_000, 16
-#: Vectors of a leaf, and the share of a node's vectors that go to both sides of its split.
-LEAF_VECTORS, SPILL = 512, 0.1
-#: Trees: enough that a pair at the threshold shares a leaf with this chance, given its chance to stay together at one split.
-RECALL, STAY = 0.99, 0.9
-LEAST_TREES = 6
-
-
-def split(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float, float]:
-    """A random direction, the median of the projections on it, and the margin that holds SPILL of them."""
-    direction = rng.standard_normal(x.shape[1])
-    direction /= np.linalg.norm(direction)
-    p = x @ direction
-    middle = float(np.median(p))
-    return direction, middle, float(np.quantile(np.abs(p - middle), SPILL))
+#: A node of at most this many vectors is a leaf; at least this share of a node's vectors go to both sides of its cut.
+LEAF_VECTORS, SPILL = 1024, 0.1
+#: Cuts tried at a node; the share of its sampled links that a cut may lose; the share of its comparisons that must stay at most.
+TRIES, LOSS, GAIN = 6, 0.05, 0.8
+#: Sampled vectors of a node, and least links among them, by which a cut is judged.
+JUDGES, LEAST_LINKS = 500, 10
+#: Trees are added until this share of sampled links, and of made pairs right at the cosine, meet in a leaf.
+RECALL, LEAST_TREES = 0.99, 6
+#: Rows of a block of a leaf that is compared by several tasks: at least, at most; and blocks while they are below the most.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1024, 16_384, 16
+
+
+def cut(x: np.ndarray, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, float, float] | None:
+    """The direction, place and margin that leave the fewest comparisons, or None where no cut lessens them enough.
+
+    The margin holds SPILL of the vectors, and more where links of the sample
+    would be cut otherwise: inside one dense group no cut is worth its margin.
+    """
+    some = x if len(x) <= JUDGES else x[rng.choice(len(x), JUDGES, replace=False)]
+    i, j = np.nonzero(np.triu(some @ some.T >= cosine, 1))
+    best, least = None, GAIN
+    for _ in range(TRIES if len(i) >= LEAST_LINKS else 1):
+        direction = rng.standard_normal(x.shape[1])
+        direction /= np.linalg.norm(direction)
+        p = x @ direction
+        judged = some @ direction
+        for share in (0.5, 0.3, 0.7) if len(i) >= LEAST_LINKS else (0.5,):
+            at = float(np.quantile(p, share))
+            margin = float(np.quantile(np.abs(p - at), SPILL))
+            if len(i) >= LEAST_LINKS:
+                a, b = judged[i] - at, judged[j] - at
+                margin = max(margin, float(np.quantile(np.minimum(-np.minimum(a, b), np.maximum(a, b)), 1 - LOSS, method="higher")) * (1 + 1e-9))
+            kept = np.mean(p - at < margin) ** 2 + np.mean(p - at >= -margin) ** 2
+            if kept < least:
+                best, least = (direction, at, margin), kept
+    return best
 
 
 class Forest:
-    """Trees of splits over unit vectors of one dimension; leaves are numbered through all trees."""
+    """Trees of cuts over unit vectors of one dimension; leaves are numbered through all trees."""
 
-    def __init__(self, sample: np.ndarray, vectors: int, seed: int = 11):
+    def __init__(self, sample: np.ndarray, vectors: int, cosine: float = 0.9, seed: int = 11):
         rng = np.random.default_rng(seed)
-        depth = max(0, math.ceil(math.log2(max(1, vectors) / LEAF_VECTORS)))
-        lost = 1 - STAY**depth
-        count = LEAST_TREES if depth == 0 or lost <= 0 else max(LEAST_TREES, math.ceil(math.log(1 - RECALL) / math.log(lost)))
-        count = 1 if depth == 0 else count
-        self.leaves = 0
-        self.trees = [self._grow(sample, depth, rng) for _ in range(count)]
-
-    def _grow(self, sample: np.ndarray, depth: int, rng: np.random.Generator):
-        if depth == 0 or len(sample) < 2 * SAMPLE_LEAF:
+        self.leaves, self.trees, self.scale = 0, [], vectors / max(1, len(sample))
+        self.cosine, self.comparisons = cosine, 0.0
+        probes = self._probes(sample, rng)
+        met = [np.zeros(len(a), bool) for a, _ in probes]
+        while len(self.trees) < LEAST_TREES or any(len(m) and m.mean() < RECALL for m in met):
+            self.trees.append(self._grow(sample, rng))
+            if isinstance(self.trees[-1], int) or self.comparisons >= vectors**2 / 2:
+                # Comparing all pairs is exact, and takes no longer than these trees.
+                self.trees, self.leaves = [0], 1
+                return
+            for (a, b), m in zip(probes, met, strict=True):
+                m |= self._meet(self.trees[-1], a, b)
+
+    def _probes(self, sample: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs to measure recall with: links of the sample, and sampled vectors with made ones right at the cosine."""
+        some = sample[rng.permutation(len(sample))[:2000]]
+        i, j = np.nonzero(np.triu(some @ some.T >= self.cosine, 1))
+        drawn = rng.permutation(len(i))[:2000]
+        noise = rng.standard_normal(some[:1000].shape)
+        noise -= (noise * some[:1000]).sum(axis=1, keepdims=True) * some[:1000]
+        length = np.linalg.norm(noise, axis=1, keepdims=True)
+        made = self.cosine * some[:1000] + math.sqrt(1 - self.cosine**2) * noise / np.where(length > 0, length, 1)
+        return [(some[i[drawn]], some[j[drawn]]), (some[:1000], made)]
+
+    def _meet(self, tree, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether both vectors of each pair reach one leaf of a tree."""
+        met = np.zeros(len(a), bool)
+        if len(a):
+            (row, leaf), (other, at) = self.homes(a, [tree]), self.homes(b, [tree])
+            met[row[np.isin(row * self.leaves + leaf, other * self.leaves + at)]] = True
+        return met
+
+    def _grow(self, sample: np.ndarray, rng: np.random.Generator):
+        """A tree over the sample, which goes both ways at margins as the vectors will, so its leaves show their sizes."""
+        vectors = len(sample) * self.scale
+        found = cut(sample, self.cosine, rng) if vectors > LEAF_VECTORS and len(sample) >= 2 * SAMPLE_LEAF else None
+        if found is None:
+            self.comparisons += vectors**2 / 2
             self.leaves += 1
             return self.leaves - 1
-        direction, middle, margin = split(sample, rng)
-        p = sample @ direction
-        left, right = self._grow(sample[p < middle], depth - 1, rng), self._grow(sample[p >= middle], depth - 1, rng)
+        direction, middle, margin = found
+        p = sample @ direction - middle
+        left, right = self._grow(sample[p < margin], rng), self._grow(sample[p >= -margin], rng)
         return direction, middle, margin, left, right
 
-    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def homes(self, x: np.ndarray, trees: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf that each row of x reaches."""
         rows, leaves = [], []
-        stack = [(t, np.arange(len(x))) for t in self.trees]
+        stack = [(t, np.arange(len(x))) for t in (self.trees if trees is None else trees)]
         while stack:
             node, at = stack.pop()
             if not len(at):
@@ -76,32 +127,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def close_pairs(x: np.ndarray, at: np.ndarray, cosine: float, seen: list[np.ndarray], rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of x among `at`, each once; leaves too large for one comparison are split again, with spill.
-
-    seen: marks of the rows of earlier siblings; pairs within one of them were met there.
-    """
-    if len(at) > 8 * LEAF_VECTORS:
-        direction, middle, margin = split(x[at], rng)
-        p = x[at] @ direction - middle
-        left, right = at[p < margin], at[p >= -margin]
-        if max(len(left), len(right)) < 0.9 * len(at):
-            yield from close_pairs(x, left, cosine, seen, rng)
-            mark = np.zeros(len(x), bool)
-            mark[left] = True
-            yield from close_pairs(x, right, cosine, [*seen, mark], rng)
-            return
-    for lo in range(0, len(at), 1024):
-        some = at[lo : lo + 1024]
-        i, j = np.nonzero(x[some] @ x[at[lo:]].T >= cosine)
-        i, j = some[i], at[lo + j]
-        keep = i < j
-        for mark in seen:
-            keep &= ~(mark[i] & mark[j])
-        if keep.any():
-            yield i[keep], j[keep]
-
-
 def first_met(homes: np.ndarray, i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
     """Whether no smaller leaf number holds both rows of a pair (homes: leaf numbers by row, -1 for none)."""
     out = np.empty(len(i), bool)
@@ -115,6 +140,44 @@ def first_met(homes: np.ndarray, i: np.ndarray, j: np.ndarray, leaf: int) -> np.
     return out
 
 
+def unmet(homes: np.ndarray, i: np.ndarray, j: np.ndarray, links: np.ndarray, leaf: int) -> np.ndarray:
+    """The links (rows i by rows j) of which no smaller leaf number holds both rows."""
+    if np.count_nonzero(links) <= 20_000:
+        at, to = np.nonzero(links)
+        new = first_met(homes, i[at], j[to], leaf)
+        links = np.zeros_like(links)
+        links[at[new], to[new]] = True
+        return links
+    a, b = homes[i], homes[j]
+    common = np.intersect1d(a[(a >= 0) & (a < leaf)], b)
+    for lo in range(0, len(common), 256):
+        some = common[lo : lo + 256]
+        marks = []
+        for rows in (a, b):
+            mark = np.zeros((len(rows), len(some)), np.float32)
+            row, k = np.nonzero(np.isin(rows, some))
+            mark[row, np.searchsorted(some, rows[row, k])] = 1
+            marks.append(mark)
+        links = links & (marks[0] @ marks[1].T < 0.5)
+    return links
+
+
+def spanning(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, column) that connect the same rows and columns as all of `links`, without the most of a dense group."""
+    links, out = links.copy(), []
+    count = links.sum(axis=1)
+    while count.sum() > 4 * sum(links.shape):
+        r = int(count.argmax())
+        columns = np.flatnonzero(links[r])
+        part = links[:, columns]
+        rows = np.flatnonzero(part.any(axis=1))
+        out += [(np.full(len(columns), r), columns), (rows, columns[part[rows].argmax(axis=1)])]
+        count -= part.sum(axis=1)
+        links[:, columns] = False
+    out.append(np.nonzero(links))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
 def roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest row that pairs connect to each row."""
     label = np.arange(n)
@@ -134,61 +197,146 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def _placed(classes: DataFrame, forests: dict[int, Forest]) -> DataFrame:
-    """A row per class and leaf: dim, leaf, rep, n, v and all the class's leaves."""
-    shared = classes.sparkSession.sparkContext.broadcast(forests)  # bounded by the sample
+def _homes(whole: pa.RecordBatch, forests: dict[int, Forest]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(dim, rows, row, leaf), sorted by row and leaf, of pieces of a batch of classes."""
+    dims = np.diff(whole.column(2).offsets.to_numpy())
+    for dim in np.unique(dims).tolist():
+        mine = pa.array(np.flatnonzero(dims == dim))
+        for lo in range(0, len(mine), 1000):
+            b = whole.take(mine[lo : lo + 1000])
+            row, leaf = forests[dim].homes(unit(_matrix(b.column(2))))
+            order = np.lexsort((leaf, row))
+            yield dim, b, row[order], leaf[order]
+
+
+def _first_large(row: np.ndarray, leaf: np.ndarray, large: np.ndarray, rows: int) -> np.ndarray:
+    """The smallest large leaf of the row of each (row, leaf)."""
+    first = np.full(rows, np.iinfo(np.int64).max)
+    at = np.isin(leaf, large)
+    np.minimum.at(first, row[at], leaf[at])
+    return first[row]
+
+
+def _sizes(classes: DataFrame, forests: dict[int, Forest], large: dict[int, np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
+    """(dim, leaf, first, vectors) of each leaf; of large leaves alone where given, by their rows' first large leaf (else -1)."""
+    shared = classes.sparkSession.sparkContext.broadcast(forests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for dim, b, row, leaf in _homes(whole, shared.value):
+                first = np.full(len(leaf), -1)
+                if large is not None:
+                    mine = large.get(dim, np.zeros(0, int))
+                    first, at = _first_large(row, leaf, mine, b.num_rows), np.isin(leaf, mine)
+                    leaf, first = leaf[at], first[at]
+                keys, n = np.unique(np.stack([leaf, first]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), dim)), pa.array(keys[0].astype(np.int64)), pa.array(keys[1].astype(np.int64)), pa.array(n)],
+                    names=["dim", "leaf", "first", "n"],
+                )
+
+    found = classes.select("rep", "n", "v").mapInArrow(run, "dim bigint, leaf bigint, first bigint, n bigint")
+    # A row a leaf; the sample bounds the leaves.
+    return [tuple(r) for r in found.groupBy("dim", "leaf", "first").agg(F.sum("n")).collect()]
+
+
+Parts = dict[tuple[int, int], dict[int, tuple[int, int]]]
+
+
+def parts_of(sizes: list[tuple[int, int, int, int]]) -> Parts:
+    """By dim and large leaf: the first block's number, and the blocks, of the rows of each first large leaf."""
+    out: Parts = {}
+    for dim, leaf, first, n in sorted(sizes):
+        mine = out.setdefault((dim, leaf), {})
+        start = sum(blocks for _, blocks in mine.values())
+        mine[first] = (start, max(math.ceil(n / MOST_BLOCK), min(BLOCKS, math.ceil(n / LEAST_BLOCK))))
+    return out
+
+
+def block_pairs(reps: np.ndarray, leaf: int, first: int, parts: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, block, other block) of all comparisons that rows of one first large leaf take part in.
+
+    Rows whose first large leaf is an earlier one have met each other there.
+    """
+    start, blocks = parts[first]
+    other = [q for f, (lo, k) in parts.items() for q in range(lo, lo + k) if f != first or f == leaf]
+    mine = start + (reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
+    return np.repeat(np.arange(len(reps)), len(other)), np.repeat(mine, len(other)), np.tile(np.array(other, np.int64), len(reps))
+
+
+def _placed(classes: DataFrame, forests: dict[int, Forest], parts: Parts) -> DataFrame:
+    """A row per class, leaf and pair of blocks: dim, leaf, low, high, block, rep, n, v and all the class's leaves."""
+    shared = classes.sparkSession.sparkContext.broadcast((forests, parts))  # bounded by the sample
+    large = {dim: np.array([leaf for d, leaf in parts if d == dim]) for dim in {d for d, _ in parts}}
+    names = ("dim", "leaf", "low", "high", "block")
     schema = pa.schema(
-        [("dim", pa.int32()), ("leaf", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("homes", pa.list_(pa.int32()))]
+        [(k, pa.int32()) for k in names] + [("rep", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("homes", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forests, parts = shared.value
         for whole in batches:
-            dims = np.diff(whole.column(2).offsets.to_numpy())
-            for dim in np.unique(dims).tolist():
-                mine = pa.array(np.flatnonzero(dims == dim))
-                for lo in range(0, len(mine), 1000):
-                    b = whole.take(mine[lo : lo + 1000])
-                    row, leaf = shared.value[dim].homes(unit(_matrix(b.column(2))))
-                    order = np.lexsort((leaf, row))
-                    row, leaf = row[order], leaf[order]
-                    homes = np.split(leaf.astype(np.int32), np.flatnonzero(np.diff(row)) + 1)
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(row), dim, np.int32)), pa.array(leaf.astype(np.int32)), b.column(0).take(at), b.column(1).take(at),
-                            b.column(2).take(at), pa.array(homes, pa.list_(pa.int32())).take(at),
-                        ],
-                        schema=schema,
-                    )
-
-    return classes.select("rep", "n", "v").mapInArrow(run, "dim int, leaf int, rep bigint, n bigint, v array<double>, homes array<int>")
+            for dim, b, row, leaf in _homes(whole, forests):
+                homes = pa.array(np.split(leaf.astype(np.int32), np.flatnonzero(np.diff(row)) + 1), pa.list_(pa.int32()))
+                mine = large.get(dim, np.zeros(0, int))
+                split = np.isin(leaf, mine)
+                first = _first_large(row, leaf, mine, b.num_rows)
+                whole_leaves = np.zeros(int((~split).sum()), np.int64)
+                keys = [(row[~split], leaf[~split], whole_leaves, whole_leaves)]
+                for one, lead in np.unique(np.stack([leaf[split], first[split]]), axis=1).T.tolist():
+                    at = row[split & (leaf == one) & (first == lead)]
+                    k, block, other = block_pairs(b.column(0).take(pa.array(at)).to_numpy(), one, lead, parts[dim, one])
+                    keys.append((at[k], np.full(len(k), one), block, other))
+                for at, leaves, block, other in keys:
+                    for lo in range(0, len(at), 5000):
+                        p, q, take = block[lo : lo + 5000], other[lo : lo + 5000], pa.array(at[lo : lo + 5000])
+                        ints = (np.full(len(p), dim), leaves[lo : lo + 5000], np.minimum(p, q), np.maximum(p, q), p)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c.astype(np.int32)) for c in ints] + [b.column(c).take(take) for c in range(3)] + [homes.take(take)], schema=schema
+                        )
+
+    ints = ", ".join(f"{k} int" for k in names)
+    return classes.select("rep", "n", "v").mapInArrow(run, f"{ints}, rep bigint, n bigint, v array<double>, homes array<int>")
 
 
 def _compare(placed: DataFrame, cosine: float) -> DataFrame:
-    """Per leaf and class with links: rep, links (vectors linked, each pair counted in its first leaf alone), root."""
+    """Per pair of blocks and class with links: rep, links (vectors linked, each pair counted in its first leaf alone), root.
+
+    All pairs of a leaf are compared, so a pair's first common leaf finds it.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        leaf, reps, n = key[1].as_py(), t.column("rep").to_numpy(), t.column("n").to_numpy()
+        leaf, low, high = (k.as_py() for k in key[1:])
+        reps, n, block = (t.column(c).to_numpy() for c in ("rep", "n", "block"))
         order = np.argsort(reps, kind="stable")
-        reps, n = reps[order], n[order]
+        reps, n, block = reps[order], n[order], block[order]
         x = unit(_matrix(t.column("v")))[order]
         lists = t.column("homes").to_pylist()
         homes = np.full((len(lists), max(map(len, lists))), -1, np.int32)
         for k, at in enumerate(order.tolist()):
             homes[k, : len(lists[at])] = lists[at]
         links, pairs = np.zeros(len(reps), np.int64), []
-        for i, j in close_pairs(x, np.arange(len(x)), cosine, [], np.random.default_rng(leaf)):
-            pairs.append((i, j))
-            new = first_met(homes, i, j, leaf)
-            np.add.at(links, i[new], n[j[new]])
-            np.add.at(links, j[new], n[i[new]])
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        for lo in range(0, len(left), 512):
+            i, j = left[lo : lo + 512], right[lo:] if low == high else right
+            close = x[i] @ x[j].T >= cosine
+            if low == high:
+                close &= i[:, None] < j
+            if not close.any():
+                continue
+            a, b = spanning(close)
+            pairs.append((i[a], j[b]))
+            new = unmet(homes, i, j, close, leaf)
+            a, b = np.nonzero(new)
+            np.add.at(links, i[a], n[j[b]])
+            np.add.at(links, j[b], n[i[a]])
         root = roots(len(reps), pairs)
         linked = np.zeros(len(reps), bool)
         for i, j in pairs:
             linked[i] = linked[j] = True
         return pa.table([pa.array(reps[linked]), pa.array(links[linked]), pa.array(reps[root[linked]])], names=["rep", "links", "root"])
 
-    return placed.groupBy("dim", "leaf").applyInArrow(run, "rep bigint, links bigint, root bigint")
+    return placed.groupBy("dim", "leaf", "low", "high").applyInArrow(run, "rep bigint, links bigint, root bigint")
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
@@ -211,8 +359,13 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
     for dim, n in sizes.items():
         share = min(1.0, 1.2 * SAMPLE_VECTORS / n)
         drawn = classes.where((F.size("v") == dim) & (draw <= int(share * (1 << 30)))).select("v").limit(SAMPLE_VECTORS)
-        forests[dim] = Forest(unit(_matrix(drawn.toArrow().column(0))), n)
-    found = written(_compare(_placed(classes, forests), cosine), "leaf-links")
+        forests[dim] = Forest(unit(_matrix(drawn.toArrow().column(0))), n, cosine)
+    large: dict[int, list[int]] = {}
+    for dim, leaf, _, n in _sizes(classes, forests):
+        if n > 2 * LEAST_BLOCK:
+            large.setdefault(dim, []).append(leaf)
+    parts = parts_of(_sizes(classes, forests, {d: np.array(leaves) for d, leaves in large.items()})) if large else {}
+    found = written(_compare(_placed(classes, forests, parts), cosine), "leaf-links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     names = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     labelled = classes.join(linked, "rep", "left").join(names.withColumnRenamed("node", "rep"), "rep", "left")

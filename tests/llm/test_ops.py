@@ -160,6 +160,40 @@ def test_forest_recall_with_several_leaves(spark):
     assert (got <= near).all() and got.sum() >= 0.9 * near.sum()
 
 
+def dense_vectors(n, group, dim, seed):
+    """Unit vectors: one group of distinct near copies (cosine about 0.94), pairs of near copies, the rest random."""
+    rng = np.random.default_rng(seed)
+    center = rng.standard_normal(dim)
+    center /= np.linalg.norm(center)
+    rest = rng.standard_normal(((n - group) // 2, dim))
+    x = np.vstack([center + np.sqrt(0.06 / dim) * rng.standard_normal((group, dim)), rest, rest + 0.25 * rng.standard_normal(rest.shape)])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def found_vectors(spark, x):
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    rows = forest.near_duplicates(table).orderBy("vec_id").collect()
+    return np.array([r.n_links for r in rows]), np.array([r.component_id for r in rows])
+
+
+def test_forest_recall_with_a_dense_group(spark):
+    x = dense_vectors(10_000, 3_334, 64, 3)
+    near = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got, component = found_vectors(spark, x)
+    assert (got <= near).all() and got.sum() >= 0.99 * near.sum()
+    assert len(set(component[:3_334])) == 1
+
+
+def test_forest_leaves_a_dense_group_whole():
+    x = dense_vectors(40_000, 2_000, 64, 4)
+    grown = forest.Forest(x[np.random.default_rng(5).permutation(len(x))[:20_000]], len(x))
+    assert len(grown.trees) > 1
+    rng = np.random.default_rng(6)
+    i, j = rng.integers(0, 2_000, 3_000), rng.integers(0, 2_000, 3_000)
+    i, j = i[(x[i] * x[j]).sum(axis=1) >= 0.9], j[(x[i] * x[j]).sum(axis=1) >= 0.9]
+    assert np.logical_or.reduce([grown._meet(t, x[i], x[j]) for t in grown.trees]).mean() >= 0.98
+
+
 def test_top_k_equals_brute_force(spark):
     rows = vectors(3)
     table = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows)] + [(None, rows[0], 0)], "vec_id bigint, embedding array<double>, VEC_ID int")
