@@ -194,6 +194,41 @@ def test_forest_leaves_a_dense_group_whole():
     assert np.logical_or.reduce([grown._meet(t, x[i], x[j]) for t in grown.trees]).mean() >= 0.98
 
 
+def test_forest_counts_the_links_it_unites_when_leaves_are_large(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SAMPLE_VECTORS", 40)
+    x = dense_vectors(12_000, 0, 64, 7)
+    got, component = found_vectors(spark, x)
+    assert (got == np.bincount(component, minlength=len(x))[component] - 1).all()
+
+
+def test_forest_blocks_of_leaves_count_each_link_once(spark, monkeypatch):
+    x = dense_vectors(8_000, 400, 32, 8)
+    near = (x @ x.T >= 0.9).sum(axis=1) - 1
+    whole, component = found_vectors(spark, x)
+    monkeypatch.setattr(forest, "LEAST_BLOCK", 100)
+    parts = []
+    monkeypatch.setattr(forest, "parts_of", lambda sizes, plain=forest.parts_of: parts.append(plain(sizes)) or parts[-1])
+    got, again = found_vectors(spark, x)
+    assert any(len(p) > 1 for p in parts[0].values())
+    assert (got == whole).all() and (again == component).all() and (got <= near).all() and got.sum() >= 0.98 * near.sum()
+
+
+def test_forest_dense_blocks_equal_plain_pairs():
+    rng = np.random.default_rng(9)
+    for share in (0.02, 0.5, 1.0):
+        links = rng.random((300, 200)) < share
+        links[100:, :90] = links[:100, 90:] = False
+        i, j = forest.spanning(links)
+        assert links[i, j].all()
+        pairs = np.nonzero(links)
+        assert (forest.roots(500, [(i, 300 + j)]) == forest.roots(500, [(pairs[0], 300 + pairs[1])])).all()
+        homes = np.sort(rng.integers(-1, 40, (500, 3)), axis=1).astype(np.int32)
+        rows, columns = np.arange(300), 300 + np.arange(200)
+        new = forest.unmet(homes, rows, columns, links, 20)
+        want = forest.first_met(homes, pairs[0], 300 + pairs[1], 20)
+        assert (new[pairs] == want).all() and new.sum() == want.sum()
+
+
 def test_top_k_equals_brute_force(spark):
     rows = vectors(3)
     table = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows)] + [(None, rows[0], 0)], "vec_id bigint, embedding array<double>, VEC_ID int")
