@@ -19,10 +19,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
+_AT = re.compile(r"[(\[][Aa][Tt][)\]]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: A pattern needs this many different seeds, and this share of its instances known, to be trusted; so does an instance its score.
-MIN_SEEDS, CONFIDENCE, ROUNDS = 5, 0.8, 3
+MIN_SEEDS, CONFIDENCE = 5, 0.8
 #: An identifier is at most this long, a context word too.
 IDENTIFIER_CHARS, WORD_CHARS = 64, 40
 
@@ -65,8 +66,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _could_be(value: str) -> list[int]:
     """Kinds whose shape a value has, more widely than the base patterns take it."""
     digits, kinds = sum("0" <= c <= "9" for c in value), []
-    low = value.lower()
-    if "." in value and ("@" in value or "(at)" in low or "[at]" in low):
+    if "." in value and ("@" in value or _AT.search(value)):
         kinds.append(0)
     if digits >= 4 and (value.count(".") == 3 or value.count(":") >= 3):
         kinds.append(1)
@@ -98,8 +98,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     taken = sorted((s, e) for s, _, e in base)
     done, t = 0, 0
     marks = [(m.start(), m.end()) for m in _DIGITS.finditer(text)]
-    low = text.lower() if ("(at)" in text or "[at]" in text or "(AT)" in text or "[AT]" in text) else ""
-    marks += [(m.start(), m.end()) for m in re.finditer(r"[(\[]at[)\]]", low)] if low and len(low) == len(text) else []
+    marks += [(m.start(), m.end()) for m in _AT.finditer(text)]
     for at, end in sorted(marks):
         if at < done:
             continue
@@ -164,7 +163,7 @@ def _extract(rows: DataFrame, numbered: bool = False) -> DataFrame:
                 base = base_spans(text)
                 found.append(
                     [dict(zip(("start", "end", "kind", "value", "patterns", "seed"), c, strict=True)) for c in candidates(text, base)]
-                    if base or _DIGITS.search(text) or "[at]" in text or "(at)" in text
+                    if base or _DIGITS.search(text) or _AT.search(text)
                     else []
                 )
             ids = b.column(0) if numbered else pa.array(range(row, row + b.num_rows), pa.int64())
@@ -174,24 +173,28 @@ def _extract(rows: DataFrame, numbered: bool = False) -> DataFrame:
     return rows.mapInArrow(run, f"row_id bigint, key bigint, found {_FOUND_SQL}")
 
 
-def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, rounds: int) -> DataFrame:
+def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, rounds: int | None) -> DataFrame:
     """(kind, value) of unseen identifiers, from the graph of patterns and instances.
 
     edges: kind, pattern, value, seed (1 where a base pattern found the value).
     Each round, a pattern's score is the mean score of its instances (seeds
-    count 1, unknown ones their last score), taken as 0 below min_seeds seeds or
-    below the confidence; an instance's score is one less the product of
-    (1 - score) over its patterns. Instances at the confidence are found.
+    count 1, unknown ones their last score), taken as 0 below the confidence or
+    where fewer than min_seeds instances are seeds or found; an instance's score
+    is one less the product of (1 - score) over its patterns. Instances at the
+    confidence are found. Rounds go on until none finds a new instance, or as
+    many as are asked for.
     """
     edges = edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
-    seeded = edges.groupBy("kind", "pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("all"))
-    # A pattern with too few seeds can't be trusted in any round, nor can one whose share of seeds could not grow.
-    patterns = seeded.where(F.col("seeds") >= min_seeds).select("kind", "pattern")
-    edges = written(edges.join(patterns, ["kind", "pattern"]), "pii-edges")
+    # A pattern of fewer instances can't be trusted in any round.
+    patterns = edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= min_seeds)
+    edges = written(edges.join(patterns.select("kind", "pattern"), ["kind", "pattern"]), "pii-edges")
     scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(rounds):
-        strength = scored.groupBy("kind", "pattern").agg(F.avg("score").alias("strength"))
-        strength = strength.where(F.col("strength") >= confidence)
+    turn, before = 0, 0
+    while rounds is None or turn < rounds:
+        strength = scored.groupBy("kind", "pattern").agg(
+            F.avg("score").alias("strength"), F.count_if(F.col("score") >= confidence).alias("known")
+        )
+        strength = strength.where((F.col("strength") >= confidence) & (F.col("known") >= min_seeds)).drop("known")
         instance = (
             edges.join(strength, ["kind", "pattern"])
             .groupBy("kind", "value")
@@ -201,6 +204,12 @@ def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, round
             "score", F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.coalesce("reached", F.lit(0.0)))
         )
         scored = written(scored.select("kind", "pattern", "value", "seed", "score"), "pii-scores")
+        # Scores never fall, so an instance once found stays, and as many instances are the same ones.
+        found = scored.where((F.col("seed") == 0) & (F.col("score") >= confidence)).select("kind", "value").distinct()
+        now = found.count()
+        if now <= before:
+            break
+        turn, before = turn + 1, now
     return scored.where((F.col("seed") == 0) & (F.col("score") >= confidence)).select("kind", "value").distinct()
 
 
@@ -225,20 +234,20 @@ def _spans(rows: DataFrame, min_seeds: int, confidence: float, rounds: int) -> D
 
 
 def find_personal_data(
-    docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS
+    docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int | None = None
 ) -> DataFrame:
     """doc_id and spans: array of (start, kind, end, seed) sorted by start, then kind; one row per row of docs.
 
     Base spans (seed 1) are always there. Others (seed 0) are values of a
-    fitting shape that contexts learned from all base spans reach with the
-    confidence. Null and empty texts have none.
+    fitting shape that contexts learned from all base spans, and from what
+    they found in turn, reach with the confidence. Null and empty texts have none.
     """
     found = written(_extract(pick(docs, doc_id="bigint", text="string")), "pii-found")
     return _spans(found, min_seeds, confidence, rounds).select(F.col("key").alias("doc_id"), "spans")
 
 
 def redact_documents(
-    docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS
+    docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int | None = None
 ) -> DataFrame:
     """All rows and columns of docs, with each span of personal data in `text` replaced by its kind, as [EMAIL].
 

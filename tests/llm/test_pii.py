@@ -64,3 +64,23 @@ def test_contexts_discover_unseen_identifiers(spark):
     redacted = pii.find_personal_data(docs).join(docs.toDF("doc_id", "body", "c"), "doc_id")
     shown = {r.doc_id: r.shown for r in redacted.select("doc_id", pii.redact(redacted.body, redacted.spans).alias("shown")).collect()}
     assert shown[100] == "some words here reach me at [EMAIL] today" and shown[103] == "chapter 12."
+
+
+@pytest.mark.parametrize("mark", ["(AT)", "[At]", "(aT)"])
+def test_marks_of_any_case_are_searched(spark, mark):
+    rows = [(i, f"some words here reach me at user{i}@mail.example.com today") for i in range(8)]
+    rows += [(100, f"reach me at hidden.name{mark}mail.example.com today"), (101, f"\u0130 reach me at other.name{mark}mail.example.com today")]
+    out = {r.doc_id: r.spans for r in pii.pii_digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, name in ((100, "hidden"), (101, "other")):
+        assert out[i] == f"email:{rows[i - 92][1].index(name)}:{rows[i - 92][1].index(' today')}"
+
+
+def test_found_instances_induce_new_contexts_until_none_is_new(spark):
+    edges = [(0, "p0", f"seed{i}", 1) for i in range(12)] + [(0, "p0", "x0", 0)]
+    for k in range(1, 7):
+        edges += [(0, f"p{k}", f"seed{k}-{i}", 1) for i in range(4)] + [(0, f"p{k}", f"x{k - 1}", 0), (0, f"p{k}", f"x{k}", 0)]
+    edges += [(0, "q", f"seed{i}", 1) for i in range(4)] + [(0, "q", "never", 0)]
+    edges = spark.createDataFrame(edges, "kind int, pattern string, value string, seed int")
+    found = {r.value for r in pii.trusted_instances(edges, 5, 0.8, None).collect()}
+    assert found == {f"x{k}" for k in range(7)}
+    assert {r.value for r in pii.trusted_instances(edges, 5, 0.8, 2).collect()} == {"x0", "x1"}
