@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pneuma.llm.frames import table, written
 from pneuma.llm.langid import UNKNOWN, fit, with_language
@@ -27,10 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of rows equal in doc_id and text one."""
-    found = jaccard_components(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """Of each group of linked rows the one with the smallest doc_id stays (null ids last); of rows equal in doc_id and text one.
+
+    A row is known by a 64-bit hash of its doc_id and text, as rows equal in both are one.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = written(jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")), "row-components")
+    ids = rows.groupBy("_row").agg(F.min("doc_id").alias("id"))
+    each = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))["_row"].alias("_row")
+    kept = each.join(ids, "_row").groupBy("component_id").agg(first).select("_row")
+    gone = each.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

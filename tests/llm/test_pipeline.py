@@ -30,6 +30,30 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in packed) == sum(len(encode(r.text)) // 4 + 1 for r in texts.values())
 
 
+def test_near_duplicates_go_by_row(spark):
+    words = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    rows = [
+        (1, words["a"]), (5, words["a"] + " more"), (5, words["b"]),  # one of two texts of a doc_id links to a smaller one
+        (7, words["c"]), (7, words["c"] + " more"),  # near copies that share a doc_id
+        (9, words["d"]), (None, words["d"] + " more"),  # a near copy without an id
+        (None, words["e"]), (None, words["e"]), (10, None), (11, None), (3, words["b"] + " 1 2"), (4, ""), (4, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("text", "doc_id", "'en' as lang")
+    kept = pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    seven = [r for r in found if r[0] == 7]
+    assert len(seven) == 1
+    want = [(1, words["a"]), (9, words["d"]), (None, words["e"]), (10, None), (11, None), (3, words["b"] + " 1 2"), (4, "")]
+    assert found == sorted([*want, *seven], key=str)
+
+
+def test_a_clean_text_stays_when_its_doc_id_repeats(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    docs = spark.createDataFrame([(1, a), (5, a + " more"), (5, b)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect()} == {(1, a), (5, b)}
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for name, stage in pipeline.STAGES:
