@@ -38,7 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     each = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))["_row"].alias("_row")
     kept = each.join(ids, "_row").groupBy("component_id").agg(first).select("_row")
-    gone = each.select("_row").join(kept, "_row", "left_anti")
+    # Written, so that its size is known before the texts are joined with it.
+    gone = written(each.select("_row").join(kept, "_row", "left_anti"), "rows-gone")
     return rows.join(gone, "_row", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
