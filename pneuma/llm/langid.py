@@ -15,13 +15,14 @@ from pyspark.sql import types as T
 from .frames import pick, table
 
 UNKNOWN = "und"
-#: The classifier is fitted on a bounded sample: at most this many languages (the most frequent), rows and characters for
-#: each, and characters of a row.
-LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 64, 400, 16_000, 4_000
+#: The classifier is fitted on a bounded sample: of each language about this many rows, characters of a row (from a hashed
+#: place), and symbols. With more languages than TOTAL_SYMBOLS holds each has less, but never less than LEAST_SYMBOLS.
+SAMPLE_ROWS, ROW_CHARS, SAMPLE_SYMBOLS = 200, 400, 16_000
+TOTAL_SYMBOLS, LEAST_SYMBOLS = 640_000, 4_000
 #: Texts are parsed in segments of this many symbols (phrases end there), all segments of a batch side by side.
-SEGMENT = 256
-#: Symbols of the automata: 0 is any run of non-letters, the last stands for letters outside the samples' alphabet.
-SYMBOLS = 64
+SEGMENT, SEGMENTS = 256, 8192
+#: Symbols of a language besides 0 (any run of non-letters) and the last one (letters its sample lacks).
+LETTERS = 62
 FLAG = 1 << 30
 
 
@@ -47,14 +48,14 @@ def squeeze(symbols: np.ndarray) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """Dense transitions of the automaton of all substrings of a symbol sequence.
+    """Dense transitions of the automaton of all substrings of a sequence of symbols below `width`.
 
-    `step[state * SYMBOLS + symbol]` is the next state (times SYMBOLS). Where no
+    `step[state * width + symbol]` is the next state (times width). Where no
     substring goes on, it is the state after the symbol alone, plus FLAG: a
     phrase has ended.
     """
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, width: int):
         nexts: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in symbols.tolist():
@@ -82,13 +83,13 @@ class SuffixAutomaton:
             last = new
         # The last state stands behind a symbol that the sample never has: such a symbol is a phrase of its own.
         unseen = len(nexts)
-        step = np.zeros((unseen + 1, SYMBOLS), np.int32)
-        for c in range(SYMBOLS):
-            step[:, c] = nexts[0].get(c, unseen) * SYMBOLS + FLAG
+        step = np.zeros((unseen + 1, width), np.int32)
+        for c in range(width):
+            step[:, c] = nexts[0].get(c, unseen) * width + FLAG
             step[0, c] -= FLAG  # the start ends no phrase
         for state, out in enumerate(nexts):
             for c, to in out.items():
-                step[state, c] = to * SYMBOLS
+                step[state, c] = to * width
         self.step = step.ravel()
 
     def phrases(self, segments: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -106,53 +107,123 @@ class SuffixAutomaton:
         return ended + (lengths > 0)
 
 
+class Alphabet:
+    """Symbols of one language's letters, most frequent first.
+
+    While they are at most LETTERS each has one symbol. Of more letters (a
+    syllabary, Chinese) the first have one symbol and the others two: a lead
+    and a place. Letters beyond what two symbols can name, and letters the
+    sample lacks, are the last symbol, which no sample holds.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        """counts: how often the sample holds each of the joint letters; 0 and the last are no letters."""
+        order = np.argsort(-counts, kind="stable")
+        order = order[counts[order] > 0]
+        leads = 0
+        while LETTERS - leads + leads * LETTERS < len(order) and leads < LETTERS:
+            leads += 1
+        singles = min(LETTERS - leads, len(order))
+        self.width = (LETTERS if leads else singles) + 2
+        self.first = np.full(len(counts), self.width - 1, np.uint8)
+        self.second = np.zeros(len(counts), np.uint8)
+        self.first[0] = 0
+        self.first[order[:singles]] = 1 + np.arange(singles)
+        rest = order[singles : singles + leads * LETTERS]
+        self.first[rest] = 1 + singles + np.arange(len(rest)) // LETTERS
+        self.second[rest] = 1 + np.arange(len(rest)) % LETTERS
+        self.double = len(rest) > 0
+
+    def __call__(self, letters: np.ndarray) -> np.ndarray:
+        first = self.first[letters]
+        if not self.double:
+            return first
+        second = self.second[letters]
+        both = np.stack([first, second], axis=1).ravel()
+        keep = np.ones(len(both), bool)
+        keep[1::2] = second > 0
+        return both[keep]
+
+
+def _even_share(lengths: list[int], total: int) -> int:
+    """The least length to which pieces may be cut so that `total` is reached, where all together reach it."""
+    left, pieces = total, sorted(lengths)
+    for k, n in enumerate(pieces):
+        share = -(-left // (len(pieces) - k))
+        if n >= share:
+            return share
+        left -= n
+    return max(pieces, default=0)
+
+
 class Model:
-    """Automata of each language over one alphabet."""
+    """An alphabet and an automaton of each language; code points are first numbered through all languages together."""
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS):
-        chars = min(chars, 8 * chars // max(1, len(samples)))  # memory stays bounded with many languages
-        is_letter, seen = letters(), np.zeros(0x110000, np.int64)
+    def __init__(self, samples: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS):
+        symbols = max(min(symbols, LEAST_SYMBOLS), min(symbols, TOTAL_SYMBOLS // max(1, len(samples))))  # memory stays bounded
+        is_letter = letters()
         texts = {k: [code_points(t) for t in v] for k, v in sorted(samples.items())}
-        for codes in (c for v in texts.values() for c in v):
-            np.add.at(seen, codes, 1)
-        seen[~is_letter] = 0
-        common = np.argsort(-seen, kind="stable")[: SYMBOLS - 2]
-        self.alphabet = common[seen[common] > 0]
-        to_symbol = self.symbol_table()
-        self.names, self.automata, self.weights = [], [], []
+        known = np.unique(np.concatenate([np.zeros(0, np.uint32), *(c for v in texts.values() for c in v)]))
+        self.known = known[is_letter[known]]
+        joint = self.joint_table()
+        self.names, self.alphabets, self.automata, self.weights = [], [], [], []
         for name, codes in texts.items():
-            share = max(1, chars // max(1, len(codes)))
-            joined = [squeeze(np.append(to_symbol[c], 0))[:share] for c in codes]
-            symbols = squeeze(np.concatenate([np.zeros(1, np.uint8), *joined]))[:chars]
-            if (symbols > 0).any():
+            pieces = [squeeze(np.append(joint[c], 0)) for c in codes]
+            share = _even_share([len(p) for p in pieces], symbols)
+            sample = squeeze(np.concatenate([np.zeros(1, np.int32), *(p[:share] for p in pieces)]))[:symbols]
+            if (sample > 0).any():
+                counts = np.bincount(sample, minlength=len(self.known) + 2)
+                counts[0] = 0
+                alphabet = Alphabet(counts)
+                coded = alphabet(sample)
                 self.names.append(name)
-                self.automata.append(SuffixAutomaton(symbols))
-                self.weights.append(math.log2(len(symbols) + 1))
-
-    def symbol_table(self) -> np.ndarray:
-        table = np.where(letters(), SYMBOLS - 1, 0).astype(np.uint8)
-        table[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+                self.alphabets.append(alphabet)
+                self.automata.append(SuffixAutomaton(coded[coded < alphabet.width - 1], alphabet.width))
+                self.weights.append(math.log2(len(coded) + 1))
+
+    def joint_table(self) -> np.ndarray:
+        """Number of each code point: 0 for non-letters, the last for letters that no sample holds."""
+        table = np.where(letters(), len(self.known) + 1, 0).astype(np.int32)
+        table[self.known] = np.arange(1, len(self.known) + 1)
         return table
 
-    def entropies(self, symbols: list[np.ndarray]) -> np.ndarray:
-        """Bits a symbol of each text (row) under each language (column): phrases * log2(sample size) / symbols."""
-        owner = np.repeat(np.arange(len(symbols)), [-(-len(s) // SEGMENT) for s in symbols])
-        rows = np.zeros((len(owner), SEGMENT), np.uint8)
-        lengths = np.full(len(owner), SEGMENT)
-        at = 0
-        for s in symbols:
-            n = -(-len(s) // SEGMENT)
-            rows[at : at + n].reshape(-1)[: len(s)] = s
-            if n:
-                lengths[at + n - 1] = len(s) - (n - 1) * SEGMENT
-            at += n
-        order = np.argsort(-lengths, kind="stable")
-        rows, lengths, owner = rows[order], lengths[order], owner[order]
-        size = np.maximum(1, [len(s) for s in symbols])
-        out = [np.bincount(owner, a.phrases(rows, lengths), len(symbols)) * w / size for a, w in zip(self.automata, self.weights, strict=True)]
+    def entropies(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Bits a letter of each text (row) under each language (column): phrases * log2(sample size) / length."""
+        size = np.maximum(1, [len(s) for s in texts])
+        ends = np.cumsum([len(s) for s in texts])
+        whole = np.concatenate(texts)
+        plain, out = segments(ends), []
+        for alphabet, automaton, weight in zip(self.alphabets, self.automata, self.weights, strict=True):
+            cut = plain
+            if alphabet.double:
+                cut = segments(np.concatenate([[0], np.cumsum(1 + (alphabet.second[whole] > 0))])[ends])
+            found = parsed(automaton, alphabet(whole), *cut, len(texts))
+            out.append(found * weight / size)
         return np.stack(out, axis=1)
 
 
+def segments(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and text of each piece of SEGMENT symbols of texts that end at `ends`, longest first."""
+    n = np.diff(ends, prepend=0)
+    parts = -(-n // SEGMENT)
+    owner = np.repeat(np.arange(len(n)), parts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(ends - n, parts) + place * SEGMENT
+    lengths = np.minimum(SEGMENT, np.repeat(ends, parts) - start)
+    order = np.argsort(-lengths, kind="stable")
+    return start[order], lengths[order], owner[order]
+
+
+def parsed(automaton: SuffixAutomaton, symbols: np.ndarray, start: np.ndarray, lengths: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """Phrases of each text; a bounded number of segments is laid out at once."""
+    out = np.zeros(texts)
+    for lo in range(0, len(start), SEGMENTS):
+        some = slice(lo, lo + SEGMENTS)
+        at = np.minimum(start[some, None] + np.arange(SEGMENT), len(symbols) - 1)
+        out += np.bincount(owner[some], automaton.phrases(symbols[at], lengths[some]), texts)
+    return out
+
+
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -160,10 +231,10 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     key = id(model)
     if key not in _tables:
         _tables.clear()
-        _tables[key] = model.symbol_table()
-    to_symbol = _tables[key]
+        _tables[key] = model.joint_table()
+    joint = _tables[key]
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    symbols = [squeeze(to_symbol[code_points(t)]) if t else np.zeros(0, np.uint8) for t in texts]
+    symbols = [squeeze(joint[code_points(t)]) if t else np.zeros(0, np.int32) for t in texts]
     known = [i for i, s in enumerate(symbols) if s.any()]
     if not known or not model.names:
         return langs, scores
@@ -181,23 +252,26 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model:
-    """A model of a bounded sample of the labelled rows that are not held out.
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = ROW_CHARS) -> Model:
+    """A model of a bounded sample of the labelled rows that are not held out; every label is learned.
 
     Counts cover all rows; of each language about `rows` documents are drawn by
-    a hash of doc_id. Rows without text, label or doc_id teach nothing.
+    a hash of doc_id, and of each of these `chars` characters from a hashed
+    place. Rows without text, label, doc_id or letter teach nothing. The driver
+    holds at most about 1.5 * rows * chars characters a language.
     """
     labelled = pick(docs, doc_id="bigint", text="string", lang="string").where(
         "text is not null and lang is not null and doc_id is not null"
     )
     labelled = labelled.where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    share = F.least(F.lit(1.0), F.lit(2.0 * rows + 50) / F.col("count"))
+    counts = labelled.groupBy("lang").count()
+    share = F.least(F.lit(1.0), F.lit(1.25 * rows + 50) / F.col("count"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.join(F.broadcast(counts), "lang").where(draw < share)  # at most `languages` rows
-    drawn = drawn.select("lang", F.substring("text", 1, ROW_CHARS).alias("text"), draw.alias("draw"), "doc_id")
+    drawn = labelled.join(F.broadcast(counts), "lang").where(draw < share)  # one row a language
+    place = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.char_length("text") - chars + 1))
+    drawn = drawn.select("lang", F.substr("text", place.cast("int"), F.lit(chars)).alias("text"), draw.alias("draw"), "doc_id")
     samples: dict[str, list[str]] = {}
-    for r in drawn.orderBy("draw", "doc_id", "text").collect():  # some `languages` * 2 * `rows` rows
+    for r in drawn.orderBy("draw", "doc_id", "text").collect():  # about 1.25 * `rows` a language
         if len(samples.setdefault(r.lang, [])) < rows:
             samples[r.lang].append(r.text)
     return Model(samples)

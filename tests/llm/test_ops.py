@@ -277,7 +277,7 @@ def test_language_edges(spark):
 def test_suffix_automaton_phrases_equal_brute_force():
     rng = np.random.default_rng(6)
     train = rng.integers(0, 4, 60).astype(np.uint8)
-    automaton = langid.SuffixAutomaton(train)
+    automaton = langid.SuffixAutomaton(train, 6)
     known = {tuple(train[i:j]) for i in range(60) for j in range(i + 1, 61)}
     text = rng.integers(0, 5, 200).astype(np.uint8)
     want, at = 0, 0
@@ -289,3 +289,46 @@ def test_suffix_automaton_phrases_equal_brute_force():
     rows = np.zeros((2, 256), np.uint8)
     rows[0, :200] = text
     assert automaton.phrases(rows, np.array([200, 0])).tolist() == [want, 0]
+
+
+def scripts_of_words(seed):
+    """Eight languages in eight scripts: random words from 300 of each; Chinese has 1,500 letters."""
+    rng = random.Random(seed)
+    alphabets = {
+        "en": "abcdefghijklmnopqrstuvwxyz", "el": "αβγδεζηθικλμνξοπρστυφχψω", "he": "אבגדהוזחטיכלמנסעפצקרשת", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+        "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 1500))), "hi": "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "ka": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
+    }
+    words = {k: ["".join(rng.choices(a, k=rng.randint(2, 7))) for _ in range(300)] for k, a in alphabets.items()}
+    return [(8 * i + j, " ".join(rng.choices(words[k], k=rng.randint(3, 60))), k) for i in range(40) for j, k in enumerate(words)]
+
+
+def test_languages_of_eight_scripts(spark):
+    docs = spark.createDataFrame(scripts_of_words(1), "doc_id bigint, text string, lang string")
+    rows = langid.identify(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out(F.col("doc_id"))).collect()
+    right = {k: [r.lang_pred == k for r in rows if r.lang == k] for k in {r.lang for r in rows}}
+    assert len(right) == 8 and all(sum(v) >= 0.9 * len(v) for v in right.values()), right
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(2)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(12)] for k in range(90)}
+    docs = spark.createDataFrame([(90 * i + j, " ".join(rng.choices(w, k=30)), k) for i in range(8) for j, (k, w) in enumerate(words.items())], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert model.names == sorted(words)
+    texts = [" ".join(rng.choices(w, k=20)) for w in words.values()]
+    assert sum(a == b for a, b in zip(langid.predict(model, texts)[0], words, strict=True)) >= 85
+
+
+def test_ties_go_to_the_first_language_by_name():
+    model = langid.Model({"b": ["one two three"], "a": ["one two three"]})
+    assert langid.predict(model, ["one two", "zzz"])[0] == ["a", "a"]
+
+
+def test_letters_of_two_symbols_are_told_apart():
+    counts = np.concatenate([[0], np.arange(500, 0, -1), [0]])
+    alphabet = langid.Alphabet(counts)
+    coded = alphabet(np.arange(1, 501))
+    single = sum(alphabet.second[1:501] == 0)
+    assert alphabet.double and len(coded) == 1000 - single and coded.max() < alphabet.width - 1
+    assert len({(alphabet.first[k], alphabet.second[k]) for k in range(1, 501)}) == 500
+    assert alphabet.first[501] == alphabet.width - 1
