@@ -126,18 +126,69 @@ def test_seek_table_reads_one_document_and_checks_sums(tmp_path):
         tokenfile.TokenFile(f, len(data)).document(0)
 
 
-def test_bin_completion_beats_best_fit():
-    lengths = [6, 5, 5, 4, 3, 3, 2, 2]  # 30: three bins of ten
-    assert len(packing.best_fit([4, 4, 4, 6, 6, 6], 10)) == 3
-    assert len(packing.bin_completion(lengths, 10)) == 3
-    hard = [49, 41, 34, 33, 29, 26, 26, 22, 20, 19]
-    assert len(packing.best_fit(hard, 100)) == 4 and len(packing.bin_completion(hard, 100)) == 3
+def fewest_bins(lengths, capacity):
+    """By dynamic programming over all subsets."""
+    n = len(lengths)
+    best = [(0, 0)] + [(n + 1, 0)] * ((1 << n) - 1)  # bins, fill of the last
+    for mask in range(1 << n):
+        bins, fill = best[mask]
+        for i, x in enumerate(lengths):
+            if not mask >> i & 1:
+                new = (bins, fill + x) if bins and fill + x <= capacity else (bins + 1, x)
+                best[mask | 1 << i] = min(best[mask | 1 << i], new)
+    return best[-1][0]
+
+
+HARD = [49, 41, 34, 33, 29, 26, 26, 22, 20, 19]
+
+
+def test_bin_completion_finds_the_fewest_bins():
+    assert len(packing.best_fit(HARD, 100)) == 4 and fewest_bins(HARD, 100) == 3
     rng = np.random.default_rng(3)
-    for _ in range(30):
-        some = rng.integers(1, 100, 60).tolist()
-        bins = packing.bin_completion(some, 100)
+    beaten = 0
+    for k in range(60):
+        some = rng.integers(5, 60, 11).tolist()
+        bins, proven = packing.bin_completion(some, 100, None, 1 + k % 4)
         assert sorted(n for b in bins for n in b) == sorted(some) and max(map(sum, bins)) <= 100
-        assert len(bins) <= len(packing.best_fit(some, 100))
+        assert proven and len(bins) == fewest_bins(some, 100)
+        beaten += len(bins) < len(packing.best_fit(some, 100))
+    assert beaten
+    assert packing.bin_completion([], 10) == ([], True)
+
+
+def test_a_search_that_is_cut_off_says_so():
+    rng = np.random.default_rng(4)
+    some = rng.integers(180, 450, 120).tolist()
+    bins, proven = packing.bin_completion(some, 1000, 50)
+    assert not proven and sorted(n for b in bins for n in b) == sorted(some) and len(bins) <= len(packing.best_fit(some, 1000))
+
+
+def packed_texts(spark, lengths, **options):
+    docs = spark.createDataFrame([(i, " ".join(["a"] * (n - 1))) for i, n in enumerate(lengths)], "doc_id bigint, text string")
+    rows = packing.pack_documents(docs, tok.vocabulary_path(tok.WORD_BPE), **options).collect()
+    fill = {}
+    for r in rows:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in fill.values():
+        assert [o for o, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))]
+    assert sum(r.length for r in rows) == sum(lengths)
+    return len(fill)
+
+
+def test_documents_take_the_fewest_sequences_where_best_fit_loses(spark):
+    assert packed_texts(spark, HARD, capacity=100) == 3
+    cut = [*HARD, 250, 130]
+    assert packed_texts(spark, cut, capacity=100) == 3 + fewest_bins([*HARD, 50, 30], 100)
+
+
+def test_blocks_leave_no_sequence_each(spark):
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 40, 400).tolist()
+    assert packed_texts(spark, lengths, capacity=64, block_pieces=30) <= -(-sum(lengths) // 64) + 1
+
+
+def test_empty_texts_fill_what_long_ones_leave(spark):
+    assert packed_texts(spark, [2048, 2047, 1, 2000, 48, *[1] * 2048], capacity=2048) == 4
 
 
 def test_pack_documents(spark):
