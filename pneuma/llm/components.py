@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from .frames import written
 
 
+#: A node with more than 1 / HUB_SHARE of all edge ends is a hub; at most HUB_SHARE nodes are.
+HUB_SHARE = 1000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """edges with the m of their a. Hubs' edges stay where they are and meet broadcast rows, so no task gets one node's."""
+    hubs = F.broadcast(least.where(F.col("n") * HUB_SHARE > ends).select("a", "m"))  # at most HUB_SHARE rows
+    marked = edges.join(hubs, "a", "left")
+    rest = marked.where("m is null").select("a", "b").join(least.where(F.col("n") * HUB_SHARE <= ends).select("a", "m"), "a")
+    return marked.where("m is not null").unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node that has an edge (columns a, b).
 
     Every round is a grouped minimum and a join on nodes; edges are written
     between rounds, and their number never grows. Nodes of very many edges are
-    summed before they are shuffled, and the join on them may be split.
+    summed before they are shuffled, and their minimum is broadcast.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs, before = written(pairs, "edges"), None
@@ -21,12 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not state[0] or state == before:
             break
-        before = state
+        before, ends = state, 2 * state[0]
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both, least, ends).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, ends).where("b <> m").select(F.col("m").alias("b"), F.col("b").alias("a"))
         pairs = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

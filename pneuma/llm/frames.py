@@ -28,9 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder name under the cluster's checkpoint folder (a temporary one only where none is set)."""
+    """A new folder name under the cluster's checkpoint folder.
+
+    Where none is set, a temporary one on a local master, and an error on a
+    cluster, whose executors would not share it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .forest import _matrix
-from .frames import table, written
+from .frames import filesystem, put_in_place, shared_dir, table, written
 from .vectors import usable_vectors
 
-#: Rows of an indexed block, queries that meet a block in one group, entries of a page.
-BLOCK_ROWS, BLOCK_QUERIES, PAGE = 16_384, 2_048, 256
+#: Rows of an indexed block, queries of a block, entries of a page.
+BLOCK_ROWS, BLOCK_QUERIES, PAGE = 16_384, 4_096, 256
 #: Slack of the float bounds, relative to the distances' size: a page is skipped only where it is farther for certain.
 SLACK = 1e-9
 
@@ -68,15 +71,20 @@ class MTree:
         self.pages[number] = (False, pivots, np.array(radii), np.sqrt(((pivots - parent) ** 2).sum(axis=1)), children)
         return number
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the k largest inner products with q, ties to smaller ids; the row with id `own` is left out."""
-        scores, ids = np.zeros(0), np.zeros(0, np.int64)
+    def search(self, q: np.ndarray, own: int, k: int, scores: np.ndarray | None = None, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the k largest inner products with q, ties to smaller ids; the row with id `own` is left out.
+
+        scores and ids, where given, are the best of trees searched before: they compete, and bound this search from its start.
+        """
+        if scores is None:
+            scores, ids = np.zeros(0), np.zeros(0, np.int64)
         if not len(self.x):
             return scores, ids
         lifted = np.append(q, 0.0)
         length = float(q @ q) + self.norm
         slack = SLACK * (1.0 + length**0.5)
-        reach = np.inf  # nothing farther can be among the k
+        # Nothing farther can be among the k.
+        reach = max(0.0, length - 2 * scores[-1]) ** 0.5 if len(scores) == k else np.inf
         queue = [(0.0, self.root, float(np.sqrt(((lifted - self.pivot) ** 2).sum())))]
         while queue:
             bound, number, parent = heapq.heappop(queue)
@@ -112,7 +120,46 @@ class MTree:
         return scores, ids
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _dealt(d: DataFrame, blocks: int) -> DataFrame:
+    """vec_id, v, dim and a block of bounded size."""
+    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    return d.select("vec_id", "v", F.size("v").alias("dim"), block.alias("block"))
+
+
+def _stored(blocks: DataFrame, folder: str, make: Callable[[np.ndarray, np.ndarray], object]) -> DataFrame:
+    """Writes what make(ids, vectors) gives for each block to a file of the folder, named by dim and block; dim and path of each."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        dim, block = (k.as_py() for k in key)
+        ids, v = t.column("vec_id").to_numpy(), _matrix(t.column("v"))
+        if v.size and np.abs(v).max() ** 2 * v.shape[1] >= 2.0**53:
+            raise ValueError("components are too large for exact integer products in doubles")
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        path, own = f"{root}/{dim}-{block}", f"{root}/_{dim}-{block}.{TaskContext.get().taskAttemptId()}"
+        with fs.open_output_stream(own) as sink:
+            sink.write(pickle.dumps(make(ids, v), 5))
+        put_in_place(fs, own, path)
+        return pa.table([pa.array([dim], pa.int32()), pa.array([path])], names=["dim", "path"])
+
+    return written(blocks.groupBy("dim", "block").applyInArrow(run, "dim int, path string"), "stored")
+
+
+def _loaded(folder: str, path: str):
+    with filesystem(folder)[0].open_input_file(path) as source:
+        return pickle.loads(source.read())
+
+
+def _paths(folder: str, dim: int, share: int, shares: int) -> Iterator[str]:
+    """Files of a share of the blocks of one dim."""
+    fs, root = filesystem(folder)
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        own, _, block = f.base_name.partition("-")
+        if own == str(dim) and int(block) % shares == share:
+            yield f.path
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of floor(64 * x) vectors for each query.
 
     rows and queries: vec_id, embedding. Vectors that are null or hold null or
@@ -122,9 +169,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     repeated queries are one. Components beyond 2^26 in size would leave the
     exact range of doubles and raise an error.
 
-    Blocks of rows meet blocks of queries, each in a group of bounded size; every
-    group indexes its rows and searches all its queries.
+    Each block of rows is indexed once, and its tree is written to the shared
+    folder. A task takes a block of queries through a share of the trees, one
+    after the other: the best found so far bound the next search. Vectors are
+    shuffled once, to their blocks.
     """
+    spark = rows.sparkSession
     rows, queries = (
         written(
             usable_vectors(d).where("vec_id is not null").select("vec_id", F.transform("v", lambda x: F.floor(x * 64).cast("double")).alias("v")),
@@ -133,33 +183,31 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for d in (rows, queries)
     )
     queries = queries.distinct()
-    row_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-
-    def dealt(d: DataFrame, mine: int, others: int, name: str, other: str, side: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(mine)).cast("int")
-        d = d.select("vec_id", "v", F.size("v").alias("dim"), block.alias(name), F.lit(side).alias("side"))
-        return d.select("*", F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
-
-    both = dealt(rows, row_blocks, query_blocks, "rb", "qb", 0).unionByName(dealt(queries, query_blocks, row_blocks, "qb", "rb", 1))
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        ids, v = t.column("vec_id").to_numpy(), _matrix(t.column("v"))
-        out: tuple[list, list, list] = ([], [], [])
-        if (side == 0).any() and (side == 1).any():
-            if v.size and np.abs(v).max() ** 2 * v.shape[1] >= 2.0**53:
-                raise ValueError("components are too large for exact integer products in doubles")
-            tree = MTree(v[side == 0], ids[side == 0])
-            for own, q in zip(ids[side == 1].tolist(), v[side == 1], strict=True):
-                scores, found = tree.search(q, own, k)
-                out[0].append(np.full(len(found), own))
-                out[1].append(found)
-                out[2].append(scores.astype(np.int64))
-        columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
-        return pa.table(columns, names=["query_id", "vec_id", "score"])
-
-    found = both.groupBy("dim", "rb", "qb").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    row_blocks = max(1, -(-rows.count() // block_rows))
+    query_blocks = max(1, -(-queries.count() // block_queries))
+    folder = shared_dir(spark, "trees")
+    _stored(_dealt(rows, row_blocks), f"{folder}/rows", lambda ids, v: MTree(v, ids))
+    asked = _stored(_dealt(queries, query_blocks), f"{folder}/queries", lambda ids, v: (ids, v))
+    # A block of queries meets all trees in one task, or in several while there are fewer tasks than the cluster takes.
+    groups = max(1, asked.count())
+    shares = max(1, min(row_blocks, -(-2 * spark.sparkContext.defaultParallelism // groups)))
+    tasks = asked.select("dim", "path", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")).repartition(groups * shares)
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for task in b.to_pylist():
+                ids, v = _loaded(folder, task["path"])
+                best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+                for path in _paths(f"{folder}/rows", task["dim"], task["share"], shares):
+                    tree = _loaded(folder, path)
+                    for i, (own, q) in enumerate(zip(ids.tolist(), v, strict=True)):
+                        best[i] = tree.search(q, own, k, *best[i])
+                found = [len(f) for _, f in best]
+                columns = [np.repeat(ids, found), np.concatenate([f for _, f in best]), np.concatenate([s for s, _ in best]).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    found = tasks.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -243,6 +243,22 @@ def test_top_k_equals_brute_force(spark):
     assert mtree.top_k(table.limit(0), table.limit(0), 5).count() == 0
 
 
+def test_top_k_over_many_blocks_with_ties_and_repeats(spark):
+    rng = np.random.default_rng(14)
+    x = np.floor(rng.standard_normal((700, 5)) * 2) / 64
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i].tolist()) for i in range(5)] + [(9_000 + i, [1.0, 2.0]) for i in range(3)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    queries = table.where("vec_id % 20 = 0")
+    found = {}
+    for r in mtree.top_k(table, queries, 7, 64, 9).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    q = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    for own, a in q:
+        if own % 20 == 0:
+            scores = sorted((-int(a @ b), i) for i, b in q if i != own and len(a) == len(b))[:7]
+            assert sorted(found[own]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
 def test_m_tree_pages_skip_and_keep_ties():
     rng = np.random.default_rng(4)
     x = np.vstack([rng.integers(-20, 20, (1500, 6)), np.tile([3, 1, 4, 1, 5, 9], (700, 1))]).astype(float)
