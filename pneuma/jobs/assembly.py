@@ -296,18 +296,6 @@ BAND = f"""WITH {_PSD} SELECT recording_id, round(sum(power) FILTER (freq BETWEE
 round(arg_max(freq, round(power, 12)) FILTER (freq BETWEEN 2 AND 9), 6) AS dominant_hz FROM psd GROUP BY ALL"""
 
 
-def zero_phase_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.zero_phase_filter(vector_samples(spark, sf), 25.0, 0.5, 5.0))
-
-
-def decimate(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.decimate(vector_samples(spark, sf), 25.0, 4))
-
-
-def despike(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.despike(event_samples(spark, sf), 7))
-
-
 def stream_phase_rate(spark: SparkSession, sf: str) -> DataFrame:
     r = W.drained(W.stream_phase_rate(W.packet_stream(spark, sf)))
     return rounded(r.withColumn("start", F.date_format("start", "yyyy-MM-dd")))
@@ -382,7 +370,7 @@ QUERIES = {
     "complete_participants": (complete_participants, COMPLETE), "resolve_run_onset": (resolve_run_onset, ONSET), "phase_to_block": (phase_to_block, PHASE), "affect_coordinates": (affect_coordinates, AFFECT),
     "session_windows": (session_windows, WINDOWS), "collect_flags": (collect_flags, FLAGS), "disclosure_guard": (disclosure_guard, GUARD), "pacer_radius": (pacer_radius, PACER), "pacer_overshoot": (pacer_overshoot, OVERSHOOT),
     "calib_attempts": (calib_attempts, ATTEMPTS), "fit_mlr": (fit_mlr, MLR), "fit_pca": (fit_pca, ""), "axis_clarity": (axis_clarity, ""), "lag_search": (lag_search, LAG), "score_models": (score_models, SCORES), "quality_index": (quality_index, QUALITY), "welch_psd": (welch_psd, WELCH),
-    "band_metrics": (band_metrics, BAND), "zero_phase_filter": (zero_phase_filter, ""), "decimate": (decimate, ""), "despike": (despike, ""), "stream_phase_rate": (stream_phase_rate, STREAM_PHASE),
+    "band_metrics": (band_metrics, BAND), "stream_phase_rate": (stream_phase_rate, STREAM_PHASE),
     "stream_rolling_r": (stream_rolling_r, STREAM_R), "stream_amplitude_range": (stream_amplitude_range, STREAM_RANGE), "stream_trial_sessions": (stream_trial_sessions, STREAM_SESSIONS),
     "stream_dedupe": (stream_dedupe, "SELECT user_id AS participant_id, event_id, value FROM events"), "stream_clamped_breath": (stream_clamped_breath, "SELECT event_id, round(least(1, greatest(0, value / 100)), 6) AS breath FROM events"),
     "stream_causal_filter": (stream_causal_filter, CAUSAL), "stream_calib_status": (stream_calib_status, CALIB_STATUS), "model_frequency": (model_frequency, FREQUENCY), "batch_report": (batch_report, REPORT),

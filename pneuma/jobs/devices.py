@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.islands import REC, rounded
 from ..operators import devices as D
 from ..operators.matching import match_onsets
-from ..operators.spectrum import decimation_plan as plan
 from ..operators.timebase import assign_block
 from ..sources.tables import SAMPLES_SQL, event_samples, read, vector_samples
 from .assembly import _AX, _axes
@@ -135,12 +134,6 @@ def trial_windows(spark: SparkSession, sf: str) -> DataFrame:
 TRIAL_WINDOWS = 'SELECT o_custkey, o_orderkey, round(min(o_orderkey) OVER w + 0.2::DOUBLE + o_totalprice / 1000, 6) AS start, round(min(o_orderkey) OVER w + 0.2::DOUBLE + o_totalprice / 1000 + 17, 6) AS "end" FROM orders WINDOW w AS (PARTITION BY o_custkey)'
 
 
-def decimation_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Stages for each factor that occurs; the plan is made once per distinct factor."""
-    stages = F.udf(plan, "array<int>")
-    return read(spark, sf, "part").select(F.col("p_size").alias("q")).distinct().select("q", stages("q").alias("stages")).select("q", F.size("stages").alias("n_stages"), F.aggregate("stages", F.lit(1), lambda a, s: a * s).alias("product"), F.array_max("stages").alias("largest"))
-
-
 def confidence_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Mean over the trials of one block, and the lower bound's standard error."""
     o = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("confidence"), F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("o_totalprice") / F.sqrt(F.count(F.lit(1)))).alias("se"))
@@ -152,5 +145,5 @@ CONFIDENCE = "SELECT o_custkey, round(avg(o_totalprice), 4) AS confidence, count
 QUERIES = {
     "detect_onsets": (detect_onsets, ""), "cross_coherence": (cross_coherence, COHERENCE), "offset_per_breath": (offset_per_breath, OFFSET), "adherence_corr": (adherence_corr, ADHERENCE),
     "trial_breaths": (trial_breaths, TRIAL_BREATHS), "match_expected_breaths": (match_expected_breaths, EXPECTED), "recording_qc_code": (recording_qc_code, QC_CODE), "lag_confound": (lag_confound, CONFOUND), "trial_windows": (trial_windows, TRIAL_WINDOWS),
-    "decimation_plan": (decimation_plan, ""), "confidence_mean": (confidence_mean, CONFIDENCE),
+    "confidence_mean": (confidence_mean, CONFIDENCE),
 }

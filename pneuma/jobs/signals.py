@@ -258,10 +258,12 @@ SELECT recording_id, count(*) AS n, round(median(d), 9) AS step_s, round(1 / med
 
 
 def list_channels(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(T.list_channels(event_samples(spark, sf).withColumnRenamed("label", "channel")))
+    s = event_samples(spark, sf).withColumnRenamed("label", "channel").withColumn("units", F.when(F.col("channel") == "error", "count").otherwise("V"))
+    return rounded(T.list_channels(s))
 
 
-CHANNELS = f"WITH {S} SELECT recording_id, label AS channel, count(*) AS n, round(min(t_s), 6) AS first_s, round(max(t_s), 6) AS last_s FROM s GROUP BY ALL"
+CHANNELS = f"""WITH {S} SELECT recording_id, label AS channel, CASE WHEN label = 'error' THEN 'count' ELSE 'V' END AS units, count(*) AS n, round(min(t_s), 6) AS first_s, round(max(t_s), 6) AS last_s,
+(row_number() OVER (PARTITION BY recording_id ORDER BY label))::INT AS index, round((count(*) - 1) / nullif(max(t_s) - min(t_s), 0), 6) AS fs FROM s GROUP BY ALL"""
 
 
 def legacy_rate_fix(spark: SparkSession, sf: str) -> DataFrame:

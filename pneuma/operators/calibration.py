@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC, run_ids
+from .spectrum import calib_bandpass, calib_lowpass, whole_arrays
+from .timebase import assign_block
 
 BASE_MS, BASE_BREATHS, BREATHS, EDGE_MS, SOFTWARE_MS = 4000.0, 2, 4, 285.0, 548.0
 
@@ -37,7 +39,7 @@ def condition_boundary(start: Column, delta: Column) -> Column:
 
 
 def calib_attempts(packets: DataFrame) -> DataFrame:
-    """Runs of calibration phases per recording: number of breathe runs, the last one's bounds, anchor and overrun.
+    """Runs of calibration phases per recording: number of breathe runs, the last one's bounds and anchor.
 
     packets: recording_id, packet, phase (fixation or breathe), first_s, last_s; one row per packet. The end of fixation
     counts only where its run comes right before the last breathe run.
@@ -75,13 +77,160 @@ def fit_mlr(rows: DataFrame, by: str = "participant_id") -> DataFrame:
 
 
 def lag_search(pairs: DataFrame, most: int, least_overlap: int = 20) -> DataFrame:
-    """Shift of b against a (positive: b trails) with the largest correlation, ties to the smallest shift."""
-    shifted = pairs.select("recording_id", "idx", "a").join(
-        pairs.select("recording_id", "b", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift"), "idx").select("recording_id", "shift", (F.col("idx") - F.col("shift")).alias("idx"), "b"),
-        ["recording_id", "idx"],
+    """recording_id, shift, r: the shift of b against a (positive: b trails) with the largest correlation, ties to the smallest shift.
+
+    A key's samples are one pair of arrays, of a calibration or a recording of hours; shifts are taken on the arrays.
+    """
+
+    def search(x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for idx, a, b in zip(x["idx"], x["a"], x["b"], strict=True):
+            at = np.asarray(idx) - idx[0]
+            p, q = np.full(at[-1] + 1, np.nan), np.full(at[-1] + 1, np.nan)
+            p[at], q[at] = np.asarray(a, float), np.asarray(b, float)
+            best = (None, None)
+            for d in range(-most, most + 1):
+                u, v = (p[: len(p) - d], q[d:]) if d >= 0 else (p[-d:], q[: len(q) + d])
+                ok = np.isfinite(u) & np.isfinite(v)
+                if ok.sum() < least_overlap:
+                    continue
+                u, v = u[ok] - u[ok].mean(), v[ok] - v[ok].mean()
+                size = math.sqrt((u @ u) * (v @ v))
+                if size > 0 and (best[1] is None or round(float(u @ v) / size, 9) > round(best[1], 9)):
+                    best = (d, float(u @ v) / size)
+            out.append(best)
+        return pd.DataFrame(out, columns=["shift", "r"]).astype({"shift": "Int64", "r": float})
+
+    arrays = whole_arrays(pairs, ["a", "b"])
+    cast = F.struct(F.col("idx").cast("array<bigint>").alias("idx"), F.col("a").cast("array<double>").alias("a"), F.col("b").cast("array<double>").alias("b"))
+    found = arrays.select(*REC, F.pandas_udf(search, "shift int, r double")(cast).alias("s"))
+    return found.where("s.shift is not null").select(*REC, "s.shift", "s.r")
+
+
+def calib_window(attempts: DataFrame, period_s: float = BASE_MS / 1000, cycles: int = BREATHS) -> DataFrame:
+    """Adds the fit window of each recording's last attempt: from the anchor over `cycles` periods, the time needed, what the label
+    overruns it by, and too_short where the label does not last as long."""
+    needed = cycles * period_s
+    span = F.col("end_s") - F.col("start_s")
+    return attempts.withColumns(
+        {"window_start_s": F.col("anchor_s"), "window_end_s": F.col("anchor_s") + needed, "span_s": span, "overrun_s": span - needed, "too_short": span < needed}
     )
-    r = shifted.groupBy("recording_id", "shift").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r")).where(F.col("n") >= least_overlap)
-    return r.groupBy("recording_id").agg(F.max_by("shift", F.struct(F.round("r", 9), -F.col("shift"))).alias("shift"), F.max("r").alias("r"))
+
+
+def calib_overrun(attempts: DataFrame, period_s: float = BASE_MS / 1000, cycles: int = BREATHS, strict: bool = True) -> DataFrame:
+    """recording_id, span_s, paced_s, overrun_s, n_attempts; an attempt cut short is an error, or left out where not strict."""
+    w = calib_window(attempts, period_s, cycles)
+    overrun = F.when(~F.col("too_short"), F.col("overrun_s"))
+    if strict:
+        overrun = overrun.otherwise(F.raise_error(F.concat(F.lit("calibration was cut short in recording "), F.col("recording_id").cast("string"))).cast("double"))
+    out = w.select(*REC, "span_s", F.lit(cycles * period_s).alias("paced_s"), overrun.alias("overrun_s"), "n_attempts")
+    return out if strict else out.where("overrun_s is not null")
+
+
+def realised_change(period_ms: Column, overshoot_ms: Column) -> Column:
+    """Proportion by which the realised period (commanded plus the participant's overshoot) differs from the base."""
+    return (period_ms + F.coalesce(overshoot_ms, F.lit(0.0)) - BASE_MS) / BASE_MS
+
+
+AXES = ("x", "y", "z")
+
+
+def _reading(prefix: str = "") -> Column:
+    """bias + w . axes."""
+    return F.col("bias") + F.col("wx") * F.col(f"{prefix}x") + F.col("wy") * F.col(f"{prefix}y") + F.col("wz") * F.col(f"{prefix}z")
+
+
+def device_signal(axes: DataFrame, fits: DataFrame, by: str = "recording_id") -> DataFrame:
+    """The calibrated reading of raw axes, for filters that follow (they commute with it)."""
+    return axes.join(fits.select(by, F.coalesce("bias", F.lit(0.0)).alias("bias"), "wx", "wy", "wz"), by).select(by, "idx", _reading().alias("value"))
+
+
+def _with_smooth(predicted: DataFrame, fs: float) -> DataFrame:
+    """Adds the low-passed prediction as `smooth_value`."""
+    low = calib_lowpass(predicted.select(*REC, "idx", F.col("value")), fs).withColumnRenamed("value", "smooth_value")
+    return predicted.join(low, [*REC, "idx"])
+
+
+def apply_calibration(axes: DataFrame, fits: DataFrame, fs: float = 25.0, band: tuple[float, float] = (0.05, 1.0)) -> DataFrame:
+    """recording_id, idx, value and the band-passed axes: bias + w . band-passed axes, smoothed where the fit says so.
+
+    axes: recording_id, idx, x, y, z of a whole session; fits: recording_id, bias, wx, wy, wz, smooth.
+    """
+    f = calib_bandpass(axes, fs, *band, columns=AXES)
+    p = f.join(fits.select(*REC, "bias", "wx", "wy", "wz", "smooth"), list(REC)).withColumn("value", _reading())
+    p = _with_smooth(p.select(*REC, "idx", "value", "smooth", *AXES), fs)
+    return p.select(*REC, "idx", F.when(F.col("smooth"), F.col("smooth_value")).otherwise(F.col("value")).alias("value"), *AXES)
+
+
+MODELS = ("mlr-wide", "mlr-wide-lp", "pca-wide")
+LOW_FIT, LEAST_SAMPLES = 0.40, 100
+
+
+def score_models(rows: DataFrame, fs: float = 25.0, band: tuple[float, float] = (0.05, 1.0), least: int = LEAST_SAMPLES, most_lag_s: float = 2.0) -> DataFrame:
+    """The best of three models of the pacer from band-passed axes, by signed correlation; ties go to the first.
+
+    rows: recording_id, idx, x, y, z, target of the calibration window. Models:
+    least squares on the axes, the same low-passed, and a regression on the
+    first principal axis. Returns model, r, margin over the runner-up, low_fit
+    below 0.40, n, bias, wx, wy, wz, smooth, and the lag with its correlation.
+    Fewer than `least` samples, or no model with a fit, give too_few or no model.
+    """
+    f = calib_bandpass(rows, fs, *band, columns=AXES).join(rows.select(*REC, "idx", "target"), [*REC, "idx"])
+    fits = fit_mlr(f, "recording_id").withColumn("kind", F.lit("mlr-wide")).unionByName(fit_pca(f, "recording_id").withColumn("kind", F.lit("pca-wide")))
+    p = f.join(fits.select(*REC, "kind", "bias", "wx", "wy", "wz"), list(REC)).withColumn("value", _reading()).select(*REC, "idx", "kind", "value", "target")
+    smooth = _with_smooth(p.where("kind = 'mlr-wide'"), fs).select(*REC, "idx", F.lit("mlr-wide-lp").alias("kind"), F.col("smooth_value").alias("value"), "target")
+    p = p.unionByName(smooth)
+    r = p.groupBy(*REC, "kind").agg(F.count("value").alias("n"), F.when((F.var_pop("value") > 0) & (F.var_pop("target") > 0), F.corr("value", "target")).alias("r"))
+    place = sum(F.when(F.col("kind") == m, i).otherwise(0) for i, m in enumerate(MODELS))
+    order = Window.partitionBy(*REC).orderBy(F.round("r", 9).desc_nulls_last(), place)
+    top = r.withColumns({"_k": F.row_number().over(order), "margin": F.col("r") - F.lead("r").over(order)}).where("_k = 1").drop("_k")
+    best = top.join(fits.select(*REC, F.col("kind").alias("_fit"), "bias", "wx", "wy", "wz"), list(REC)).where(F.col("_fit") == F.replace("kind", F.lit("-lp"), F.lit(""))).drop("_fit")
+    chosen = p.join(best.select(*REC, "kind"), [*REC, "kind"], "left_semi").select(*REC, "idx", F.col("target").alias("a"), F.col("value").alias("b"))
+    lag = lag_search(chosen, round(most_lag_s * fs)).select(*REC, (1000.0 * F.col("shift") / fs).alias("lag_ms"), F.col("r").alias("lag_r"))
+    ok = (F.col("n") >= least) & F.col("r").isNotNull()
+    out = best.join(lag, list(REC), "left").withColumns({"too_few": F.col("n") < least, "low_fit": F.col("r") < LOW_FIT, "smooth": F.col("kind") == "mlr-wide-lp", "model": F.col("kind")})
+    return out.select(*REC, "n", "too_few", *[F.when(ok, F.col(c)).alias(c) for c in ("model", "r", "margin", "low_fit", "bias", "wx", "wy", "wz", "smooth", "lag_ms", "lag_r")])
+
+
+def trial_sync(signal: DataFrame, trials: DataFrame, fs: float, lag_s: float = 0.0, least: int = 20, every: int = 5, bucket_s: float = 60.0) -> DataFrame:
+    """Per trial: r_baseline and r_condition (absolute correlations with the pacer before and behind the change, the latter lag-corrected),
+    and peak_error_s, the upper median of distances from pacer peaks to the nearest signal peak.
+
+    signal: recording_id, t_s, value; trials: recording_id, trial, start, end,
+    base, changed (seconds). A half needs more than `least` samples. Peaks are
+    higher than both neighbours and keep half (signal) or 0.7 (pacer, every
+    fifth sample) of the shorter period between them; an error counts below
+    0.75 of it. A trial is one array.
+    """
+    x = assign_block(signal.select(*REC, "t_s", "value"), trials, bucket_s)
+    boundary = F.col("start") + BASE_BREATHS * F.col("base")
+    t = F.col("t_s")
+    first, later = pacer_radius(t, F.col("start"), F.col("base")), pacer_radius_trial(t - lag_s, F.col("start"), F.col("base"), F.col("changed"))
+    x = x.withColumns({"late": t >= boundary, "p": F.when(t < boundary, first).otherwise(later), "whole": pacer_radius_trial(t, F.col("start"), F.col("base"), F.col("changed"))})
+    half = lambda late: F.when(F.count_if(F.col("late") == late) > least, F.abs(F.corr(F.when(F.col("late") == late, F.col("value")), F.when(F.col("late") == late, F.col("p")))))
+    rows = F.array_sort(F.collect_list(F.struct("t_s", "value", "whole"))).alias("rows")
+    g = x.groupBy(*REC, "trial").agg(F.count(F.lit(1)).alias("n"), half(False).alias("r_baseline"), half(True).alias("r_condition"), F.first(F.least("base", "changed")).alias("sep"), rows)
+
+    def peaks(times: np.ndarray, v: np.ndarray, gap: float) -> list[float]:
+        out: list[float] = []
+        for i in 1 + np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])):
+            if not out or times[i] - out[-1] > gap:
+                out.append(float(times[i]))
+        return out
+
+    def error(d: pd.DataFrame) -> pd.Series:
+        out = []
+        for times, v, whole, sep in zip(d["t"], d["v"], d["w"], d["sep"], strict=True):
+            times, v, whole = np.asarray(times, float), np.asarray(v, float), np.asarray(whole, float)
+            mine, due = np.array(peaks(times, v, 0.5 * sep)), peaks(times[::every], whole[::every], 0.7 * sep)
+            far = sorted(float(np.abs(mine - p).min()) for p in due) if len(mine) else []
+            far = [e for e in far if e < 0.75 * sep]
+            out.append(far[len(far) // 2] if far else None)
+        return pd.Series(out, dtype=float)
+
+    packed = F.struct(F.col("rows.t_s").alias("t"), F.col("rows.value").alias("v"), F.col("rows.whole").alias("w"), "sep")
+    e = F.pandas_udf(error, "double")(packed)
+    return g.withColumn("e", e).select(*REC, "trial", "n", "r_baseline", "r_condition", F.when(~F.isnan("e"), F.col("e")).alias("peak_error_s"))
 
 
 def quality_index(rows: DataFrame, window: int) -> DataFrame:

@@ -55,11 +55,11 @@ def smooth_gaussian(samples: DataFrame, fwhm: float) -> DataFrame:
     return samples.withColumn("value", F.coalesce(sum(terms[1:], terms[0]), F.col("value")))
 
 
-def flatline(samples: DataFrame, min_run: int, digits: int = 6) -> DataFrame:
+def flatline(samples: DataFrame, min_run: int, digits: int = 6, by: tuple[str, ...] = REC) -> DataFrame:
     """Share of samples in runs of at least min_run equal rounded values, and their number."""
-    r = run_ids(samples.withColumn("_v", F.round("value", digits)), "_v").groupBy(*REC, "run").agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("there"))
+    r = run_ids(samples.withColumn("_v", F.round("value", digits)), "_v", "idx", by).groupBy(*by, "run").agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("there"))
     long = (F.col("n") >= max(2, min_run)) & (F.col("there") > 0)
-    return r.groupBy(*REC).agg((100.0 * F.sum(F.when(long, F.col("n")).otherwise(0)) / F.sum("n")).alias("flat_pct"), F.count_if(long).alias("n_runs"))
+    return r.groupBy(*by).agg((100.0 * F.sum(F.when(long, F.col("n")).otherwise(0)) / F.sum("n")).alias("flat_pct"), F.count_if(long).alias("n_runs"))
 
 
 def saturation(samples: DataFrame, tol: float = 0.001) -> DataFrame:
@@ -71,6 +71,12 @@ def saturation(samples: DataFrame, tol: float = 0.001) -> DataFrame:
     return x.groupBy(*REC).agg((100.0 * F.avg(at.cast("double"))).alias("saturated_pct"))
 
 
+def vacant_channel_guard(samples: DataFrame, least_sd: float = 0.01) -> DataFrame:
+    """Channels of a recording with next to no spread, as of an empty seat: recording_id, channel, n, sd."""
+    s = samples.groupBy(*REC, "channel").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"))
+    return s.where((F.col("sd") < least_sd) | (F.col("n") < 2))
+
+
 def missing_pct(samples: DataFrame) -> DataFrame:
     gone = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
     return samples.groupBy(*REC).agg((100.0 * F.avg(gone.cast("double"))).alias("missing_pct"))

@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.islands import REC, along
+from ..functions.islands import REC, along, slope
 from .calibration import pacer_radius_trial
 from .clean import normalise
 from .extrema import collapse_refined, extrema_prominence, refine_extrema
-from .spectrum import zero_phase_filter
+from .spectrum import hann, segment_arrays, whole_arrays, zero_phase_filter
+from .timebase import assign_block, interp_to_grid
 
 
 def detect_onsets(samples: DataFrame, fs: float, prominence: float = 0.4, distance_s: float = 1.0, refine_s: float = 0.5) -> DataFrame:
@@ -27,24 +28,28 @@ def detect_onsets(samples: DataFrame, fs: float, prominence: float = 0.4, distan
     return collapse_refined(refine_extrema(found, fine, round(refine_s * fs)))
 
 
+def _windowed(x: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Spectra of demeaned, weighted segments, below half the rate."""
+    return np.fft.rfft((x - x.mean(axis=-1, keepdims=True)) * window)[..., : x.shape[-1] // 2]
+
+
 def cross_spectra(pairs: DataFrame, segment: int, overlap: float = 0.5) -> DataFrame:
     """recording_id, bin and summed auto and cross spectra of a and b over demeaned Hann segments."""
-    step = max(1, round(segment * (1 - overlap)))
-    p = F.col("idx") - 1
-    first = F.greatest(F.lit(0), F.ceil((p - segment + 1) / step)).cast("bigint")
-    seg = pairs.withColumn("segment", F.explode(F.sequence(first, F.floor(p / step).cast("bigint"))))
-    hann = 0.5 * (1 - np.cos(2 * np.pi * np.arange(segment) / (segment - 1)))
+    window = hann(segment)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < segment:
-            return pd.DataFrame({c: [] for c in ("recording_id", "bin", "paa", "pbb", "re", "im")})
-        rows = rows.sort_values("idx")
-        a, b = (np.fft.rfft((rows[c].to_numpy(float) - rows[c].mean()) * hann)[: segment // 2] for c in "ab")
-        cross = a * np.conj(b)
-        return pd.DataFrame({"recording_id": rows["recording_id"].iloc[0], "bin": np.arange(segment // 2), "paa": np.abs(a) ** 2, "pbb": np.abs(b) ** 2, "re": cross.real, "im": cross.imag})
+    def spectra(x: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [None] * len(x) for c in ("paa", "pbb", "re", "im")}
+        for lo in range(0, len(x), 256):
+            a, b = (_windowed(np.stack(x[c].iloc[lo : lo + 256].to_list()), window) for c in "ab")
+            cross = a * np.conj(b)
+            for c, v in (("paa", np.abs(a) ** 2), ("pbb", np.abs(b) ** 2), ("re", cross.real), ("im", cross.imag)):
+                out[c][lo : lo + 256] = list(v)
+        return pd.DataFrame(out)
 
-    each = seg.select(*REC, "segment", "idx", "a", "b").groupBy(*REC, "segment").applyInPandas(run, "recording_id bigint, bin int, paa double, pbb double, re double, im double")
-    return each.groupBy(*REC, "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("paa", "pbb", "re", "im")])
+    each = segment_arrays(pairs, ["a", "b"], segment, overlap).where(F.col("seg") == segment)
+    each = each.select(*REC, F.pandas_udf(spectra, "paa array<double>, pbb array<double>, re array<double>, im array<double>")(F.struct("a", "b")).alias("s"))
+    each = each.select(*REC, F.posexplode(F.arrays_zip(*[F.col(f"s.{c}").alias(c) for c in ("paa", "pbb", "re", "im")])).alias("bin", "v"))
+    return each.groupBy(*REC, "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"v.{c}").alias(c) for c in ("paa", "pbb", "re", "im")])
 
 
 def cross_coherence(pairs: DataFrame, fs: float, segment: int = 512) -> DataFrame:
@@ -54,6 +59,51 @@ def cross_coherence(pairs: DataFrame, fs: float, segment: int = 512) -> DataFram
     return s.select(*REC, "bin", (F.col("bin") * fs / segment).alias("freq"), "n", msc.alias("coherence"), F.atan2("im", "re").alias("phase"))
 
 
+def coherence_null(pairs: DataFrame, fs: float, segment: int = 512, surrogates: int = 1000, share: float = 0.95) -> DataFrame:
+    """Per frequency, the quantile of coherences of a with phase-randomised surrogates of b: amplitudes of b's spectrum, random phases.
+
+    Phases follow from the recording's number, so every run gives the same.
+    Recordings shorter than a segment give none; the signals of a recording are one array.
+    """
+    window, step = hann(segment), max(1, segment // 2)
+
+    def null(x: pd.DataFrame) -> pd.Series:
+        out = []
+        for key, a, b in zip(x["key"], x["a"], x["b"], strict=True):
+            starts = range(0, len(a) - segment + 1, step)
+            if not len(starts):
+                out.append([])
+                continue
+            fa = _windowed(np.stack([a[s : s + segment] for s in starts]), window)
+            paa = (np.abs(fa) ** 2).sum(axis=0)
+            size, rng = np.abs(np.fft.rfft(b - b.mean())), np.random.default_rng(int(key) % (1 << 63))
+            found = np.empty((surrogates, segment // 2))
+            for i in range(surrogates):
+                fake = np.fft.irfft(size * np.exp(2j * np.pi * rng.random(len(size))), len(b))
+                fb = _windowed(np.stack([fake[s : s + segment] for s in starts]), window)
+                found[i] = np.abs((fa * np.conj(fb)).sum(axis=0)) ** 2 / np.maximum(paa * (np.abs(fb) ** 2).sum(axis=0), 1e-300)
+            out.append(np.quantile(found, share, axis=0))
+        return pd.Series(out)
+
+    arrays = whole_arrays(pairs.where("a is not null and b is not null"), ["a", "b"])
+    key = F.xxhash64(*REC).alias("key")
+    q = F.pandas_udf(null, "array<double>")(F.struct(key, F.col("a").cast("array<double>").alias("a"), F.col("b").cast("array<double>").alias("b")))
+    return arrays.select(*REC, F.posexplode(q).alias("bin", "null_coherence")).withColumn("freq", F.col("bin") * fs / segment)
+
+
+def cycle_shape_corr(a: DataFrame, b: DataFrame, cycles: DataFrame, points: int = 32) -> DataFrame:
+    """Correlation of both devices' signals over each cycle, sampled at `points` equal phases; cycles without spread have none.
+
+    a, b: recording_id, t_s, value; cycles: recording_id, breath, t_start, t_end.
+    """
+    grid = cycles.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    at = F.col("t_start") + (F.col("t_end") - F.col("t_start")) * F.col("i") / F.lit(float(points))
+    grid = grid.select(*REC, (F.col("breath").cast("bigint") * points + F.col("i")).alias("k"), at.alias("t_s"))
+    both = interp_to_grid(a, grid).select(*REC, "k", F.col("value").alias("va")).join(interp_to_grid(b, grid).select(*REC, "k", F.col("value").alias("vb")), [*REC, "k"])
+    g = both.groupBy(*REC, F.floor(F.col("k") / points).alias("breath")).agg(F.corr("va", "vb").alias("r"), F.var_pop("va").alias("_a"), F.var_pop("vb").alias("_b"))
+    return g.select(*REC, "breath", F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("r")).alias("r"))
+
+
 def offset_per_breath(onsets: DataFrame, commanded: DataFrame, within: float) -> DataFrame:
     """The nearest detected onset within reach of each commanded one: offset by breath, ties to the earlier onset.
 
@@ -67,10 +117,25 @@ def offset_per_breath(onsets: DataFrame, commanded: DataFrame, within: float) ->
     return best.select(*REC, "trial", "breath", (F.col("m.at") - F.col("m.due")).alias("offset_s"))
 
 
-def adherence_corr(signal: DataFrame, trials: DataFrame, lag_s: float) -> DataFrame:
+def offset_summary(offsets: DataFrame, rigs: DataFrame) -> DataFrame:
+    """Per participant (recording): slope of the offset on the breath's place, and the parts of the variance.
+
+    offsets: recording_id, trial, breath, offset_s; rigs: recording_id, rig.
+    trial_var is the variance of trial means less what breaths within trials
+    explain of it; rig_mean the mean of all offsets of the participant's rig.
+    """
+    each = offsets.groupBy(*REC, "trial").agg(F.count(F.lit(1)).alias("n"), F.avg("offset_s").alias("m"), F.var_samp("offset_s").alias("v"))
+    parts = each.groupBy(*REC).agg(F.avg("v").alias("breath_var"), F.greatest(F.lit(0.0), F.var_samp("m") - F.avg(F.col("v") / F.col("n"))).alias("trial_var"))
+    line = offsets.groupBy(*REC).agg(F.count(F.lit(1)).alias("n"), F.avg("offset_s").alias("mean_s"), slope("offset_s", "breath").alias("slope_s"))
+    rig = rigs.join(offsets, list(REC)).groupBy("rig").agg(F.avg("offset_s").alias("rig_mean"))
+    return line.join(parts, list(REC)).join(rigs.select(*REC, "rig").distinct(), list(REC), "left").join(rig, "rig", "left")
+
+
+def adherence_corr(signal: DataFrame, trials: DataFrame, lag_s: float, bucket_s: float = 60.0) -> DataFrame:
     """Correlation per trial of the lag-corrected signal with the two-phase pacer rebuilt from the trial."""
     t = F.col("t_s") - lag_s
-    x = signal.join(trials, list(REC)).where((t >= F.col("start")) & (t <= F.col("end")))
+    x = assign_block(signal.withColumn("t_s", t), trials, bucket_s)
+    t = F.col("t_s")
     pacer = pacer_radius_trial(t, F.col("start"), F.col("base"), F.col("changed"))
     return x.groupBy(*REC, "trial").agg(F.count(F.lit(1)).alias("n"), F.corr("value", pacer).alias("r"))
 

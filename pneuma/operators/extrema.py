@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC, along, run_ids
+from .timebase import fill_gaps
 
 
 def local_maxima(samples: DataFrame) -> DataFrame:
@@ -25,57 +29,57 @@ def turning_points(samples: DataFrame) -> DataFrame:
     return peaks.unionByName(troughs)
 
 
-def enforce_alternation(extrema: DataFrame, rule: str = "extreme") -> DataFrame:
+def enforce_alternation(extrema: DataFrame, rule: str = "extreme", by: tuple[str, ...] = REC) -> DataFrame:
     """One event of each run of the same kind.
 
     extreme: the highest peak or lowest trough, the first of ties. nearest: the
     one closest to the next event of the other kind, and the last of the last
     run. In a run without any value the middle event stays.
     """
-    runs = run_ids(extrema, "kind")
-    by = Window.partitionBy(*REC, "run")
+    runs = run_ids(extrema, "kind", "idx", by)
+    w = Window.partitionBy(*by, "run")
     if rule == "extreme":
         height = F.when(F.col("kind") == "peak", F.col("value")).otherwise(-F.col("value"))
-        place = F.row_number().over(by.orderBy("idx"))
-        runs = runs.withColumns({"_h": height, "_n": F.count(F.lit(1)).over(by), "_k": F.count("value").over(by), "_p": place})
+        place = F.row_number().over(w.orderBy("idx"))
+        runs = runs.withColumns({"_h": height, "_n": F.count(F.lit(1)).over(w), "_k": F.count("value").over(w), "_p": place})
         middle = F.when(F.col("_k") == 0, F.abs(F.col("_p") - F.floor((F.col("_n") + 1) / 2)))
-        order = by.orderBy(middle.asc_nulls_last(), F.col("_h").desc_nulls_last(), "idx")
+        order = w.orderBy(middle.asc_nulls_last(), F.col("_h").desc_nulls_last(), "idx")
     else:
-        last = runs.groupBy(*REC, "run").agg(F.min("idx").alias("first"))
-        nxt = last.select(*REC, (F.col("run") - 1).alias("run"), F.col("first").alias("next"))
-        runs = runs.join(nxt, [*REC, "run"], "left")
-        order = by.orderBy(F.abs(F.col("idx") - F.col("next")).asc_nulls_first(), F.when(F.col("next").isNull(), -F.col("idx")).otherwise(F.col("idx")))
+        last = runs.groupBy(*by, "run").agg(F.min("idx").alias("first"))
+        nxt = last.select(*by, (F.col("run") - 1).alias("run"), F.col("first").alias("next"))
+        runs = runs.join(nxt, [*by, "run"], "left")
+        order = w.orderBy(F.abs(F.col("idx") - F.col("next")).asc_nulls_first(), F.when(F.col("next").isNull(), -F.col("idx")).otherwise(F.col("idx")))
     return runs.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(extrema.columns)
 
 
-def extrema_zerocross(samples: DataFrame, amplitude_min: float = 0.3) -> DataFrame:
+def extrema_zerocross(samples: DataFrame, amplitude_min: float = 0.3, by: tuple[str, ...] = REC) -> DataFrame:
     """One extremum per half cycle between zero crossings of the centred signal; small swings dropped.
 
     A half cycle runs from the sample before one crossing to the sample before
     the next, both included. With three extrema or more, one whose smaller
     neighbouring swing is below amplitude_min of the mean swing goes.
     """
-    w = along()
-    x = samples.withColumn("x", F.col("value") - F.avg("value").over(Window.partitionBy(*REC)))
+    w = along("idx", by)
+    x = samples.withColumn("x", F.col("value") - F.avg("value").over(Window.partitionBy(*by)))
     x = x.withColumn("up", F.col("x") >= 0)
     x = x.withColumn("cut", (F.lead("up").over(w) != F.col("up")).cast("int"))
     x = x.withColumn("cuts", F.sum(F.coalesce("cut", F.lit(0))).over(w))
     # A cut sample closes the half cycle before it and opens the next.
     seg = x.withColumn("seg", F.when(F.col("cut") == 1, F.array("cuts", F.col("cuts") - 1)).otherwise(F.array("cuts")))
-    seg = seg.select(*REC, "idx", "x", "value", "up", "cut", "cuts", F.explode("seg").alias("seg"))
-    total = Window.partitionBy(*REC)
+    seg = seg.select(*by, "idx", "x", "value", "up", "cut", "cuts", F.explode("seg").alias("seg"))
+    total = Window.partitionBy(*by)
     seg = seg.withColumn("last", F.max("cuts").over(total)).where((F.col("seg") >= 1) & (F.col("seg") < F.col("last")))
-    rises = seg.groupBy(*REC, "seg").agg(
+    rises = seg.groupBy(*by, "seg").agg(
         F.min_by("up", "idx").alias("from_up"),
         F.max_by(F.struct("idx", "value", "x"), F.struct("x", -F.col("idx"))).alias("hi"),
         F.min_by(F.struct("idx", "value", "x"), F.struct("x", "idx")).alias("lo"),
     )
     pick = F.when(F.col("from_up"), F.col("lo")).otherwise(F.col("hi"))
-    ex = rises.select(*REC, "seg", pick["idx"].alias("idx"), pick["value"].alias("value"), pick["x"].alias("x"), F.when(F.col("from_up"), "trough").otherwise("peak").alias("kind"))
-    w = along("seg")
+    ex = rises.select(*by, "seg", pick["idx"].alias("idx"), pick["value"].alias("value"), pick["x"].alias("x"), F.when(F.col("from_up"), "trough").otherwise("peak").alias("kind"))
+    w = along("seg", by)
     ex = ex.withColumns({"back": F.abs(F.col("x") - F.lag("x").over(w)), "ahead": F.abs(F.col("x") - F.lead("x").over(w))})
     ex = ex.withColumns({"mean": F.avg("back").over(total), "n": F.count(F.lit(1)).over(total)})
-    return ex.where((F.col("n") < 3) | (F.least("back", "ahead") >= amplitude_min * F.col("mean"))).select(*REC, "idx", "value", "kind")
+    return ex.where((F.col("n") < 3) | (F.least("back", "ahead") >= amplitude_min * F.col("mean"))).select(*by, "idx", "value", "kind")
 
 
 def refine_extrema(extrema: DataFrame, samples: DataFrame, window: int) -> DataFrame:
@@ -101,54 +105,96 @@ def collapse_refined(refined: DataFrame) -> DataFrame:
     return once.withColumn("_kinds", F.count(F.lit(1)).over(both)).where("_kinds = 1").drop("_kinds")
 
 
-def _prominences(rows: pd.DataFrame) -> pd.DataFrame:
-    """Drop from each maximum to the higher of its two valleys, bounded by the nearest higher sample or the end."""
-    rows = rows.sort_values("idx")
-    x, top = rows["value"].to_numpy(), rows["maximum"].to_numpy()
-    valley = {}
-    for sign in (1, -1):
-        stack: list[tuple[float, float]] = []  # height, lowest value since
-        order = range(len(x)) if sign == 1 else range(len(x) - 1, -1, -1)
-        for i in order:
-            low = x[i]
-            while stack and stack[-1][0] <= x[i]:
-                low = min(low, stack.pop()[1])
-            if top[i]:
-                valley[i, sign] = low
-            stack.append((x[i], low))
-    out = rows[top].copy()
-    out["prominence"] = [x[i] - max(valley[i, 1], valley[i, -1]) for i in range(len(x)) if top[i]]
-    return out[["recording_id", "idx", "value", "prominence"]]
-
-
-def peak_prominence(samples: DataFrame) -> DataFrame:
-    """Maxima with their prominence. Only turning points and the two ends go to the helper: they bound every valley."""
+def _valleys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value the lowest one back to the nearest strictly higher value (or the start), and whether there is a higher one."""
+    low, bounded = np.empty(len(x)), np.zeros(len(x), bool)
+    stack: list[tuple[float, float]] = []  # height, lowest value since the one below it in the stack
+    for i, v in enumerate(x.tolist()):
+        least = v
+        while stack and stack[-1][0] <= v:
+            least = min(least, stack.pop()[1])
+        low[i], bounded[i] = least, bool(stack)
+        stack.append((v, least))
+    return low, bounded
+
+
+def _both_valleys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    left, right = _valleys(x), _valleys(x[::-1])
+    return left[0], left[1], right[0][::-1], right[1][::-1]
+
+
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """Valleys within one range of a recording. Values that are the highest so far from either side are kept for the recording:
+    a later range sees only them, and the lowest value since the kept one before (gap)."""
+    rows = rows.sort_values("idx", kind="stable").reset_index(drop=True)
+    x = rows["value"].to_numpy()
+    low, bounded, ahead, bounded_ahead = _both_valleys(x)
+    rows["left"], rows["right"] = np.where(bounded, low, np.nan), np.where(bounded_ahead, ahead, np.nan)
+    kept = ~(bounded & bounded_ahead)
+    gap, least = np.empty(len(x)), np.inf
+    for i in range(len(x)):
+        least = min(least, x[i])
+        gap[i] = least
+        if kept[i]:
+            least = np.inf
+    rows["gap"], rows["kept"] = gap, kept
+    return rows[kept | rows["maximum"]]
+
+
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """Prominence of the kept maxima of a recording."""
+    rows = rows.sort_values("idx", kind="stable")
+    x = np.stack([rows["gap"].to_numpy(), rows["value"].to_numpy()], axis=1).ravel()
+    low, _, ahead, _ = _both_valleys(x)
+    left, right = rows["left"].fillna(pd.Series(low[1::2], rows.index)), rows["right"].fillna(pd.Series(ahead[1::2], rows.index))
+    rows["prominence"] = rows["value"] - np.maximum(left, right)
+    return rows.loc[rows["maximum"], ["recording_id", "idx", "value", "prominence"]]
+
+
+def peak_prominence(samples: DataFrame, range_samples: int = 1 << 18) -> DataFrame:
+    """Maxima with their prominence.
+
+    Only turning points and the two ends go to the helpers: they bound every
+    valley. Ranges of a recording settle most maxima on their own; the values
+    that still stand out of their range are merged per recording.
+    """
     ends = samples.groupBy(*REC).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
     marks = turning_points(samples).select(*REC, "idx", "value", (F.col("kind") == "peak").alias("maximum"))
     edge = samples.join(ends, list(REC)).where("idx = lo or idx = hi").select(*REC, "idx", "value", F.lit(False).alias("maximum"))
-    return marks.unionByName(edge).groupBy(*REC).applyInPandas(_prominences, "recording_id bigint, idx bigint, value double, prominence double")
+    both = marks.unionByName(edge).withColumn("_range", F.floor(F.col("idx") / range_samples))
+    schema = "recording_id bigint, idx bigint, value double, maximum boolean, left double, right double, gap double, kept boolean"
+    settled = both.groupBy(*REC, "_range").applyInPandas(lambda r: _settle(r).drop(columns="_range"), schema)
+    done = settled.where("not kept").select(*REC, "idx", "value", (F.col("value") - F.greatest("left", "right")).alias("prominence"))
+    return done.unionByName(settled.where("kept").groupBy(*REC).applyInPandas(_merge, "recording_id bigint, idx bigint, value double, prominence double"))
 
 
-def greedy_spacing(events: DataFrame, gap: float, weight: str, by: tuple[str, ...] = REC, at: str = "idx") -> DataFrame:
+def greedy_spacing(events: DataFrame, gap: float, weight: str, by: tuple[str, ...] = REC, at: str = "idx", batch: int = 512) -> DataFrame:
     """Heaviest first, drops events closer than `gap` to one already taken; ties in order.
 
-    Events farther apart than the gap are independent, so islands of close
-    events are decided alone, each by a small helper.
+    Events farther apart than the gap are independent: lone ones stay as they
+    are, and islands of close events are decided by a helper, many at a time.
     """
     w = along(at, by)
     far = (F.col(at) - F.lag(at).over(w) >= gap) | F.lag(at).over(w).isNull()
-    marked = events.withColumn("_far", far.cast("int")).withColumn("_island", F.sum("_far").over(w)).drop("_far")
-    schema = marked.schema
+    marked = events.withColumn("_far", far.cast("int"))
+    marked = marked.withColumns({"_island": F.sum("_far").over(w), "_lone": (F.col("_far") == 1) & (F.coalesce(F.lead("_far").over(w), F.lit(1)) == 1)}).drop("_far")
+    contested = marked.where("not _lone").drop("_lone").withColumn("_batch", F.floor(F.col("_island") / batch))
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at, kind="stable").reset_index(drop=True)
-        place, taken = rows[at].to_numpy(), []
+        rows = rows.sort_values(["_island", at], kind="stable").reset_index(drop=True)
+        place, island = rows[at].to_numpy(), rows["_island"].to_numpy()
+        taken: dict[int, list] = {}
+        keep = []
         for i in rows[weight].sort_values(ascending=False, kind="stable").index:
-            if all(abs(place[i] - place[j]) >= gap for j in taken):
-                taken.append(i)
-        return rows.loc[sorted(taken)]
+            mine = taken.setdefault(island[i], [])
+            k = bisect.bisect_left(mine, place[i])
+            if (k == 0 or place[i] - mine[k - 1] >= gap) and (k == len(mine) or mine[k] - place[i] >= gap):
+                mine.insert(k, place[i])
+                keep.append(i)
+        return rows.loc[sorted(keep)].drop(columns="_batch")
 
-    return marked.groupBy(*by, "_island").applyInPandas(decide, schema).drop("_island")
+    decided = contested.groupBy(*by, "_batch").applyInPandas(decide, contested.drop("_batch").schema)
+    return marked.where("_lone").drop("_lone").unionByName(decided).drop("_island")
 
 
 def extrema_prominence(samples: DataFrame, min_prominence: float = 0.5, min_distance: float = 1.0) -> DataFrame:
@@ -175,9 +221,100 @@ def prominence_distribution(maxima: DataFrame, by: tuple[str, ...] = REC) -> Dat
     return maxima.groupBy(*by).agg(F.count(F.lit(1)).alias("n_maxima"), F.min("prominence").alias("p_min"), q(0.25).alias("p_q25"), q(0.5).alias("p_median"), F.max("prominence").alias("p_max"))
 
 
-def prominence_sweep(maxima: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Per recording and threshold: maxima kept and dropped. Prominences are computed once."""
+def prominence_sweep(maxima: DataFrame, thresholds: list[float], min_distance: float = 1.0) -> DataFrame:
+    """Per recording and threshold: maxima kept and dropped by prominence, spaced ones, and the median step between these.
+
+    Prominences are computed once; spacing depends on the threshold.
+    """
     grid = maxima.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
     each = maxima.crossJoin(F.broadcast(grid))  # a fixed list of thresholds
     kept = (F.col("prominence") >= F.col("threshold")).cast("bigint")
-    return each.groupBy(*REC, "threshold").agg(F.sum(kept).alias("kept"), F.sum(1 - kept).alias("dropped"))
+    counts = each.groupBy(*REC, "threshold").agg(F.sum(kept).alias("kept"), F.sum(1 - kept).alias("dropped"))
+    by = (*REC, "threshold")
+    spaced = greedy_spacing(each.where("prominence >= threshold"), min_distance, "prominence", by)
+    spaced = spaced.withColumn("_step", F.col("idx") - F.lag("idx").over(along("idx", by)))
+    spaced = spaced.groupBy(*by).agg(F.count(F.lit(1)).alias("spaced"), F.median("_step").alias("median_step"))
+    return counts.join(spaced, list(by), "left").fillna(0, ["spaced"])
+
+
+def detect_breaths(samples: DataFrame, fs: float, method: str = "prominence", min_prominence: float = 0.5, min_distance_s: float = 1.0, amplitude_min: float = 0.3,
+                   refine_on: DataFrame | None = None, refine_window_s: float = 0.4, rule: str = "extreme") -> DataFrame:
+    """recording_id, idx, value, kind: peaks and troughs found, moved to the extremes of a second signal where one is given, and made to alternate.
+
+    Gaps are bridged first. rule: extreme, nearest, or none.
+    """
+    x = fill_gaps(samples.select(*REC, "idx", "value")).where("value is not null").drop("filled")
+    if method == "prominence":
+        found = extrema_prominence(x, min_prominence, max(1.0, round(min_distance_s * fs)))
+    elif method == "zerocross":
+        found = extrema_zerocross(x, amplitude_min)
+    else:
+        raise ValueError(f"no such method: {method}")
+    found = found.select(*REC, "idx", "value", "kind")
+    if refine_on is not None:
+        second = fill_gaps(refine_on.select(*REC, "idx", "value")).where("value is not null").drop("filled")
+        found = collapse_refined(refine_extrema(found, second, round(refine_window_s * fs))).select(*REC, "idx", "value", "kind")
+    return found if rule == "none" else enforce_alternation(found, rule)
+
+
+def _spaced_times(times: pd.Series, gap: float) -> pd.Series:
+    """Of ascending times those more than gap after the one taken before."""
+    out = []
+    for ts in times:
+        taken: list[float] = []
+        for t in ts:
+            if not taken or t - taken[-1] > gap:
+                taken.append(t)
+        out.append(taken)
+    return pd.Series(out)
+
+
+def estimate_breath_period(samples: DataFrame, least_s: float = 2.0, most_s: float = 8.0) -> DataFrame:
+    """recording_id, n_peaks, period_s: upper median of plausible intervals between peaks of a free stretch; null without any.
+
+    A peak is higher than two samples on each side and above 0.40 of the range,
+    and more than 0.6 of the shortest period after the peak before.
+    """
+    w, every = along(), Window.partitionBy(*REC)
+    lo, hi = F.min("value").over(every), F.max("value").over(every)
+    x = samples.select(*REC, "idx", "t_s", "value").withColumns({"_u": (F.col("value") - lo) / F.when(hi - lo >= 1e-6, hi - lo), "_n": F.count(F.lit(1)).over(every)})
+    top = (F.col("_u") > 0.40) & (F.col("_n") >= 10)
+    for k in (1, 2):
+        top = top & (F.col("value") > F.lag("value", k).over(w)) & (F.col("value") > F.lead("value", k).over(w))
+    peaks = x.withColumn("_top", F.when(top, F.col("t_s"))).groupBy(*REC).agg(F.array_sort(F.collect_list("_top")).alias("t"))
+    gap = 0.6 * least_s
+    peaks = peaks.withColumn("t", F.pandas_udf(lambda t: _spaced_times(t, gap), "array<double>")("t"))
+    steps = F.zip_with(F.slice("t", 2, F.greatest(F.lit(1), F.size("t"))), F.slice("t", 1, F.greatest(F.lit(0), F.size("t") - 1)), lambda b, a: b - a)
+    steps = F.array_sort(F.filter(steps, lambda d: (d >= least_s) & (d <= most_s)))
+    return peaks.withColumn("d", steps).select(*REC, F.size("t").alias("n_peaks"), F.get("d", F.floor(F.size("d") / 2).cast("int")).alias("period_s"))
+
+
+def _fires(rows: pd.DataFrame, gap: float) -> pd.Series:
+    """Times at which the armed signal rises above the dead zone; it is armed below, and stays so while a crossing comes too early."""
+    out = []
+    for times, above in zip(rows["t"], rows["above"], strict=True):
+        armed, taken = False, []
+        for t, up in zip(times, above, strict=True):
+            if not up:
+                armed = True
+            elif armed and (not taken or t - taken[-1] > gap):
+                taken.append(t)
+                armed = False
+        out.append(taken)
+    return pd.Series(out)
+
+
+def live_breath_onsets(samples: DataFrame, dead: float = 0.12, min_sep_s: float = 2.0, by: tuple[str, ...] = REC) -> DataFrame:
+    """t_s of upward crossings of the centred signal with hysteresis: armed below -dead of the 5-95 % range, fired above +dead, at least min_sep_s apart.
+
+    Windows of fewer than four samples give none. One array of the samples outside the dead zone for each key.
+    """
+    every = Window.partitionBy(*by)
+    ranked = samples.select(*by, "t_s", "value").withColumns({"_n": F.count("value").over(every), "_r": F.row_number().over(every.orderBy("value")), "_m": F.avg("value").over(every)})
+    at = lambda p: F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * F.lit(p)) + 1, F.col("value"))).over(every)
+    x = ranked.withColumn("_range", at(0.95) - at(0.05)).where("_n >= 4")
+    zone, v = F.when(F.col("_range") > 0, F.col("_range")).otherwise(F.lit(1e-6)) * dead, F.col("value") - F.col("_m")
+    x = x.where(F.abs(v) > zone).select(*by, F.struct("t_s", (v > 0).alias("above")).alias("e"))
+    g = x.groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("e")).select(*by, F.struct(F.col("e.t_s").alias("t"), F.col("e.above").alias("above")).alias("r"))
+    fired = F.pandas_udf(lambda r: _fires(r, min_sep_s), "array<double>")("r")
+    return g.select(*by, F.explode(fired).alias("t_s"))

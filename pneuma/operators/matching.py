@@ -3,43 +3,53 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC, along
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
+def candidate_pairs(a: DataFrame, b: DataFrame, tol: float, by: tuple[str, ...] = REC) -> DataFrame:
     """Pairs of onsets at most tol apart, by an equi-join on buckets of that width."""
     bucket = F.floor(F.col("t_s") / tol)
-    left = a.select(*REC, F.col("idx").alias("a_idx"), F.col("t_s").alias("a_t"), bucket.alias("_b"))
-    right = b.select(*REC, F.col("idx").alias("b_idx"), F.col("t_s").alias("b_t"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-    return left.join(right, [*REC, "_b"]).where(F.abs(F.col("a_t") - F.col("b_t")) <= tol).drop("_b")
+    left = a.select(*by, F.col("idx").alias("a_idx"), F.col("t_s").alias("a_t"), bucket.alias("_b"))
+    right = b.select(*by, F.col("idx").alias("b_idx"), F.col("t_s").alias("b_t"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    return left.join(right, [*by, "_b"]).where(F.abs(F.col("a_t") - F.col("b_t")) <= tol).drop("_b")
 
 
-def match_onsets(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
+def match_onsets(a: DataFrame, b: DataFrame, tol: float, batch: int = 512, by: tuple[str, ...] = REC) -> DataFrame:
     """One-to-one matches, nearest first, ties by b then a.
 
-    Onsets farther than tol from every neighbour part the merged timeline into
-    islands, which are independent; each is decided by a small helper.
+    Pairs that are nearest to each other on both sides are matched by window
+    functions. What is left of the others falls into islands, as onsets farther
+    than tol from every neighbour part the timeline; islands are decided by a
+    helper, many at a time.
     """
-    merged = a.select(*REC, "t_s").unionByName(b.select(*REC, "t_s")).distinct()
-    w = along("t_s")
-    cut = ((F.col("t_s") - F.lag("t_s").over(w)) > tol).cast("int")
-    merged = merged.withColumn("_c", F.coalesce(cut, F.lit(0))).withColumn("_island", F.sum("_c").over(w)).select(*REC, F.col("t_s").alias("a_t"), "_island")
-    pairs = candidate_pairs(a, b, tol).join(merged, [*REC, "a_t"])
+    pairs = candidate_pairs(a, b, tol, by).withColumn("_d", F.abs(F.col("a_t") - F.col("b_t")))
+    first = lambda side: F.row_number().over(Window.partitionBy(*by, f"{side}_idx").orderBy("_d", "b_idx", "a_idx")) == 1
+    pairs = pairs.withColumn("_a", first("a")).withColumn("_b", first("b")).withColumn("_sure", F.col("_a") & F.col("_b"))
+    taken = lambda side: F.max("_sure").over(Window.partitionBy(*by, f"{side}_idx"))
+    pairs = pairs.withColumn("_ta", taken("a")).withColumn("_tb", taken("b"))
+    sure = pairs.where("_sure").select(*by, "a_idx", "a_t", "b_idx", "b_t")
+    left = pairs.where("not _ta and not _tb").select(*by, "a_idx", "a_t", "b_idx", "b_t", "_d")
+    # A new island begins where no earlier pair reaches.
+    lo, hi = F.least("a_t", "b_t"), F.greatest("a_t", "b_t")
+    w = Window.partitionBy(*by).orderBy("_lo", "_hi", "a_idx", "b_idx")
+    left = left.withColumns({"_lo": lo, "_hi": hi})
+    left = left.withColumn("_new", F.coalesce(F.col("_lo") > F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    left = left.withColumn("_batch", F.floor(F.sum("_new").over(w) / batch)).drop("_new", "_lo", "_hi")
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_d=(rows["a_t"] - rows["b_t"]).abs()).sort_values(["_d", "b_idx", "a_idx"])
+        rows = rows.sort_values(["_d", "b_idx", "a_idx"])
         seen_a, seen_b, keep = set(), set(), []
         for i, x, y in zip(rows.index, rows["a_idx"], rows["b_idx"], strict=True):
             if x not in seen_a and y not in seen_b:
                 seen_a.add(x)
                 seen_b.add(y)
                 keep.append(i)
-        return rows.loc[keep, ["recording_id", "a_idx", "a_t", "b_idx", "b_t"]]
+        return rows.loc[keep, [*by, "a_idx", "a_t", "b_idx", "b_t"]]
 
-    return pairs.groupBy(*REC, "_island").applyInPandas(decide, "recording_id bigint, a_idx bigint, a_t double, b_idx bigint, b_t double")
+    return sure.unionByName(left.groupBy(*by, "_batch").applyInPandas(decide, left.select(*by, "a_idx", "a_t", "b_idx", "b_t").schema))
 
 
 def matched_durations(matches: DataFrame, a: DataFrame, b: DataFrame, lo_ms: float, hi_ms: float) -> DataFrame:

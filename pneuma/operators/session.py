@@ -54,8 +54,8 @@ def dedupe_trials(trials: DataFrame, key: list[str], content: list[str], order:
     """The first row of each key, with rows dropped and whether they disagreed in content; conflicts are marked, not hidden."""
     w = Window.partitionBy(*key).orderBy(*order, *content)
     every = Window.partitionBy(*key)
-    x = trials.withColumn("_c", F.xxhash64(*content))
-    x = x.withColumns({"_r": F.row_number().over(w), "n_input": F.count(F.lit(1)).over(every), "conflict": F.min("_c").over(every) != F.max("_c").over(every)})
+    x = trials.withColumn("_c", F.struct(*content))
+    x = x.withColumns({"_r": F.row_number().over(w), "n_input": F.count(F.lit(1)).over(every), "conflict": ~F.min("_c").over(every).eqNullSafe(F.max("_c").over(every))})
     return x.where("_r = 1").drop("_r", "_c").withColumn("n_dropped", F.col("n_input") - 1)
 
 
@@ -113,16 +113,44 @@ def collect_flags(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
 BLOCKED = ("participant", "recording_id", "^id$", "email", "name", "birth", "raw")
 
 
-def disclosure_guard(table: DataFrame, allowed: list[str], entity: str | None = None) -> DataFrame:
+def disclosure_guard(table: DataFrame, allowed: list[str], entity: str | None = None, count: str | None = None, least: int = 1) -> DataFrame:
     """column_name, verdict of each column of a result that is about to leave.
 
     A name must be allowed and match no blocked pattern; a table keyed by
-    entities is refused whole.
+    entities is refused whole, and so is one in which a cell stands for fewer than `least` of them (a count column is named).
     """
     names = table.sparkSession.createDataFrame([(c,) for c in table.columns], "column_name string")
     low = F.lower("column_name")
     blocked = F.lit(False)
     for pattern in BLOCKED:
         blocked = blocked | low.rlike(pattern)
-    verdict = F.when(F.lit(entity is not None and entity in table.columns), "refused: rows per entity").when(blocked, "refused: blocked name")
-    return names.withColumn("verdict", verdict.when(~F.col("column_name").isin(allowed), "refused: not allowed").otherwise("ok"))
+    small = table.agg(F.coalesce(F.min(count) < least, F.lit(False)).alias("_small")) if count else table.sparkSession.range(1).select(F.lit(False).alias("_small"))
+    names = names.crossJoin(F.broadcast(small))  # one row
+    verdict = F.when(F.lit(entity is not None and entity in table.columns), "refused: rows per entity").when(F.col("_small"), "refused: few entities").when(blocked, "refused: blocked name")
+    return names.withColumn("verdict", verdict.when(~F.col("column_name").isin(allowed), "refused: not allowed").otherwise("ok")).drop("_small")
+
+
+#: The respiration and heart channel of each seat.
+SEAT_CHANNELS = (("RIGHT", "Breath 1", "Heart 1"), ("LEFT", "Breath 2", "Heart 2"))
+
+
+def select_seat_channels(sessions: DataFrame) -> DataFrame:
+    """sessions (with seat) with the names of the seat's channels; an unknown seat has none."""
+    seats = sessions.sparkSession.createDataFrame(SEAT_CHANNELS, "seat string, breath_channel string, heart_channel string")
+    return sessions.join(F.broadcast(seats), "seat", "left")  # two rows
+
+
+def attach_condition(rows: DataFrame, conditions: DataFrame, by: str, session: str, names: tuple[str, str]) -> DataFrame:
+    """rows with the first condition of their id and the current one: the first in session 1, the other one in session 2. Ids without one keep their rows.
+
+    conditions: by, first; repeated rows count once.
+    """
+    c = conditions.select(by, "first").dropDuplicates([by])
+    swapped = F.when(F.col("first") == names[0], names[1]).when(F.col("first") == names[1], names[0])
+    return rows.join(c, by, "left").withColumn("condition", F.when(F.col(session) == 1, F.col("first")).when(F.col(session) == 2, swapped))
+
+
+def trial_windows(trials: DataFrame, onsets: DataFrame, by: list[str], lag_s: float = 0.2) -> DataFrame:
+    """trials (by, start_s, stop_s within the run) with absolute start and end: the run's resolved onset plus the lag; trials of runs without one have none."""
+    t = trials.join(onsets.select(*by, "onset_s"), by, "left")
+    return t.withColumns({"start": F.col("onset_s") + lag_s + F.col("start_s"), "end": F.col("onset_s") + lag_s + F.col("stop_s")})

@@ -1,44 +1,125 @@
-"""Spectra and filters of uniform recordings: NumPy on one recording or chunk at a time."""
+"""Spectra and filters of uniform recordings: NumPy on chunks of a recording, or on arrays of many segments at once."""
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.islands import REC, run_ids
+from .timebase import fill_gaps
+
+#: Fixed values of decimation: the largest stage, the largest that is made at all, samples needed for each output sample.
+STAGE, LARGEST, SAMPLES_EACH = 13, 40, 30
+#: The anti-alias filter: Chebyshev of this order and ripple (dB), cut at this share of the new half rate, run forward and back.
+CHEBYSHEV_ORDER, RIPPLE_DB, CUTOFF = 8, 0.05, 0.8
+
+
+def hann(n: int) -> np.ndarray:
+    return 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / (n - 1)))
+
 
-def welch_psd(samples: DataFrame, fs: float, segment: int, overlap: float = 0.5) -> DataFrame:
-    """One-sided density per recording and bin: demeaned Hann segments (n - 1 denominator), averaged.
+def segment_arrays(samples: DataFrame, columns: list[str], segment: Column | int, overlap: float = 0.5, by: tuple[str, ...] = REC) -> DataFrame:
+    """recording_id, segment, seg and an array of each column for all whole segments of a recording.
 
-    Segments are cut by rows (a sample goes to each segment that covers it), so
-    a long recording is spread over tasks; only a segment is held at once.
+    segment may use the recording's number of samples, n; it is cut to n and
+    made even. A sample is copied to each segment that covers it, so a long
+    recording is spread over tasks.
     """
-    step = max(1, round(segment * (1 - overlap)))
-    p = F.col("idx") - 1
-    first = F.greatest(F.lit(0), F.ceil((p - segment + 1) / step)).cast("bigint")
-    seg = samples.withColumn("segment", F.explode(F.sequence(first, F.floor(p / step).cast("bigint"))))
-    k = np.arange(segment)
-    hann = 0.5 * (1 - np.cos(2 * np.pi * k / (segment - 1)))
-    scale = 2.0 / (segment * fs * float((hann**2).mean()))
+    n = samples.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    seg = F.least(F.col("n"), segment if isinstance(segment, Column) else F.lit(segment)).cast("int")
+    x = n.withColumn("seg", seg - seg % 2).where("seg >= 2")
+    step, p = F.greatest(F.lit(1), F.round(F.col("seg") * (1 - overlap))), F.col("idx") - 1
+    first = F.greatest(F.lit(0), F.ceil((p - F.col("seg") + 1) / step)).cast("bigint")
+    last = F.least(F.floor(p / step), F.floor((F.col("n") - F.col("seg")) / step)).cast("bigint")
+    x = x.withColumns({"_a": first, "_z": last}).where("_a <= _z").withColumn("segment", F.explode(F.sequence("_a", "_z")))
+    rows = F.array_sort(F.collect_list(F.struct("idx", *[F.col(c).cast("double").alias(c) for c in columns])))
+    g = x.groupBy(*by, "segment", "seg").agg(rows.alias("rows"))
+    return g.select(*by, "segment", "seg", *[F.col(f"rows.{c}").alias(c) for c in columns])
+
+
+def _by_length(arrays: pd.Series, fn: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
+    """fn over stacked arrays of equal length, in the order of the rows."""
+    out = pd.Series([None] * len(arrays), index=arrays.index, dtype=object)
+    for _, some in arrays.groupby(arrays.map(len)):
+        for i, row in zip(some.index, fn(np.stack(some.to_list())), strict=True):
+            out[i] = row
+    return out
+
 
-    def density(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < segment:
-            return pd.DataFrame({"recording_id": [], "bin": [], "power": []})
-        x = rows.sort_values("idx")["value"].to_numpy(float)
-        power = np.abs(np.fft.rfft((x - x.mean()) * hann)) ** 2 * scale
-        n = segment // 2
-        return pd.DataFrame({"recording_id": rows["recording_id"].iloc[0], "bin": np.arange(n), "power": power[:n]})
+def welch_psd(samples: DataFrame, fs: float, segment: Column | int, overlap: float = 0.5, by: tuple[str, ...] = REC) -> DataFrame:
+    """One-sided density per recording and bin: demeaned Hann segments (n - 1 denominator), averaged; gaps are bridged first."""
 
-    each = seg.select("recording_id", "segment", "idx", "value").groupBy("recording_id", "segment").applyInPandas(density, "recording_id bigint, bin int, power double")
-    return each.groupBy("recording_id", "bin").agg((F.col("bin") * fs / segment).alias("freq"), F.avg("power").alias("power"))
+    def density(x: pd.Series) -> pd.Series:
+        def of(v: np.ndarray) -> np.ndarray:
+            n = v.shape[1]
+            w = hann(n)
+            power = np.abs(np.fft.rfft((v - v.mean(axis=1, keepdims=True)) * w)) ** 2
+            return power[:, : n // 2] * (2.0 / (n * fs * float((w**2).mean())))
 
+        return _by_length(x, of)
 
-def band_metrics(psd: DataFrame, band: tuple[float, float], wide: tuple[float, float], rate: tuple[float, float]) -> DataFrame:
+    each = segment_arrays(fill_gaps(samples.select(*by, "idx", "value"), by), ["value"], segment, overlap, by)
+    each = each.select(*by, "seg", F.posexplode(F.pandas_udf(density, "array<double>")("value")).alias("bin", "power"))
+    return each.groupBy(*by, "seg", "bin").agg(F.avg("power").alias("power")).select(*by, "bin", (F.col("bin") * fs / F.col("seg")).alias("freq"), "power")
+
+
+def band_metrics(psd: DataFrame, band: tuple[float, float], wide: tuple[float, float], rate: tuple[float, float], by: tuple[str, ...] = REC) -> DataFrame:
     """Share of power in a band of a wider one, and the frequency of most power within bounds (the lower of ties)."""
     power = lambda b: F.sum(F.when(F.col("freq").between(*b), F.col("power")))
     inside = F.when(F.col("freq").between(*rate), F.struct(F.round("power", 12), -F.col("freq")))
-    return psd.groupBy("recording_id").agg(F.try_divide(power(band), power(wide)).alias("band_ratio"), F.max_by("freq", inside).alias("dominant_hz"))
+    return psd.groupBy(*by).agg(F.try_divide(power(band), power(wide)).alias("band_ratio"), F.max_by("freq", inside).alias("dominant_hz"))
+
+
+def flag_alias_prone(psd: DataFrame, new_fs: float = 25.0, within: float = 1.0, multiples: int = 40, band: tuple[float, float] = (0.05, 1.0), limit_db: float = -57.0) -> DataFrame:
+    """Power that decimation to new_fs without a filter would fold into the band (within 1 Hz of its multiples), in dB of the band's power."""
+    k = F.round(F.col("freq") / new_fs)
+    folds = k.between(1, multiples) & (F.abs(F.col("freq") - k * new_fs) <= within)
+    g = psd.groupBy(*REC).agg(F.sum(F.when(folds, F.col("power"))).alias("near"), F.sum(F.when(F.col("freq").between(*band), F.col("power"))).alias("in_band"))
+    db = 10 * F.log10(F.try_divide(F.coalesce("near", F.lit(0.0)), F.col("in_band")))
+    return g.select(*REC, db.alias("alias_db"), F.coalesce(db > limit_db, F.lit(False)).alias("alias_prone"))
+
+
+def whole_arrays(samples: DataFrame, columns: list[str], by: tuple[str, ...] = REC) -> DataFrame:
+    """Each key's columns as arrays in the order of idx; for keys of bounded length, such as recordings of hours or trials."""
+    rows = F.array_sort(F.collect_list(F.struct("idx", *columns)))
+    return samples.groupBy(*by).agg(rows.alias("rows")).select(*by, F.col("rows.idx").alias("idx"), *[F.col(f"rows.{c}").alias(c) for c in columns])
+
+
+def dominant_rate(samples: DataFrame, fs: float, low: float = 0.1, high: float = 0.5) -> DataFrame:
+    """Breaths a minute at the largest value of the raw periodogram of the whole recording (the lower of ties)."""
+
+    def rate(x: pd.Series) -> pd.Series:
+        def of(v: np.ndarray) -> np.ndarray:
+            freq = np.arange(v.shape[1]) * fs / v.shape[1]
+            power = np.abs(np.fft.fft(v - v.mean(axis=1, keepdims=True))) ** 2
+            inside = np.flatnonzero((freq >= low) & (freq <= high))
+            return freq[inside[np.round(power[:, inside], 9).argmax(axis=1)]] * 60 if len(inside) else np.full(len(v), np.nan)
+
+        return _by_length(x, of).astype(float)
+
+    arrays = whole_arrays(fill_gaps(samples.select(*REC, "idx", "value")).where("value is not null"), ["value"])
+    return arrays.select(*REC, F.pandas_udf(rate, "double")("value").alias("rate_bpm"))
+
+
+def double_integrate(samples: DataFrame, fs: float, corner: float = 0.05) -> DataFrame:
+    """Displacement from acceleration: each frequency at or above the corner divided by -(2 pi f)^2, the others dropped."""
+
+    def integrate(x: pd.Series) -> pd.Series:
+        def of(v: np.ndarray) -> np.ndarray:
+            freq = np.fft.rfftfreq(v.shape[1], 1 / fs)
+            g = np.where(freq >= corner, -1.0 / np.maximum(2 * np.pi * freq, 1e-12) ** 2, 0.0)
+            return np.fft.irfft(np.fft.rfft(v) * g, v.shape[1])
+
+        return _by_length(x, of)
+
+    arrays = whole_arrays(fill_gaps(samples.select(*REC, "idx", "value")), ["value"])
+    done = arrays.select(*REC, F.explode(F.arrays_zip("idx", F.pandas_udf(integrate, "array<double>")("value").alias("value"))).alias("r"))
+    return done.select(*REC, F.col("r.idx").alias("idx"), F.col("r.value").alias("value"))
 
 
 def with_halo(samples: DataFrame, chunk: int, halo: int) -> DataFrame:
@@ -65,8 +146,15 @@ def gain(freq: np.ndarray, fs: float, low: float | None, high: float | None, ord
         return 1.0 / (1.0 + np.abs(x) ** (2 * order))
 
 
-def filtered(x: np.ndarray, fs: float, low: float | None, high: float | None, pad: int, order: int = 2) -> np.ndarray:
-    """Zero-phase filter of one piece, with odd reflection at both ends; missing samples are bridged and put back."""
+def anti_alias_gain(freq: np.ndarray, fs: float, q: int) -> np.ndarray:
+    """Response of the Chebyshev low-pass run forward and back: 1 / (1 + ripple * T(x)^2)."""
+    x = np.tan(np.pi * np.minimum(freq, 0.499999 * fs) / fs) / np.tan(np.pi * CUTOFF / (2 * q))
+    t = np.where(x <= 1, np.cos(CHEBYSHEV_ORDER * np.arccos(np.minimum(x, 1))), np.cosh(CHEBYSHEV_ORDER * np.arccosh(np.maximum(x, 1))))
+    return 1.0 / (1.0 + (10 ** (RIPPLE_DB / 10) - 1) * t**2)
+
+
+def filtered(x: np.ndarray, fs: float, response: Callable[[np.ndarray], np.ndarray], pad: int) -> np.ndarray:
+    """One piece filtered without phase, with odd reflection at both ends; missing samples are bridged and put back."""
     gone = ~np.isfinite(x)
     if gone.all() or len(x) < 2:
         return x
@@ -75,40 +163,82 @@ def filtered(x: np.ndarray, fs: float, low: float | None, high: float | None, pa
     m = min(pad, len(y) - 1)
     y = np.concatenate([2 * y[0] - y[m:0:-1], y, 2 * y[-1] - y[-2 : -m - 2 : -1]])
     freq = np.fft.rfftfreq(len(y), 1 / fs)
-    y = np.fft.irfft(np.fft.rfft(y) * gain(freq, fs, low, high, order), len(y))[m : m + len(x)]
+    y = np.fft.irfft(np.fft.rfft(y) * response(freq), len(y))[m : m + len(x)]
     y[gone] = np.nan
     return y
 
 
-def zero_phase_filter(samples: DataFrame, fs: float, low: float | None, high: float | None, chunk_s: float = 300.0, pad_s: float = 60.0, order: int = 2) -> DataFrame:
+def _by_chunks(samples: DataFrame, fs: float, response: Callable[[np.ndarray], np.ndarray], chunk: int, halo: int, pad: int, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        for c in columns:
+            rows[c] = filtered(rows[c].to_numpy(float), fs, response, pad)
+        return rows.loc[rows["own"], ["recording_id", "idx", *columns]]
+
+    x = with_halo(samples.select(*REC, "idx", *columns), chunk, halo)
+    out = x.groupBy(*REC, "chunk").applyInPandas(run, f"recording_id bigint, idx bigint, {', '.join(f'{c} double' for c in columns)}")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+
+
+def zero_phase_filter(samples: DataFrame, fs: float, low: float | None, high: float | None, chunk_s: float = 300.0, pad_s: float = 60.0, order: int = 2, end_pad_s: float | None = None, columns: tuple[str, ...] = ("value",)) -> DataFrame:
     """Butterworth pass without phase, by chunks with a halo of pad_s, so a long recording is spread over tasks.
 
-    A high edge at or above half the rate is left out; an empty band is an error.
+    A high edge at or above half the rate is left out; an empty band is an
+    error. end_pad_s is the length of the odd reflection, pad_s where not given.
     """
     high = None if high is not None and high >= fs / 2 else high
     if (low or 0) <= 0 and not high or (low and high and low >= high):
         raise ValueError("the band is empty")
     halo = round(pad_s * fs)
+    pad = halo if end_pad_s is None else round(end_pad_s * fs)
+    return _by_chunks(samples, fs, lambda f: gain(f, fs, low, high, order), round(chunk_s * fs), halo, pad, columns)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        rows["value"] = filtered(rows["value"].to_numpy(float), fs, low, high, halo, order)
-        return rows.loc[rows["own"], ["recording_id", "idx", "value"]]
 
-    x = with_halo(samples.select("recording_id", "idx", "value"), round(chunk_s * fs), halo)
-    return x.groupBy("recording_id", "chunk").applyInPandas(run, "recording_id bigint, idx bigint, value double")
+def calib_bandpass(samples: DataFrame, fs: float = 25.0, low: float = 0.05, high: float = 1.0, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    """The calibration band: order 4, forward and back. The reflection is 60 s, as a shorter one leaves the start-up of so low an edge in the signal."""
+    if high >= fs / 2:
+        raise ValueError("the band's upper edge is at or above half the rate")
+    return zero_phase_filter(samples, fs, low, high, 600.0, 120.0, 4, 60.0, columns)
+
+
+def calib_lowpass(samples: DataFrame, fs: float = 25.0, high: float = 0.6) -> DataFrame:
+    return zero_phase_filter(samples, fs, None, high, 600.0, 60.0, 4, 15.0)
+
 
+def detrend_highpass(samples: DataFrame, fs: float, cutoff: float = 0.05) -> DataFrame:
+    return zero_phase_filter(samples, fs, cutoff, None)
 
-def decimation_plan(q: int, most: int = 13) -> list[int]:
-    """Stages whose product is q: prime factors, largest first, packed into steps of at most `most`."""
-    primes, n, p = [], q, 2
-    while n > 1:
-        while n % p == 0:
-            primes.append(p)
-            n //= p
+
+def _primes(q: int) -> list[int]:
+    """Prime factors, largest first."""
+    out, p = [], 2
+    while q > 1:
+        while q % p == 0:
+            out.append(p)
+            q //= p
         p += 1
+    return out[::-1]
+
+
+def smooth_factor_near(q: float, most: int = STAGE, search: float = 0.2) -> int | None:
+    """The factor nearest q, within a fifth of it, whose primes are all small; the smaller of ties."""
+    near = [k for k in range(max(2, int(q * (1 - search))), int(np.ceil(q * (1 + search))) + 1) if max(_primes(k)) <= most]
+    return min(near, key=lambda k: (abs(k - q), k), default=None)
+
+
+def decimation_plan(q: int, most: int = STAGE, largest: int = LARGEST) -> list[int]:
+    """Stages whose product is q: primes, largest first, packed into steps of at most `most`.
+
+    A prime above `most` is a stage of its own; one above `largest` is refused,
+    with a nearby factor in the message.
+    """
+    if q < 1:
+        raise ValueError("a decimation factor is a positive integer")
+    primes = _primes(q)
+    if primes and primes[0] > largest:
+        raise ValueError(f"{q} has the prime factor {primes[0]}, too large for one stage; {smooth_factor_near(q, most)} is the nearest factor without")
     stages: list[int] = []
-    for f in sorted(primes, reverse=True):
+    for f in primes:
         for i, s in enumerate(stages):
             if s * f <= most:
                 stages[i] *= f
@@ -118,36 +248,152 @@ def decimation_plan(q: int, most: int = 13) -> list[int]:
     return sorted(stages, reverse=True)
 
 
+def decimation_plans(factors: DataFrame) -> DataFrame:
+    """q, stages, nearby of each distinct factor; stages are null where the factor is refused, nearby then is the factor to take."""
+    rows = []
+    for (q,) in factors.select(F.col("q").cast("int")).where("q >= 1").distinct().collect():  # a row for each pair of rates
+        refused = max(_primes(q), default=1) > LARGEST
+        rows.append((q, None if refused else decimation_plan(q), smooth_factor_near(q) if refused else None))
+    return factors.sparkSession.createDataFrame(rows, "q int, stages array<int>, nearby int")
+
+
+def decimation_factor(fs: Column, target: Column, strict: bool = True) -> Column:
+    """fs / target, which must be whole within 1e-9: else an error, or null where not strict."""
+    q = fs / target
+    no = F.raise_error(F.concat(F.lit("not a whole factor: "), q.cast("string"))).cast("int") if strict else F.lit(None).cast("int")
+    return F.when(F.abs(q - F.round(q)) <= 1e-9, F.round(q).cast("int")).otherwise(no)
+
+
 def decimate(samples: DataFrame, fs: float, q: int, chunk_s: float = 300.0) -> DataFrame:
-    """Every q-th sample behind a steep anti-alias low-pass at 0.8 of the new half rate, by chunks with halo; idx counts anew."""
-    low = zero_phase_filter(samples, fs, None, 0.4 * fs / q, chunk_s, max(1.0, 40 * q / fs), 8)
-    return low.where((F.col("idx") - 1) % q == 0).withColumn("idx", ((F.col("idx") - 1) / q + 1).cast("bigint"))
+    """Every q-th sample, in exact stages, each behind its own anti-alias low-pass; idx counts anew.
 
+    Recordings need 30 samples for each output sample of the whole factor, and
+    only finite ones: others are an error.
+    """
+    stages = decimation_plan(q)
+    if not stages:
+        return samples.select(*REC, "idx", "value")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*REC))
+    short = F.when(n < SAMPLES_EACH * q, F.raise_error(F.lit(f"too few samples to decimate by {q}")).cast("double"))
+    odd = F.when(F.coalesce(F.isnan("value") | (F.abs("value") == float("inf")), F.lit(True)), F.raise_error(F.lit("decimation needs finite samples")).cast("double"))
+    x, rate = samples.select(*REC, "idx", F.coalesce(short, odd, F.col("value")).alias("value")), fs
+    for s in stages:
+        x = _by_chunks(x, rate, lambda f, rate=rate, s=s: anti_alias_gain(f, rate, s), round(chunk_s * fs), 100 * s, 100 * s)
+        x = x.where((F.col("idx") - 1) % s == 0).withColumn("idx", ((F.col("idx") - 1) / s + 1).cast("bigint"))
+        rate /= s
+    return x
 
-def despike(samples: DataFrame, k: int, threshold: float = 3.0, widest: int = 25, chunk: int = 7500) -> DataFrame:
-    """Samples far from the running median of k are bridged, in runs of at most `widest`; spiked marks them.
 
-    The scale is 1.4826 MAD of differences over half a window, per chunk with its halo.
+def downsample(samples: DataFrame, fs: float, target: float) -> tuple[DataFrame, float]:
+    """Decimated by the whole factor nearest fs / target, and the rate that gives. Another factor is taken only where a prime is refused."""
+    if target <= 0:
+        raise ValueError("the target rate is not positive")
+    if target >= fs:
+        return samples.select(*REC, "idx", "value"), fs
+    q = max(1, round(fs / target))
+    if max(_primes(q), default=1) > LARGEST:
+        q = smooth_factor_near(fs / target) or q
+    return decimate(samples, fs, q), fs / q
+
+
+def running_median(x: np.ndarray, k: int) -> np.ndarray:
+    """Medians of all whole windows of k (odd), by a sorted list of the window."""
+    out = np.empty(max(0, len(x) - k + 1))
+    window = sorted(x[:k].tolist())
+    for i in range(len(out)):
+        out[i] = window[k // 2]
+        if i + k < len(x):
+            del window[bisect.bisect_left(window, x[i])]
+            bisect.insort(window, x[i + k])
+    return out
+
+
+def _odd_window(seconds: float, fs: float) -> int:
+    k = max(3, round(seconds * fs))
+    return k + 1 - k % 2
+
+
+def despike(samples: DataFrame, fs: float, threshold: float = 3.0, max_width_s: float = 1.0, window_s: float = 0.3, chunk: int = 7500) -> DataFrame:
+    """Samples far from the running median are bridged; spiked marks them. Missing samples stay missing.
+
+    The median runs over bridged gaps, with a line through the inner samples
+    beyond either end. The scale is 1.4826 MAD of differences over half a
+    window, of the whole recording. Without one, all deviating samples count if
+    they are less than 1 %, else the median of the non-zero differences is the
+    scale. Runs wider than max_width_s, recordings below five samples, and
+    recordings that would be flagged whole are left alone.
+    """
+    k = _odd_window(window_s, fs)
+    halo = (k - 1) // 2 + 3
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx").reset_index(drop=True)
+        idx, v, n = rows["idx"].to_numpy(), rows["value"].to_numpy(float), int(rows["n"].iloc[0])
+        width = min(k, n - 1 + n % 2)
+        h = (width - 1) // 2
+        med, d = v.copy(), np.full(len(v), np.nan)
+        if n >= 5 and np.isfinite(v).all():
+            if h:
+                d[h:] = v[h:] - v[:-h]
+            wide, skipped = v, 0
+            if n >= h + 3:
+                if idx[0] == 1:
+                    slope = np.median(np.diff(v[1 : h + 2]))
+                    wide, skipped = np.concatenate([v[1] + slope * (np.arange(1 - h, 1) - 2), wide]), h
+                if idx[-1] == n:
+                    slope = np.median(np.diff(v[-h - 2 : -1]))
+                    wide = np.concatenate([wide, v[-2] + slope * (np.arange(1, h + 1) + 1)])
+            found = running_median(wide, width)
+            med[h - skipped : h - skipped + len(found)] = found
+        rows["med"], rows["d"] = med, d
+        return rows.loc[rows["own"], ["recording_id", "idx", "value", "filled", "n", "med", "d"]]
+
+    every = Window.partitionBy(*REC)
+    x = fill_gaps(samples.select(*REC, "idx", "value")).withColumn("n", F.count(F.lit(1)).over(every))
+    x = with_halo(x, chunk, halo).groupBy(*REC, "chunk").applyInPandas(run, "recording_id bigint, idx bigint, value double, filled boolean, n bigint, med double, d double")
+    x = x.withColumn("d", F.when(~F.isnan("d"), F.col("d"))).withColumn("away", F.when(~F.col("filled"), F.abs(F.col("value") - F.col("med"))))
+    x = x.withColumn("_m", F.median("d").over(every))
+    x = x.withColumns(
+        {
+            "_scale": 1.4826 * F.median(F.abs(F.col("d") - F.col("_m"))).over(every),
+            "_off": F.count(F.when(F.col("away") > 0, 1)).over(every),
+            "_step": F.median(F.when(F.col("d") != 0, F.abs("d"))).over(every),
+        }
+    )
+    few = (F.col("_off") > 0) & (F.col("_off") < 0.01 * F.col("n"))
+    limit = F.when(F.col("_scale") > 0, threshold * F.col("_scale")).when(few, F.lit(0.0)).otherwise(threshold * F.col("_step"))
+    x = x.withColumn("spiked", F.coalesce((F.col("n") >= 5) & (F.col("away") > limit), F.lit(False)))
+    x = run_ids(x, "spiked").withColumn("_w", F.count(F.lit(1)).over(Window.partitionBy(*REC, "run")))
+    x = x.withColumn("spiked", F.col("spiked") & (F.col("_w") <= max(1, round(max_width_s * fs))))
+    x = x.withColumn("spiked", F.col("spiked") & (F.count(F.when(F.col("spiked"), 1)).over(every) < F.col("n")))
+    x = x.withColumns({"_gone": F.col("filled"), "value": F.when(~F.col("spiked") & ~F.col("filled"), F.col("value"))})
+    bridged = fill_gaps(x.select(*REC, "idx", "value", "spiked", "_gone"))
+    return bridged.select(*REC, "idx", F.when(~F.col("_gone"), F.col("value")).alias("value"), "spiked")
+
+
+def detrend_median(samples: DataFrame, fs: float, window_s: float = 60.0, chunk: int = 7500) -> DataFrame:
+    """The signal less its running median over bridged gaps. Windows shrink towards the ends; the very end is the median of itself,
+    its neighbour's median and the line through the next two. A window as long as the recording is an error; missing samples stay missing.
     """
+    k = _odd_window(window_s, fs)
     h = (k - 1) // 2
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx").reset_index(drop=True)
-        x = rows["value"].to_numpy(float)
-        wide = np.pad(x, h, mode="edge")
-        med = np.median(np.lib.stride_tricks.sliding_window_view(wide, k), axis=1)
-        d = x[h:] - x[:-h] if len(x) > h else np.zeros(1)
-        scale = 1.4826 * np.median(np.abs(d - np.median(d)))
-        bad = np.abs(x - med) > threshold * scale if scale > 0 else np.zeros(len(x), bool)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], bad.astype(int), [0]])))
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            if b - a > widest:
-                bad[a:b] = False
-        if bad.any() and not bad.all():
-            i = np.arange(len(x))
-            x = np.where(bad, np.interp(i, i[~bad], x[~bad]), x)
-        rows["value"], rows["spiked"] = x, bad
-        return rows.loc[rows["own"], ["recording_id", "idx", "value", "spiked"]]
-
-    parts = with_halo(samples.select("recording_id", "idx", "value"), chunk, h + widest)
-    return parts.groupBy("recording_id", "chunk").applyInPandas(run, "recording_id bigint, idx bigint, value double, spiked boolean")
+        idx, v, n = rows["idx"].to_numpy(), rows["value"].to_numpy(float), int(rows["n"].iloc[0])
+        if k >= n:
+            raise ValueError(f"a median window of {k} samples is not shorter than the recording of {n}")
+        base = np.full(len(v), np.nan)
+        base[h : len(v) - h] = running_median(v, k)
+        for flip in (False, True):
+            x, b = (v[::-1], base[::-1]) if flip else (v, base)
+            if (idx[-1] == n) if flip else (idx[0] == 1):
+                for i in range(1, h):
+                    b[i] = np.median(x[: 2 * i + 1])
+                b[0] = np.median([x[0], b[1], 3 * b[1] - 2 * b[2]])
+        rows["value"] = np.where(rows["filled"], np.nan, v - base)
+        return rows.loc[rows["own"], ["recording_id", "idx", "value"]]
+
+    x = fill_gaps(samples.select(*REC, "idx", "value")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*REC)))
+    out = with_halo(x, chunk, k).groupBy(*REC, "chunk").applyInPandas(run, "recording_id bigint, idx bigint, value double")
+    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))

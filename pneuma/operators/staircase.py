@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +49,28 @@ def staircase_posterior(trials: DataFrame) -> DataFrame:
     return s.select(*KEY, "level", "threshold", (F.col("e") / F.sum("e").over(top)).alias("p"))
 
 
+def _trace(rows: pd.DataFrame) -> pd.DataFrame:
+    """Posterior moments after each trial of each staircase (arrays of intensities and answers)."""
+    t = np.linspace(np.log10(LOW), np.log10(HIGH), LEVELS)
+    prior = -0.5 * ((t - np.log10(PRIOR_MEAN)) / PRIOR_SD) ** 2
+    means, sds = [], []
+    for s, correct in zip(rows["intensity"], rows["correct"], strict=True):
+        hit = (1 - LAPSE) * (GUESS + (1 - GUESS) * (1 - np.exp(-(10.0 ** (SLOPE * (np.asarray(s, float)[:, None] - t)))))) + LAPSE * GUESS
+        logp = prior + np.cumsum(np.log(np.where(np.asarray(correct, bool)[:, None], hit, (1 - hit) / 2)), axis=0)
+        p = np.exp(logp - logp.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        mean = p @ t
+        means.append(mean)
+        sds.append(np.sqrt(np.maximum(0.0, p @ (t * t) - mean * mean)))
+    return pd.DataFrame({"mean": means, "sd": sds})
+
+
 def staircase_trace(trials: DataFrame) -> DataFrame:
-    """Posterior mean and sd after each updating trial: running sums along trials for each level."""
-    run = Window.partitionBy(*KEY, "level").orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)
-    return _moments(_logs(trials).withColumn("logp", F.col("prior") + F.sum("ll").over(run)), [*KEY, "trial"])
+    """Posterior mean and sd after each updating trial; a staircase is one array of trials, of which there are at most dozens."""
+    rows = trials.where("not catch").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("trial", "intensity", "correct"))).alias("t"))
+    moments = F.pandas_udf(_trace, "mean array<double>, sd array<double>")(F.struct(F.col("t.intensity").alias("intensity"), F.col("t.correct").alias("correct")))
+    each = rows.withColumn("m", moments).select(*KEY, F.explode(F.arrays_zip(F.col("t.trial").alias("trial"), F.col("m.mean").alias("mean"), F.col("m.sd").alias("sd"))).alias("r"))
+    return each.select(*KEY, "r.trial", "r.mean", "r.sd")
 
 
 def staircase_stop(trials: DataFrame) -> DataFrame:

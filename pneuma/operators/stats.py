@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,32 +53,101 @@ def between_sd_moment(rows: DataFrame, group: str, value: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n_groups"), F.when(F.count(F.lit(1)) >= 3, sd).alias("between_sd"))
 
 
-def variance_components(rows: DataFrame, group: str, value: str, rounds: int = 3) -> DataFrame:
-    """Random-intercept REML on a grid of variance ratios that is refined around its best point.
+#: Fixed value: the 95 % point of chi squared with one degree of freedom.
+CHI2_95 = 3.841458820694124
+_GOLDEN = (5**0.5 - 1) / 2
 
-    The likelihood needs sums over the group table alone, so each round is one
-    aggregation of groups crossed with a grid of 33 ratios.
-    """
-    g = group_table(rows, group, value)
-    spark = rows.sparkSession
-    lo, hi, best = 0.0, 4.0, None
+
+def _minimum(f: Callable[[float], float], lo: float, hi: float, rounds: int = 90) -> float:
+    """Golden-section search."""
+    a, b = hi - _GOLDEN * (hi - lo), lo + _GOLDEN * (hi - lo)
+    fa, fb = f(a), f(b)
     for _ in range(rounds):
-        grid = spark.createDataFrame([(lo + (hi - lo) * i / 32,) for i in range(33)], "ratio double")
-        w = F.col("n") / (1 + F.col("ratio") * F.col("n"))
-        s = g.crossJoin(F.broadcast(grid)).groupBy("ratio").agg(  # 33 rows
-            F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum("ssw").alias("ssw"), F.sum(w).alias("w"), F.sum(w * F.col("m")).alias("wm"),
-            F.sum(w * F.col("m") * F.col("m")).alias("wmm"), F.sum(F.log1p(F.col("ratio") * F.col("n"))).alias("ld"),
-        )
-        rss = F.col("ssw") + F.col("wmm") - F.col("wm") * F.col("wm") / F.col("w")
-        s = s.withColumn("rss", rss).withColumn("crit", (F.col("N") - 1) * F.log("rss") + F.col("ld") + F.log("w"))
-        best = s.orderBy("crit", "ratio").limit(1)
-        at = best.first()
-        if at is None:
+        if fa <= fb:
+            hi, b, fb = b, a, fa
+            a = hi - _GOLDEN * (hi - lo)
+            fa = f(a)
+        else:
+            lo, a, fa = a, b, fb
+            b = lo + _GOLDEN * (hi - lo)
+            fb = f(b)
+    return (lo + hi) / 2
+
+
+def reml(n: np.ndarray, k: np.ndarray, mean: np.ndarray, css: np.ndarray, ssw: float) -> tuple[float, float, float, bool]:
+    """within sd, between sd, its 95 % profile upper bound, singular; from groups summed by size.
+
+    n: size; k, mean, css: number of groups of that size, the mean of their
+    means and the sum of squares of these; ssw: all squares within groups. With
+    w = n / (1 + ratio n), the restricted likelihood is smallest in
+    (N - 1) ln rss + sum ln(1 + ratio n) + ln sum w. Ratios are searched from 0
+    without an upper end. The bound is where the deviance, with the within sd
+    fitted anew, has risen by CHI2_95 (by the restricted likelihood).
+    """
+    total, groups = float((n * k).sum()), k
+
+    def parts(ratio: float) -> tuple[float, float]:
+        w = n / (1 + ratio * n)
+        sw = (groups * w).sum()
+        mu = (groups * w * mean).sum() / sw
+        return ssw + (w * (css + groups * (mean - mu) ** 2)).sum(), (groups * np.log1p(ratio * n)).sum() + np.log(sw)
+
+    def crit(ratio: float) -> float:
+        rss, rest = parts(ratio)
+        return (total - 1) * np.log(max(rss, 1e-300)) + rest
+
+    best, at = crit(0.0), None
+    step = -24.0
+    while step < 700:  # logarithms of ratios; on until the criterion has long been rising
+        c = crit(math.exp(step))
+        if c < best:
+            best, at = c, step
+        elif step > (at if at is not None else 0.0) + 12:
             break
-        step = (hi - lo) / 32
-        lo, hi = max(0.0, at.ratio - step), at.ratio + step
-    within = F.col("rss") / (F.col("N") - 1)
-    return best.select(F.col("k").alias("n_groups"), F.sqrt(within).alias("within_sd"), F.sqrt(within * F.col("ratio")).alias("between_sd"), (F.col("ratio") == 0).alias("singular"))
+        step += 0.5
+    ratio = 0.0 if at is None else math.exp(_minimum(lambda u: crit(math.exp(u)), at - 0.5, at + 0.5))
+    within = math.sqrt(parts(ratio)[0] / (total - 1))
+    between = within * math.sqrt(ratio)
+
+    def deviance(sd: float) -> float:
+        def of(log_var: float) -> float:
+            rss, rest = parts(sd * sd / math.exp(log_var))
+            return (total - 1) * log_var + rest + rss / math.exp(log_var)
+
+        middle = 2 * math.log(within)
+        return of(_minimum(of, middle - 6, middle + 6, 60))
+
+    limit = deviance(between) + CHI2_95
+    lo, hi = between, max(between, within) * 1.5
+    while deviance(hi) < limit and hi < 1e6 * within:
+        lo, hi = hi, hi * 1.5
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if deviance(mid) < limit else (lo, mid)
+    return within, between, hi, ratio == 0.0
+
+
+def variance_components(rows: DataFrame, group: str, value: str, least_rows: int = 5, least_groups: int = 3) -> DataFrame:
+    """n_obs, n_groups, within_sd, between_sd, between_hi and singular of a random-intercept model by restricted likelihood.
+
+    Groups below least_rows do not count; fewer than least_groups groups, or no
+    spread within them, give nulls. The likelihood needs the group table only
+    through sums by group size, of which there are few; they are one row's arrays.
+    """
+    g = group_table(rows, group, value).where(F.col("n") >= least_rows)
+    by_size = g.groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.avg("m").alias("mean"), (F.var_pop("m") * F.count(F.lit(1))).alias("css"), F.sum("ssw").alias("ssw"))
+    one = by_size.agg(F.sum("k").alias("n_groups"), F.sum(F.col("n") * F.col("k")).alias("n_obs"), F.sum("ssw").alias("ssw"), *[F.collect_list(F.col(c).cast("double")).alias(c) for c in ("n", "k", "mean", "css")])
+
+    def fit(x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in x.itertuples(index=False):
+            ok = r.n_groups >= least_groups and r.ssw > 0
+            out.append(reml(*(np.asarray(v, float) for v in (r.n, r.k, r.mean, r.css)), r.ssw) if ok else (None, None, None, None))
+        return pd.DataFrame(out, columns=["within_sd", "between_sd", "between_hi", "singular"])
+
+    columns = F.struct(F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce("ssw", F.lit(0.0)).alias("ssw"), "n", "k", "mean", "css")
+    one = one.withColumn("f", F.pandas_udf(fit, "within_sd double, between_sd double, between_hi double, singular boolean")(columns))
+    return one.select(F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), "f.*")
 
 
 def classification_agreement(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.islands import REC, along
+from ..functions.islands import REC, along, finite
 
 ACCEL_HZ, PACKET_SAMPLES = 203.4, 36
 
@@ -33,34 +33,48 @@ def make_grid(samples: DataFrame, step: float) -> DataFrame:
     return r.select(*REC, "k", (F.col("lo") + F.col("k") * F.lit(step)).alias("t_s"))
 
 
+def _neighbours(order: list, ahead: list, by: tuple[str, ...] = REC) -> tuple[Column, Column]:
+    """The last known `point` up to each row along one order, and the next one: both look back, one along the reversed order."""
+    back = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    front = Window.partitionBy(*by).orderBy(*ahead).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last("point", True).over(back), F.last("point", True).over(front)
+
+
 def interp_to_grid(samples: DataFrame, grid: DataFrame) -> DataFrame:
-    """Linear interpolation of samples at grid times, ends held: one sort of both together, looking back and ahead."""
-    both = samples.where("value is not null").select(*REC, "t_s", "value", F.lit(None).cast("int").alias("k")).unionByName(
-        grid.select(*REC, "t_s", F.lit(None).cast("double").alias("value"), "k")
+    """Linear interpolation of samples at grid times, ends held: both together sorted forward and backward in one shuffle."""
+    point = F.struct("t_s", "value")
+    both = samples.where("value is not null").select(*REC, "t_s", point.alias("point"), F.lit(None).cast("bigint").alias("k")).unionByName(
+        grid.select(*REC, "t_s", F.lit(None).cast("struct<t_s:double,value:double>").alias("point"), F.col("k").cast("bigint").alias("k"))
     )
-    point = F.when(F.col("k").isNull(), F.struct("t_s", "value"))
-    w = along(["t_s", "k"])
-    both = both.withColumns(
-        {
-            "a": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "b": F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).where("k is not null")
+    # Samples have no k: they come before grid points of the same time.
+    before, after = _neighbours([F.col("t_s"), F.col("k").asc_nulls_first()], [F.col("t_s").desc(), F.col("k").asc_nulls_first()])
+    both = both.withColumns({"a": before, "b": after}).where("k is not null")
     a, b = F.col("a"), F.col("b")
     part = (F.col("t_s") - a["t_s"]) / (b["t_s"] - a["t_s"])
     line = F.when(a.isNull(), b["value"]).when(b.isNull() | (a["t_s"] == F.col("t_s")), a["value"]).otherwise(a["value"] + part * (b["value"] - a["value"]))
-    return both.select(*REC, "k", "t_s", line.alias("value"))
+    return both.select(*REC, F.col("k").cast(grid.schema["k"].dataType).alias("k"), "t_s", line.alias("value"))
 
 
-def fill_gaps(samples: DataFrame) -> DataFrame:
+def fill_gaps(samples: DataFrame, by: tuple[str, ...] = REC) -> DataFrame:
     """Missing values interpolated along idx, ends held; filled marks them. A recording without values stays missing."""
-    w = along()
-    point = F.when(F.col("value").isNotNull(), F.struct("idx", "value"))
-    x = samples.withColumns({"a": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    x = samples.withColumn("point", F.when(finite("value").isNotNull(), F.struct("idx", "value")))
+    before, after = _neighbours([F.col("idx")], [F.col("idx").desc()], by)
+    x = x.withColumns({"a": before, "b": after})
     a, b = F.col("a"), F.col("b")
     line = F.when(a.isNull(), b["value"]).when(b.isNull() | (a["idx"] == b["idx"]), a["value"])
     line = line.otherwise(a["value"] + (b["value"] - a["value"]) * (F.col("idx") - a["idx"]) / (b["idx"] - a["idx"]))
-    return x.withColumns({"filled": F.col("value").isNull(), "value": line}).drop("a", "b")
+    return x.withColumns({"filled": F.col("point").isNull(), "value": line}).drop("a", "b", "point")
+
+
+def sample_time(samples: DataFrame, fs: float, t0: Column | float = 0.0) -> DataFrame:
+    """t_s of each sample: t0 + (idx - 1) / fs."""
+    return samples.withColumn("t_s", (t0 if isinstance(t0, Column) else F.lit(t0)) + (F.col("idx") - 1) / F.lit(fs))
+
+
+def project_to_grid(samples: DataFrame, drift: DataFrame, grid: DataFrame, fs: float = 25.0) -> DataFrame:
+    """A second device's samples on the first one's grid: its clock is (idx - 1) / fs plus the fitted offset at trial 0 (drift.offset0_ms)."""
+    own = samples.select(*REC, "idx", "value").join(drift.select(*REC, (F.col("offset0_ms") / 1000).alias("t0")), list(REC))
+    return interp_to_grid(sample_time(own, fs, F.col("t0")), grid)
 
 
 def recording_duration(samples: DataFrame, fs: float) -> DataFrame:
@@ -111,7 +125,10 @@ def from_timestamped(samples: DataFrame) -> DataFrame:
 
 
 def list_channels(samples: DataFrame) -> DataFrame:
-    return samples.groupBy(*REC, "channel").agg(F.count(F.lit(1)).alias("n"), F.min("t_s").alias("first_s"), F.max("t_s").alias("last_s"))
+    """Number, name, units, rate (from the mean step), samples and span of each channel of a recording."""
+    g = samples.groupBy(*REC, "channel").agg(F.first("units", True).alias("units"), F.count(F.lit(1)).alias("n"), F.min("t_s").alias("first_s"), F.max("t_s").alias("last_s"))
+    fs = F.try_divide(F.col("n") - 1, F.col("last_s") - F.col("first_s"))
+    return g.withColumns({"index": F.row_number().over(along("channel")), "fs": fs})
 
 
 def legacy_rate_fix(recordings: DataFrame, most: int = 13) -> DataFrame:

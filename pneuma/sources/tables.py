@@ -49,3 +49,17 @@ def vector_samples(spark: SparkSession, sf_dir: str, fs: float = 25.0) -> DataFr
 VECTORS_SQL = """e AS (
   SELECT vec_id AS recording_id, label, unnest(range(1, len(embedding) + 1)) AS idx, unnest(embedding)::DOUBLE AS value
   FROM embeddings)"""
+
+
+def from_vector(rows: DataFrame, key: str, values: str, fs: float, t0: float = 0.0, rate: str | None = None) -> DataFrame:
+    """samples of one uniform recording per row: key as recording_id, idx from 1, t_s from t0, value. fs is the true rate: a row whose own rate
+    (column `rate`) differs from it is an error, as is a rate that is not positive.
+    """
+    if fs <= 0:
+        raise ValueError("the rate is not positive")
+    array = F.col(values)
+    if rate:
+        wrong = F.coalesce(F.abs(F.col(rate) - fs) > 1e-9 * fs, F.lit(False))
+        array = F.when(wrong, F.raise_error(F.concat(F.lit("the rate contradicts that of row "), F.col(key).cast("string"))).cast("array<double>")).otherwise(array.cast("array<double>"))
+    each = rows.select(F.col(key).alias("recording_id"), F.posexplode(array).alias("_p", "_x"))
+    return each.select("recording_id", (F.col("_p") + 1).cast("bigint").alias("idx"), (F.lit(t0) + F.col("_p") / F.lit(fs)).alias("t_s"), F.col("_x").cast("double").alias("value"))
