@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.islands import REC, rounded
 from ..functions.tdist import t_cdf, t_quantile
 from ..operators import clean as C
+from ..operators import quality as Q
 from ..operators import trials as T
-from ..sources.tables import event_samples, read
+from ..sources.tables import VECTORS_SQL, event_samples, read, vector_samples
 from .cohort import _R, _rated
-from .signals import _C, _GAPPY, _coded, _gappy
+from .filters import band_response, dft_filter_sql
 
 
 def _trials(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,34 +101,46 @@ ADHERENCE = f"""WITH {_T}, s AS (SELECT l_orderkey AS trial, CASE WHEN count(*)
 SELECT CASE WHEN delta <> 0 AND slope IS NOT NULL AND NOT isnan(slope) THEN (sign(slope) * sign(delta))::INT END AS adherence, count(*) AS n FROM tr JOIN s USING (trial) GROUP BY ALL"""
 
 
+#: At one sample a second: band, breathing band, and thresholds that suit the vectors' spread.
+_QUALITY = {"target_fs": None, "low": 0.05, "high": 0.25, "resp_band": 0.15, "dom_lo": 0.05, "thresholds": {"iqr_unusable": 0.05, "iqr_degraded": 0.09, "freq_lo": 0.06, "freq_hi": 0.14, "band_ratio_min": 0.5, "saturation_pct": 4.0}}
+
+
 def quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics of each recording joined, with flags and a verdict."""
-    s = event_samples(spark, sf)
-    iqr = s.groupBy(*REC).agg((F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr"))
-    m = C.flatline(_coded(spark, sf), 2).drop("n_runs").join(C.saturation(s, 0.05), list(REC)).join(C.missing_pct(_gappy(spark, sf)), list(REC)).join(iqr, list(REC))
-    return rounded(T.verdict(m))
+    """Vectors as recordings of 64 s at one sample a second, ten seconds trimmed at both ends."""
+    return rounded(Q.quality(vector_samples(spark, sf, 1.0), 1.0, 10.0, **_QUALITY))
+
+
+def _spectrum_sql(source: str, seg: int, by: str = "recording_id") -> str:
+    """bm({by}, br, dom) of the first seg samples (i from 0) of each key."""
+    return f"""hn AS (SELECT {by}, i, (value - avg(value) OVER (PARTITION BY {by})) * 0.5 * (1 - cos(2 * pi() * i / {seg - 1})) AS v FROM {source} WHERE i < {seg}),
+ft AS (SELECT {by}, k * 1.0::DOUBLE / {seg} AS f, sum(v * cos(2 * pi() * ((k * i) % {seg}) / {seg})) ** 2 + sum(v * sin(2 * pi() * ((k * i) % {seg}) / {seg})) ** 2 AS p FROM hn, range(0, {seg // 2}) t(k) GROUP BY {by}, k),
+bm AS (SELECT {by}, sum(p) FILTER (f BETWEEN 0.05 AND 0.15) / sum(p) FILTER (f BETWEEN 0.05 AND 0.25) AS br, arg_max(f, p) FILTER (f BETWEEN 0.05 AND 0.15) AS dom FROM ft GROUP BY ALL)"""
 
 
-QUALITY = f"""WITH {_C}, r AS (SELECT *, sum(ch) OVER (PARTITION BY recording_id ORDER BY idx) AS run FROM (SELECT *, (idx = 1 OR value IS DISTINCT FROM lag(value) OVER (PARTITION BY recording_id ORDER BY idx))::INT AS ch FROM c)),
-u AS (SELECT recording_id, run, count(*) AS n, count(value) AS v FROM r GROUP BY ALL), fl AS (SELECT recording_id, 100.0::DOUBLE * sum(CASE WHEN n >= 2 AND v > 0 THEN n ELSE 0 END) / sum(n) AS f FROM u GROUP BY ALL),
-b AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM s WINDOW w AS (PARTITION BY recording_id)),
-st AS (SELECT recording_id, 100 * avg((value <= lo + 0.05 * (hi - lo) OR value >= hi - 0.05 * (hi - lo))::INT) AS sat, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, 100 * avg((code % 5 = 0)::INT) AS miss FROM b GROUP BY ALL),
-j AS (SELECT *, [f > 20, sat > 12, miss > 25, iqr < 40] AS t FROM fl JOIN st USING (recording_id))
-SELECT recording_id, round(f, 6) AS flat_pct, round(sat, 6) AS saturated_pct, round(miss, 6) AS missing_pct, round(iqr, 6) AS iqr,
-concat_ws('; ', CASE WHEN t[1] THEN 'flat' END, CASE WHEN t[2] THEN 'saturated' END, CASE WHEN t[3] THEN 'missing' END, CASE WHEN t[4] THEN 'low spread' END) AS flags,
-CASE WHEN miss >= 100 THEN 'unusable' WHEN len(list_filter(t, lambda x: x)) = 0 THEN 'good' WHEN len(list_filter(t, lambda x: x)) = 1 THEN 'degraded' ELSE 'unusable' END AS verdict FROM j"""
+QUALITY = f"""WITH {VECTORS_SQL}, ra AS (SELECT recording_id, idx - 10 AS idx, value FROM e WHERE idx BETWEEN 11 AND 55),
+{dft_filter_sql("ra", band_response("0.05, 0.25", 2), 1.0, 44, "fl", 45)},
+fi AS (SELECT recording_id, idx - 1 AS i, value FROM fl), {_spectrum_sql("fi", 44)},
+nb AS (SELECT *, round(value, 6) IN (lag(round(value, 6)) OVER w, lead(round(value, 6)) OVER w) AS same, min(value) OVER v AS lo, max(value) OVER v AS hi FROM ra WINDOW w AS (PARTITION BY recording_id ORDER BY idx), v AS (PARTITION BY recording_id)),
+rw AS (SELECT recording_id, 100.0 * avg(coalesce(same, false)::INT) AS flat, 100.0 * avg((value <= lo + 0.001 * (hi - lo) OR value >= hi - 0.001 * (hi - lo))::INT) AS sat FROM nb GROUP BY ALL),
+iq AS (SELECT recording_id, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM fl GROUP BY ALL),
+al AS (SELECT *, list_filter([CASE WHEN iqr < 0.09 THEN 'low spread' END, CASE WHEN dom < 0.06 OR dom > 0.14 THEN 'frequency' END, CASE WHEN flat > 10 THEN 'flatline' END, CASE WHEN sat > 4 THEN 'saturated' END,
+  CASE WHEN br < 0.5 THEN 'band ratio' END, CASE WHEN iqr < 0.05 THEN 'no spread' END], lambda x: x IS NOT NULL) AS t FROM iq JOIN rw USING (recording_id) JOIN bm USING (recording_id))
+SELECT recording_id, CASE WHEN iqr < 0.05 THEN 'unusable' WHEN len(t) > 0 THEN 'degraded' ELSE 'good' END AS quality, round(iqr, 6) AS filtered_iqr, round(br, 6) AS band_ratio, round(dom, 6) AS dominant_hz,
+round(60 * dom, 6) AS dominant_rate_bpm, round(flat, 6) AS flat_pct, round(sat, 6) AS saturated_pct, 0.0::DOUBLE AS na_pct, 64.0::DOUBLE AS duration_s, 45.0::DOUBLE AS usable_s, array_to_string(t, '; ') AS flags FROM al"""
 
 
 def quality_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Spread and missing share per two-day segment; stubs of few samples are left out."""
-    g = _gappy(spark, sf).withColumn("segment", F.floor(F.col("t_s") / 172800).cast("int")).groupBy(*REC, "segment")
-    m = g.agg(F.count(F.lit(1)).alias("n"), (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr"), F.avg(F.col("value").isNull().cast("double")).alias("missing"))
-    return rounded(m.where("n >= 3").withColumn("usable", (F.col("missing") < 0.5) & (F.col("iqr") > 10)))
+    """The same recordings in segments of 32 s."""
+    return rounded(Q.quality_segments(vector_samples(spark, sf, 1.0), 1.0, 32.0, stub_s=5.0, **_QUALITY))
 
 
-SEGMENTS = f"""WITH {_GAPPY}, g AS (SELECT c.*, floor(s.t_s / 172800)::INT AS segment FROM c JOIN s USING (recording_id, idx)),
-m AS (SELECT recording_id, segment, count(*) AS n, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, avg((value IS NULL)::INT) AS missing FROM g GROUP BY ALL HAVING count(*) >= 3)
-SELECT recording_id, segment, n, round(iqr, 6) AS iqr, round(missing, 6) AS missing, missing < 0.5 AND iqr > 10 AS usable FROM m"""
+SEGMENTS = f"""WITH {VECTORS_SQL}, {dft_filter_sql("e", band_response("0.05, 0.25", 2), 1.0, 60)},
+fi AS (SELECT recording_id, (idx - 1) // 32 AS segment, (idx - 1) % 32 AS i, value FROM fl), {_spectrum_sql("fi", 32, "recording_id, segment")},
+nb AS (SELECT recording_id, (idx - 1) // 32 AS segment, round(value, 6) IN (lag(round(value, 6)) OVER w, lead(round(value, 6)) OVER w) AS same FROM e WINDOW w AS (PARTITION BY recording_id, (idx - 1) // 32 ORDER BY idx)),
+rw AS (SELECT recording_id, segment, 100.0 * avg(coalesce(same, false)::INT) AS flat FROM nb GROUP BY ALL),
+iq AS (SELECT recording_id, segment, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM fi GROUP BY ALL)
+SELECT recording_id, segment, segment * 32.0::DOUBLE AS start_s, segment * 32.0::DOUBLE + 31 AS end_s, round(iqr, 6) AS filtered_iqr, round(dom, 6) AS dominant_hz, round(flat, 6) AS flat_pct, 0.0::DOUBLE AS na_pct,
+NOT (iqr < 0.09 OR dom < 0.06 OR dom > 0.14 OR flat > 10) AS usable FROM iq JOIN rw USING (recording_id, segment) JOIN bm USING (recording_id, segment)"""
 
 
 def vacant_channel_guard(spark: SparkSession, sf: str) -> DataFrame:

@@ -222,20 +222,27 @@ SELECT count(*) AS n_groups, round(sqrt(greatest(0, var_samp(m) - avg(v / n))),
 
 
 def variance_components(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(A.variance_components(_rated(spark, sf).withColumn("d", F.col("a") - F.col("b")), "participant_id", "d"), 4)
-
-
-def _grid(lo: str, step: str) -> str:
-    return f"""SELECT ratio, sum(n) AS nn, count(*) AS k, sum(ssw) + sum(n / (1 + ratio * n) * m * m) - sum(n / (1 + ratio * n) * m) ** 2 / sum(n / (1 + ratio * n)) AS rss,
-  sum(ln(1 + ratio * n)) AS ld, ln(sum(n / (1 + ratio * n))) AS lw FROM gt, (SELECT {lo} + ({step}) * i AS ratio FROM range(33) t(i)) GROUP BY ratio
-  QUALIFY row_number() OVER (ORDER BY (nn - 1) * ln(rss) + ld + lw, ratio) = 1"""
-
-
-VARIANCE = f"""WITH {_GT}, g1 AS ({_grid("0", "4.0::DOUBLE / 32")}),
-g2 AS ({_grid("(SELECT greatest(0, ratio - 0.125) FROM g1)", "(SELECT (ratio + 0.125 - greatest(0, ratio - 0.125)) / 32 FROM g1)")}),
-h AS (SELECT g2.ratio, (g1.ratio + 0.125 - greatest(0, g1.ratio - 0.125)) / 32 AS st FROM g1, g2),
-g3 AS ({_grid("(SELECT greatest(0, ratio - st) FROM h)", "(SELECT (ratio + st - greatest(0, ratio - st)) / 32 FROM h)")})
-SELECT k AS n_groups, round(sqrt(rss / (nn - 1)), 4) AS within_sd, round(sqrt(rss / (nn - 1) * ratio), 4) AS between_sd, ratio = 0 AS singular FROM g3"""
+    """All but the profile bound, which a test compares with a dense likelihood."""
+    found = A.variance_components(_rated(spark, sf).withColumn("d", F.col("a") - F.col("b")), "participant_id", "d")
+    return rounded(found.drop("between_hi"), 3)
+
+
+#: Restricted likelihood by its fixed point: with w = n / (1 + ratio n), the score in the ratio is zero where sum w^2 (m - mu)^2 * (N - 1) / rss equals
+#: sum w - sum w^2 / sum w. Bisection over the logarithm of the ratio, not the search of the Spark query.
+VARIANCE = f"""WITH RECURSIVE {_GT}, gk AS (SELECT * FROM gt WHERE n >= 5),
+cell AS (SELECT n, count(*) AS k, avg(m) AS m, coalesce(var_pop(m), 0) * count(*) AS css, sum(ssw) AS ssw FROM gk GROUP BY n),
+one AS (SELECT array_agg({{'n': n::DOUBLE, 'k': k, 'm': m, 'c': css}}) AS c, sum(n * k)::BIGINT AS n_obs, sum(k)::BIGINT AS n_groups, sum(ssw) AS ssw FROM cell),
+bi AS (SELECT -24.0::DOUBLE AS lo, 24.0::DOUBLE AS hi, 0 AS i
+  UNION ALL SELECT CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, i + 1 FROM (
+    SELECT lo, hi, i, mid, list_sum(list_transform(c, lambda x: (x.n / (1 + exp(mid) * x.n)) ** 2 * (x.c + x.k * (x.m - mu) ** 2))) * (n_obs - 1) /
+      (ssw + list_sum(list_transform(c, lambda x: x.n / (1 + exp(mid) * x.n) * (x.c + x.k * (x.m - mu) ** 2)))) >
+      sw - list_sum(list_transform(c, lambda x: x.k * (x.n / (1 + exp(mid) * x.n)) ** 2)) / sw AS up
+    FROM (SELECT *, list_sum(list_transform(c, lambda x: x.k * x.n / (1 + exp(mid) * x.n) * x.m)) / sw AS mu FROM (
+      SELECT *, list_sum(list_transform(c, lambda x: x.k * x.n / (1 + exp(mid) * x.n))) AS sw FROM (SELECT lo, hi, i, (lo + hi) / 2 AS mid FROM bi WHERE i < 60), one)))),
+ra AS (SELECT CASE WHEN hi < -23.9 THEN 0 ELSE exp((lo + hi) / 2) END AS ratio FROM bi WHERE i = 60),
+w AS (SELECT ratio, sum(k * n / (1 + ratio * n) * m) / sum(k * n / (1 + ratio * n)) AS mu FROM ra, cell GROUP BY ratio),
+v AS (SELECT ratio, (sum(ssw) + sum(n / (1 + ratio * n) * (css + k * (m - mu) ** 2))) / (sum(n * k) - 1) AS v2 FROM w, cell GROUP BY ratio)
+SELECT n_obs, n_groups, round(sqrt(v2), 3) AS within_sd, round(sqrt(v2 * ratio), 3) AS between_sd, ratio = 0 AS singular FROM v, one"""
 
 
 def classification_agreement(spark: SparkSession, sf: str) -> DataFrame:

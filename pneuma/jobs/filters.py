@@ -16,7 +16,7 @@ from .signals import _G, _GAPPY, _gappy
 N = 64
 
 
-def _response(edges: str, order: int, f: str = "f") -> str:
+def band_response(edges: str, order: int, f: str = "f") -> str:
     """Gain of the Butterworth pass at frequency f of rate fs; edges: low, high or both, as in `0.5, 5.0`, `, 5.0` or `0.5,`."""
     low, high = (e.strip() for e in edges.split(","))
     o = f"tan(pi() * least({f}, 0.499999::DOUBLE * fs) / fs)"
@@ -33,15 +33,15 @@ def _chebyshev(q: int) -> str:
     return f"1 / (1 + (10.0::DOUBLE ** 0.005 - 1) * (CASE WHEN {x} <= 1 THEN cos(8 * acos(least(1, {x}))) ELSE cosh(8 * acosh(greatest(1, {x}))) END) ** 2)"
 
 
-def dft_filter_sql(source: str, gain: str, fs: float, pad: int = N - 1, name: str = "fl") -> str:
-    """Common tables that end in {name}(recording_id, idx, value): source (recording_id, idx, value; 64 samples each) with odd reflection,
+def dft_filter_sql(source: str, gain: str, fs: float, pad: int = N - 1, name: str = "fl", n: int = N) -> str:
+    """Common tables that end in {name}(recording_id, idx, value): source (recording_id, idx, value; n samples each) with odd reflection,
     transformed, times the gain, and back."""
-    m = N + 2 * pad
-    return f"""{name}_n AS (SELECT recording_id, array_agg(value ORDER BY idx) AS v FROM {source} GROUP BY ALL HAVING count(*) = {N}),
-{name}_x AS (SELECT recording_id, j, CASE WHEN j < {pad} THEN 2 * v[1] - v[{pad} - j + 1] WHEN j < {pad + N} THEN v[j - {pad} + 1] ELSE 2 * v[{N}] - v[{2 * N - 1} - (j - {pad})] END AS x FROM {name}_n, range(0, {m}) t(j)),
+    m = n + 2 * pad
+    return f"""{name}_n AS (SELECT recording_id, array_agg(value ORDER BY idx) AS v FROM {source} GROUP BY ALL HAVING count(*) = {n}),
+{name}_x AS (SELECT recording_id, j, CASE WHEN j < {pad} THEN 2 * v[1] - v[{pad} - j + 1] WHEN j < {pad + n} THEN v[j - {pad} + 1] ELSE 2 * v[{n}] - v[{2 * n - 1} - (j - {pad})] END AS x FROM {name}_n, range(0, {m}) t(j)),
 {name}_f AS (SELECT recording_id, k, sum(x * cos(2 * pi() * ((k * j) % {m}) / {m})) AS re, -sum(x * sin(2 * pi() * ((k * j) % {m}) / {m})) AS im FROM {name}_x, range(0, {m // 2 + 1}) t(k) GROUP BY ALL),
 {name}_g AS (SELECT recording_id, k, re * g AS re, im * g AS im FROM (SELECT *, ({gain}) * CASE WHEN k = 0 OR 2 * k = {m} THEN 1 ELSE 2 END / {m} AS g FROM (SELECT *, k * fs / {m} AS f FROM (SELECT *, {fs}::DOUBLE AS fs FROM {name}_f)))),
-{name} AS (SELECT recording_id, i AS idx, sum(re * cos(2 * pi() * ((k * (i - 1 + {pad})) % {m}) / {m}) - im * sin(2 * pi() * ((k * (i - 1 + {pad})) % {m}) / {m})) AS value FROM {name}_g, range(1, {N + 1}) t(i) GROUP BY ALL)"""
+{name} AS (SELECT recording_id, i AS idx, sum(re * cos(2 * pi() * ((k * (i - 1 + {pad})) % {m}) / {m}) - im * sin(2 * pi() * ((k * (i - 1 + {pad})) % {m}) / {m})) AS value FROM {name}_g, range(1, {n + 1}) t(i) GROUP BY ALL)"""
 
 
 def _filter_oracle(gain: str, digits: int = 6) -> str:
@@ -86,9 +86,9 @@ def decimation_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DECIMATION_PLAN = """WITH RECURSIVE n AS (SELECT range::INT AS q FROM range(1, 62)),
-pf AS (SELECT q, q AS left, 2 AS p, []::INT[] AS ps FROM n
-  UNION ALL SELECT q, CASE WHEN left % p = 0 THEN left // p ELSE left END, CASE WHEN left % p = 0 THEN p ELSE p + 1 END, CASE WHEN left % p = 0 THEN list_append(ps, p) ELSE ps END FROM pf WHERE left > 1),
-pr AS (SELECT q, list_reverse_sort(ps) AS ps FROM pf WHERE left = 1),
+pf AS (SELECT q, q AS rest, 2 AS p, []::INT[] AS ps FROM n
+  UNION ALL SELECT q, CASE WHEN rest % p = 0 THEN rest // p ELSE rest END, CASE WHEN rest % p = 0 THEN p ELSE p + 1 END, CASE WHEN rest % p = 0 THEN list_append(ps, p) ELSE ps END FROM pf WHERE rest > 1),
+pr AS (SELECT q, list_reverse_sort(ps) AS ps FROM pf WHERE rest = 1),
 st AS (SELECT q, ps, 1 AS i, []::INT[] AS s FROM pr
   UNION ALL SELECT q, ps, i + 1, CASE WHEN list_position(list_transform(s, lambda x: x * ps[i] <= 13), true) > 0
     THEN list_concat(list_concat(s[1 : list_position(list_transform(s, lambda x: x * ps[i] <= 13), true)::INT - 1], [s[list_position(list_transform(s, lambda x: x * ps[i] <= 13), true)] * ps[i]]), s[list_position(list_transform(s, lambda x: x * ps[i] <= 13), true)::INT + 1 :])
@@ -123,7 +123,7 @@ me AS (SELECT recording_id, idx, median(v) OVER (PARTITION BY recording_id ORDER
 sc AS (SELECT df.recording_id, 1.4826 * median(abs(d - md)) AS sc FROM df JOIN sl USING (recording_id) GROUP BY ALL),
 fg AS (SELECT df.*, coalesce(NOT filled AND abs(v - med) > sc, false) AS bad FROM df JOIN me USING (recording_id, idx) JOIN sc USING (recording_id)),
 rn AS (SELECT *, sum(ch) OVER (PARTITION BY recording_id ORDER BY idx) AS run FROM (SELECT *, (bad IS DISTINCT FROM lag(bad) OVER (PARTITION BY recording_id ORDER BY idx))::INT AS ch FROM fg)),
-sp AS (SELECT *, bad AND count(*) OVER (PARTITION BY recording_id, run) <= 10 AS spiked FROM rn),
+sp AS (SELECT *, bad AND count(*) OVER (PARTITION BY recording_id, run) <= 3 AS spiked FROM rn),
 ok AS (SELECT recording_id, idx, v FROM sp WHERE NOT spiked AND NOT filled),
 l2 AS (SELECT sp.*, ok.idx AS i0, ok.v AS v0 FROM sp ASOF LEFT JOIN ok ON ok.recording_id = sp.recording_id AND ok.idx <= sp.idx),
 r2 AS (SELECT l2.*, ok.idx AS i1, ok.v AS v1 FROM l2 ASOF LEFT JOIN ok ON ok.recording_id = l2.recording_id AND ok.idx >= l2.idx)
@@ -207,8 +207,8 @@ r AS (SELECT l.*, q.t_s AS t1, q.value AS v1 FROM l ASOF LEFT JOIN q ON q.record
 SELECT recording_id, k, round(t_s, 6) AS t_s, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t_s THEN v0 ELSE v0 + (t_s - t0) / (t1 - t0) * (v1 - v0) END, 6) AS value FROM r"""
 
 QUERIES = {
-    "zero_phase_filter": (zero_phase_filter, _filter_oracle(_response("0.5, 5.0", 2))), "calib_bandpass": (calib_bandpass, _filter_oracle(_response("0.5, 5.0", 4))),
-    "calib_lowpass": (calib_lowpass, _filter_oracle(_response(", 3.0", 4))), "detrend_highpass": (detrend_highpass, _filter_oracle(_response("1.0,", 2))),
+    "zero_phase_filter": (zero_phase_filter, _filter_oracle(band_response("0.5, 5.0", 2))), "calib_bandpass": (calib_bandpass, _filter_oracle(band_response("0.5, 5.0", 4))),
+    "calib_lowpass": (calib_lowpass, _filter_oracle(band_response(", 3.0", 4))), "detrend_highpass": (detrend_highpass, _filter_oracle(band_response("1.0,", 2))),
     "decimate": (decimate, DECIMATE), "downsample": (downsample, DOWNSAMPLE), "decimation_plan": (decimation_plan, DECIMATION_PLAN), "decimation_factor": (decimation_factor, FACTOR),
     "despike": (despike, DESPIKE), "detrend_median": (detrend_median, DETREND_MEDIAN), "dominant_rate": (dominant_rate, DOMINANT), "double_integrate": (double_integrate, DOUBLE_INTEGRATE),
     "flag_alias_prone": (flag_alias_prone, ALIAS), "coherence_null": (coherence_null, ""), "cycle_shape_corr": (cycle_shape_corr, CYCLE), "sample_time": (sample_time, SAMPLE_TIME),

@@ -161,11 +161,20 @@ PROMINENCE_DISTRIBUTION_SQL = f"""WITH {PROMINENCE_SQL} SELECT recording_id, cou
 
 
 def prominence_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return X.prominence_sweep(X.peak_prominence(event_samples(spark, sf)), [10.0, 20.0, 40.0, 80.0])
+    return X.prominence_sweep(X.peak_prominence(event_samples(spark, sf)), [10.0, 20.0, 40.0, 80.0], 4.0)
 
 
-PROMINENCE_SWEEP_SQL = f"""WITH {PROMINENCE_SQL} SELECT recording_id, threshold::DOUBLE AS threshold, sum((prominence >= threshold)::BIGINT)::BIGINT AS kept,
-  sum((prominence < threshold)::BIGINT)::BIGINT AS dropped FROM pr, (VALUES (10), (20), (40), (80)) g(threshold) GROUP BY ALL"""
+#: The heaviest left of each recording and threshold is taken in turn, and its neighbours go.
+PROMINENCE_SWEEP_SQL = f"""WITH RECURSIVE {PROMINENCE_SQL},
+th AS (SELECT pr.*, threshold::DOUBLE AS threshold FROM pr, (VALUES (10), (20), (40), (80)) g(threshold)),
+q AS (SELECT recording_id, threshold, idx, row_number() OVER (PARTITION BY recording_id, threshold ORDER BY prominence DESC, idx) AS rk FROM th WHERE prominence >= threshold),
+st AS (SELECT recording_id, threshold, []::BIGINT[] AS taken, 1 AS rk FROM (SELECT DISTINCT recording_id, threshold FROM q)
+  UNION ALL SELECT st.recording_id, st.threshold, CASE WHEN len(list_filter(st.taken, lambda x: abs(x - q.idx) < 4)) = 0 THEN list_append(st.taken, q.idx) ELSE st.taken END, st.rk + 1
+  FROM st JOIN q ON q.recording_id = st.recording_id AND q.threshold = st.threshold AND q.rk = st.rk),
+fin AS (SELECT recording_id, threshold, list_sort(arg_max(taken, rk)) AS taken FROM st GROUP BY ALL),
+n AS (SELECT recording_id, threshold, sum((prominence >= threshold)::BIGINT)::BIGINT AS kept, sum((prominence < threshold)::BIGINT)::BIGINT AS dropped FROM th GROUP BY ALL)
+SELECT n.*, coalesce(len(taken), 0)::BIGINT AS spaced, list_median(list_transform(range(2, len(taken) + 1), lambda i: taken[i] - taken[i - 1])) AS median_step
+FROM n LEFT JOIN fin USING (recording_id, threshold)"""
 
 
 def min_distance_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,17 +193,22 @@ SELECT q.recording_id, q.idx, q.value, round(q.prominence, 6) AS prominence FROM
 
 
 def extrema_prominence(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(X.extrema_prominence(event_samples(spark, sf), 30.0, 1.0))
+    return rounded(X.extrema_prominence(event_samples(spark, sf), 30.0, 5.0))
 
 
-EXTREMA_PROMINENCE_SQL = f"""WITH {PROMINENCE_SQL},
+EXTREMA_PROMINENCE_SQL = f"""WITH RECURSIVE {PROMINENCE_SQL},
 tr AS (SELECT recording_id, idx, value FROM ex WHERE kind = 'trough'),
 bt AS (SELECT p.recording_id, p.idx, p.value, coalesce(max(q.idx) FILTER (q.idx < p.idx), 0) AS lo, coalesce(min(q.idx) FILTER (q.idx > p.idx), 1000000000) AS hi
   FROM tr p LEFT JOIN s q ON q.recording_id = p.recording_id AND q.value < p.value GROUP BY ALL),
 pt AS (SELECT b.recording_id, b.idx, b.value, least(max(s.value) FILTER (s.idx <= b.idx), max(s.value) FILTER (s.idx >= b.idx)) - b.value AS prominence
-  FROM bt b JOIN s ON s.recording_id = b.recording_id AND s.idx > b.lo AND s.idx < b.hi GROUP BY b.recording_id, b.idx, b.value)
-SELECT recording_id, idx, value, round(prominence, 6) AS prominence, 'peak' AS kind FROM pr WHERE prominence >= 30
-UNION ALL SELECT recording_id, idx, value, round(prominence, 6), 'trough' FROM pt WHERE prominence >= 30"""
+  FROM bt b JOIN s ON s.recording_id = b.recording_id AND s.idx > b.lo AND s.idx < b.hi GROUP BY b.recording_id, b.idx, b.value),
+al AS (SELECT *, 'peak' AS kind FROM pr WHERE prominence >= 30 UNION ALL SELECT *, 'trough' FROM pt WHERE prominence >= 30),
+q AS (SELECT *, row_number() OVER (PARTITION BY recording_id, kind ORDER BY prominence DESC, idx) AS rk FROM al),
+sg AS (SELECT recording_id, kind, []::BIGINT[] AS taken, 1 AS rk FROM (SELECT DISTINCT recording_id, kind FROM q)
+  UNION ALL SELECT sg.recording_id, sg.kind, CASE WHEN len(list_filter(sg.taken, lambda x: abs(x - q.idx) < 5)) = 0 THEN list_append(sg.taken, q.idx) ELSE sg.taken END, sg.rk + 1
+  FROM sg JOIN q ON q.recording_id = sg.recording_id AND q.kind = sg.kind AND q.rk = sg.rk),
+fin AS (SELECT recording_id, kind, arg_max(taken, rk) AS taken FROM sg GROUP BY ALL)
+SELECT q.recording_id, q.idx, q.value, round(q.prominence, 6) AS prominence, q.kind FROM q JOIN fin USING (recording_id, kind) WHERE list_contains(taken, q.idx)"""
 
 
 def extrema_zerocross(spark: SparkSession, sf: str) -> DataFrame:

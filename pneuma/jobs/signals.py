@@ -262,8 +262,9 @@ def list_channels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.list_channels(s))
 
 
-CHANNELS = f"""WITH {S} SELECT recording_id, label AS channel, CASE WHEN label = 'error' THEN 'count' ELSE 'V' END AS units, count(*) AS n, round(min(t_s), 6) AS first_s, round(max(t_s), 6) AS last_s,
-(row_number() OVER (PARTITION BY recording_id ORDER BY label))::INT AS index, round((count(*) - 1) / nullif(max(t_s) - min(t_s), 0), 6) AS fs FROM s GROUP BY ALL"""
+CHANNELS = f"""WITH {S}, g AS (SELECT recording_id, label AS channel, CASE WHEN label = 'error' THEN 'count' ELSE 'V' END AS units, count(*) AS n, min(t_s) AS first_s, max(t_s) AS last_s FROM s GROUP BY ALL)
+SELECT recording_id, channel, units, n, round(first_s, 6) AS first_s, round(last_s, 6) AS last_s, (row_number() OVER (PARTITION BY recording_id ORDER BY channel))::INT AS index,
+round((n - 1) / nullif(last_s - first_s, 0), 6) AS fs FROM g"""
 
 
 def legacy_rate_fix(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,7 +24,7 @@ def hann(n: int) -> np.ndarray:
 
 
 def segment_arrays(samples: DataFrame, columns: list[str], segment: Column | int, overlap: float = 0.5, by: tuple[str, ...] = REC) -> DataFrame:
-    """recording_id, segment, seg and an array of each column for all whole segments of a recording.
+    """the key, seg (length) and an array of each column for all whole segments of a recording.
 
     segment may use the recording's number of samples, n; it is cut to n and
     made even. A sample is copied to each segment that covers it, so a long
@@ -36,10 +36,10 @@ def segment_arrays(samples: DataFrame, columns: list[str], segment: Column | int
     step, p = F.greatest(F.lit(1), F.round(F.col("seg") * (1 - overlap))), F.col("idx") - 1
     first = F.greatest(F.lit(0), F.ceil((p - F.col("seg") + 1) / step)).cast("bigint")
     last = F.least(F.floor(p / step), F.floor((F.col("n") - F.col("seg")) / step)).cast("bigint")
-    x = x.withColumns({"_a": first, "_z": last}).where("_a <= _z").withColumn("segment", F.explode(F.sequence("_a", "_z")))
+    x = x.withColumns({"_a": first, "_z": last}).where("_a <= _z").withColumn("_segment", F.explode(F.sequence("_a", "_z")))
     rows = F.array_sort(F.collect_list(F.struct("idx", *[F.col(c).cast("double").alias(c) for c in columns])))
-    g = x.groupBy(*by, "segment", "seg").agg(rows.alias("rows"))
-    return g.select(*by, "segment", "seg", *[F.col(f"rows.{c}").alias(c) for c in columns])
+    g = x.groupBy(*by, "_segment", "seg").agg(rows.alias("rows"))
+    return g.select(*by, "seg", *[F.col(f"rows.{c}").alias(c) for c in columns])
 
 
 def _by_length(arrays: pd.Series, fn: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
@@ -169,14 +169,17 @@ def filtered(x: np.ndarray, fs: float, response: Callable[[np.ndarray], np.ndarr
 
 
 def _by_chunks(samples: DataFrame, fs: float, response: Callable[[np.ndarray], np.ndarray], chunk: int, halo: int, pad: int, columns: tuple[str, ...] = ("value",)) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        for c in columns:
-            rows[c] = filtered(rows[c].to_numpy(float), fs, response, pad)
-        return rows.loc[rows["own"], ["recording_id", "idx", *columns]]
-
+    """Each chunk with its halo is an array of a row, so that a Python call filters many chunks."""
     x = with_halo(samples.select(*REC, "idx", *columns), chunk, halo)
-    out = x.groupBy(*REC, "chunk").applyInPandas(run, f"recording_id bigint, idx bigint, {', '.join(f'{c} double' for c in columns)}")
+    rows = F.array_sort(F.collect_list(F.struct("idx", "own", *[F.col(c).cast("double").alias(c) for c in columns])))
+    arrays = x.groupBy(*REC, "chunk").agg(rows.alias("rows"))
+
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda a: filtered(np.array(a, float), fs, response, pad))
+
+    zipped = F.arrays_zip(F.col("rows.idx").alias("idx"), F.col("rows.own").alias("own"), *[run(F.col(f"rows.{c}")).alias(c) for c in columns])
+    out = arrays.select(*REC, F.explode(zipped).alias("r")).where("r.own").select(*REC, F.col("r.idx").alias("idx"), *[F.col(f"r.{c}").alias(c) for c in columns])
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
