@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import pick, table, written
+from .shingles import mix, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. A match never starts inside a run of digits, and runs of digits are not given back, so each text is read once.
@@ -19,13 +22,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_AT = re.compile(r"[(\[][Aa][Tt][)\]]")
+_AT = re.compile(r"[(\[{][Aa][Tt][)\]}]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: A pattern needs this many different seeds, and this share of its instances known, to be trusted; so does an instance its score.
+#: A pattern needs this many different seeds, and this share of all that its context stands at known, to be trusted; so does an instance its score.
 MIN_SEEDS, CONFIDENCE = 5, 0.8
-#: An identifier is at most this long, a context word too.
-IDENTIFIER_CHARS, WORD_CHARS = 64, 40
+#: Most digits that an identifier of any kind has.
+MOST_DIGITS = 19
+#: Bits of the filter by which tasks know which contexts to count (a fixed size; what passes by chance is dropped by a join), and documents counted at once.
+FILTER_BITS, COUNT_ROWS = 1 << 22, 1000
 
 
 def _luhn(digits: str) -> bool:
@@ -63,88 +68,149 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+_WORD = re.compile("[^\\x20\\x09-\\x0d]+")
+_DOT = re.compile(r"\.|[(\[{]dot[)\]}]", re.IGNORECASE)
+_HEX = re.compile(r"[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}")
+_FOUR = re.compile(r"[0-9]+(?:(?:\.|\[\.\]|-|:|_)[0-9]+){3}")
+_NUMBER = re.compile(r"[0-9 ()+./_-]+")
+
+
 def _could_be(value: str) -> list[int]:
-    """Kinds whose shape a value has, more widely than the base patterns take it."""
+    """Kinds whose shape a value has, more widely than the base patterns take it: other marks for @ and dots, other groupings of digits."""
     digits, kinds = sum("0" <= c <= "9" for c in value), []
-    if "." in value and ("@" in value or _AT.search(value)):
+    if ("@" in value or _AT.search(value)) and _DOT.search(value):
         kinds.append(0)
-    if digits >= 4 and (value.count(".") == 3 or value.count(":") >= 3):
+    if _FOUR.fullmatch(value) or _HEX.fullmatch(value):
         kinds.append(1)
-    if digits >= 5 and all(c in "0123456789 ()+./-" for c in value):
-        if 12 <= digits <= 19:
+    if _NUMBER.fullmatch(value):
+        if 12 <= digits <= MOST_DIGITS:
             kinds.append(2)
         if 7 <= digits <= 15:
             kinds.append(3)
     return kinds
 
 
-def _word(text: str) -> str:
-    word = text.strip(".,;:!?()[]\"'").lower()
-    return word if len(word) <= WORD_CHARS else ""
+def _lower(word: str) -> str:
+    return word.translate(_LOWER)
 
 
-def _bounds(text: str, at: int, end: int) -> tuple[int, int]:
-    """The white-space delimited token around text[at:end], looked for within an identifier's length."""
-    while at > 0 and not text[at - 1].isspace() and end - at <= IDENTIFIER_CHARS:
-        at -= 1
-    while end < len(text) and not text[end].isspace() and end - at <= IDENTIFIER_CHARS:
-        end += 1
-    return at, end
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str], int]]:
-    """(start, end, kind, value, patterns, seed 0/1): base spans, and other values of a fitting shape with what stands around."""
+    """(start, end, kind, value, patterns, seed 0/1): base spans, and other values of a fitting shape with what stands around.
+
+    A value is a word (a run without white space, whatever its length) with a
+    digit or a mark for @, less quotes around and stops behind it. Words of
+    digits behind it belong to it while it has no more digits than an
+    identifier may have. Patterns are the word before, the two words before,
+    and the words on both sides.
+    """
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    begins = [b for b, _ in words]
     spots = [(s, e, k, 1) for s, k, e in base]
     taken = sorted((s, e) for s, _, e in base)
-    done, t = 0, 0
-    marks = [(m.start(), m.end()) for m in _DIGITS.finditer(text)]
-    marks += [(m.start(), m.end()) for m in _AT.finditer(text)]
-    for at, end in sorted(marks):
-        if at < done:
+    w, t = 0, 0
+    while w < len(words):
+        start, stop = words[w]
+        w += 1
+        piece = text[start:stop]
+        if not _DIGITS.search(piece) and not _AT.search(piece):
             continue
-        while t < len(taken) and taken[t][1] <= at:
+        while t < len(taken) and taken[t][1] <= start:
             t += 1
-        if t < len(taken) and taken[t][0] < end:
-            done = max(done, taken[t][1])
-            continue
-        start, stop = _bounds(text, at, end)
-        # tokens of digits that follow after one space belong to the same value
-        while stop < len(text) - 1 and text[stop] == " " and text[stop + 1] in "0123456789(+" and stop - start <= IDENTIFIER_CHARS:
-            stop = _bounds(text, stop + 1, stop + 2)[1]
-        done = stop
+        digits = sum("0" <= c <= "9" for c in piece)
+        numeric = _NUMBER.fullmatch(piece)
+        while numeric and w < len(words) and words[w][0] == stop + 1 and text[stop] == " " and _NUMBER.fullmatch(more := text[words[w][0] : words[w][1]].rstrip(".,;:!?")):
+            digits += sum("0" <= c <= "9" for c in more)
+            if digits > MOST_DIGITS:
+                break
+            stop = words[w][1]
+            w += 1
         while stop > start and text[stop - 1] in ".,;:!?\"'":
             stop -= 1
         while start < stop and text[start] in "\"'":
             start += 1
-        overlaps = any(s < stop and e > start for s, e in taken[max(0, t - 1) : t + 2])
-        if not overlaps and stop - start <= IDENTIFIER_CHARS:
+        if start < stop and (t == len(taken) or taken[t][0] >= stop):
             spots += [(start, stop, k, 0) for k in _could_be(text[start:stop])]
     out = []
     for start, stop, kind, seed in spots:
-        before = text[max(0, start - 2 * WORD_CHARS - 2) : start].split()[-2:]
-        after = text[stop : stop + WORD_CHARS + 1].split()[:1]
-        left = [_word(w) for w in before]
-        right = _word(after[0]) if after else ""
-        patterns = []
-        if left and left[-1]:
-            patterns.append(f"1 {left[-1]}")
-            if right:
-                patterns.append(f"r {left[-1]} {right}")
-            if len(left) == 2 and left[0]:
-                patterns.append(f"2 {left[0]} {left[1]}")
+        i, j = bisect.bisect_right(begins, start) - 1, bisect.bisect_right(begins, stop - 1)
+        one, two, right = (_lower(text[slice(*words[k])]) if 0 <= k < len(words) else "" for k in (i - 1, i - 2, j))
+        patterns = [" ".join(p) for p in (("1", one), ("2", two, one), ("r", one, right)) if all(p)]
         out.append((start, stop, kind, re.sub(r"\s", "", text[start:stop]).lower(), patterns, seed))
     return out
 
 
+def _contexts(words: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashes of all contexts that a word follows: one word, two words, words on both sides. words: hashes; text: the text of each."""
+    n, one, two, both = len(words), np.uint64(1), np.uint64(2), np.uint64(3)
+    keys = []
+    if n > 1:
+        near = text[1:] == text[:-1]
+        keys.append(mix(words[:-1] + one)[near])
+    if n > 2:
+        whole = text[2:] == text[:-2]
+        first, second, third = words[:-2], words[1:-1], words[2:]
+        keys += [mix(mix(first + two) + second)[whole], mix(mix(first + both) + third)[whole]]
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+
+def _pattern_hashes(patterns: list[str]) -> np.ndarray:
+    """The hashes that _contexts has for these patterns."""
+    words = [w for p in patterns for w in p.split(" ")[1:]]
+    column = pa.array(words, pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(words) + 1] if words else np.zeros(1, np.int64)
+    raw = column.buffers()[2] if words else None
+    hashes, _ = word_hashes(np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8), offsets)
+    kinds = np.array([{"1": 1, "2": 2, "r": 3}[p[0]] for p in patterns], np.uint64)
+    at = np.cumsum(np.where(kinds == 1, 1, 2)) - np.where(kinds == 1, 1, 2)
+    out = mix(hashes[at] + kinds) if len(patterns) else np.zeros(0, np.uint64)
+    pair = np.flatnonzero(kinds > 1)
+    out[pair] = mix(out[pair] + hashes[at[pair] + 1])
+    return out
+
+
+def context_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """hash, n: how often each wanted context (hash) stands before, or around, anything at all in the whole texts (one column).
+
+    Tasks know the wanted hashes by a filter of a fixed number of bits, and sum before the shuffle.
+    """
+    spark = texts.sparkSession
+    bit = F.pmod("hash", F.lit(FILTER_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(32)).cast("int"))
+    words = wanted.groupBy(F.floor(bit / 32).cast("int").alias("at")).agg(F.bit_or(one).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    for r in words.collect():  # at most FILTER_BITS / 32
+        bits[r["at"]] = r["bits"]
+    shared = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, COUNT_ROWS):
+                column = whole.column(0).slice(lo, COUNT_ROWS).fill_null("").cast(pa.large_string())
+                offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+                raw = column.buffers()[2]
+                hashes, starts = word_hashes(np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), offsets)
+                keys = _contexts(hashes, np.searchsorted(offsets, starts, "right"))
+                # As pmod of the signed hash, for a power of two.
+                place = keys & np.uint64(FILTER_BITS - 1)
+                hit = (shared.value[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+                found, n = np.unique(keys[hit > 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+    return texts.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).join(wanted, "hash", "left_semi")
+
+
 _FOUND = pa.list_(
     pa.struct(
         [
             ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("value", pa.string()),
-            ("patterns", pa.list_(pa.string())), ("seed", pa.int32()),
+            ("patterns", pa.list_(pa.string())), ("seed", pa.int32()), ("hashes", pa.list_(pa.int64())),
         ]
     )
 )
-_FOUND_SQL = "array<struct<start:bigint,end:bigint,kind:int,value:string,patterns:array<string>,seed:int>>"
+_FOUND_SQL = "array<struct<start:bigint,end:bigint,kind:int,value:string,patterns:array<string>,seed:int,hashes:array<bigint>>>"
 
 
 def _extract(rows: DataFrame, numbered: bool = False) -> DataFrame:
@@ -161,11 +227,12 @@ def _extract(rows: DataFrame, numbered: bool = False) -> DataFrame:
             for text in b.column(1):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                found.append(
-                    [dict(zip(("start", "end", "kind", "value", "patterns", "seed"), c, strict=True)) for c in candidates(text, base)]
-                    if base or _DIGITS.search(text) or _AT.search(text)
-                    else []
-                )
+                some = candidates(text, base) if base or _DIGITS.search(text) or _AT.search(text) else []
+                found.append([dict(zip(("start", "end", "kind", "value", "patterns", "seed"), c, strict=True)) for c in some])
+            spots = [f for each in found for f in each]
+            hashes = iter(_pattern_hashes([p for f in spots for p in f["patterns"]]).view(np.int64).tolist())
+            for f in spots:
+                f["hashes"] = [next(hashes) for _ in f["patterns"]]
             ids = b.column(0) if numbered else pa.array(range(row, row + b.num_rows), pa.int64())
             row += b.num_rows
             yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(found, _FOUND)], names=["row_id", "key", "found"])
@@ -173,27 +240,32 @@ def _extract(rows: DataFrame, numbered: bool = False) -> DataFrame:
     return rows.mapInArrow(run, f"row_id bigint, key bigint, found {_FOUND_SQL}")
 
 
-def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, rounds: int | None) -> DataFrame:
+def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, rounds: int | None, against: DataFrame | None = None) -> DataFrame:
     """(kind, value) of unseen identifiers, from the graph of patterns and instances.
 
-    edges: kind, pattern, value, seed (1 where a base pattern found the value).
-    Each round, a pattern's score is the mean score of its instances (seeds
-    count 1, unknown ones their last score), taken as 0 below the confidence or
-    where fewer than min_seeds instances are seeds or found; an instance's score
-    is one less the product of (1 - score) over its patterns. Instances at the
+    edges: kind, pattern, value, seed (1 where a base pattern found the value);
+    against: kind, pattern, n: how often the pattern's context stands at something else.
+    Each round, a pattern's score is the share of its known instances (seeds,
+    and those found before) among these and n; unknown values of a fitting
+    shape are neither for nor against it. It is taken as 0 below the confidence
+    or with fewer than min_seeds known instances. An instance's score is one
+    less the product of (1 - score) over its patterns; instances at the
     confidence are found. Rounds go on until none finds a new instance, or as
     many as are asked for.
     """
     edges = edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
-    # A pattern of fewer instances can't be trusted in any round.
+    # A pattern of fewer instances, or with too much against it, can't be trusted in any round.
     patterns = edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= min_seeds)
-    edges = written(edges.join(patterns.select("kind", "pattern"), ["kind", "pattern"]), "pii-edges")
+    none = F.lit(0).cast("bigint")
+    patterns = patterns.join(against, ["kind", "pattern"], "left").withColumn("n", F.coalesce("n", none)) if against is not None else patterns.withColumn("n", none)
+    patterns = patterns.where(F.col("all") >= confidence * (F.col("all") + F.col("n")))
+    edges = written(edges.join(patterns.select("kind", "pattern", "n"), ["kind", "pattern"]), "pii-edges")
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     turn, before = 0, 0
     while rounds is None or turn < rounds:
-        strength = scored.groupBy("kind", "pattern").agg(
-            F.avg("score").alias("strength"), F.count_if(F.col("score") >= confidence).alias("known")
-        )
+        known = F.col("score") >= confidence
+        strength = scored.groupBy("kind", "pattern").agg(F.sum(F.when(known, F.col("score"))).alias("sum"), F.count_if(known).alias("known"), F.first("n").alias("n"))
+        strength = strength.select("kind", "pattern", "known", (F.col("sum") / (F.col("known") + F.col("n"))).alias("strength"))
         strength = strength.where((F.col("strength") >= confidence) & (F.col("known") >= min_seeds)).drop("known")
         instance = (
             edges.join(strength, ["kind", "pattern"])
@@ -203,7 +275,7 @@ def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, round
         scored = edges.join(instance, ["kind", "value"], "left").withColumn(
             "score", F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.coalesce("reached", F.lit(0.0)))
         )
-        scored = written(scored.select("kind", "pattern", "value", "seed", "score"), "pii-scores")
+        scored = written(scored.select("kind", "pattern", "value", "seed", "n", "score"), "pii-scores")
         # Scores never fall, so an instance once found stays, and as many instances are the same ones.
         found = scored.where((F.col("seed") == 0) & (F.col("score") >= confidence)).select("kind", "value").distinct()
         now = found.count()
@@ -216,11 +288,15 @@ def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, round
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint,seed:int>>"
 
 
-def _spans(rows: DataFrame, min_seeds: int, confidence: float, rounds: int) -> DataFrame:
-    """row_id, key, spans from the written rows of _extract."""
+def _spans(rows: DataFrame, texts: DataFrame, min_seeds: int, confidence: float, rounds: int | None) -> DataFrame:
+    """row_id, key, spans from the written rows of _extract and all texts (one column), in which contexts are counted."""
     spots = rows.select("row_id", F.explode("found").alias("f")).select("row_id", "f.*")
-    edges = spots.select("kind", F.explode("patterns").alias("pattern"), "value", "seed")
-    unseen = trusted_instances(edges, min_seeds, confidence, rounds)
+    edges = spots.select("kind", F.explode(F.arrays_zip(F.col("patterns").alias("pattern"), F.col("hashes").alias("hash"))).alias("p"), "value", "seed").select("kind", "p.*", "value", "seed")
+    held = edges.groupBy("kind", "pattern", "hash").agg(F.count(F.lit(1)).alias("here"), F.count_distinct("value").alias("values"))
+    held = written(held.where(F.col("values") >= min_seeds), "pii-patterns")
+    totals = context_counts(texts, held.select("hash").distinct())
+    against = held.join(totals, "hash", "left").select("kind", "pattern", F.greatest(F.lit(0).cast("bigint"), F.coalesce("n", F.lit(0)) - F.col("here")).alias("n"))
+    unseen = trusted_instances(edges.drop("hash"), min_seeds, confidence, rounds, against)
     extra = (
         spots.where("seed = 0")
         .join(unseen, ["kind", "value"], "left_semi")
@@ -240,10 +316,13 @@ def find_personal_data(
 
     Base spans (seed 1) are always there. Others (seed 0) are values of a
     fitting shape that contexts learned from all base spans, and from what
-    they found in turn, reach with the confidence. Null and empty texts have none.
+    they found in turn, reach with the confidence; whatever else a context
+    stands at, in any text, counts against it. Identifiers and words may have
+    any length; contexts are counted by 64-bit hashes. Null and empty texts have none.
     """
-    found = written(_extract(pick(docs, doc_id="bigint", text="string")), "pii-found")
-    return _spans(found, min_seeds, confidence, rounds).select(F.col("key").alias("doc_id"), "spans")
+    rows = pick(docs, doc_id="bigint", text="string")
+    found = written(_extract(rows), "pii-found")
+    return _spans(found, rows.select("text"), min_seeds, confidence, rounds).select(F.col("key").alias("doc_id"), "spans")
 
 
 def redact_documents(
@@ -259,7 +338,7 @@ def redact_documents(
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = written(docs.toDF(*names).withColumn("row_id", F.monotonically_increasing_id()), "pii-rows")
     found = written(_extract(rows.select("row_id", names[text]), True), "pii-found")
-    spans = _spans(found, min_seeds, confidence, rounds).where(F.size("spans") > 0).select("row_id", "spans")
+    spans = _spans(found, rows.select(F.col(names[text]).cast("string")), min_seeds, confidence, rounds).where(F.size("spans") > 0).select("row_id", "spans")
     body = F.col(names[text])
     changed = F.when(F.col("spans").isNotNull(), redact(body, F.col("spans"))).otherwise(body)
     out = rows.join(spans, "row_id", "left").withColumn(names[text], changed)
@@ -277,7 +356,11 @@ def joined(spans: Column) -> Column:
 def pii_digests(docs: DataFrame) -> DataFrame:
     found = find_personal_data(docs)
     base = F.filter("spans", lambda s: s["seed"] == 1)
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(len(KINDS))]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 

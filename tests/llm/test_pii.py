@@ -84,3 +84,76 @@ def test_found_instances_induce_new_contexts_until_none_is_new(spark):
     found = {r.value for r in pii.trusted_instances(edges, 5, 0.8, None).collect()}
     assert found == {f"x{k}" for k in range(7)}
     assert {r.value for r in pii.trusted_instances(edges, 5, 0.8, 2).collect()} == {"x0", "x1"}
+
+
+def test_whatever_else_a_context_stands_at_counts_against_it(spark):
+    rows = [(i, f"call me at user{i}@mail.example.com now") for i in range(8)] + [(100, "call me at hidden(at)mail.example.com now")]
+    found = {r.doc_id: r.spans for r in pii.pii_digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[100].startswith("email:11:")
+    rows += [(200 + i, "they call me at noon") for i in range(40)]
+    found = {r.doc_id: r.spans for r in pii.pii_digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # "at" and "me at" stand before noon; what stands on both sides still tells.
+    assert found[100].startswith("email:11:")
+    rows += [(300 + i, "call me at once now") for i in range(40)]
+    found = {r.doc_id: r.spans for r in pii.pii_digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[100] == ""
+
+
+def test_context_counts_equal_plain_ones(spark):
+    texts = ["a b c a b", "A b  c\n", "", None, "a", "é a b é a b c"]
+    patterns = ["1 a", "2 a b", "r a c", "1 é", "2 é a", "r b é"]
+    hashes = pii._pattern_hashes(patterns).astype("int64").tolist()
+    wanted = spark.createDataFrame([(h,) for h in hashes], "hash bigint")
+    n = {r["hash"]: r["n"] for r in pii.context_counts(spark.createDataFrame([(t,) for t in texts], "text string"), wanted).collect()}
+    assert [n.get(h, 0) for h in hashes] == [5, 4, 3, 2, 2, 0]
+
+
+def test_long_identifiers_and_many_spans(spark):
+    name = "x" * 5000
+    rows = [(i, f"{'w' * 3000} mail: user{i}@a.example.com") for i in range(6)] + [(50, f"{'w' * 3000} mail: {name}(at)a.example.com")]
+    rows += [(60, " ".join(f"u{i}@b.example.com" for i in range(4000)))]
+    found = {r.doc_id: r for r in pii.pii_digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[50].spans == f"email:3007:{3007 + 5000 + 4 + 13}" and found[60].n_email == 4000
+
+
+def test_unseen_identifiers_in_a_whole_table(spark, sf_dir):
+    """Every document gets a line: seeds and unseen identifiers in contexts of their own, and decoys of the same shapes in others."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k = F.pmod(F.col("doc_id"), F.lit(6))
+    n = F.col("doc_id").cast("string")
+    line = (
+        F.when(k == 0, F.concat(F.lit("contact address: user"), n, F.lit("@mail.example.org end")))
+        .when(k == 1, F.concat(F.lit("contact address: hidden"), n, F.lit("(at)mail.example.org end")))
+        .when(k == 2, F.concat(F.lit("host ip= 10.0.0."), F.pmod("doc_id", F.lit(256)).cast("string"), F.lit(" up")))
+        .when(k == 3, F.concat(F.lit("host ip= 10-20-30-"), n, F.lit(" up")))
+        .when(k == 4, F.concat(F.lit("build 10-20-30-"), n, F.lit(" of part 555 01"), n))
+        .otherwise(F.concat(F.lit("see note(at)page"), n, F.lit(".end")))
+    )
+    planted = docs.withColumn("line", line).withColumn("text", F.concat("text", F.lit("\n"), "line")).cache()
+    spans = pii.find_personal_data(planted.select("doc_id", "text"))
+    got = planted.join(spans, "doc_id").select("doc_id", "text", "line", F.filter("spans", lambda s: s["seed"] == 0).alias("extra")).collect()
+    assert len(got) == docs.count()
+    hits = wrong = wanted = 0
+    for r in got:
+        start = len(r.text) - len(r.line)
+        value = {1: "hidden", 3: "10-20-30-"}.get(r.doc_id % 6)
+        wanted += value is not None
+        for s in r.extra:
+            good = value is not None and s.start == start + r.line.index(value)
+            hits, wrong = hits + good, wrong + (not good)
+    assert wanted > 50 and hits >= 0.95 * wanted and wrong <= 0.02 * hits, (wanted, hits, wrong)
+
+
+def test_query_equals_brute_force_on_the_table(spark, sf_dir):
+    import hashlib
+
+    out = {r.doc_id: r for r in pii.op8_pii(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert len(out) == len(docs)
+    for d in docs:
+        base, r = brute(d.text or ""), out[d.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        parts = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(parts).encode()).hexdigest() and set(parts) <= set(filter(None, r.spans.split(",")))
