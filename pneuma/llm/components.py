@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import removed, written
 
 
 #: A node with more than 1 / HUB_SHARE of all edge ends is a hub; at most HUB_SHARE nodes are.
@@ -39,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = _with_least(both, least, ends).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _with_least(large, least, ends).where("b <> m").select(F.col("m").alias("b"), F.col("b").alias("a"))
-        pairs = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, pairs = pairs, written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        removed(old)
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import pick, shuffle_partitions, table, written
+from .frames import pick, removed, shuffle_partitions, table, written
 from .shingles import fingerprints, shingle_sets
 
 #: n-grams that a fragment holds on average (the number of fragments follows the input), and documents that are cut up at once.
@@ -24,8 +24,9 @@ FRAGMENT_GRAMS, SLICE_ROWS = 1 << 20, 1536
 #: An n-gram in more than 1 / HEAVY_SHARE of all set elements is heavy, so at most HEAVY_SHARE are; they come last in the order.
 HEAVY_SHARE, HEAVY_IN_SLICE = 100_000, 12
 HEAVY_COUNT = np.uint32(0xFFFFFFFF)
-#: Vertical cuts of the sets when pairs are counted.
-CUTS = 8
+#: Pivots of the order, rarest n-grams first, by the number of sets that hold one: the sets are cut there into fragments when pairs are counted.
+PIVOTS = np.array([3, 5, 9, 33, 257, 4097, HEAVY_COUNT], np.uint32)
+CUTS = len(PIVOTS) + 1
 STAR_ROUNDS = 1
 BITMAP_WORDS = 8
 
@@ -157,8 +158,8 @@ def linkable_sets(shared: DataFrame, share: int) -> DataFrame:
     The order is rarest first, then by hash, heavy n-grams last; the prefix is
     so long that two linked sets share an element of their prefixes. bitmap
     holds the parity of n-grams by hash: two sets differ in at least as many
-    elements as their bitmaps in bits. cuts are the shared n-grams by ranges of
-    the hash.
+    elements as their bitmaps in bits. cuts are the shared n-grams of each
+    fragment of the order, between two pivots.
     """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -176,12 +177,14 @@ def linkable_sets(shared: DataFrame, share: int) -> DataFrame:
             mine = grams[a:z]
             rare = np.argsort(count[a:z], kind="stable")[: k - least + 1]
             bits = np.bincount((mine % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-            edges = np.searchsorted(mine >> np.uint64(61), np.arange(CUTS + 1))
+            fragment = np.searchsorted(PIVOTS, count[a:z], "right")
+            in_order = mine[np.argsort(fragment, kind="stable")]
+            edges = np.append(0, np.cumsum(np.bincount(fragment, minlength=CUTS)))
             fps.append(prints[a])
             size.append(s)
             bitmaps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
             prefixes.append(mine[rare].view(np.int64))
-            parts.append([mine[edges[i] : edges[i + 1]].view(np.int64) for i in range(CUTS)])
+            parts.append([in_order[edges[i] : edges[i + 1]].view(np.int64) for i in range(CUTS)])
         longs = pa.list_(pa.int64())
         return pa.table(
             [
@@ -221,16 +224,17 @@ def _bitmaps_fit(a: str, ka: str, b: str, kb: str, other: str, share: int) -> Co
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) with 100 * overlap >= share * union.
 
-    Pairs whose bitmaps differ in too many bits are dropped; of the others each
-    cut's overlap is counted apart, and the partial counts are summed. n-grams
-    of one document alone are in no overlap, so shared ones are enough.
+    Pairs whose bitmaps differ in too many bits are dropped; of the others the
+    overlap in each fragment of the order is counted apart, and the partial
+    counts are summed. n-grams of one document alone are in no overlap, so
+    shared ones are enough.
     """
     marks = _marks(sets).join(sets.select("fp", "s"), "fp")
     left = marks.withColumnsRenamed({"fp": "a", "s": "sa", "k": "ka"})
     right = marks.withColumnsRenamed({"fp": "b", "s": "sb", "k": "kb"} | {f"m{i}": f"o_m{i}" for i in range(BITMAP_WORDS)})
     both = pairs.join(left, "a").join(right, "b").where(_sizes_fit("sa", "sb", share) & _bitmaps_fit("sa", "ka", "sb", "kb", "o_", share))
     both = both.select("a", "b", "sa", "sb")
-    cuts = sets.select("fp", F.posexplode("cuts").alias("cut", "grams"))
+    cuts = sets.select("fp", F.posexplode("cuts").alias("cut", "grams")).where(F.size("grams") > 0)
     counted = (
         both.join(cuts.toDF("a", "cut", "ga"), "a")
         .join(cuts.toDF("b", "cut", "gb"), ["b", "cut"])
@@ -290,6 +294,7 @@ def set_components(sets: DataFrame, share: int) -> DataFrame:
             pairs = pairs.select(*_ordered("fp", "o_fp"))
         new = written(verified(pairs.distinct(), sets, share), "links")
         links = new if links is None else links.unionByName(new)
+    removed(postings, live)
     return components(links)
 
 
