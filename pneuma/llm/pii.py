@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -365,19 +366,24 @@ def pii_digests(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind's name; a span that begins inside another is part of it."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        kept = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], kept, F.get(names, s["kind"]))).alias("out"),
-        )
+    """The text with each span replaced by its kind's name, in one pass; a span that begins inside another is part of it."""
+
+    @F.pandas_udf("string")
+    def run(text: pd.Series, starts: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([_redacted(*row) for row in zip(text, starts, ends, kinds, strict=True)], dtype=object)
+
+    return run(text, spans["start"], spans["end"], spans["kind"])
+
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+def _redacted(text: str | None, starts: np.ndarray | None, ends: np.ndarray, kinds: np.ndarray) -> str | None:
+    if text is None or starts is None:
+        return text
+    out, at = [], 0
+    for start, end, kind in zip(starts, ends, kinds, strict=True):
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
