@@ -17,7 +17,7 @@ from .frames import filesystem, pick, put_in_place, shared_dir, shuffle_partitio
 #: Fixed values of the formats.
 GZIP_MAGIC, WARC_MAGIC = b"\x1f\x8b\x08", b"WARC/1."
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-READ_BYTES = 1 << 20
+READ_BYTES, DECODE_BYTES = 1 << 20, 1 << 14
 FILES_SCHEMA = "part int, path string, bytes bigint, records bigint"
 RECORDS_SCHEMA = (
     "record_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, "
@@ -109,54 +109,68 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 6
 
 
 class Window:
-    """Bytes of a file from a position on, read in steps."""
+    """Bytes of a file from a position on, read in steps; skipped bytes are only passed over until the next read."""
 
     def __init__(self, source, at: int, size: int):
-        self.source, self.at, self.size, self.held = source, at, size, b""
+        self.source, self.start, self.size, self.held, self.passed = source, at, size, b"", 0
+
+    @property
+    def at(self) -> int:
+        return self.start + self.passed
 
     def more(self) -> bool:
         """Appends further bytes; False at the end of the file."""
-        end = self.at + len(self.held)
+        end = self.start + len(self.held)
         if end >= self.size:
             return False
         self.source.seek(end)
-        self.held += self.source.read(min(READ_BYTES, self.size - end))
+        self.held, self.start, self.passed = self.held[self.passed :] + self.source.read(min(READ_BYTES, self.size - end)), self.at, 0
         return True
 
     def skip(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        self.passed += n
+
+    def find(self, mark: bytes) -> int:
+        """Place of the mark from here, or -1."""
+        k = self.held.find(mark, self.passed)
+        return k - self.passed if k >= 0 else -1
+
+    def view(self, at: int, n: int) -> memoryview:
+        return memoryview(self.held)[self.passed + at : self.passed + at + n]
+
+    def left(self) -> int:
+        return len(self.held) - self.passed
 
 
 def _is_member(window: Window, k: int) -> bool:
     """Whether the bytes at offset k decode as a gzip member that begins with a WARC version line."""
-    while len(window.held) - k < 1024 and window.more():
+    while window.left() - k < 1024 and window.more():
         pass
     try:
-        return zlib.decompressobj(31).decompress(window.held[k : k + 1024], 16).startswith(WARC_MAGIC)
+        return zlib.decompressobj(31).decompress(window.view(k, 1024), 16).startswith(WARC_MAGIC)
     except zlib.error:
         return False
 
 
 def _decode(window: Window) -> bytes:
-    """The member at the window's start; the window then stands behind it."""
+    """The member at the window's start, a step at a time; the window then stands behind it."""
     unpack, out = zlib.decompressobj(31), []
-    while True:
-        out.append(unpack.decompress(window.held))
-        if unpack.eof:
-            window.skip(len(window.held) - len(unpack.unused_data))
-            return b"".join(out)
-        window.skip(len(window.held))
-        if not window.more():
+    while not unpack.eof:
+        if not window.left() and not window.more():
             raise ValueError("a record is cut off at the end of the file")
+        step = window.view(0, DECODE_BYTES)
+        out.append(unpack.decompress(step))
+        window.skip(len(step) - len(unpack.unused_data))
+    return b"".join(out)
 
 
 def members(source, size: int, start: int, end: int) -> Iterator[bytes]:
     """Decoded records of the members that start in [start, end); the last one may run past the end."""
     window = Window(source, start, size)
     while window.at < end:
-        k = window.held.find(GZIP_MAGIC)
+        k = window.find(GZIP_MAGIC)
         if k < 0:
-            window.skip(max(0, len(window.held) - 2))
+            window.skip(max(0, window.left() - 2))
             if not window.more():
                 return
         elif window.at + k >= end:
