@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import pick, table
+from .frames import frugal, pick, table
 
 UNKNOWN = "und"
 #: The classifier is fitted on a bounded sample: of each language about this many rows, characters of a row (from a hashed
@@ -294,7 +294,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 langs, scores = predict(shared.value, b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
-    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return pick(docs, doc_id="bigint", text="string").mapInArrow(frugal(run), "doc_id bigint, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
@@ -312,7 +312,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*plain.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, "lang_pred", "score")
+    return plain.mapInArrow(frugal(run), schema).toDF(*docs.columns, "lang_pred", "score")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

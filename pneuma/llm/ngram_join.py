@@ -8,7 +8,7 @@ the overlap of each candidate pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import pick, removed, shuffle_partitions, table, written
+from .frames import frugal, give_back, pick, removed, shuffle_partitions, table, written
 from .shingles import fingerprints, shingle_sets
 
 #: n-grams that a fragment holds on average (the number of fragments follows the input), and documents that are cut up at once.
-FRAGMENT_GRAMS, SLICE_ROWS = 1 << 20, 1536
+FRAGMENT_GRAMS, SLICE_ROWS = 1 << 19, 1536
 #: An n-gram in more than 1 / HEAVY_SHARE of all set elements is heavy, so at most HEAVY_SHARE are; they come last in the order.
 HEAVY_SHARE, HEAVY_IN_SLICE = 100_000, 12
 HEAVY_COUNT = np.uint32(0xFFFFFFFF)
@@ -68,7 +68,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 ["kind", "doc_id", "value", "n"],
             )
 
-    return docs.mapInArrow(run, "kind int, doc_id bigint, value bigint, n bigint")
+    return docs.mapInArrow(frugal(run), "kind int, doc_id bigint, value bigint, n bigint")
 
 
 def _fragments_of_sets(docs: DataFrame, fragments: int, heavy: np.ndarray) -> DataFrame:
@@ -106,7 +106,7 @@ def _fragments_of_sets(docs: DataFrame, fragments: int, heavy: np.ndarray) -> Da
                         column.append(value)
             yield _batch([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["f", "prints", "sizes", "owner", "grams"])
 
-    return docs.mapInArrow(run, "f bigint, prints binary, sizes binary, owner binary, grams binary")
+    return docs.mapInArrow(frugal(run), "f bigint, prints binary, sizes binary, owner binary, grams binary")
 
 
 def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,6 +121,15 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(prints), np.concatenate(sizes), np.concatenate(grams)
 
 
+def _frugal_groups(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    def wrapped(key: tuple, t: pa.Table) -> pa.Table:
+        out = run(key, t)
+        give_back()
+        return out
+
+    return wrapped
+
+
 def shared_grams(cut: DataFrame, fragments: int) -> DataFrame:
     """Of each fragment, the elements whose n-gram at least two different sets hold, with that number; dealt by set."""
 
@@ -149,7 +158,7 @@ def shared_grams(cut: DataFrame, fragments: int) -> DataFrame:
                     column.append(value)
         return pa.table([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["g", "prints", "sizes", "grams", "count"])
 
-    return cut.groupBy("f").applyInArrow(run, "g bigint, prints binary, sizes binary, grams binary, count binary")
+    return cut.groupBy("f").applyInArrow(_frugal_groups(run), "g bigint, prints binary, sizes binary, grams binary, count binary")
 
 
 def linkable_sets(shared: DataFrame, share: int) -> DataFrame:
@@ -194,7 +203,7 @@ def linkable_sets(shared: DataFrame, share: int) -> DataFrame:
             names=["fp", "s", "bitmap", "prefix", "cuts"],
         )
 
-    return shared.groupBy("g").applyInArrow(run, "fp bigint, s bigint, bitmap array<bigint>, prefix array<bigint>, cuts array<array<bigint>>")
+    return shared.groupBy("g").applyInArrow(_frugal_groups(run), "fp bigint, s bigint, bitmap array<bigint>, prefix array<bigint>, cuts array<array<bigint>>")
 
 
 def _sizes_fit(a: str, b: str, share: int) -> Column:

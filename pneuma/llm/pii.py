@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import pick, table, written
+from .frames import frugal, pick, table, written
 from .shingles import mix, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -31,7 +31,7 @@ MIN_SEEDS, CONFIDENCE = 5, 0.8
 #: Most digits that an identifier of any kind has.
 MOST_DIGITS = 19
 #: Bits of the filter by which tasks know which contexts to count (a fixed size; what passes by chance is dropped by a join), and documents counted at once.
-FILTER_BITS, COUNT_ROWS = 1 << 22, 1000
+FILTER_BITS, COUNT_ROWS = 1 << 22, 250
 
 
 def _luhn(digits: str) -> bool:
@@ -200,7 +200,7 @@ def context_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 found, n = np.unique(keys[hit > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
-    return texts.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).join(wanted, "hash", "left_semi")
+    return texts.mapInArrow(frugal(run), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).join(wanted, "hash", "left_semi")
 
 
 _FOUND = pa.list_(
@@ -238,7 +238,7 @@ def _extract(rows: DataFrame, numbered: bool = False) -> DataFrame:
             row += b.num_rows
             yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(found, _FOUND)], names=["row_id", "key", "found"])
 
-    return rows.mapInArrow(run, f"row_id bigint, key bigint, found {_FOUND_SQL}")
+    return rows.mapInArrow(frugal(run), f"row_id bigint, key bigint, found {_FOUND_SQL}")
 
 
 def trusted_instances(edges: DataFrame, min_seeds: int, confidence: float, rounds: int | None, against: DataFrame | None = None) -> DataFrame:
