@@ -20,7 +20,7 @@ from .frames import map_batches, pick, table
 
 WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Chunks of a generation that a worker keeps, of two generations (results do not depend on it).
-CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 500_000, 300_000
+CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 500_000, 150_000
 
 
 def vocabulary_path(name: str) -> str:
