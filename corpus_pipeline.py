@@ -21,8 +21,17 @@ from pneuma.llm.pii import redact_documents
 from pneuma.llm.tokenize import WORD_BPE, vocabulary_path
 
 
+#: Rows of long texts that go to a Python worker at once: all stages run in the same executors, whose memory they share.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts, texts without letters) go; `lang` becomes the prediction."""
+    _small_batches(spark)
     found = with_language(docs, fit(docs)).where(f"lang_pred <> '{UNKNOWN}'")
     return found.withColumn("lang", found["lang_pred"]).select(docs.columns)
 
@@ -32,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row is known by a 64-bit hash of its doc_id and text, as rows equal in both are one.
     """
+    _small_batches(spark)
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     found = written(jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")), "row-components")
     ids = rows.groupBy("_row").agg(F.min("doc_id").alias("id"))
@@ -45,11 +55,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts gives way to the name of its kind."""
+    _small_batches(spark)
     return redact_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of at most 2048 tokens, with its sequence and offset."""
+    _small_batches(spark)
     return pack_documents(docs, vocabulary_path(WORD_BPE), 2048)
 
 
