@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.islands import rounded
 from ..operators import calibration as K
+from ..operators import cohort as H
 from ..operators import session as N
 from ..operators import spectrum as P
 from ..sources.tables import SAMPLES_SQL, VECTORS_SQL, event_samples, read, vector_samples
@@ -181,11 +182,14 @@ OVERSHOOT = """WITH d AS (SELECT o_custkey AS participant_id, (CASE WHEN o_order
 SELECT participant_id, count(d) AS n_trials, round(median(d), 8) AS delta_ms, round(stddev_samp(d), 8) AS delta_sd, round(avg(d), 8) AS delta_mean FROM d GROUP BY ALL"""
 
 
-def calib_attempts(spark: SparkSession, sf: str) -> DataFrame:
+def calib_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Clicks as packets of paced breathing, views as fixation."""
     s = event_samples(spark, sf).where("label in ('click', 'view')")
-    p = s.select("recording_id", F.col("idx").alias("packet"), F.when(F.col("label") == "click", "breathe").otherwise("fixation").alias("phase"), F.col("t_s").alias("first_s"), (F.col("t_s") + 1).alias("last_s"))
-    return rounded(K.calib_attempts(p), 3)
+    return s.select("recording_id", F.col("idx").alias("packet"), F.when(F.col("label") == "click", "breathe").otherwise("fixation").alias("phase"), F.col("t_s").alias("first_s"), (F.col("t_s") + 1).alias("last_s"))
+
+
+def calib_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(K.calib_attempts(calib_packets(spark, sf)), 3)
 
 
 ATTEMPTS = f"""WITH {S}, p AS (SELECT *, sum(ch) OVER (PARTITION BY recording_id ORDER BY idx) AS run FROM (SELECT *, (label IS DISTINCT FROM lag(label) OVER (PARTITION BY recording_id ORDER BY idx))::INT AS ch FROM s WHERE label IN ('click', 'view'))),
@@ -256,10 +260,12 @@ FREQUENCY = f"WITH sc AS ({SCORES}) SELECT model, count(*) AS n, count(*) FILTER
 
 
 def batch_report(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve_participants(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Resolved ids by status; those in several files carry a flag."""
+    r = resolve_participants(spark, sf).withColumn("flags", F.when(F.col("status") == "ambiguous", F.array(F.lit("several files"))).otherwise(F.array().cast("array<string>")))
+    return H.batch_report(r, "status", "flags")
 
 
-REPORT = f"WITH rs AS ({RESOLVE}) SELECT status, count(*) AS n FROM rs GROUP BY ALL"
+REPORT = f"WITH rs AS ({RESOLVE}) SELECT status, count(*) AS n, count(*) FILTER (status = 'ambiguous') AS n_flagged FROM rs GROUP BY ALL"
 
 
 def quality_index(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC, rounded
-from ..functions.tdist import t_cdf, t_quantile
 from ..operators import clean as C
+from ..operators import cohort as H
 from ..operators import quality as Q
+from ..operators import session as N
 from ..operators import trials as T
 from ..sources.tables import VECTORS_SQL, event_samples, read, vector_samples
 from .cohort import _R, _rated
@@ -39,9 +40,12 @@ WAVEFORM = f"""WITH {_ED}, st AS (SELECT *, sum(d) OVER (PARTITION BY trial ORDE
 SELECT trial, breath, k::INT AS k, round(s + k / 8.0::DOUBLE * d, 6) AS t_s, round(-cos(2 * pi() * k / 8), 6) AS value FROM st, range(0, 9) r(k) WHERE k < 8 OR breath = 4"""
 
 
+def _breaths(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("trial"), F.col("l_linenumber").alias("breath"), F.col("l_quantity").alias("duration"))
+
+
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    li = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("trial"), F.col("l_linenumber").alias("breath"), F.col("l_quantity").alias("duration"))
-    return T.wide_breaths(li, "trial")
+    return T.wide_breaths(_breaths(spark, sf), "trial")
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,9 +54,7 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
 
 def trial_qc_table(spark: SparkSession, sf: str) -> DataFrame:
     """Every trial once, with its breaths side by side and why something is missing."""
-    j = _judged(spark, sf)
-    note = F.concat_ws("; ", *[F.when(F.col(f"b{i}").isNull(), F.lit(f"no breath {i}")) for i in range(1, 5)], F.when(F.col("delta") == 0, F.lit("no change")))
-    return rounded(j.withColumn("qc_note", note))
+    return rounded(T.trial_qc_table(_trials(spark, sf), _breaths(spark, sf)))
 
 
 _JD = f"""{_T}, wb AS (SELECT l_orderkey AS trial, avg(l_quantity) FILTER (l_linenumber = 1) AS b1, avg(l_quantity) FILTER (l_linenumber = 2) AS b2, avg(l_quantity) FILTER (l_linenumber = 3) AS b3, avg(l_quantity) FILTER (l_linenumber = 4) AS b4 FROM lineitem GROUP BY ALL),
@@ -80,14 +82,12 @@ round(stddev_samp(b4 - b1) FILTER (delta = 0), 6) AS no_change_sd FROM jd GROUP
 
 def good_subset(spark: SparkSession, sf: str) -> DataFrame:
     """Participants with most trials complete: counts by status side by side."""
-    o = read(spark, sf, "orders").select("o_custkey", "o_orderstatus", F.col("o_orderkey").alias("trial"))
-    full = F.col("b1").isNotNull() & F.col("b2").isNotNull()
-    g = o.join(_wide(spark, sf), "trial", "left").groupBy("o_custkey").agg((100 * F.avg(full.cast("double"))).alias("pct_complete"), *[F.count_if(F.col("o_orderstatus") == s).alias(f"n_{s.lower()}") for s in "FOP"])
-    return rounded(g.where("pct_complete >= 50"))
+    o = read(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("trial"))
+    return rounded(T.good_subset(o.join(_judged(spark, sf), "trial"), "o_custkey", "status", ["F", "O", "P"], 40.0))
 
 
-GOOD = f"""WITH {_JD} SELECT o_custkey, round(100 * avg((b1 IS NOT NULL AND b2 IS NOT NULL)::INT), 6) AS pct_complete, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p
-FROM orders JOIN jd ON trial = o_orderkey GROUP BY ALL HAVING 100 * avg((b1 IS NOT NULL AND b2 IS NOT NULL)::INT) >= 50"""
+GOOD = f"""WITH {_JD}, g AS (SELECT o_custkey, 100 * avg((b1 IS NOT NULL AND b2 IS NOT NULL AND b3 IS NOT NULL AND b4 IS NOT NULL)::INT) AS p, median(move) AS m, count(*) FILTER (status = 'F') AS n_f, count(*) FILTER (status = 'O') AS n_o, count(*) FILTER (status = 'P') AS n_p
+FROM orders JOIN jd ON trial = o_orderkey GROUP BY ALL) SELECT o_custkey, round(p, 6) AS pct_complete, round(m, 6) AS median_move, n_f, n_o, n_p FROM g WHERE p >= 40"""
 
 
 def adherence_direction(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,11 +145,10 @@ NOT (iqr < 0.09 OR dom < 0.06 OR dom > 0.14 OR flat > 10) AS usable FROM iq JOIN
 
 def vacant_channel_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Channels of a recording with next to no spread."""
-    s = event_samples(spark, sf).groupBy(*REC, "label").agg(F.stddev_samp("value").alias("sd"), F.count(F.lit(1)).alias("n"))
-    return rounded(s.where("sd < 15 or n < 2"))
+    return rounded(C.vacant_channel_guard(event_samples(spark, sf).withColumnRenamed("label", "channel"), 15.0))
 
 
-VACANT = "SELECT user_id AS recording_id, event_type AS label, round(stddev_samp(value), 6) AS sd, count(*) AS n FROM events GROUP BY ALL HAVING stddev_samp(value) < 15 OR count(*) < 2"
+VACANT = "SELECT user_id AS recording_id, event_type AS channel, round(stddev_samp(value), 6) AS sd, count(*) AS n FROM events GROUP BY ALL HAVING stddev_samp(value) < 15 OR count(*) < 2"
 
 
 def tost(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,19 +164,14 @@ SELECT s_nationkey, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(CASE WH
 
 def tost_p(spark: SparkSession, sf: str) -> DataFrame:
     """As tost, with p (the larger of the two one-sided ones), the lower 95 % bound and the larger absolute 90 % limit of the mean."""
-    t = tost(spark, sf).where("t_lower is not null")
-    df = (F.col("n") - 1).cast("double")
-    se = F.col("sd") / F.sqrt("n")
-    half = t_quantile(F.lit(0.95), df) * se
-    p = F.greatest(1 - t_cdf("t_lower", df), t_cdf("t_upper", df))
-    return rounded(t.select("s_nationkey", "n", p.alias("p"), (F.col("mean") - half).alias("lower_bound"), F.greatest(F.abs(F.col("mean") - half), F.abs(F.col("mean") + half)).alias("equivalence_bound")))
+    means = _rated(spark, sf).groupBy("participant_id").agg(F.avg(F.col("a") - F.col("b")).alias("d"))
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("participant_id"), "s_nationkey")
+    t = T.with_p(T.t_bounds(means.join(s, "participant_id"), "d", 1.0, ["s_nationkey"])).where("t_lower is not null")
+    return rounded(t.select("s_nationkey", "n", "p", "lower_bound", "equivalence_bound"))
 
 
 def alertness_slopes(spark: SparkSession, sf: str) -> DataFrame:
-    """Alertness centred within the participant; slope of each device's measure on it, and the difference."""
-    r = _rated(spark, sf).join(_rated(spark, sf).groupBy("participant_id").agg(F.avg("quality").alias("_q")), "participant_id").withColumn("q", F.col("quality") - F.col("_q"))
-    g = r.groupBy("participant_id").agg(F.regr_slope("a", "q").alias("slope_a"), F.regr_slope("b", "q").alias("slope_b"))
-    return rounded(g.withColumn("difference", F.col("slope_a") - F.col("slope_b")))
+    return rounded(H.alertness_slopes(_rated(spark, sf), "participant_id", "quality", "a", "b"))
 
 
 ALERTNESS = f"WITH {_R} SELECT participant_id, round(regr_slope(a, quality), 6) AS slope_a, round(regr_slope(b, quality), 6) AS slope_b, round(regr_slope(a, quality) - regr_slope(b, quality), 6) AS difference FROM r GROUP BY ALL"
@@ -193,12 +187,7 @@ BY_MODEL = "SELECT l_returnflag AS model, count(*) AS n, round(avg(abs(l_tax * 1
 
 
 def dependent_corr_contrast(spark: SparkSession, sf: str) -> DataFrame:
-    """Two correlations that share a variable, and the t statistic of their difference."""
-    c = read(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.corr("l_quantity", "l_extendedprice").alias("r12"), F.corr("l_quantity", "l_discount").alias("r13"), F.corr("l_extendedprice", "l_discount").alias("r23"))
-    det = 1 - F.pow("r12", F.lit(2.0)) - F.pow("r13", F.lit(2.0)) - F.pow("r23", F.lit(2.0)) + 2 * F.col("r12") * F.col("r13") * F.col("r23")
-    mean = (F.col("r12") + F.col("r13")) / 2
-    t = (F.col("r12") - F.col("r13")) * F.sqrt((F.col("n") - 1) * (1 + F.col("r23")) / (2 * (F.col("n") - 1) / (F.col("n") - 3) * det + mean * mean * F.pow(1 - F.col("r23"), F.lit(3.0))))
-    return rounded(c.withColumn("t", t), 5)
+    return rounded(H.dependent_corr_contrast(read(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_discount"), 5)
 
 
 CONTRAST = """WITH c AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS r12, corr(l_quantity, l_discount) AS r13, corr(l_extendedprice, l_discount) AS r23 FROM lineitem)
@@ -207,9 +196,8 @@ SELECT n, round(r12, 5) AS r12, round(r13, 5) AS r13, round(r23, 5) AS r23, roun
 
 def questionnaire_corr(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation of a participant's score (balance) with the mean and spread of their trials."""
-    t = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"))
-    j = read(spark, sf, "customer").join(t, "c_custkey")
-    return rounded(j.agg(F.count(F.lit(1)).alias("n"), F.corr("c_acctbal", "m").alias("r_mean"), F.corr("c_acctbal", "s").alias("r_sd")))
+    t = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("mean"), F.stddev_samp("o_totalprice").alias("sd"))
+    return rounded(H.questionnaire_corr(read(spark, sf, "customer"), t, "c_custkey", "c_acctbal", ["mean", "sd"]))
 
 
 QUESTIONNAIRE = "WITH t AS (SELECT o_custkey, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY ALL) SELECT count(*) AS n, round(corr(c_acctbal, m), 6) AS r_mean, round(corr(c_acctbal, s), 6) AS r_sd FROM customer JOIN t ON o_custkey = c_custkey"
@@ -226,13 +214,13 @@ BAND_BIAS = "SELECT l_linenumber, round(avg(l_tax - l_discount) FILTER (l_linest
 
 
 def attach_condition(spark: SparkSession, sf: str) -> DataFrame:
-    """Each order with its customer's first condition (segment) and the current one, swapped in odd sessions."""
-    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_mktsegment") < "H", "A").otherwise("B").alias("first")).dropDuplicates(["o_custkey"])
-    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 2).alias("session")).join(c, "o_custkey", "left")
-    return o.withColumn("condition", F.when(F.col("session") == 0, F.col("first")).when(F.col("first") == "A", "B").when(F.col("first") == "B", "A"))
+    """Each order with its customer's first condition (segment) and the current one, swapped in the second session."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_mktsegment") < "H", "A").otherwise("B").alias("first"))
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", (1 + F.col("o_orderkey") % 2).alias("session"))
+    return N.attach_condition(o, c, "o_custkey", "session", ("A", "B"))
 
 
-ATTACH = """WITH c AS (SELECT c_custkey, CASE WHEN c_mktsegment < 'H' THEN 'A' ELSE 'B' END AS first FROM customer) SELECT o_orderkey, o_custkey, o_orderkey % 2 AS session, first,
+ATTACH = """WITH c AS (SELECT c_custkey, CASE WHEN c_mktsegment < 'H' THEN 'A' ELSE 'B' END AS first FROM customer) SELECT o_orderkey, o_custkey, 1 + o_orderkey % 2 AS session, first,
 CASE WHEN o_orderkey % 2 = 0 THEN first WHEN first = 'A' THEN 'B' WHEN first = 'B' THEN 'A' END AS condition FROM orders LEFT JOIN c ON c_custkey = o_custkey"""
 
 QUERIES = {

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC, rounded
+from ..operators import cohort as H
 from ..operators import epochs as E
 from ..operators import matching as M
 from ..operators import staircase as Q
 from ..operators import stats as A
+from ..operators import trials as T
 from ..sources.tables import SAMPLES_SQL, event_samples, read
 from .recordings import BREATHS_SQL, _breaths, _flagged
 
@@ -72,9 +74,7 @@ FROM ep LEFT JOIN f ON f.recording_id = ep.recording_id AND f.epoch = ep.epoch L
 
 def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Share of windows with enough covered time and two breaths or more, per recording."""
-    f = E.epoch_features(_flagged(spark, sf), _epochs(spark, sf))
-    ok = (F.col("coverage_frac") >= 0.7) & (F.col("n_breaths") >= 2)
-    return rounded(f.groupBy(*REC).agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(ok).alias("n_usable"), F.avg(ok.cast("double")).alias("usable_rate")))
+    return rounded(H.quality_gate(E.epoch_features(_flagged(spark, sf), _epochs(spark, sf))))
 
 
 GATE = f"""WITH e AS ({EPOCH_FEATURES}) SELECT recording_id, count(*) AS n_windows, count(*) FILTER (coverage_frac >= 0.7 AND n_breaths >= 2) AS n_usable,
@@ -142,14 +142,12 @@ MATCHED = f"WITH RECURSIVE {_MD} SELECT recording_id, a_idx, b_idx, round(a_ms,
 
 
 def participant_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and sd of matched differences per block (parity of the onset) averaged over blocks."""
-    d = _matched(spark, sf).withColumn("block", F.col("a_idx") % 2)
-    b = d.groupBy(*REC, "block").agg(F.count(F.lit(1)).alias("n"), F.avg("diff_ms").alias("m"), F.stddev_samp("diff_ms").alias("s")).where("n >= 1")
-    return rounded(b.groupBy(*REC).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n").alias("n_pairs"), F.avg("m").alias("mean_ms"), F.avg("s").alias("sd_ms")), 3)
+    """Mean and sd of matched differences per block (half of the recording by the onset's number) of five pairs or more."""
+    return rounded(H.participant_extract(_matched(spark, sf).withColumn("block", F.floor(F.col("a_idx") / 60))), 3)
 
 
-EXTRACT = f"""WITH RECURSIVE {_MD}, b AS (SELECT recording_id, a_idx % 2 AS block, count(*) AS n, avg(diff_ms) AS m, stddev_samp(diff_ms) AS sd FROM md GROUP BY ALL)
-SELECT recording_id, count(*) AS n_blocks, sum(n)::BIGINT AS n_pairs, round(avg(m), 3) AS mean_ms, round(avg(sd), 3) AS sd_ms FROM b GROUP BY ALL"""
+EXTRACT = f"""WITH RECURSIVE {_MD}, b AS (SELECT recording_id, a_idx // 60 AS block, count(*) AS n, avg(diff_ms) AS m, stddev_samp(diff_ms) AS sd FROM md GROUP BY ALL)
+SELECT recording_id, count(*) FILTER (n >= 5) AS n_blocks, sum(n)::BIGINT AS n_pairs, round(avg(m) FILTER (n >= 5), 3) AS mean_ms, round(avg(sd) FILTER (n >= 5), 3) AS sd_ms FROM b GROUP BY ALL"""
 
 
 def detection_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,10 +253,7 @@ AGREEMENT = f"""WITH {_CA} SELECT participant_id, n, round(po, 6) AS agreement,
 
 
 def by_block_and_pooled(spark: SparkSession, sf: str) -> DataFrame:
-    """Error statistics per block and pooled, by one pass over grouping sets."""
-    r = _rated(spark, sf).withColumn("d", F.col("a") - F.col("b"))
-    g = r.rollup("block").agg(F.grouping("block").cast("int").alias("pooled"), F.count(F.lit(1)).alias("n"), F.avg("d").alias("bias"), F.avg(F.abs("d")).alias("mae"), A.ccc("a", "b").alias("ccc"))
-    return rounded(g)
+    return rounded(H.by_block_and_pooled(_rated(spark, sf), "a", "b"))
 
 
 POOLED = f"""WITH {_R} SELECT block, grouping(block)::INT AS pooled, count(*) AS n, round(avg(a - b), 6) AS bias, round(avg(abs(a - b)), 6) AS mae,
@@ -266,10 +261,8 @@ round(2 * covar_pop(a, b) / (var_pop(a) + var_pop(b) + (avg(a) - avg(b)) ** 2),
 
 
 def pacer_error(spark: SparkSession, sf: str) -> DataFrame:
-    """Signed and absolute error of both devices against a commanded value of 25, and the difference of the absolute ones."""
-    r = _rated(spark, sf).select("participant_id", *[(F.col(c) - 25).alias(f"e_{c}") for c in "ab"])
-    g = r.groupBy("participant_id").agg(*[f(F.col(f"e_{c}")).alias(f"{n}_{c}") for c in "ab" for n, f in (("bias", F.avg), ("mae", lambda x: F.avg(F.abs(x))))])
-    return rounded(g.withColumn("mae_difference", F.col("mae_a") - F.col("mae_b")))
+    """Against a commanded value of 25."""
+    return rounded(H.pacer_error(_rated(spark, sf), "participant_id", "a", "b", F.lit(25.0)))
 
 
 PACER_ERROR = f"""WITH {_R} SELECT participant_id, round(avg(a - 25), 6) AS bias_a, round(avg(abs(a - 25)), 6) AS mae_a, round(avg(b - 25), 6) AS bias_b, round(avg(abs(b - 25)), 6) AS mae_b,
@@ -277,65 +270,63 @@ round(avg(abs(a - 25)) - avg(abs(b - 25)), 6) AS mae_difference FROM r GROUP BY
 
 
 def coefficient_difference(spark: SparkSession, sf: str) -> DataFrame:
-    """Slope on elapsed time once with each device, and the difference, per participant with four rows or more."""
-    g = _rated(spark, sf).groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("a", "elapsed").alias("slope_a"), F.regr_slope("b", "elapsed").alias("slope_b")).where("n >= 4")
-    return rounded(g.withColumn("difference", F.col("slope_a") - F.col("slope_b")))
+    """Slopes on elapsed time; their differences go on into t bounds over all participants."""
+    d = H.coefficient_difference(_rated(spark, sf), "participant_id", "elapsed", "a", "b")
+    t = T.t_bounds(d.withColumn("all", F.lit(1)), "difference", 0.5, ["all"]).select("t_lower", "t_upper")
+    return rounded(d.crossJoin(F.broadcast(t)))  # one row
 
 
-COEFFICIENT = f"""WITH {_R} SELECT participant_id, count(*) AS n, round(regr_slope(a, elapsed), 6) AS slope_a, round(regr_slope(b, elapsed), 6) AS slope_b, round(regr_slope(a, elapsed) - regr_slope(b, elapsed), 6) AS difference
-FROM r GROUP BY ALL HAVING count(*) >= 4"""
+COEFFICIENT = f"""WITH {_R}, d AS (SELECT participant_id, count(*) AS n, regr_slope(a, elapsed) AS sa, regr_slope(b, elapsed) AS sb FROM r GROUP BY ALL HAVING count(*) >= 4),
+t AS (SELECT avg(sa - sb) AS m, stddev_samp(sa - sb) / sqrt(count(sa - sb)) AS se FROM d)
+SELECT participant_id, n, round(sa, 6) AS slope_a, round(sb, 6) AS slope_b, round(sa - sb, 6) AS difference, round((m + 0.5) / se, 6) AS t_lower, round((m - 0.5) / se, 6) AS t_upper FROM d, t"""
 
 
 def rate_slopes(spark: SparkSession, sf: str) -> DataFrame:
-    r = _rated(spark, sf).withColumn("err", F.col("a") - F.col("b"))
-    return rounded(r.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("err", "a").alias("slope")).where("n >= 4"))
+    return rounded(H.rate_slopes(_rated(spark, sf), "participant_id", F.col("a") - F.col("b"), "a"))
 
 
 RATE_SLOPES = f"WITH {_R} SELECT participant_id, count(*) AS n, round(regr_slope(a - b, a), 6) AS slope FROM r GROUP BY ALL HAVING count(*) >= 4"
 
 
 def quality_moderation(spark: SparkSession, sf: str) -> DataFrame:
-    r = _rated(spark, sf).withColumn("err", F.abs(F.col("a") - F.col("b")))
-    return rounded(A.two_predictor_slopes(r, "err", "quality", "elapsed", ("participant_id",)))
+    """Windows of three lines up to each."""
+    return rounded(H.quality_moderation(_rated(spark, sf), "participant_id", "elapsed", "quality", "a", "b", 1.0))
 
 
-MODERATION = f"""WITH {_R}, c AS (SELECT participant_id, count(*) AS n, var_samp(quality) AS v1, var_samp(elapsed) AS v2, covar_samp(quality, elapsed) AS c12,
-  covar_samp(quality, abs(a - b)) AS c1y, covar_samp(elapsed, abs(a - b)) AS c2y FROM r GROUP BY ALL HAVING count(*) >= 4)
+MODERATION = f"""WITH {_R}, w AS (SELECT participant_id, elapsed AS t, avg(abs(a - b)) OVER v AS e, avg(quality) OVER v AS q FROM r WINDOW v AS (PARTITION BY participant_id ORDER BY elapsed RANGE BETWEEN 1 PRECEDING AND CURRENT ROW)),
+z AS (SELECT participant_id, t, e, (q - avg(q) OVER p) / nullif(stddev_samp(q) OVER p, 0) AS z FROM w WINDOW p AS (PARTITION BY participant_id)),
+c AS (SELECT participant_id, count(*) AS n, var_samp(z) AS v1, var_samp(t) AS v2, covar_samp(z, t) AS c12, covar_samp(z, e) AS c1y, covar_samp(t, e) AS c2y FROM z GROUP BY ALL HAVING count(*) >= 4)
 SELECT participant_id, n, round((c1y * v2 - c2y * c12) / (v1 * v2 - c12 * c12), 6) AS b1, round((c2y * v1 - c1y * c12) / (v1 * v2 - c12 * c12), 6) AS b2 FROM c"""
 
 
 def pre_post_change(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean absolute difference in block R less that in block A."""
-    r = _rated(spark, sf).withColumn("err", F.abs(F.col("a") - F.col("b")))
-    p = r.groupBy("participant_id").pivot("block", ["A", "R"]).agg(F.avg("err"))
-    return rounded(p.select("participant_id", F.col("A").alias("pre"), F.col("R").alias("post"), (F.col("R") - F.col("A")).alias("change")))
+    """Agreement and variation in block R less those in block A."""
+    return rounded(H.pre_post_change(_rated(spark, sf), "participant_id", "block", "A", "R", "a", "b"))
 
 
-PRE_POST = f"""WITH {_R} SELECT participant_id, round(avg(abs(a - b)) FILTER (block = 'A'), 6) AS pre, round(avg(abs(a - b)) FILTER (block = 'R'), 6) AS post,
-round(avg(abs(a - b)) FILTER (block = 'R') - avg(abs(a - b)) FILTER (block = 'A'), 6) AS change FROM r GROUP BY ALL"""
+PRE_POST = f"""WITH {_R}, g AS (SELECT participant_id, block, avg(abs(a - b)) AS mae, 2 * covar_pop(a, b) / (var_pop(a) + var_pop(b) + (avg(a) - avg(b)) ** 2) AS ccc, stddev_samp(a) / avg(a) AS cv_a, stddev_samp(b) / avg(b) AS cv_b FROM r WHERE block IN ('A', 'R') GROUP BY ALL),
+p AS (SELECT * FROM g WHERE block = 'A'), q AS (SELECT * FROM g WHERE block = 'R')
+SELECT participant_id, {", ".join(f"round(p.{m}, 6) AS {m}_pre, round(q.{m}, 6) AS {m}_post, round(q.{m} - p.{m}, 6) AS {m}_change" for m in ("mae", "ccc", "cv_a", "cv_b"))} FROM p FULL JOIN q USING (participant_id)"""
 
 
 def device_missingness(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with a class from one device only: device a saw returned lines, device b open ones."""
     li = read(spark, sf, "lineitem")
-    a = li.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_a"))
-    b = li.where("l_linestatus = 'O'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_b"))
-    j = a.join(b, "l_orderkey", "full")
-    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_b").isNull()).alias("only_a"), F.count_if(F.col("n_a").isNull()).alias("only_b"), F.count_if((F.col("n_a") == 1) | (F.col("n_b") == 1)).alias("single"))
+    side = lambda c: li.where(c).groupBy("l_orderkey").agg(F.lit(True).alias("class"), F.count(F.lit(1)).alias("n_breaths"))
+    return rounded(H.device_missingness(side("l_returnflag = 'R'"), side("l_linestatus = 'O'"), "l_orderkey"))
 
 
 MISSINGNESS = """WITH a AS (SELECT l_orderkey, count(*) AS n_a FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), b AS (SELECT l_orderkey, count(*) AS n_b FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL)
-SELECT count(*) AS n, count(*) FILTER (n_b IS NULL) AS only_a, count(*) FILTER (n_a IS NULL) AS only_b, count(*) FILTER (n_a = 1 OR n_b = 1) AS single FROM a FULL JOIN b USING (l_orderkey)"""
+SELECT count(*) AS n, count(*) FILTER (n_b IS NULL) AS only_a, count(*) FILTER (n_a IS NULL) AS only_b, count(*) FILTER (n_a = 1 OR n_b = 1) AS single,
+round(avg((n_a IS NULL OR n_b IS NULL)::INT), 6) AS missing_rate, round(avg(coalesce(n_a = 1 OR n_b = 1, false)::INT), 6) AS single_rate FROM a FULL JOIN b USING (l_orderkey)"""
 
 
 def bias_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Agreement of classes when a bias is added to one device, for a grid of biases."""
-    grid = spark.createDataFrame([(float(x),) for x in range(0, 13, 2)], "bias double")
-    x = _rated(spark, sf).crossJoin(F.broadcast(grid)).withColumn("biased", (F.col("b") + F.col("bias")) > 25)  # seven rows
-    return rounded(A.classification_agreement(x, "up_a", "biased", ("bias",)))
+    """Biases of 0 to 12 on device b, classes above 25; the lower bound has a query of its own test."""
+    return rounded(H.bias_sweep(_rated(spark, sf), "participant_id", "a", "b", 25.0, list(range(0, 13, 2))).drop("lower_bound", "first_failing"))
 
 
-SWEEP = f"""WITH {_R}, x AS (SELECT bias::DOUBLE AS bias, up_a, b + bias > 25 AS up_b FROM r, range(0, 13, 2) t(bias)),
+SWEEP = f"""WITH {_R}, x AS (SELECT bias::DOUBLE AS bias, a > 25 AS up_a, b + bias > 25 AS up_b FROM r, range(0, 13, 2) t(bias)),
 c AS (SELECT bias, count(*) AS n, avg((up_a = up_b)::INT) AS po, avg(up_a::INT) AS pa, avg(up_b::INT) AS pb FROM x GROUP BY ALL), d AS (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS pe, (pa + pb) * (1 - (pa + pb) / 2) AS pg FROM c)
 SELECT bias, n, round(po, 6) AS agreement, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa, round(CASE WHEN pg < 1 THEN (po - pg) / (1 - pg) END, 6) AS ac1 FROM d"""
 

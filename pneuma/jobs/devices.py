@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC, rounded
+from ..operators import cohort as H
 from ..operators import devices as D
-from ..operators.matching import match_onsets
-from ..operators.timebase import assign_block
+from ..operators import session as N
+from ..operators import trials as T
 from ..sources.tables import SAMPLES_SQL, event_samples, read, vector_samples
 from .assembly import _AX, _axes
 from .recordings import ALT_SQL, _alternating
@@ -78,15 +79,11 @@ SELECT w.recording_id, w.trial, coalesce(n, 0) AS n_troughs, coalesce(b, 0) AS n
 
 
 def match_expected_breaths(spark: SparkSession, sf: str) -> DataFrame:
-    """Four expected breaths of half a day from the first detected one of each window: matched nearest first, error and missing ones."""
+    """Four expected breaths of half a day from the first detected one of each window."""
     t = _alternating(spark, sf).where("kind = 'trough'").join(event_samples(spark, sf).select(*REC, "idx", "t_s"), [*REC, "idx"])
-    key = (F.col("recording_id") * 1_000_000 + F.col("trial")).alias("recording_id")
-    found = assign_block(t, _windows(spark, sf).select(*REC, "trial", "start", "end"), 259200.0).select(key, "idx", "t_s")
-    due = found.groupBy("recording_id").agg(F.min("t_s").alias("first")).select("recording_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("idx"), "first")
-    due = due.select("recording_id", F.col("idx").cast("bigint").alias("idx"), (F.col("first") + 43200.0 * (F.col("idx") - 1)).alias("t_s"))
-    m = match_onsets(due, found, 20000.0)
-    e = F.abs(F.col("a_t") - F.col("b_t"))
-    return rounded(m.groupBy(F.col("recording_id").alias("trial_key")).agg(F.count(F.lit(1)).alias("n_matched"), (4 - F.count(F.lit(1))).alias("n_missing"), F.avg(e).alias("mae_s"), F.avg(F.col("b_t") - F.col("a_t")).alias("bias_s")), 4)
+    w = _windows(spark, sf)
+    due = w.select(*REC, "trial", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("breath")).withColumn("offset_s", 43200.0 * (F.col("breath") - 1))
+    return rounded(T.match_expected_breaths(t, w, due, 20000.0, 259200.0), 4)
 
 
 EXPECTED = f"""WITH RECURSIVE {ALT_SQL}, {_W}, tr AS (SELECT recording_id, idx, t_s FROM alt JOIN s USING (recording_id, idx) WHERE kind = 'trough'),
@@ -96,8 +93,9 @@ pr AS (SELECT due.key, due.idx AS a_idx, due.t_s AS a_t, f.idx AS b_idx, f.t_s A
 st AS (SELECT key, []::BIGINT[] AS ua, []::BIGINT[] AS ub, []::BIGINT[] AS won, 1 AS rk FROM (SELECT DISTINCT key FROM pr)
   UNION ALL SELECT st.key, CASE WHEN list_contains(ua, a_idx) OR list_contains(ub, b_idx) THEN ua ELSE list_append(ua, a_idx) END, CASE WHEN list_contains(ua, a_idx) OR list_contains(ub, b_idx) THEN ub ELSE list_append(ub, b_idx) END,
     CASE WHEN list_contains(ua, a_idx) OR list_contains(ub, b_idx) THEN won ELSE list_append(won, st.rk) END, st.rk + 1 FROM st JOIN pr ON pr.key = st.key AND pr.rk = st.rk),
-fin AS (SELECT key, arg_max(won, rk) AS won FROM st GROUP BY ALL)
-SELECT pr.key AS trial_key, count(*) AS n_matched, 4 - count(*) AS n_missing, round(avg(abs(a_t - b_t)), 4) AS mae_s, round(avg(b_t - a_t), 4) AS bias_s FROM pr JOIN fin ON fin.key = pr.key AND list_contains(won, rk) GROUP BY pr.key"""
+fin AS (SELECT key, arg_max(won, rk) AS won FROM st GROUP BY ALL),
+m AS (SELECT pr.key, count(*) AS n, avg(abs(a_t - b_t)) AS e, avg(b_t - a_t) AS b FROM pr JOIN fin ON fin.key = pr.key AND list_contains(won, rk) GROUP BY pr.key)
+SELECT d.key // 1000000 AS recording_id, d.key % 1000000 AS trial, coalesce(n, 0) AS n_matched, 4 - coalesce(n, 0) AS n_missing, round(e, 4) AS mae_s, round(b, 4) AS bias_s FROM (SELECT DISTINCT key FROM due) d LEFT JOIN m ON m.key = d.key"""
 
 
 def recording_qc_code(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,20 +122,21 @@ CONFOUND = f"WITH {S} SELECT recording_id, idx, round(cos(2 * pi() * code / (400
 
 
 def trial_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Window of each trial: the run's onset (a participant's first order) plus a lag of 0.2 s plus its own bounds."""
-    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    onset = F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
-    start = onset + 0.2 + F.col("o_totalprice") / 1000
-    return rounded(o.select("o_custkey", "o_orderkey", start.alias("start"), (start + 17.0).alias("end")))
+    """Windows within a run (a customer): its onset as resolved from two sources, a lag of 0.2 s, and the trial's own bounds."""
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 1000).alias("start_s"), (F.col("o_totalprice") / 1000 + 17.0).alias("stop_s"))
+    runs = read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(None).cast("double").alias("manual_s"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("trigger_s"),
+        F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + 1).alias("estimate_s"), F.lit(False).alias("excluded"))
+    return rounded(N.trial_windows(o, N.resolve_run_onset(runs), ["o_custkey"]).select("o_custkey", "o_orderkey", "start", "end"))
 
 
-TRIAL_WINDOWS = 'SELECT o_custkey, o_orderkey, round(min(o_orderkey) OVER w + 0.2::DOUBLE + o_totalprice / 1000, 6) AS start, round(min(o_orderkey) OVER w + 0.2::DOUBLE + o_totalprice / 1000 + 17, 6) AS "end" FROM orders WINDOW w AS (PARTITION BY o_custkey)'
+TRIAL_WINDOWS = """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 END AS onset FROM customer)
+SELECT o_custkey, o_orderkey, round(onset + 0.2::DOUBLE + o_totalprice / 1000, 6) AS start, round(onset + 0.2::DOUBLE + o_totalprice / 1000 + 17, 6) AS "end" FROM orders LEFT JOIN c ON c_custkey = o_custkey"""
 
 
 def confidence_mean(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean over the trials of one block, and the lower bound's standard error."""
-    o = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("confidence"), F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("o_totalprice") / F.sqrt(F.count(F.lit(1)))).alias("se"))
-    return rounded(o, 4)
+    """Over the trials of one block."""
+    o = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return rounded(H.confidence_mean(o, "o_custkey", "o_totalprice"), 4)
 
 
 CONFIDENCE = "SELECT o_custkey, round(avg(o_totalprice), 4) AS confidence, count(*) AS n, round(CASE WHEN count(*) > 1 THEN stddev_samp(o_totalprice) / sqrt(count(*)) END, 4) AS se FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.islands import REC, rounded
 from ..operators import breaths as B
+from ..operators import cohort as H
 from ..operators import extrema as X
 from ..sources.tables import SAMPLES_SQL, event_samples
 
@@ -328,9 +329,7 @@ SELECT recording_id, count(value) AS n, round(avg(value), 6) AS v_mean, round(me
 
 
 def cohort_medians(spark: SparkSession, sf: str) -> DataFrame:
-    """Median over recordings of each one's median duration and duty cycle; rate from the duration."""
-    each = _flagged(spark, sf).where("keep").groupBy(*REC).agg(F.median("duration").alias("d"), F.median("duty_cycle").alias("u"))
-    return rounded(each.agg(F.count(F.lit(1)).alias("n"), F.median("d").alias("duration_s"), (60 / F.median("d")).alias("rate_bpm"), F.median("u").alias("duty_cycle")), 9)
+    return rounded(H.cohort_medians(_flagged(spark, sf)), 9)
 
 
 COHORT_SQL = f"""WITH {BREATHS_SQL}, e AS (SELECT recording_id, median(duration) AS d, median(duty_cycle) AS u FROM kp WHERE keep GROUP BY ALL)
@@ -338,12 +337,7 @@ SELECT count(*) AS n, round(median(d), 9) AS duration_s, round(60 / median(d), 9
 
 
 def dist_summary(spark: SparkSession, sf: str) -> DataFrame:
-    q = lambda p: F.percentile("value", F.lit(p))
-    d = event_samples(spark, sf).groupBy("label").agg(
-        F.count("value").alias("n"), F.min("value").alias("min"), q(0.25).alias("q25"), F.median("value").alias("median"),
-        q(0.75).alias("q75"), F.max("value").alias("max"), F.stddev_samp("value").alias("sd"),
-    )
-    return rounded(d)
+    return rounded(H.dist_summary(event_samples(spark, sf), "value", ("label",)))
 
 
 DIST_SQL = f"""WITH {SAMPLES_SQL} SELECT label, count(value) AS n, round(min(value), 6) AS "min", round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS median,

@@ -74,8 +74,8 @@ def coefficient_difference(rows: DataFrame, by: str, x: str, a: str, b: str, lea
 
 def quality_moderation(rows: DataFrame, by: str, time: str, quality: str, a: str, b: str, window: float) -> DataFrame:
     """Per key the slopes of agreement over rolling windows of elapsed time on the quality index (standardised within the key) and on elapsed time."""
-    w = Window.partitionBy(by).orderBy(time).rangeBetween(-window, 0)
-    r = rows.select(by, F.col(time).alias("_t"), F.avg(F.abs(F.col(a) - F.col(b))).over(w).alias("_e"), F.avg(quality).over(w).alias("_q"))
+    over = f"OVER (PARTITION BY `{by}` ORDER BY `{time}` RANGE BETWEEN {float(window)}D PRECEDING AND CURRENT ROW)"
+    r = rows.select(by, F.col(time).alias("_t"), F.expr(f"avg(abs(`{a}` - `{b}`)) {over}").alias("_e"), F.expr(f"avg(`{quality}`) {over}").alias("_q"))
     every = Window.partitionBy(by)
     sd = F.stddev_samp("_q").over(every)
     r = r.withColumn("_z", (F.col("_q") - F.avg("_q").over(every)) / F.when(sd > 0, sd))

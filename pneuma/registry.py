@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .jobs import assembly, behaviour, cohort, devices, filters, recordings, signals
+from .jobs import assembly, behaviour, cohort, composed, devices, filters, recordings, signals
 
-_ALL = recordings.QUERIES | signals.QUERIES | cohort.QUERIES | assembly.QUERIES | behaviour.QUERIES | devices.QUERIES | filters.QUERIES
+_ALL = recordings.QUERIES | signals.QUERIES | cohort.QUERIES | assembly.QUERIES | behaviour.QUERIES | devices.QUERIES | filters.QUERIES | composed.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
