@@ -322,7 +322,7 @@ round(avg((n_a IS NULL OR n_b IS NULL)::INT), 6) AS missing_rate, round(avg(coal
 
 
 def bias_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Biases of 0 to 12 on device b, classes above 25; the lower bound has a query of its own test."""
+    """Biases of 0 to 12 on device b, classes above 25; without the lower bound and the first failing bias, which need the t distribution."""
     return rounded(H.bias_sweep(_rated(spark, sf), "participant_id", "a", "b", 25.0, list(range(0, 13, 2))).drop("lower_bound", "first_failing"))
 
 

@@ -153,3 +153,29 @@ def test_operators_take_empty_recordings(spark):
     assert B.summarise_breaths(B.flag_breaths(B.breath_table(X.turning_points(s), s))).count() == 0
     assert T.interp_to_grid(s, T.make_grid(s, 1.0)).count() == 0
     assert G.trigger_events(s, 1.0).count() == 0 and G.rigs_present(s.withColumn("code", F.lit(1))).count() == 0
+
+
+def test_variance_components_equal_a_dense_likelihood():
+    from pneuma.operators.stats import reml
+
+    rng = np.random.default_rng(4)
+    groups = [rng.normal(0, 10) + rng.normal(0, 1, n) for n in (5, 6, 8, 5, 12, 7, 9, 6)]
+    y, owner = np.concatenate(groups), np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+
+    def deviance(within, between):
+        v = np.eye(len(y)) * within**2 + between**2 * (owner[:, None] == owner[None, :])
+        inverse = np.linalg.inv(v)
+        information = inverse.sum()
+        r = y - inverse.sum(axis=0) @ y / information
+        return np.linalg.slogdet(v)[1] + np.log(information) + r @ inverse @ r
+
+    sizes = np.array([len(g) for g in groups], float)
+    means = np.array([g.mean() for g in groups])
+    ssw = sum(((g - g.mean()) ** 2).sum() for g in groups)
+    within, between, upper, singular = reml(sizes, np.ones(len(sizes)), means, np.zeros(len(sizes)), ssw)
+    assert not singular and 0.7 < within < 1.4 and 5 < between < 20 < upper * 2
+    best = deviance(within, between)
+    for a, b in ((0.99, 1), (1.01, 1), (1, 0.97), (1, 1.03)):
+        assert deviance(within * a, between * b) > best
+    profile = min(deviance(w, upper) for w in within * np.linspace(0.9, 1.1, 201))
+    assert profile - best == pytest.approx(3.8415, abs=0.01)
