@@ -351,11 +351,11 @@ def stream_clamped_breath(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(W.drained(W.stream_clamped_breath(W.packet_stream(spark, sf), 100.0)).select("event_id", "breath"))
 
 
-def stream_causal_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(W.drained(W.stream_causal_filter(W.packet_stream(spark, sf))))
+def stream_one_pole(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(W.drained(W.stream_one_pole(W.packet_stream(spark, sf))))
 
 
-CAUSAL = """WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ONE_POLE = """WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT user_id, event_id, k, value AS y FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.event_id, s.k, r.y + 0.2::DOUBLE * (s.value - r.y) FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1)
 SELECT user_id AS participant_id, event_id, k AS seen, round(y, 6) AS filtered FROM r"""
 
@@ -368,7 +368,9 @@ CALIB_STATUS = f"""WITH {S}, k AS (SELECT s.*, event_id, t_s >= 86400 AND idx >=
 r AS (SELECT *, sum(ch) OVER (PARTITION BY recording_id ORDER BY idx) AS run FROM (SELECT *, (good IS DISTINCT FROM lag(good) OVER (PARTITION BY recording_id ORDER BY idx))::INT AS ch FROM k)),
 h AS (SELECT *, good AND t_s - min(t_s) OVER (PARTITION BY recording_id, run) >= 21600 AS ready FROM r)
 SELECT recording_id AS participant_id, event_id, CASE WHEN ready THEN 'ready' ELSE 'timeout' END AS status, round(t_s, 6) AS elapsed_s FROM h WHERE ready OR t_s >= 864000
-QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY idx) = 1"""
+QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY idx) = 1
+UNION ALL SELECT recording_id, NULL, 'timeout', 864000.0 FROM h JOIN (SELECT user_id, min(ts) AS a FROM events GROUP BY ALL) ON user_id = recording_id
+GROUP BY recording_id, a HAVING NOT bool_or(ready OR t_s >= 864000) AND a + INTERVAL 864000 SECOND < {_LAST}"""
 
 QUERIES = {
     "parse_seat_filenames": (parse_seat_filenames, f"WITH {_F} SELECT * FROM se"), "build_seat_map": (build_seat_map, f"WITH {_F} SELECT * FROM sm"),
@@ -379,5 +381,5 @@ QUERIES = {
     "band_metrics": (band_metrics, BAND), "stream_phase_rate": (stream_phase_rate, STREAM_PHASE),
     "stream_rolling_r": (stream_rolling_r, STREAM_R), "stream_amplitude_range": (stream_amplitude_range, STREAM_RANGE), "stream_trial_sessions": (stream_trial_sessions, STREAM_SESSIONS),
     "stream_dedupe": (stream_dedupe, "SELECT user_id AS participant_id, event_id, value FROM events"), "stream_clamped_breath": (stream_clamped_breath, "SELECT event_id, round(least(1, greatest(0, value / 100)), 6) AS breath FROM events"),
-    "stream_causal_filter": (stream_causal_filter, CAUSAL), "stream_calib_status": (stream_calib_status, CALIB_STATUS), "model_frequency": (model_frequency, FREQUENCY), "batch_report": (batch_report, REPORT),
+    "stream_one_pole": (stream_one_pole, ONE_POLE), "stream_calib_status": (stream_calib_status, CALIB_STATUS), "model_frequency": (model_frequency, FREQUENCY), "batch_report": (batch_report, REPORT),
 }

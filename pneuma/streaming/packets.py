@@ -26,6 +26,8 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         import tempfile
 
         root = f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
@@ -73,8 +75,8 @@ def stream_clamped_breath(packets: DataFrame, scale: float) -> DataFrame:
     return packets.withColumn("breath", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / scale)))
 
 
-def stream_causal_filter(packets: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """One-pole low-pass and the slope it removes, carried per participant from batch to batch; late packets are dropped.
+def stream_one_pole(packets: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """One-pole low-pass, carried per participant from batch to batch; late packets are dropped.
 
     The state is the last output, its time and the number of packets seen.
     """
@@ -99,18 +101,26 @@ def stream_causal_filter(packets: DataFrame, alpha: float = 0.2) -> DataFrame:
 
 def stream_calib_status(packets: DataFrame, least_s: float, breaths: int, confidence: float, hold_s: float, timeout_s: float) -> DataFrame:
     """One row per participant whose calibration ends: ready once enough time and breaths have passed and the confidence has
-    held for hold_s, or timeout. packets: participant_id, event_id, ts, confidence; each counts as a breath.
+    held for hold_s, or timeout. packets: participant_id, event_id, ts, confidence, and breaths (number seen so far; without
+    this column each packet counts as one).
 
-    The state is the start, packets seen, since when all conditions hold, and whether it is over.
+    A timer in event time ends the calibration of a participant that stays quiet (event_id null). The state is the start,
+    packets seen, since when the confidence holds, and whether it is over.
     """
+    counted = "breaths" in packets.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = ["participant_id", "event_id", "status", "elapsed_s"]
         start, seen, since, over = state.get if state.exists else (-1, 0, -1, False)
+        if state.hasTimedOut:
+            state.update((start, seen, since, True))
+            yield pd.DataFrame([] if over else [(key[0], None, "timeout", timeout_s)], columns=names).astype({"event_id": "Int64"})
+            return
         out = []
         for r in pd.concat(list(batches)).sort_values(["us", "event_id"]).itertuples():
             if over:
                 break
-            start, seen = (r.us if start < 0 else start), seen + 1
+            start, seen = (r.us if start < 0 else start), (r.breaths if counted else seen + 1)
             elapsed = (r.us - start) / 1e6
             good = elapsed >= least_s and seen >= breaths and r.confidence >= confidence
             since = (r.us if since < 0 else since) if good else -1
@@ -121,9 +131,12 @@ def stream_calib_status(packets: DataFrame, least_s: float, breaths: int, confid
                 out.append((key[0], r.event_id, "timeout", elapsed))
                 over = True
         state.update((int(start), int(seen), int(since), bool(over)))
-        yield pd.DataFrame(out, columns=["participant_id", "event_id", "status", "elapsed_s"])
+        if not over:
+            state.setTimeoutTimestamp(max(int(start // 1000 + timeout_s * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names).astype({"event_id": "Int64"})
 
-    keyed = packets.select("participant_id", "event_id", F.unix_micros("ts").alias("us"), "confidence").groupBy("participant_id")
+    timed = packets.where("ts is not null").withWatermark("ts", DELAY)
+    keyed = timed.select("participant_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "confidence", *["breaths"] * counted).groupBy("participant_id")
     return keyed.applyInPandasWithState(
-        step, "participant_id bigint, event_id bigint, status string, elapsed_s double", "start bigint, seen bigint, since bigint, over boolean", "append", GroupStateTimeout.NoTimeout
+        step, "participant_id bigint, event_id bigint, status string, elapsed_s double", "start bigint, seen bigint, since bigint, over boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
