@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.islands import rounded
 from ..streaming import calibrate as C
-from ..streaming.packets import drained, packet_stream
+from ..streaming.packets import drained, lagged_pacer, packet_stream, stream_rolling_r
 
 #: Band of the query's filter, in cycles a sample.
 BAND = (0.02, 0.2)
@@ -58,6 +58,18 @@ def stream_calib_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(drained(s))
 
 
+def stream_pacer_r(spark: SparkSession, sf: str) -> DataFrame:
+    """A pacer of five days since the start of 2024, half a day earlier."""
+    pacer = lagged_pacer(1704067200.0, 5 * 86400.0, 43200.0)
+    r = drained(stream_rolling_r(packet_stream(spark, sf), "4 days", "2 days", 5, pacer))
+    return rounded(r.withColumn("start", F.date_format("start", "yyyy-MM-dd")))
+
+
+PACER_R = """WITH w AS (SELECT user_id, value, (1 - cos(2 * pi() * (epoch_us(ts) / 1e6 - 1704110400) / 432000)) / 2 AS pacer, to_timestamp((epoch(ts)::BIGINT // 172800 - o) * 172800)::TIMESTAMP AS b FROM events, range(0, 2) r(o))
+SELECT strftime(b, '%Y-%m-%d') AS start, user_id AS participant_id, count(*) AS n, round(corr(value, pacer), 6) AS r FROM w
+WHERE b + INTERVAL 4 DAY <= (SELECT max(ts) - INTERVAL 1 SECOND FROM events) GROUP BY ALL HAVING count(*) >= 5"""
+
 QUERIES = {
+    "stream_pacer_r": (stream_pacer_r, PACER_R),
     "stream_causal_filter": (stream_causal_filter, _causal_sql()), "stream_running_axis": (stream_running_axis, RUNNING_AXIS), "stream_calib_confidence": (stream_calib_confidence, ""),
 }

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.calibration import pacer_radius
+
 DELAY = "1 second"
 
 
@@ -45,13 +47,18 @@ def stream_phase_rate(packets: DataFrame, width: str = "1 day") -> DataFrame:
     return g.select(F.col("window.start").alias("start"), "label", "n", "mean")
 
 
-def stream_rolling_r(packets: DataFrame, width: str = "2 days", slide: str = "1 day", least: int = 10) -> DataFrame:
-    """Correlation of value and time in sliding windows with enough points, per participant."""
-    t = F.unix_micros("ts") / 1e6
+def stream_rolling_r(packets: DataFrame, width: str = "2 days", slide: str = "1 day", least: int = 10, reference: Column | None = None) -> DataFrame:
+    """Correlation of value and a reference (time, or what the pacer showed) in sliding windows with enough points, per participant."""
+    t = F.unix_micros("ts") / 1e6 if reference is None else reference
     g = packets.withWatermark("ts", DELAY).groupBy(F.window("ts", width, slide), "participant_id").agg(F.count(F.lit(1)).alias("n"), F.corr("value", t).alias("r"))
     return g.where(F.col("n") >= least).select(F.col("window.start").alias("start"), "participant_id", "n", "r")
 
 
+def lagged_pacer(start_s: float, period_s: float, lag_s: float = 0.0) -> Column:
+    """What a pacer that began at start_s showed lag_s before the packet, from 0 (exhaled) to 1 (inhaled)."""
+    return pacer_radius(F.unix_micros("ts") / 1e6 - lag_s, F.lit(start_s), F.lit(period_s))
+
+
 def stream_amplitude_range(packets: DataFrame, width: str = "4 days", slide: str = "2 days", least: int = 5, span: float = 0.05) -> DataFrame:
     """5th and 95th percentile by index floor((n - 1) p) in sliding windows; passes where there are enough points and spread."""
     g = packets.withWatermark("ts", DELAY).groupBy(F.window("ts", width, slide), "participant_id").agg(F.sort_array(F.collect_list("value")).alias("v"))
