@@ -34,6 +34,14 @@ def slope(y: str, x: str) -> Column:
     return F.when((F.count(y_ok) > 1) & (F.var_pop(x_ok) > 0), F.regr_slope(y, x))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r over pairs where both are there; null without spread in either (where corr would divide by zero)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def rmssd(df_d2: str) -> Column:
     """Root mean square of successive differences, from a column of squared differences."""
     return F.sqrt(F.avg(df_d2))

@@ -173,6 +173,22 @@ def coherence_null(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.coherence_null(_pairs(spark, sf), 25.0, 16, 200))
 
 
+COHERENCE_NULL = f"""WITH {_AX}, h AS (SELECT i, 0.5 * (1 - cos(2 * pi() * i / 15)) AS w FROM range(0, 16) t(i)),
+sp AS (SELECT participant_id, k, sqrt(sum(yc * cos(2 * pi() * k * (idx - 1) / 64)) ** 2 + sum(yc * sin(2 * pi() * k * (idx - 1) / 64)) ** 2) AS size
+  FROM (SELECT *, y - avg(y) OVER (PARTITION BY participant_id) AS yc FROM ax), range(0, 33) t(k) GROUP BY ALL),
+x0 AS (SELECT participant_id, s, k, size, ((participant_id::UBIGINT * 2654435761) % 4294967296 + (s::UBIGINT * 2246822519) % 4294967296 + (k::UBIGINT * 3266489917) % 4294967296) % 4294967296 AS x FROM sp, range(0, 200) t(s)),
+x1 AS (SELECT * REPLACE ((xor(x, x >> 16) * 2146121005) % 4294967296 AS x) FROM x0),
+x2 AS (SELECT * REPLACE ((xor(x, x >> 15) * 2221713035) % 4294967296 AS x) FROM x1),
+ph AS (SELECT participant_id, s, k, size * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END / 64 AS amp, 2 * pi() * xor(x, x >> 16) / 4294967296.0::DOUBLE AS phi FROM x2),
+fk AS (SELECT participant_id, s, i, sum(amp * cos(2 * pi() * k * i / 64 + phi)) AS v FROM ph, range(0, 64) t(i) GROUP BY ALL),
+al AS (SELECT participant_id, s, i, v FROM fk UNION ALL SELECT participant_id, -1, idx - 1, x FROM ax),
+sg AS (SELECT participant_id, s, g, i - 8 * g AS i, v - avg(v) OVER (PARTITION BY participant_id, s, g) AS v FROM al, range(0, 7) t(g) WHERE i BETWEEN 8 * g AND 8 * g + 15),
+ft AS (SELECT participant_id, s, g, bin, sum(v * w * cos(2 * pi() * bin * i / 16)) AS re, -sum(v * w * sin(2 * pi() * bin * i / 16)) AS im FROM sg JOIN h USING (i), range(0, 8) t(bin) GROUP BY ALL),
+co AS (SELECT b.participant_id, b.s, b.bin, (sum(a.re * b.re + a.im * b.im) ** 2 + sum(a.im * b.re - a.re * b.im) ** 2) / (sum(a.re ** 2 + a.im ** 2) * sum(b.re ** 2 + b.im ** 2)) AS c
+  FROM ft a JOIN ft b ON a.participant_id = b.participant_id AND a.g = b.g AND a.bin = b.bin AND a.s = -1 AND b.s >= 0 GROUP BY ALL)
+SELECT participant_id AS recording_id, bin, round(quantile_cont(c, 0.95), 6) AS null_coherence, round(bin * 25.0::DOUBLE / 16, 6) AS freq FROM co GROUP BY ALL"""
+
+
 def cycle_shape_corr(spark: SparkSession, sf: str) -> DataFrame:
     """Cycles of sixteen samples of the first two axes."""
     ax = _pairs(spark, sf).withColumn("t_s", (F.col("idx") - 1) / F.lit(25.0))
@@ -211,6 +227,6 @@ QUERIES = {
     "calib_lowpass": (calib_lowpass, _filter_oracle(band_response(", 3.0", 4))), "detrend_highpass": (detrend_highpass, _filter_oracle(band_response("1.0,", 2))),
     "decimate": (decimate, DECIMATE), "downsample": (downsample, DOWNSAMPLE), "decimation_plan": (decimation_plan, DECIMATION_PLAN), "decimation_factor": (decimation_factor, FACTOR),
     "despike": (despike, DESPIKE), "detrend_median": (detrend_median, DETREND_MEDIAN), "dominant_rate": (dominant_rate, DOMINANT), "double_integrate": (double_integrate, DOUBLE_INTEGRATE),
-    "flag_alias_prone": (flag_alias_prone, ALIAS), "coherence_null": (coherence_null, ""), "cycle_shape_corr": (cycle_shape_corr, CYCLE), "sample_time": (sample_time, SAMPLE_TIME),
+    "flag_alias_prone": (flag_alias_prone, ALIAS), "coherence_null": (coherence_null, COHERENCE_NULL), "cycle_shape_corr": (cycle_shape_corr, CYCLE), "sample_time": (sample_time, SAMPLE_TIME),
     "project_to_grid": (project_to_grid, PROJECT),
 }

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.islands import REC, run_ids
-from .spectrum import calib_bandpass, calib_lowpass, whole_arrays
+from ..functions.islands import REC, correlation, run_ids
+from .spectrum import calib_bandpass, calib_lowpass, with_halo
 from .timebase import assign_block
 
 BASE_MS, BASE_BREATHS, BREATHS, EDGE_MS, SOFTWARE_MS = 4000.0, 2, 4, 285.0, 548.0
@@ -76,35 +76,60 @@ def fit_mlr(rows: DataFrame, by: str = "participant_id") -> DataFrame:
     return s.select(by, "n", "wx", "wy", "wz", bias.alias("bias"), F.sqrt(F.greatest(F.lit(0.0), r2)).alias("r"))
 
 
-def lag_search(pairs: DataFrame, most: int, least_overlap: int = 20) -> DataFrame:
-    """recording_id, shift, r: the shift of b against a (positive: b trails) with the largest correlation, ties to the smallest shift.
+def _lag_sums(a: np.ndarray, b: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs (a[i], b[i + d]) with both present and i own, for d = -most ... most: number, sums of a, b, a^2, b^2, a b.
 
-    A key's samples are one pair of arrays, of a calibration or a recording of hours; shifts are taken on the arrays.
+    Each is a correlation of two arrays; all come from one transform of six
+    arrays and one back, long enough that nothing wraps.
     """
+    size = 1 << int(len(a) + most).bit_length()
+    here, there = np.isfinite(a) & own, np.isfinite(b)
+    a, b = np.where(here, a, 0.0), np.where(there, b, 0.0)
+    u = np.conj(np.fft.rfft([here, a, a * a], size))
+    v = np.fft.rfft([there, b, b * b], size)
+    sums = np.fft.irfft([u[0] * v[0], u[1] * v[0], u[0] * v[1], u[2] * v[0], u[0] * v[2], u[1] * v[1]], size)
+    sums = np.roll(sums, most, axis=1)[:, : 2 * most + 1]
+    sums[0] = np.round(sums[0])
+    return sums
+
+
+def lag_search(pairs: DataFrame, most: int, least_overlap: int = 20, chunk: int = 7500) -> DataFrame:
+    """recording_id, shift, r: the shift of b against a (positive: b trails) with the largest correlation, ties to the smallest shift.
 
-    def search(x: pd.DataFrame) -> pd.DataFrame:
+    Shifts with fewer than least_overlap pairs of present samples, or without
+    spread, have no correlation; recordings without any have no row. A
+    recording is cut into chunks with a halo of `most` samples; each gives its
+    sums for all shifts by fast correlation, and these are added up.
+    """
+    every, names = Window.partitionBy(*REC), ("n", "a", "b", "aa", "bb", "ab")
+    # About their means, so that the sums lose no digits.
+    x = pairs.select(*REC, "idx", *[F.when(~F.isnan(c), F.col(c)).cast("double").alias(c) for c in ("a", "b")])
+    x = x.withColumns({c: F.col(c) - F.avg(c).over(every) for c in ("a", "b")} | {"_low": F.min("idx").over(every)}).withColumn("idx", F.col("idx") - F.col("_low") + 1)
+    scale = x.groupBy(*REC).agg(F.avg(F.col("a") * F.col("a")).alias("va"), F.avg(F.col("b") * F.col("b")).alias("vb"))
+    rows = F.array_sort(F.collect_list(F.struct("idx", "own", "a", "b"))).alias("rows")
+    chunks = with_halo(x.drop("_low"), max(chunk, 4 * most), most).groupBy(*REC, "chunk").agg(rows)
+
+    def sums(t: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for idx, a, b in zip(x["idx"], x["a"], x["b"], strict=True):
-            at = np.asarray(idx) - idx[0]
-            p, q = np.full(at[-1] + 1, np.nan), np.full(at[-1] + 1, np.nan)
-            p[at], q[at] = np.asarray(a, float), np.asarray(b, float)
-            best = (None, None)
-            for d in range(-most, most + 1):
-                u, v = (p[: len(p) - d], q[d:]) if d >= 0 else (p[-d:], q[: len(q) + d])
-                ok = np.isfinite(u) & np.isfinite(v)
-                if ok.sum() < least_overlap:
-                    continue
-                u, v = u[ok] - u[ok].mean(), v[ok] - v[ok].mean()
-                size = math.sqrt((u @ u) * (v @ v))
-                if size > 0 and (best[1] is None or round(float(u @ v) / size, 9) > round(best[1], 9)):
-                    best = (d, float(u @ v) / size)
-            out.append(best)
-        return pd.DataFrame(out, columns=["shift", "r"]).astype({"shift": "Int64", "r": float})
-
-    arrays = whole_arrays(pairs, ["a", "b"])
-    cast = F.struct(F.col("idx").cast("array<bigint>").alias("idx"), F.col("a").cast("array<double>").alias("a"), F.col("b").cast("array<double>").alias("b"))
-    found = arrays.select(*REC, F.pandas_udf(search, "shift int, r double")(cast).alias("s"))
-    return found.where("s.shift is not null").select(*REC, "s.shift", "s.r")
+        for idx, own, a, b in zip(t["idx"], t["own"], t["a"], t["b"], strict=True):
+            at = np.asarray(idx, np.int64) - idx[0]
+            p, q, mine = np.full(at[-1] + 1, np.nan), np.full(at[-1] + 1, np.nan), np.zeros(at[-1] + 1, bool)
+            p[at], q[at], mine[at] = np.asarray(a, float), np.asarray(b, float), np.asarray(own, bool)
+            out.append(list(_lag_sums(p, q, mine, most)))
+        return pd.DataFrame(out, columns=names)
+
+    packed = F.struct(*[F.col(f"rows.{c}").alias(c) for c in ("idx", "own", "a", "b")])
+    each = chunks.select(*REC, F.pandas_udf(sums, ", ".join(f"{c} array<double>" for c in names))(packed).alias("s"))
+    each = each.select(*REC, F.posexplode(F.arrays_zip(*[F.col(f"s.{c}").alias(c) for c in names])).alias("shift", "v"))
+    total = each.groupBy(*REC, (F.col("shift") - most).alias("shift")).agg(*[F.sum(f"v.{c}").alias(c) for c in names])
+    n, var = F.col("n"), lambda c: F.col(c + c) - F.col(c) * F.col(c) / F.col("n")
+    total = total.where(n >= max(2, least_overlap)).join(scale, list(REC))
+    # Below a rounding error of the whole recording's variance there is no spread.
+    spread = (var("a") > 1e-12 * n * F.col("va")) & (var("b") > 1e-12 * n * F.col("vb"))
+    r = (F.col("ab") - F.col("a") * F.col("b") / n) / F.sqrt(var("a") * var("b"))
+    found = total.where(spread).select(*REC, F.col("shift").cast("int").alias("shift"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    best = found.groupBy(*REC).agg(F.max_by(F.struct("shift", "r"), F.struct(F.round("r", 9), -F.col("shift"))).alias("s"))
+    return best.select(*REC, "s.shift", "s.r")
 
 
 def calib_window(attempts: DataFrame, period_s: float = BASE_MS / 1000, cycles: int = BREATHS) -> DataFrame:
@@ -180,7 +205,7 @@ def score_models(rows: DataFrame, fs: float = 25.0, band: tuple[float, float] =
     p = f.join(fits.select(*REC, "kind", "bias", "wx", "wy", "wz"), list(REC)).withColumn("value", _reading()).select(*REC, "idx", "kind", "value", "target")
     smooth = _with_smooth(p.where("kind = 'mlr-wide'"), fs).select(*REC, "idx", F.lit("mlr-wide-lp").alias("kind"), F.col("smooth_value").alias("value"), "target")
     p = p.unionByName(smooth)
-    r = p.groupBy(*REC, "kind").agg(F.count("value").alias("n"), F.when((F.var_pop("value") > 0) & (F.var_pop("target") > 0), F.corr("value", "target")).alias("r"))
+    r = p.groupBy(*REC, "kind").agg(F.count("value").alias("n"), F.when((F.var_pop("value") > 0) & (F.var_pop("target") > 0), correlation("value", "target")).alias("r"))
     place = sum(F.when(F.col("kind") == m, i).otherwise(0) for i, m in enumerate(MODELS))
     order = Window.partitionBy(*REC).orderBy(F.round("r", 9).desc_nulls_last(), place)
     top = r.withColumns({"_k": F.row_number().over(order), "margin": F.col("r") - F.lead("r").over(order)}).where("_k = 1").drop("_k")
@@ -192,7 +217,16 @@ def score_models(rows: DataFrame, fs: float = 25.0, band: tuple[float, float] =
     return out.select(*REC, "n", "too_few", *[F.when(ok, F.col(c)).alias(c) for c in ("model", "r", "margin", "low_fit", "bias", "wx", "wy", "wz", "smooth", "lag_ms", "lag_r")])
 
 
-def trial_sync(signal: DataFrame, trials: DataFrame, fs: float, lag_s: float = 0.0, least: int = 20, every: int = 5, bucket_s: float = 60.0) -> DataFrame:
+def _spaced(peaks: DataFrame, key: list[str], share: float) -> DataFrame:
+    """Of each trial's peaks, in order of time, those farther than share * sep from the last one kept; a fold over the few peaks of a trial."""
+    ts = F.array_sort(F.collect_list("t_s"))
+    g = peaks.groupBy(*key, "sep").agg(ts.alias("ts"))
+    late = lambda kept, t: (F.size(kept) == 0) | (t - F.element_at(kept, -1) > share * F.col("sep"))
+    kept = F.aggregate("ts", F.array().cast("array<double>"), lambda acc, t: F.when(late(acc, t), F.concat(acc, F.array(t))).otherwise(acc))
+    return g.select(*key, "sep", F.explode(kept).alias("t_s"))
+
+
+def trial_sync(signal: DataFrame, trials: DataFrame, lag_s: float = 0.0, least: int = 20, every: int = 5, bucket_s: float = 60.0) -> DataFrame:
     """Per trial: r_baseline and r_condition (absolute correlations with the pacer before and behind the change, the latter lag-corrected),
     and peak_error_s, the upper median of distances from pacer peaks to the nearest signal peak.
 
@@ -200,37 +234,31 @@ def trial_sync(signal: DataFrame, trials: DataFrame, fs: float, lag_s: float = 0
     base, changed (seconds). A half needs more than `least` samples. Peaks are
     higher than both neighbours and keep half (signal) or 0.7 (pacer, every
     fifth sample) of the shorter period between them; an error counts below
-    0.75 of it. A trial is one array.
+    0.75 of it. Peaks meet in an equi-join on buckets of that reach.
     """
+    key = [*REC, "trial"]
     x = assign_block(signal.select(*REC, "t_s", "value"), trials, bucket_s)
     boundary = F.col("start") + BASE_BREATHS * F.col("base")
     t = F.col("t_s")
     first, later = pacer_radius(t, F.col("start"), F.col("base")), pacer_radius_trial(t - lag_s, F.col("start"), F.col("base"), F.col("changed"))
     x = x.withColumns({"late": t >= boundary, "p": F.when(t < boundary, first).otherwise(later), "whole": pacer_radius_trial(t, F.col("start"), F.col("base"), F.col("changed"))})
-    half = lambda late: F.when(F.count_if(F.col("late") == late) > least, F.abs(F.corr(F.when(F.col("late") == late, F.col("value")), F.when(F.col("late") == late, F.col("p")))))
-    rows = F.array_sort(F.collect_list(F.struct("t_s", "value", "whole"))).alias("rows")
-    g = x.groupBy(*REC, "trial").agg(F.count(F.lit(1)).alias("n"), half(False).alias("r_baseline"), half(True).alias("r_condition"), F.first(F.least("base", "changed")).alias("sep"), rows)
-
-    def peaks(times: np.ndarray, v: np.ndarray, gap: float) -> list[float]:
-        out: list[float] = []
-        for i in 1 + np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])):
-            if not out or times[i] - out[-1] > gap:
-                out.append(float(times[i]))
-        return out
-
-    def error(d: pd.DataFrame) -> pd.Series:
-        out = []
-        for times, v, whole, sep in zip(d["t"], d["v"], d["w"], d["sep"], strict=True):
-            times, v, whole = np.asarray(times, float), np.asarray(v, float), np.asarray(whole, float)
-            mine, due = np.array(peaks(times, v, 0.5 * sep)), peaks(times[::every], whole[::every], 0.7 * sep)
-            far = sorted(float(np.abs(mine - p).min()) for p in due) if len(mine) else []
-            far = [e for e in far if e < 0.75 * sep]
-            out.append(far[len(far) // 2] if far else None)
-        return pd.Series(out, dtype=float)
-
-    packed = F.struct(F.col("rows.t_s").alias("t"), F.col("rows.value").alias("v"), F.col("rows.whole").alias("w"), "sep")
-    e = F.pandas_udf(error, "double")(packed)
-    return g.withColumn("e", e).select(*REC, "trial", "n", "r_baseline", "r_condition", F.when(~F.isnan("e"), F.col("e")).alias("peak_error_s"))
+    x = x.withColumn("sep", F.least("base", "changed"))
+    mine = lambda late, c: F.when(F.col("late") == late, F.col(c))
+    half = lambda late: F.when(F.count_if(F.col("late") == late) > least, F.abs(correlation(mine(late, "value"), mine(late, "p"))))
+    g = x.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), half(False).alias("r_baseline"), half(True).alias("r_condition"))
+
+    w = Window.partitionBy(*key).orderBy("t_s", "value")
+    higher = lambda c: (F.col(c) > F.lag(c).over(w)) & (F.col(c) > F.lead(c).over(w))
+    found = _spaced(x.withColumn("_top", higher("value")).where("_top").select(*key, "sep", "t_s"), key, 0.5)
+    thin = x.withColumn("_k", F.row_number().over(w) - 1).where(F.col("_k") % every == 0)
+    due = _spaced(thin.withColumn("_top", higher("whole")).where("_top").select(*key, "sep", "t_s"), key, 0.7)
+    reach = 0.75 * F.col("sep")
+    bucket = F.floor(F.col("t_s") / reach)
+    left = due.select(*key, "sep", F.col("t_s").alias("_due"), bucket.alias("_b"))
+    right = found.select(*key, F.col("t_s").alias("_at"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    far = left.join(right, [*key, "_b"]).groupBy(*key, "_due", "sep").agg(F.min(F.abs(F.col("_at") - F.col("_due"))).alias("_e")).where(F.col("_e") < reach)
+    errors = far.groupBy(*key).agg(F.array_sort(F.collect_list("_e")).alias("_e"))
+    return g.join(errors, key, "left").select(*key, "n", "r_baseline", "r_condition", F.get("_e", F.floor(F.size("_e") / 2).cast("int")).alias("peak_error_s"))
 
 
 def quality_index(rows: DataFrame, window: int) -> DataFrame:

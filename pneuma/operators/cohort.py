@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.islands import REC, finite, slope
+from ..functions.islands import REC, correlation, finite, slope
 from ..functions.tdist import t_quantile
 from .stats import ccc, classification_agreement, two_predictor_slopes
 
@@ -124,7 +124,7 @@ def bias_sweep(rows: DataFrame, by: str, a: str, b: str, limit: float, biases: l
 
 def dependent_corr_contrast(rows: DataFrame, shared: str, x: str, y: str) -> DataFrame:
     """r12 (shared with x), r13 (shared with y), r23, and the t statistic of r12 - r13 with n - 3 degrees of freedom."""
-    c = rows.agg(F.count(F.lit(1)).alias("n"), F.corr(shared, x).alias("r12"), F.corr(shared, y).alias("r13"), F.corr(x, y).alias("r23"))
+    c = rows.agg(F.count(F.lit(1)).alias("n"), correlation(shared, x).alias("r12"), correlation(shared, y).alias("r13"), correlation(x, y).alias("r23"))
     two = F.lit(2.0)
     det = 1 - F.pow("r12", two) - F.pow("r13", two) - F.pow("r23", two) + 2 * F.col("r12") * F.col("r13") * F.col("r23")
     mean = (F.col("r12") + F.col("r13")) / 2
@@ -135,7 +135,7 @@ def dependent_corr_contrast(rows: DataFrame, shared: str, x: str, y: str) -> Dat
 def questionnaire_corr(scores: DataFrame, measures: DataFrame, by: str, score: str, columns: list[str]) -> DataFrame:
     """Correlations of a participant's score with measures of theirs, over participants that have both."""
     j = scores.select(by, F.col(score).cast("double").alias("_s")).join(measures, by)
-    return j.agg(F.count(F.lit(1)).alias("n"), *[F.corr("_s", c).alias(f"r_{c}") for c in columns])
+    return j.agg(F.count(F.lit(1)).alias("n"), *[correlation("_s", c).alias(f"r_{c}") for c in columns])
 
 
 def model_frequency(scores: DataFrame) -> DataFrame:
@@ -146,14 +146,17 @@ def model_frequency(scores: DataFrame) -> DataFrame:
 def band_bias_table(true: DataFrame, found: DataFrame, within: float, row: str, column: str, columns: list) -> DataFrame:
     """Mean bias of the nearest found onset to each true one, `row` values down and `column` values side by side, with the difference of the first two.
 
-    true: recording_id, t_s, row; found: recording_id, column, t_s. An onset without one within reach is left out; ties to the earlier.
+    true: recording_id, t_s, row; found: recording_id, column, t_s. An onset
+    without one within reach is left out; ties to the earlier. Equal true
+    onsets are looked up once and count as often as they stand there.
     """
     bucket = F.floor(F.col("t_s") / within)
-    left = true.select(*REC, F.monotonically_increasing_id().alias("_i"), row, F.col("t_s").alias("_due"), bucket.alias("_b"))
-    right = found.select(*REC, column, F.col("t_s").alias("_at"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    left = true.groupBy(*REC, row, F.col("t_s").alias("_due"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    right = found.where(F.col(column).isin(columns)).select(*REC, column, F.col("t_s").alias("_at"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
     d = F.col("_at") - F.col("_due")
-    near = left.join(right, [*REC, "_b"]).where(F.abs(d) <= within).groupBy(*REC, "_i", row, "_due", column).agg(F.min(F.struct(F.abs(d).alias("d"), "_at")).alias("m"))
-    wide = near.groupBy(row).agg(*[F.avg(F.when(F.col(column) == c, F.col("m._at") - F.col("_due"))).alias(f"bias_{c}") for c in columns])
+    near = left.join(right, [*REC, "_b"]).where(F.abs(d) <= within).groupBy(*REC, row, "_due", "_n", column).agg(F.min(F.struct(F.abs(d).alias("d"), "_at")).alias("m"))
+    mine = lambda c, v: F.sum(F.when(F.col(column) == c, v))
+    wide = near.groupBy(row).agg(*[F.try_divide(mine(c, (F.col("m._at") - F.col("_due")) * F.col("_n")), mine(c, F.col("_n"))).alias(f"bias_{c}") for c in columns])
     return wide.withColumn("difference", F.col(f"bias_{columns[0]}") - F.col(f"bias_{columns[1]}"))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.islands import REC, along, slope
+from ..functions.islands import REC, along, correlation, slope
 from .calibration import pacer_radius_trial
 from .clean import normalise
 from .extrema import collapse_refined, extrema_prominence, refine_extrema
@@ -59,36 +59,58 @@ def cross_coherence(pairs: DataFrame, fs: float, segment: int = 512) -> DataFram
     return s.select(*REC, "bin", (F.col("bin") * fs / segment).alias("freq"), "n", msc.alias("coherence"), F.atan2("im", "re").alias("phase"))
 
 
-def coherence_null(pairs: DataFrame, fs: float, segment: int = 512, surrogates: int = 1000, share: float = 0.95) -> DataFrame:
+#: Multipliers of the counters and of the two mixing steps of random_turns.
+COUNTERS, MIXERS = (2654435761, 2246822519, 3266489917), (2146121005, 2221713035)
+
+
+def random_turns(key: int, surrogates: np.ndarray, bins: int) -> np.ndarray:
+    """A phase in whole turns (0 to 1) for each surrogate and bin of a recording, from these numbers alone."""
+    mask, of = np.uint64(0xFFFFFFFF), lambda x, c: x.astype(np.uint64) * np.uint64(c)
+    x = np.uint64(key % (1 << 32) * COUNTERS[0] % (1 << 32)) + (of(surrogates, COUNTERS[1]) & mask)[:, None] + (of(np.arange(bins), COUNTERS[2]) & mask)
+    x = (x & mask) ^ (x & mask) >> np.uint64(16)
+    x = x * np.uint64(MIXERS[0]) & mask
+    x ^= x >> np.uint64(15)
+    x = x * np.uint64(MIXERS[1]) & mask
+    return (x ^ x >> np.uint64(16)) / float(1 << 32)
+
+
+def surrogate_coherence(a: np.ndarray, b: np.ndarray, key: int, surrogates: np.ndarray, segment: int) -> np.ndarray:
+    """A row for each surrogate of b (its spectrum's amplitudes with random phases): coherence with a by frequency."""
+    window, step = hann(segment), max(1, segment // 2)
+    cut = lambda v: np.lib.stride_tricks.sliding_window_view(v, segment, axis=-1)[..., ::step, :]
+    fa = _windowed(cut(a), window)
+    paa, size = (np.abs(fa) ** 2).sum(axis=0), np.abs(np.fft.rfft(b - b.mean()))
+    out, some = np.empty((len(surrogates), segment // 2)), max(1, (1 << 20) // len(b))
+    for lo in range(0, len(surrogates), some):
+        turns = random_turns(key, surrogates[lo : lo + some], len(size))
+        fb = _windowed(cut(np.fft.irfft(size * np.exp(2j * np.pi * turns), len(b))), window)
+        out[lo : lo + some] = np.abs((fa * np.conj(fb)).sum(axis=1)) ** 2 / np.maximum(paa * (np.abs(fb) ** 2).sum(axis=1), 1e-300)
+    return out
+
+
+def coherence_null(pairs: DataFrame, fs: float, segment: int = 512, surrogates: int = 1000, share: float = 0.95, block: int = 125) -> DataFrame:
     """Per frequency, the quantile of coherences of a with phase-randomised surrogates of b: amplitudes of b's spectrum, random phases.
 
-    Phases follow from the recording's number, so every run gives the same.
-    Recordings shorter than a segment give none; the signals of a recording are one array.
+    Phases follow from the recording's number, the surrogate's and the bin's,
+    so every run, and every way to deal the work out, gives the same. A row
+    holds a recording's two signals and a block of surrogates, so the
+    surrogates of a recording are spread over tasks; their coherences meet in
+    an aggregation by frequency. Recordings shorter than a segment give none.
     """
-    window, step = hann(segment), max(1, segment // 2)
 
-    def null(x: pd.DataFrame) -> pd.Series:
+    def found(x: pd.DataFrame) -> pd.Series:
         out = []
-        for key, a, b in zip(x["key"], x["a"], x["b"], strict=True):
-            starts = range(0, len(a) - segment + 1, step)
-            if not len(starts):
-                out.append([])
-                continue
-            fa = _windowed(np.stack([a[s : s + segment] for s in starts]), window)
-            paa = (np.abs(fa) ** 2).sum(axis=0)
-            size, rng = np.abs(np.fft.rfft(b - b.mean())), np.random.default_rng(int(key) % (1 << 63))
-            found = np.empty((surrogates, segment // 2))
-            for i in range(surrogates):
-                fake = np.fft.irfft(size * np.exp(2j * np.pi * rng.random(len(size))), len(b))
-                fb = _windowed(np.stack([fake[s : s + segment] for s in starts]), window)
-                found[i] = np.abs((fa * np.conj(fb)).sum(axis=0)) ** 2 / np.maximum(paa * (np.abs(fb) ** 2).sum(axis=0), 1e-300)
-            out.append(np.quantile(found, share, axis=0))
+        for key, lo, a, b in zip(x["key"], x["block"], x["a"], x["b"], strict=True):
+            mine = np.arange(lo * block, min(surrogates, (lo + 1) * block))
+            out.append(surrogate_coherence(np.asarray(a), np.asarray(b), int(key), mine, segment).ravel())
         return pd.Series(out)
 
-    arrays = whole_arrays(pairs.where("a is not null and b is not null"), ["a", "b"])
-    key = F.xxhash64(*REC).alias("key")
-    q = F.pandas_udf(null, "array<double>")(F.struct(key, F.col("a").cast("array<double>").alias("a"), F.col("b").cast("array<double>").alias("b")))
-    return arrays.select(*REC, F.posexplode(q).alias("bin", "null_coherence")).withColumn("freq", F.col("bin") * fs / segment)
+    arrays = whole_arrays(pairs.where("a is not null and b is not null"), ["a", "b"]).where(F.size("a") >= segment)
+    each = arrays.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((surrogates - 1) // block)))).repartition(*REC, "block")
+    packed = F.struct(F.col(REC[0]).cast("bigint").alias("key"), "block", F.col("a").cast("array<double>").alias("a"), F.col("b").cast("array<double>").alias("b"))
+    each = each.select(*REC, F.posexplode(F.pandas_udf(found, "array<double>")(packed)).alias("p", "coherence"))
+    null = each.groupBy(*REC, (F.col("p") % (segment // 2)).alias("bin")).agg(F.percentile("coherence", F.lit(share)).alias("null_coherence"))
+    return null.select(*REC, "bin", "null_coherence", (F.col("bin") * fs / segment).alias("freq"))
 
 
 def cycle_shape_corr(a: DataFrame, b: DataFrame, cycles: DataFrame, points: int = 32) -> DataFrame:
@@ -100,7 +122,7 @@ def cycle_shape_corr(a: DataFrame, b: DataFrame, cycles: DataFrame, points: int
     at = F.col("t_start") + (F.col("t_end") - F.col("t_start")) * F.col("i") / F.lit(float(points))
     grid = grid.select(*REC, (F.col("breath").cast("bigint") * points + F.col("i")).alias("k"), at.alias("t_s"))
     both = interp_to_grid(a, grid).select(*REC, "k", F.col("value").alias("va")).join(interp_to_grid(b, grid).select(*REC, "k", F.col("value").alias("vb")), [*REC, "k"])
-    g = both.groupBy(*REC, F.floor(F.col("k") / points).alias("breath")).agg(F.corr("va", "vb").alias("r"), F.var_pop("va").alias("_a"), F.var_pop("vb").alias("_b"))
+    g = both.groupBy(*REC, F.floor(F.col("k") / points).alias("breath")).agg(correlation("va", "vb").alias("r"), F.var_pop("va").alias("_a"), F.var_pop("vb").alias("_b"))
     return g.select(*REC, "breath", F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("r")).alias("r"))
 
 
@@ -137,7 +159,7 @@ def adherence_corr(signal: DataFrame, trials: DataFrame, lag_s: float, bucket_s:
     x = assign_block(signal.withColumn("t_s", t), trials, bucket_s)
     t = F.col("t_s")
     pacer = pacer_radius_trial(t, F.col("start"), F.col("base"), F.col("changed"))
-    return x.groupBy(*REC, "trial").agg(F.count(F.lit(1)).alias("n"), F.corr("value", pacer).alias("r"))
+    return x.groupBy(*REC, "trial").agg(F.count(F.lit(1)).alias("n"), correlation("value", pacer).alias("r"))
 
 
 def lag_confound(lag_ms: Column, period_ms: Column) -> Column:

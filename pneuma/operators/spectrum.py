@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import bisect
+import functools
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC, run_ids
+from ..functions.medians import window_medians
+from ..functions.zoom import waves, zoom
 from .timebase import fill_gaps
 
 #: Fixed values of decimation: the largest stage, the largest that is made at all, samples needed for each output sample.
@@ -90,43 +93,129 @@ def whole_arrays(samples: DataFrame, columns: list[str], by: tuple[str, ...] = R
     return samples.groupBy(*by).agg(rows.alias("rows")).select(*by, F.col("rows.idx").alias("idx"), *[F.col(f"rows.{c}").alias(c) for c in columns])
 
 
-def dominant_rate(samples: DataFrame, fs: float, low: float = 0.1, high: float = 0.5) -> DataFrame:
-    """Breaths a minute at the largest value of the raw periodogram of the whole recording (the lower of ties)."""
+def _chunk_arrays(x: DataFrame, chunk: int, by: tuple[str, ...] = REC) -> DataFrame:
+    """The key, n, first (place of the first sample, from 0) and value (array) of each chunk of a recording without gaps (rows carry n)."""
+    at = F.floor((F.col("idx") - 1) / chunk).alias("chunk")
+    g = x.groupBy(*by, "n", at).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("rows"))
+    return g.select(*by, "n", "chunk", (F.col("rows")[0]["idx"] - 1).alias("first"), F.col("rows.value").alias("value"))
 
-    def rate(x: pd.Series) -> pd.Series:
-        def of(v: np.ndarray) -> np.ndarray:
-            freq = np.arange(v.shape[1]) * fs / v.shape[1]
-            power = np.abs(np.fft.fft(v - v.mean(axis=1, keepdims=True))) ** 2
-            inside = np.flatnonzero((freq >= low) & (freq <= high))
-            return freq[inside[np.round(power[:, inside], 9).argmax(axis=1)]] * 60 if len(inside) else np.full(len(v), np.nan)
 
-        return _by_length(x, of).astype(float)
+def _centred(samples: DataFrame) -> DataFrame:
+    """Bridged samples less their recording's mean, with n and places counted from 1."""
+    every = Window.partitionBy(*REC)
+    x = fill_gaps(samples.select(*REC, "idx", "value")).where("value is not null")
+    x = x.withColumns({"n": F.count(F.lit(1)).over(every), "_mean": F.avg("value").over(every), "_low": F.min("idx").over(every)})
+    return x.select(*REC, (F.col("idx") - F.col("_low") + 1).alias("idx"), (F.col("idx")).alias("at"), "n", (F.col("value") - F.col("_mean")).alias("value"), "_mean")
 
-    arrays = whole_arrays(fill_gaps(samples.select(*REC, "idx", "value")).where("value is not null"), ["value"])
-    return arrays.select(*REC, F.pandas_udf(rate, "double")("value").alias("rate_bpm"))
 
+def bin_bounds(n: np.ndarray | int, fs: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first bin at or above low, and one past the last at or below high, of recordings of n samples, as floats compare."""
+    n = np.atleast_1d(np.asarray(n, np.int64))
+    first, stop = np.ceil(low * n / fs).astype(np.int64), np.floor(high * n / fs).astype(np.int64) + 1
+    first = np.where((first - 1) * fs / n >= low, first - 1, np.where(first * fs / n < low, first + 1, first))
+    stop = np.where((stop - 1) * fs / n > high, stop - 1, np.where(stop * fs / n <= high, stop + 1, stop))
+    return np.maximum(first, 0), np.maximum(np.minimum(stop, n), np.maximum(first, 0))
 
-def double_integrate(samples: DataFrame, fs: float, corner: float = 0.05) -> DataFrame:
-    """Displacement from acceleration: each frequency at or above the corner divided by -(2 pi f)^2, the others dropped."""
 
-    def integrate(x: pd.Series) -> pd.Series:
-        def of(v: np.ndarray) -> np.ndarray:
-            freq = np.fft.rfftfreq(v.shape[1], 1 / fs)
-            g = np.where(freq >= corner, -1.0 / np.maximum(2 * np.pi * freq, 1e-12) ** 2, 0.0)
-            return np.fft.irfft(np.fft.rfft(v) * g, v.shape[1])
+def band_transform(chunks: DataFrame, fs: float, low: float, high: float) -> DataFrame:
+    """recording_id, n, bin, re, im: the whole recording's transform at bins of low to high, summed from what each chunk of _chunk_arrays adds."""
+
+    def part(x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n, first, v in zip(x["n"], x["first"], x["value"], strict=True):
+            k, stop = (int(b[0]) for b in bin_bounds(n, fs, low, high))
+            z = zoom(np.asarray(v, float), int(n), int(first), k, stop - k) if stop > k else np.zeros(0, complex)
+            out.append((k, z.real, z.imag))
+        return pd.DataFrame(out, columns=["k", "re", "im"])
+
+    each = chunks.select(*REC, "n", F.pandas_udf(part, "k bigint, re array<double>, im array<double>")(F.struct("n", "first", "value")).alias("s"))
+    each = each.select(*REC, "n", "s.k", F.posexplode(F.arrays_zip(F.col("s.re").alias("re"), F.col("s.im").alias("im"))).alias("m", "v"))
+    return each.groupBy(*REC, "n", (F.col("k") + F.col("m")).alias("bin")).agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"))
+
+
+def dominant_rate(samples: DataFrame, fs: float, low: float = 0.1, high: float = 0.5, chunk_s: float = 300.0) -> DataFrame:
+    """Breaths a minute at the largest value of the raw periodogram of the whole recording (the lower of ties).
+
+    Each chunk's share of the transform is taken at the band's bins alone and
+    summed over the chunks; recordings too short for a bin in the band have NaN.
+    """
+    x = _centred(samples)
+    power = band_transform(_chunk_arrays(x, max(1, round(chunk_s * fs))), fs, low, high).withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    best = power.groupBy(*REC).agg(F.max_by(F.col("bin") * fs / F.col("n") * 60, F.struct(F.round("power", 9), -F.col("bin"))).alias("rate_bpm"))
+    return x.select(*REC).distinct().join(best, list(REC), "left").select(*REC, F.coalesce("rate_bpm", F.lit(float("nan"))).alias("rate_bpm"))
 
-        return _by_length(x, of)
 
-    arrays = whole_arrays(fill_gaps(samples.select(*REC, "idx", "value")), ["value"])
-    done = arrays.select(*REC, F.explode(F.arrays_zip("idx", F.pandas_udf(integrate, "array<double>")("value").alias("value"))).alias("r"))
-    return done.select(*REC, F.col("r.idx").alias("idx"), F.col("r.value").alias("value"))
+@functools.lru_cache(4)
+def _above(n: int, fs: float, corner: float) -> np.ndarray:
+    """The smooth step over the bins of n samples."""
+    return _step(np.fft.rfftfreq(n, 1 / fs), corner)
 
 
-def with_halo(samples: DataFrame, chunk: int, halo: int) -> DataFrame:
-    """Rows of each chunk of `chunk` samples and of `halo` samples on both sides; own marks a chunk's samples."""
+def _step(freq: np.ndarray, corner: float) -> np.ndarray:
+    """0 below the corner, then a smooth rise (from 1e-12) to 1 above five times it."""
+    return np.array([0.5 * math.erfc(-(f / corner - 3) * 2.5) if f >= corner else 0.0 for f in freq.tolist()])
+
+
+def _twice(freq: np.ndarray) -> np.ndarray:
+    return -1.0 / np.maximum(2 * np.pi * freq, 1e-12) ** 2
+
+
+def double_integrate(samples: DataFrame, fs: float, corner: float = 0.05, chunk_s: float = 300.0) -> DataFrame:
+    """Displacement from acceleration: each frequency of the whole (circular) recording at or above the corner divided by -(2 pi f)^2, the others dropped.
+
+    The response is cut in two: a smooth one, whose memory is a few periods of
+    the corner, runs over chunks with a halo of eight periods; what is left
+    lies between the corner and five times it, and is summed from the chunks'
+    shares of the few bins there. The recording's ends meet, as in a transform
+    of the whole, whose result this equals to some 1e-8 of the signal's size. A
+    corner that is not positive is an error; recordings
+    without any value have no rows.
+    """
+    if corner <= 0:
+        raise ValueError("the corner is not positive")
+    halo = math.ceil(8 / corner * fs)
+    chunk = max(round(chunk_s * fs), 2 * halo)
+    x = _centred(samples)
+
+    # The few bins between the corner and five times it, a row for each recording.
+    bins = band_transform(_chunk_arrays(x, chunk), fs, corner, min(5 * corner, fs / 2)).groupBy(*REC).agg(F.array_sort(F.collect_list(F.struct("bin", "re", "im"))).alias("bins"))
+
+    # Chunks with their halo, over the recording's ends; a recording of hardly more than one chunk is one.
+    chunks, p = F.greatest(F.lit(1), F.floor((F.col("n") - 2 * halo) / chunk)), F.col("idx") - 1
+    own = F.least(F.floor(p / chunk), chunks - 1)
+    first, stop = lambda c: c * chunk, lambda c: F.when(c == chunks - 1, F.col("n")).otherwise((c + 1) * chunk)
+    around = F.filter(
+        F.array_distinct(F.transform(F.array(own - 1, own, own + 1), lambda c: F.pmod(c, chunks))),
+        lambda c: (c == own) | (F.pmod(first(c) - p, F.col("n")) <= halo) | (F.pmod(p - stop(c), F.col("n")) < halo),
+    )
+    near = x.withColumns({"chunk": F.explode(around), "_own": own, "_p": p, "_k": chunks})
+    offset = F.when(F.col("_k") == 1, F.col("_p")).otherwise(F.pmod(F.col("_p") - F.col("chunk") * chunk + halo, F.col("n")))
+    rows = F.array_sort(F.collect_list(F.struct(offset.alias("o"), (F.col("chunk") == F.col("_own")).alias("own"), "at", "value")))
+    pieces = near.groupBy(*REC, "n", "chunk").agg(F.max("_k").alias("k"), rows.alias("rows")).join(bins, list(REC), "left")
+
+    def integrate(t: pd.DataFrame) -> pd.Series:
+        out = []
+        for n, at, k, v, bin_, re, im in zip(*(t[c] for c in ("n", "chunk", "k", "v", "bin", "re", "im")), strict=True):
+            n, v = int(n), np.asarray(v, float)
+            y = np.fft.irfft(np.fft.rfft(v) * _twice(np.fft.rfftfreq(len(v), 1 / fs)) * _above(len(v), fs, corner), len(v)) if len(v) > 1 else np.zeros(len(v))
+            if bin_ is not None and len(bin_):
+                f = np.asarray(bin_, np.int64) * fs / n
+                begin = 0 if k == 1 else int(at) * chunk - halo
+                y = y + waves((np.asarray(re, float) + 1j * np.asarray(im, float)) * _twice(f) * (1 - _step(f, corner)), n, int(bin_[0]), begin % n, len(v))
+            out.append(y)
+        return pd.Series(out, dtype=object)
+
+    packed = F.struct("n", "chunk", "k", F.col("rows.value").alias("v"), F.col("bins.bin").alias("bin"), F.col("bins.re").alias("re"), F.col("bins.im").alias("im"))
+    done = pieces.select(*REC, F.explode(F.arrays_zip(F.col("rows.own").alias("own"), F.col("rows.at").alias("at"), F.pandas_udf(integrate, "array<double>")(packed).alias("value"))).alias("r"))
+    return done.where("r.own").select(*REC, F.col("r.at").alias("idx"), F.col("r.value").alias("value"))
+
+
+def with_halo(samples: DataFrame, chunk: int, halo: int, last: Column | None = None) -> DataFrame:
+    """Rows of each chunk of `chunk` samples and of `halo` samples on both sides; own marks a chunk's samples. Chunks behind `last` are part of it."""
     p = F.col("idx") - 1
-    at = F.floor(p / chunk)
-    near = F.sequence(F.greatest(F.lit(0), F.floor((p - halo) / chunk)).cast("bigint"), F.floor((p + halo) / chunk).cast("bigint"))
+    of = lambda x: F.floor(x / chunk) if last is None else F.least(F.floor(x / chunk), last)
+    at = of(p)
+    near = F.sequence(F.greatest(F.lit(0), of(p - halo)).cast("bigint"), of(p + halo).cast("bigint"))
     return samples.withColumn("chunk", F.explode(near)).withColumn("own", F.col("chunk") == at)
 
 
@@ -300,15 +389,9 @@ def downsample(samples: DataFrame, fs: float, target: float) -> tuple[DataFrame,
 
 
 def running_median(x: np.ndarray, k: int) -> np.ndarray:
-    """Medians of all whole windows of k (odd), by a sorted list of the window."""
-    out = np.empty(max(0, len(x) - k + 1))
-    window = sorted(x[:k].tolist())
-    for i in range(len(out)):
-        out[i] = window[k // 2]
-        if i + k < len(x):
-            del window[bisect.bisect_left(window, x[i])]
-            bisect.insort(window, x[i + k])
-    return out
+    """Medians of all whole windows of k (odd)."""
+    start = np.arange(max(0, len(x) - k + 1))
+    return window_medians(x, start, start + k) if len(start) else np.zeros(0)
 
 
 def _odd_window(seconds: float, fs: float) -> int:
@@ -374,29 +457,32 @@ def despike(samples: DataFrame, fs: float, threshold: float = 3.0, max_width_s:
     return bridged.select(*REC, "idx", F.when(~F.col("_gone"), F.col("value")).alias("value"), "spiked")
 
 
-def detrend_median(samples: DataFrame, fs: float, window_s: float = 60.0, chunk: int = 7500) -> DataFrame:
+def detrend_median(samples: DataFrame, fs: float, window_s: float = 60.0, chunk_s: float = 300.0) -> DataFrame:
     """The signal less its running median over bridged gaps. Windows shrink towards the ends; the very end is the median of itself,
     its neighbour's median and the line through the next two. A window as long as the recording is an error; missing samples stay missing.
+
+    Chunks last chunk_s or twice the window, whichever is more, so no sample is copied to more than one other chunk.
     """
     k = _odd_window(window_s, fs)
     h = (k - 1) // 2
+    chunk = max(round(chunk_s * fs), 2 * k)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx").reset_index(drop=True)
         idx, v, n = rows["idx"].to_numpy(), rows["value"].to_numpy(float), int(rows["n"].iloc[0])
         if k >= n:
             raise ValueError(f"a median window of {k} samples is not shorter than the recording of {n}")
-        base = np.full(len(v), np.nan)
-        base[h : len(v) - h] = running_median(v, k)
-        for flip in (False, True):
-            x, b = (v[::-1], base[::-1]) if flip else (v, base)
-            if (idx[-1] == n) if flip else (idx[0] == 1):
-                for i in range(1, h):
-                    b[i] = np.median(x[: 2 * i + 1])
-                b[0] = np.median([x[0], b[1], 3 * b[1] - 2 * b[2]])
-        rows["value"] = np.where(rows["filled"], np.nan, v - base)
-        return rows.loc[rows["own"], ["recording_id", "idx", "value"]]
+        own = np.flatnonzero(rows["own"])
+        reach = np.minimum(h, np.minimum(idx[own] - 1, n - idx[own]))
+        base = window_medians(v, own - reach, own + reach + 1)
+        for first, step in ((0, 1), (len(own) - 1, -1)):
+            if reach[first] == 0:
+                base[first] = np.median([v[own[first]], base[first + step], 3 * base[first + step] - 2 * base[first + 2 * step]])
+        rows = rows.iloc[own]
+        return pd.DataFrame({"recording_id": rows["recording_id"], "idx": rows["idx"], "value": np.where(rows["filled"], np.nan, v[own] - base)})
 
     x = fill_gaps(samples.select(*REC, "idx", "value")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*REC)))
-    out = with_halo(x, chunk, k).groupBy(*REC, "chunk").applyInPandas(run, "recording_id bigint, idx bigint, value double")
-    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    # The last chunk is part of the one before where it would be shorter than the window.
+    last = F.greatest(F.lit(0), F.floor((F.col("n") - k) / chunk))
+    x = with_halo(x, chunk, k, last).groupBy(*REC, "chunk").applyInPandas(run, "recording_id bigint, idx bigint, value double")
+    return x.withColumn("value", F.when(~F.isnan("value"), F.col("value")))

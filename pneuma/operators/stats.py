@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -173,18 +173,31 @@ def two_predictor_slopes(rows: DataFrame, y: str, x1: str, x2: str, by: tuple[st
     )
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, replicates: int = 200, low: float = 0.025) -> DataFrame:
-    """Mean, and the low quantile of means over replicates that weight whole clusters by Poisson(1) counts.
+def _numbered(rows: DataFrame, digest: str) -> DataFrame:
+    """rows with `_k`, their place from 0 in the order of a column of hex digests: the place within each first three digits, and where these begin."""
+    x = rows.withColumn("_part", F.substring(digest, 1, 3)).withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(digest)))
+    starts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # at most 4096 rows
+    starts = starts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return x.join(F.broadcast(starts), "_part").withColumn("_k", F.col("_start") + F.col("_place") - 1).drop("_part", "_place", "_start")
+
 
-    Weights come from a hash of cluster and replicate, so they are the same on
-    every run; only cluster sums are crossed with replicates.
+def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, replicates: int = 200, low: float = 0.025) -> DataFrame:
+    """lower, mean, replicates: the mean of all rows, and the low quantile of means over replicates that draw as many whole clusters as there are,
+    with replacement.
+
+    Draw j of replicate r takes cluster number md5("r:j") mod n, clusters being
+    numbered in the order of md5(cluster), so every run draws the same. Draws
+    are counted per replicate and cluster before they meet the clusters' sums,
+    which alone are joined. A replicate without any value is left out; without
+    clusters there is one row of nulls. Rows without a cluster are no cluster.
     """
-    g = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    reps = rows.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    u = F.pmod(F.crc32(F.concat_ws(":", F.col(cluster).cast("string"), F.col("rep").cast("string")).cast("binary")), F.lit(1_000_000)) / 1e6
-    cuts = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]  # Poisson(1) distribution function
-    weight = sum((u >= c).cast("int") for c in cuts)
-    b = g.crossJoin(F.broadcast(reps)).withColumn("w", weight)  # a fixed number of replicates
-    means = b.groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
-    mean = g.agg((F.sum("s") / F.sum("n")).alias("mean"))
-    return means.agg(F.percentile("mean", F.lit(low)).alias("lower")).crossJoin(F.broadcast(mean))
+    digits = lambda c: F.conv(F.substring(F.md5(c.cast("binary")), 1, 13), 16, 10).cast("bigint")
+    g = rows.where(F.col(cluster).isNotNull()).groupBy(F.md5(F.col(cluster).cast("string").cast("binary")).alias("_c")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    g = _numbered(g, "_c")
+    clusters = g.count()
+    draws = rows.sparkSession.range(clusters * replicates).select(F.floor(F.col("id") / max(1, clusters)).alias("rep"), (F.col("id") % max(1, clusters)).alias("draw"))
+    taken = digits(F.concat_ws(":", F.col("rep").cast("string"), F.col("draw").cast("string"))) % max(1, clusters)
+    counts = draws.groupBy("rep", taken.alias("_k")).agg(F.count(F.lit(1)).alias("w"))
+    means = counts.join(g, "_k").groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    mean = g.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
+    return means.agg(F.percentile("mean", F.lit(low)).alias("lower"), F.count("mean").alias("replicates")).crossJoin(F.broadcast(mean)).select("lower", "mean", "replicates")

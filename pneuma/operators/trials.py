@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.islands import correlation
 from ..functions.tdist import t_cdf, t_quantile
 from .extrema import enforce_alternation, extrema_zerocross
 from .matching import match_onsets
@@ -60,7 +61,7 @@ def qc_summary(trials: DataFrame, by: list[str]) -> DataFrame:
     changed = F.when((F.col("delta") != 0) & move.isNotNull(), F.col("delta"))
     return trials.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_trials"), F.count("correct").alias("n_scored"), (100 * F.avg(F.col("correct").cast("double"))).alias("pct_correct"), F.median("move").alias("median_move"),
-        F.when(F.count(pair) >= 3, F.corr(pair, F.when(pair.isNotNull(), move))).alias("r_all"), F.when(F.count(changed) >= 3, F.corr(changed, F.when(changed.isNotNull(), move))).alias("r_changed"),
+        F.when(F.count(pair) >= 3, correlation(pair, F.when(pair.isNotNull(), move))).alias("r_all"), F.when(F.count(changed) >= 3, correlation(changed, F.when(changed.isNotNull(), move))).alias("r_changed"),
         F.stddev_samp(F.when(F.col("delta") == 0, move)).alias("no_change_sd"),
     )
 
@@ -118,10 +119,10 @@ def align_first_peak(observed: DataFrame, peaks: DataFrame, expected: DataFrame,
     """
     size = observed.groupBy("trial").agg(F.max("i").alias("_last"), F.max_by("i", F.struct("value", -F.col("i"))).alias("_top"))
     p = peaks.join(size, "trial").where((F.col("t_s") >= 0) & (F.col("t_s") <= F.col("_last") / fs)).groupBy("trial").agg(F.min("t_s").alias("_p"))
-    at = F.coalesce(F.least(F.col("_last"), F.round(F.col("_p") * fs)), F.col("_top"))
+    at = F.when(F.col("_p").isNotNull(), F.least(F.col("_last"), F.round(F.col("_p") * fs))).otherwise(F.col("_top"))
     shift = size.join(p, "trial", "left").select("trial", (at - round(start_s / 2 * fs)).cast("bigint").alias("shift"))
     moved = expected.join(shift, "trial").select("trial", (F.col("i") + F.col("shift")).alias("i"), F.col("value").alias("due"))
-    both = observed.join(moved, ["trial", "i"]).groupBy("trial").agg(F.count(F.lit(1)).alias("n"), F.corr("value", "due").alias("r"), F.var_pop("value").alias("_a"), F.var_pop("due").alias("_b"))
+    both = observed.join(moved, ["trial", "i"]).groupBy("trial").agg(F.count(F.lit(1)).alias("n"), correlation("value", "due").alias("r"), F.var_pop("value").alias("_a"), F.var_pop("due").alias("_b"))
     out = shift.join(both, "trial", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     lag = F.col("shift") / F.lit(fs)
     return out.select("trial", lag.alias("lag_s"), "n", F.when((F.col("n") >= 3) & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("r")).alias("r"), (F.abs(lag) > far_s).alias("far"))
@@ -145,25 +146,25 @@ def match_expected_breaths(onsets: DataFrame, trials: DataFrame, expected: DataF
 
 
 def local_retry(samples: DataFrame, trials: DataFrame, extrema: DataFrame, breaths: int = 4, amplitude_min: float = 0.1, gap_s: float = 0.5, bucket_s: float = 60.0) -> DataFrame:
-    """recording_id, trial, t_s, kind, added: the extrema of each trial with too few breaths, with low ones found by zero crossings of the trial alone
-    where nothing is near, made to alternate again.
+    """recording_id, trial, idx, t_s, value, kind, added: the extrema of each trial with too few breaths, with low ones found by zero crossings of
+    the trial alone where nothing is near, made to alternate again.
 
     samples: recording_id, idx, t_s, value; trials: recording_id, trial, start,
-    end; extrema: recording_id, t_s, kind. A breath is a step between troughs.
+    end; extrema: recording_id, idx, kind of the samples. A breath is a step
+    between troughs.
     """
     key = ["recording_id", "trial"]
-    inside = assign_block(extrema.select("recording_id", "t_s", "kind"), trials, bucket_s).select(*key, "t_s", "kind")
+    mine = ["idx", "t_s", "value"]
+    x = assign_block(samples.select("recording_id", *mine), trials.select(*key, "start", "end"), bucket_s).select(*key, *mine)
+    inside = x.join(extrema.select("recording_id", "idx", "kind"), ["recording_id", "idx"])
     troughs = inside.where("kind = 'trough'").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    few = trials.select(*key, "start", "end").join(troughs, key, "left").where(F.coalesce("_n", F.lit(0)) - 1 < breaths).drop("_n")
-    x = assign_block(samples.select("recording_id", "idx", "t_s", "value"), few, bucket_s).select(*key, "idx", "t_s", "value")
-    low = extrema_zerocross(x, amplitude_min, by=tuple(key)).join(x.select(*key, "idx", "t_s"), [*key, "idx"]).select(*key, "t_s", "kind")
-    old = inside.join(few.select(*key), key, "left_semi")
+    few = trials.select(*key).distinct().join(troughs, key, "left").where(F.coalesce("_n", F.lit(0)) - 1 < breaths).select(*key)
+    x, old = x.join(few, key, "left_semi"), inside.join(few, key, "left_semi")
+    low = extrema_zerocross(x, amplitude_min, by=tuple(key)).select(*key, "idx", "kind").join(x, [*key, "idx"])
     # Nothing within the gap: an anti join on buckets of that width and the neighbouring ones.
     bucket = F.floor(F.col("t_s") / gap_s)
     near = old.select(*key, F.col("t_s").alias("_t"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-    low = low.withColumn("_b", bucket)
-    close = low.join(near, [*key, "_b"]).where(F.abs(F.col("t_s") - F.col("_t")) < gap_s).select(*key, "t_s", "kind").distinct()
-    new = low.drop("_b").join(close, [*key, "t_s", "kind"], "left_anti").withColumn("added", F.lit(True))
-    both = old.withColumn("added", F.lit(False)).unionByName(new)
-    both = both.join(x.select(*key, "t_s", "value", "idx"), [*key, "t_s"])
-    return enforce_alternation(both, by=tuple(key)).select(*key, "t_s", "kind", "added")
+    close = low.withColumn("_b", bucket).join(near, [*key, "_b"]).where(F.abs(F.col("t_s") - F.col("_t")) < gap_s).select(*key, "idx")
+    new = low.join(close, [*key, "idx"], "left_anti")
+    both = old.withColumn("added", F.lit(False)).unionByName(new.withColumn("added", F.lit(True)))
+    return enforce_alternation(both, by=tuple(key)).select(*key, *mine, "kind", "added")
