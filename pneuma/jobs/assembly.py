@@ -344,7 +344,13 @@ SELECT user_id AS participant_id, epoch_us(a) AS start_us, epoch_us(z) AS end_us
 
 
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return W.drained(W.stream_dedupe(W.packet_stream(spark, sf))).select("participant_id", "event_id", "value")
+    """Every third packet comes again under another event_id, and every sixth once more."""
+    again = F.when(F.col("event_id") % 6 == 0, 3).when(F.col("event_id") % 3 == 0, 2).otherwise(1)
+    p = W.packet_stream(spark, sf).withColumn("event_id", F.explode(F.transform(F.sequence(F.lit(1), again), lambda k: F.col("event_id") + 1_000_000_000 * (k - 1))))
+    return W.drained(W.stream_dedupe(p)).select("participant_id", F.unix_micros("ts").alias("onset_us"), "value")
+
+
+DEDUPE = "SELECT DISTINCT user_id AS participant_id, epoch_us(ts) AS onset_us, value FROM events"
 
 
 def stream_clamped_breath(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,7 +358,7 @@ def stream_clamped_breath(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_one_pole(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(W.drained(W.stream_one_pole(W.packet_stream(spark, sf))))
+    return rounded(W.drained(W.stream_one_pole(W.packet_stream(spark, sf), idle_s=400 * 86400.0)))
 
 
 ONE_POLE = """WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -361,7 +367,7 @@ SELECT user_id AS participant_id, event_id, k AS seen, round(y, 6) AS filtered F
 
 def stream_calib_status(spark: SparkSession, sf: str) -> DataFrame:
     p = W.packet_stream(spark, sf).withColumn("confidence", F.col("value") / 100)
-    return rounded(W.drained(W.stream_calib_status(p, 86400.0, 4, 0.2, 21600.0, 864000.0)))
+    return rounded(W.drained(W.stream_calib_status(p, 86400.0, 4, 0.2, 21600.0, 864000.0, 400 * 86400.0)))
 
 
 CALIB_STATUS = f"""WITH {S}, k AS (SELECT s.*, event_id, t_s >= 86400 AND idx >= 4 AND s.value / 100 >= 0.2 AS good FROM s JOIN (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events) ev ON ev.user_id = s.recording_id AND ev.i = s.idx),
@@ -377,9 +383,9 @@ QUERIES = {
     "resolve_participants": (resolve_participants, RESOLVE), "reconcile_sessions": (reconcile_sessions, RECONCILE), "dedupe_trials": (dedupe_trials, DEDUPE), "exclude_test_ids": (exclude_test_ids, EXCLUDE),
     "complete_participants": (complete_participants, COMPLETE), "resolve_run_onset": (resolve_run_onset, ONSET), "phase_to_block": (phase_to_block, PHASE), "affect_coordinates": (affect_coordinates, AFFECT),
     "session_windows": (session_windows, WINDOWS), "collect_flags": (collect_flags, FLAGS), "disclosure_guard": (disclosure_guard, GUARD), "pacer_radius": (pacer_radius, PACER), "pacer_overshoot": (pacer_overshoot, OVERSHOOT),
-    "calib_attempts": (calib_attempts, ATTEMPTS), "fit_mlr": (fit_mlr, MLR), "fit_pca": (fit_pca, ""), "axis_clarity": (axis_clarity, ""), "lag_search": (lag_search, LAG), "score_models": (score_models, SCORES), "quality_index": (quality_index, QUALITY), "welch_psd": (welch_psd, WELCH),
+    "calib_attempts": (calib_attempts, ATTEMPTS), "fit_mlr": (fit_mlr, MLR), "fit_pca": (fit_pca, ""), "axis_clarity": (axis_clarity, ""), "lag_search": (lag_search, LAG), "score_axes": (score_models, SCORES), "quality_index": (quality_index, QUALITY), "welch_psd": (welch_psd, WELCH),
     "band_metrics": (band_metrics, BAND), "stream_phase_rate": (stream_phase_rate, STREAM_PHASE),
     "stream_rolling_r": (stream_rolling_r, STREAM_R), "stream_amplitude_range": (stream_amplitude_range, STREAM_RANGE), "stream_trial_sessions": (stream_trial_sessions, STREAM_SESSIONS),
-    "stream_dedupe": (stream_dedupe, "SELECT user_id AS participant_id, event_id, value FROM events"), "stream_clamped_breath": (stream_clamped_breath, "SELECT event_id, round(least(1, greatest(0, value / 100)), 6) AS breath FROM events"),
-    "stream_one_pole": (stream_one_pole, ONE_POLE), "stream_calib_status": (stream_calib_status, CALIB_STATUS), "model_frequency": (model_frequency, FREQUENCY), "batch_report": (batch_report, REPORT),
+    "stream_dedupe": (stream_dedupe, DEDUPE), "stream_clamped_breath": (stream_clamped_breath, "SELECT event_id, round(least(1, greatest(0, value / 100)), 6) AS breath FROM events"),
+    "stream_one_pole": (stream_one_pole, ONE_POLE), "stream_calib_status": (stream_calib_status, CALIB_STATUS), "axis_frequency": (model_frequency, FREQUENCY), "batch_report": (batch_report, REPORT),
 }

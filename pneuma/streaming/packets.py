@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.islands import correlation
 from ..operators.calibration import pacer_radius
 
 DELAY = "1 second"
@@ -50,7 +51,7 @@ def stream_phase_rate(packets: DataFrame, width: str = "1 day") -> DataFrame:
 def stream_rolling_r(packets: DataFrame, width: str = "2 days", slide: str = "1 day", least: int = 10, reference: Column | None = None) -> DataFrame:
     """Correlation of value and a reference (time, or what the pacer showed) in sliding windows with enough points, per participant."""
     t = F.unix_micros("ts") / 1e6 if reference is None else reference
-    g = packets.withWatermark("ts", DELAY).groupBy(F.window("ts", width, slide), "participant_id").agg(F.count(F.lit(1)).alias("n"), F.corr("value", t).alias("r"))
+    g = packets.withWatermark("ts", DELAY).groupBy(F.window("ts", width, slide), "participant_id").agg(F.count(F.lit(1)).alias("n"), correlation("value", t).alias("r"))
     return g.where(F.col("n") >= least).select(F.col("window.start").alias("start"), "participant_id", "n", "r")
 
 
@@ -73,55 +74,73 @@ def stream_trial_sessions(packets: DataFrame, gap: str = "12 hours") -> DataFram
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "participant_id", "n", "total")
 
 
-def stream_dedupe(packets: DataFrame) -> DataFrame:
-    """Repeated inserts of one packet go while the watermark remembers it."""
-    return packets.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["participant_id", "event_id"])
+def stream_dedupe(packets: DataFrame, key: tuple[str, ...] = ("participant_id", "ts"), memory: str = DELAY) -> DataFrame:
+    """Repeated inserts of one row go while the watermark remembers it: the same participant and onset, whatever else the retry carries.
+
+    A repeat that comes more than `memory` of event time behind the newest row seen is a late row, and goes as such.
+    Keys without an onset (null) are no rows of a stream in event time, and go.
+    """
+    return packets.where("ts is not null").withWatermark("ts", memory).dropDuplicatesWithinWatermark(list(key))
 
 
 def stream_clamped_breath(packets: DataFrame, scale: float) -> DataFrame:
     return packets.withColumn("breath", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / scale)))
 
 
-def stream_one_pole(packets: DataFrame, alpha: float = 0.2) -> DataFrame:
+def stream_one_pole(packets: DataFrame, alpha: float = 0.2, idle_s: float = 3600.0) -> DataFrame:
     """One-pole low-pass, carried per participant from batch to batch; late packets are dropped.
 
-    The state is the last output, its time and the number of packets seen.
+    The state is the last output, its time and the number of packets seen; a
+    quiet time of more than idle_s ends it, and what follows starts anew.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        y, last, seen = state.get if state.exists else (float("nan"), 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        y, last, seen = state.get if state.exists else (float("nan"), None, 0)
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        rows = rows[rows["us"] >= last]
-        out = np.empty(len(rows))
-        for i, x in enumerate(rows["value"].to_numpy(float)):
-            y = x if np.isnan(y) else y + alpha * (x - y)
-            out[i] = y
-        if len(rows):
-            state.update((float(y), int(rows["us"].iloc[-1]), seen + len(rows)))
-        yield pd.DataFrame({"participant_id": key[0], "event_id": rows["event_id"], "seen": seen + np.arange(1, len(rows) + 1), "filtered": out})
-
-    keyed = packets.select("participant_id", "event_id", F.unix_micros("ts").alias("us"), "value").groupBy("participant_id")
+        rows = rows if last is None else rows[rows["us"] >= last]
+        out, counts = np.empty(len(rows)), np.empty(len(rows), int)
+        for i, (t, x) in enumerate(zip(rows["us"].tolist(), rows["value"].to_numpy(float), strict=True)):
+            if last is None or t - last > idle_s * 1e6:
+                y, seen = float("nan"), 0
+            y, last, seen = x if np.isnan(y) else y + alpha * (x - y), t, seen + 1
+            out[i], counts[i] = y, seen
+        if last is not None:
+            state.update((float(y), int(last), int(seen)))
+            state.setTimeoutTimestamp(max(int(last // 1000 + idle_s * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"participant_id": key[0], "event_id": rows["event_id"], "seen": counts, "filtered": out})
+
+    timed = packets.where("ts is not null").withWatermark("ts", DELAY)
+    keyed = timed.select("participant_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "value").groupBy("participant_id")
     return keyed.applyInPandasWithState(
-        step, "participant_id bigint, event_id bigint, seen bigint, filtered double", "y double, us bigint, seen bigint", "append", GroupStateTimeout.NoTimeout
+        step, "participant_id bigint, event_id bigint, seen bigint, filtered double", "y double, us bigint, seen bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def stream_calib_status(packets: DataFrame, least_s: float, breaths: int, confidence: float, hold_s: float, timeout_s: float) -> DataFrame:
+def stream_calib_status(packets: DataFrame, least_s: float, breaths: int, confidence: float, hold_s: float, timeout_s: float, forget_s: float = 86400.0) -> DataFrame:
     """One row per participant whose calibration ends: ready once enough time and breaths have passed and the confidence has
     held for hold_s, or timeout. packets: participant_id, event_id, ts, confidence, and breaths (number seen so far; without
     this column each packet counts as one).
 
     A timer in event time ends the calibration of a participant that stays quiet (event_id null). The state is the start,
-    packets seen, since when the confidence holds, and whether it is over.
+    packets seen, since when the confidence holds, and whether it is over; one that is over is kept for forget_s from
+    its start, so that it isn't begun again, and then goes.
     """
     counted = "breaths" in packets.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = ["participant_id", "event_id", "status", "elapsed_s"]
         start, seen, since, over = state.get if state.exists else (-1, 0, -1, False)
+        forgotten = lambda: max(int(start // 1000 + max(forget_s, timeout_s) * 1000) + 1, state.getCurrentWatermarkMs() + 1)
         if state.hasTimedOut:
+            if over:
+                state.remove()
+                return
             state.update((start, seen, since, True))
-            yield pd.DataFrame([] if over else [(key[0], None, "timeout", timeout_s)], columns=names).astype({"event_id": "Int64"})
+            state.setTimeoutTimestamp(forgotten())
+            yield pd.DataFrame([(key[0], None, "timeout", timeout_s)], columns=names).astype({"event_id": "Int64"})
             return
         out = []
         for r in pd.concat(list(batches)).sort_values(["us", "event_id"]).itertuples():
@@ -138,8 +157,7 @@ def stream_calib_status(packets: DataFrame, least_s: float, breaths: int, confid
                 out.append((key[0], r.event_id, "timeout", elapsed))
                 over = True
         state.update((int(start), int(seen), int(since), bool(over)))
-        if not over:
-            state.setTimeoutTimestamp(max(int(start // 1000 + timeout_s * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(forgotten() if over else max(int(start // 1000 + timeout_s * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names).astype({"event_id": "Int64"})
 
     timed = packets.where("ts is not null").withWatermark("ts", DELAY)
