@@ -226,6 +226,6 @@ CASE WHEN o_orderkey % 2 = 0 THEN first WHEN first = 'A' THEN 'B' WHEN first = '
 QUERIES = {
     "expected_durations": (expected_durations, DURATIONS), "expected_waveform": (expected_waveform, WAVEFORM), "trial_qc_table": (trial_qc_table, QC_TABLE), "direction_correct": (direction_correct, DIRECTION),
     "qc_summary": (qc_summary, QC_SUMMARY), "good_subset": (good_subset, GOOD), "adherence_direction": (adherence_direction, ADHERENCE), "quality": (quality, QUALITY), "quality_segments": (quality_segments, SEGMENTS),
-    "vacant_channel_guard": (vacant_channel_guard, VACANT), "tost": (tost, TOST), "tost_p": (tost_p, ""), "alertness_slopes": (alertness_slopes, ALERTNESS), "agreement_by_model": (agreement_by_model, BY_MODEL),
-    "dependent_corr_contrast": (dependent_corr_contrast, CONTRAST), "questionnaire_corr": (questionnaire_corr, QUESTIONNAIRE), "band_bias_table": (band_bias_table, BAND_BIAS), "attach_condition": (attach_condition, ATTACH),
+    "vacant_channel_guard": (vacant_channel_guard, VACANT), "tost": (tost, TOST), "alertness_slopes": (alertness_slopes, ALERTNESS), "agreement_by_flag": (agreement_by_model, BY_MODEL),
+    "dependent_corr_contrast": (dependent_corr_contrast, CONTRAST), "questionnaire_corr": (questionnaire_corr, QUESTIONNAIRE), "bias_by_status": (band_bias_table, BAND_BIAS), "attach_condition": (attach_condition, ATTACH),
 }

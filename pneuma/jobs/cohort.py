@@ -394,6 +394,6 @@ QUERIES = {
     "ccc": (ccc, CCC), "icc_2_1": (icc_2_1, ICC), "bland_altman": (bland_altman, BLAND), "between_sd_moment": (between_sd_moment, BETWEEN), "variance_components": (variance_components, VARIANCE),
     "classification_agreement": (classification_agreement, AGREEMENT), "by_block_and_pooled": (by_block_and_pooled, POOLED), "pacer_error": (pacer_error, PACER_ERROR),
     "coefficient_difference": (coefficient_difference, COEFFICIENT), "rate_slopes": (rate_slopes, RATE_SLOPES), "quality_moderation": (quality_moderation, MODERATION),
-    "pre_post_change": (pre_post_change, PRE_POST), "device_missingness": (device_missingness, MISSINGNESS), "bias_sweep": (bias_sweep, SWEEP), "cluster_bootstrap": (cluster_bootstrap, ""),
+    "pre_post_change": (pre_post_change, PRE_POST), "device_missingness": (device_missingness, MISSINGNESS), "bias_sweep": (bias_sweep, SWEEP),
     "staircase_posterior": (staircase_posterior, POSTERIOR), "staircase_trace": (staircase_trace, TRACE), "staircase_stop": (staircase_stop, STOP), "threshold_table": (threshold_table, THRESHOLDS),
 }
