@@ -102,7 +102,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """(start, end, kind, value, patterns, seed 0/1): base spans, and other values of a fitting shape with what stands around.
 
     A value is a word (a run without white space, whatever its length) with a
-    digit or a mark for @, less quotes around and stops behind it. Words of
+    digit, an @ or another mark for it, less quotes around and stops behind it. Words of
     digits behind it belong to it while it has no more digits than an
     identifier may have. Patterns are the word before, the two words before,
     and the words on both sides.
@@ -116,7 +116,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         start, stop = words[w]
         w += 1
         piece = text[start:stop]
-        if not _DIGITS.search(piece) and not _AT.search(piece):
+        if "@" not in piece and not _DIGITS.search(piece) and not _AT.search(piece):
             continue
         while t < len(taken) and taken[t][1] <= start:
             t += 1
@@ -228,7 +228,7 @@ def _extract(rows: DataFrame, numbered: bool = False) -> DataFrame:
             for text in b.column(1):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                some = candidates(text, base) if base or _DIGITS.search(text) or _AT.search(text) else []
+                some = candidates(text, base) if base or "@" in text or _DIGITS.search(text) or _AT.search(text) else []
                 found.append([dict(zip(("start", "end", "kind", "value", "patterns", "seed"), c, strict=True)) for c in some])
             spots = [f for each in found for f in each]
             hashes = iter(_pattern_hashes([p for f in spots for p in f["patterns"]]).view(np.int64).tolist())

@@ -157,3 +157,10 @@ def test_query_equals_brute_force_on_the_table(spark, sf_dir):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
         parts = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base]
         assert r.base_sha256 == hashlib.sha256(",".join(parts).encode()).hexdigest() and set(parts) <= set(filter(None, r.spans.split(",")))
+
+
+@pytest.mark.parametrize("value", ["joe@mail[dot]com", "josé@exämple.com", "<anna@löwe.de>", "b{at}c(DOT)de"])
+def test_addresses_without_a_digit_are_candidates(spark, value):
+    rows = [(i, f"please write soon to user{i}@mail.example.com about it") for i in range(8)] + [(50, f"please write soon to {value} about it"), (51, "prices @ market. and a@b")]
+    out = {r.doc_id: r for r in pii.pii_digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[50].spans == f"email:21:{21 + len(value)}" and out[50].n_email == 0 and out[51].spans == ""
