@@ -14,18 +14,18 @@ from .components import components
 from .frames import pick, table, written
 from .vectors import usable_vectors
 
-#: The trees are fitted on a bounded sample of distinct vectors; every vector is then indexed.
-SAMPLE_VECTORS, SAMPLE_LEAF = 20_000, 16
-#: A node of at most this many vectors is a leaf; at least this share of a node's vectors go to both sides of its cut.
-LEAF_VECTORS, SPILL = 1024, 0.1
+#: The trees are fitted on a bounded sample of distinct vectors; every vector is then indexed. A leaf has SAMPLE_LEAF of them at least.
+SAMPLE_VECTORS, SAMPLE_LEAF = 50_000, 16
+#: A node of at most this many vectors is a leaf, and of at most this share of a small table's; at least SPILL of a node's vectors go to both sides of its cut.
+LEAF_VECTORS, LEAF_SHARE, SPILL = 1024, 0.125, 0.1
 #: Cuts tried at a node; the share of its sampled links that a cut may lose; the share of its comparisons that must stay at most.
 TRIES, LOSS, GAIN = 6, 0.05, 0.8
 #: Sampled vectors of a node, and least links among them, by which a cut is judged.
 JUDGES, LEAST_LINKS = 500, 10
-#: Trees are added until this share of sampled links, and of made pairs right at the cosine, meet in a leaf.
-RECALL, LEAST_TREES = 0.99, 6
-#: Rows of a block of a leaf that is compared by several tasks: at least, at most; and blocks while they are below the most.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1024, 16_384, 16
+#: Trees are added until all sampled links, and this share of made pairs right at the cosine, meet in a leaf; or, from MOST_TREES on, this share of both.
+RECALL, LEAST_TREES, MOST_TREES = 0.99, 6, 40
+#: Rows of a block of a leaf that is compared by several tasks.
+BLOCK = 4096
 
 
 def cut(x: np.ndarray, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, float, float] | None:
@@ -59,18 +59,20 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, vectors: int, cosine: float = 0.9, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.leaves, self.trees, self.scale = 0, [], vectors / max(1, len(sample))
-        self.cosine, self.comparisons = cosine, 0.0
+        self.leaves, self.trees, self.scale, self.cosine = 0, [], vectors / max(1, len(sample)), cosine
+        self.most = min(LEAF_VECTORS, max(2 * SAMPLE_LEAF, LEAF_SHARE * vectors))
         probes = self._probes(sample, rng)
         met = [np.zeros(len(a), bool) for a, _ in probes]
-        while len(self.trees) < LEAST_TREES or any(len(m) and m.mean() < RECALL for m in met):
+        while not self._enough([m.mean() if len(m) else 1.0 for m in met]):
             self.trees.append(self._grow(sample, rng))
-            if isinstance(self.trees[-1], int) or self.comparisons >= vectors**2 / 2:
-                # Comparing all pairs is exact, and takes no longer than these trees.
-                self.trees, self.leaves = [0], 1
-                return
             for (a, b), m in zip(probes, met, strict=True):
                 m |= self._meet(self.trees[-1], a, b)
+            if isinstance(self.trees[-1], int):
+                return  # no cut is worth its margin: in one leaf all pairs meet
+
+    def _enough(self, met: list[float]) -> bool:
+        links, made = met
+        return len(self.trees) >= LEAST_TREES and made >= RECALL and (links == 1 or len(self.trees) >= MOST_TREES and links >= RECALL)
 
     def _probes(self, sample: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
         """Pairs to measure recall with: links of the sample, and sampled vectors with made ones right at the cosine."""
@@ -94,9 +96,8 @@ class Forest:
     def _grow(self, sample: np.ndarray, rng: np.random.Generator):
         """A tree over the sample, which goes both ways at margins as the vectors will, so its leaves show their sizes."""
         vectors = len(sample) * self.scale
-        found = cut(sample, self.cosine, rng) if vectors > LEAF_VECTORS and len(sample) >= 2 * SAMPLE_LEAF else None
+        found = cut(sample, self.cosine, rng) if vectors > self.most and len(sample) >= 2 * SAMPLE_LEAF else None
         if found is None:
-            self.comparisons += vectors**2 / 2
             self.leaves += 1
             return self.leaves - 1
         direction, middle, margin = found
@@ -209,65 +210,35 @@ def _homes(whole: pa.RecordBatch, forests: dict[int, Forest]) -> Iterator[tuple[
             yield dim, b, row[order], leaf[order]
 
 
-def _first_large(row: np.ndarray, leaf: np.ndarray, large: np.ndarray, rows: int) -> np.ndarray:
-    """The smallest large leaf of the row of each (row, leaf)."""
-    first = np.full(rows, np.iinfo(np.int64).max)
-    at = np.isin(leaf, large)
-    np.minimum.at(first, row[at], leaf[at])
-    return first[row]
-
-
-def _sizes(classes: DataFrame, forests: dict[int, Forest], large: dict[int, np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
-    """(dim, leaf, first, vectors) of each leaf; of large leaves alone where given, by their rows' first large leaf (else -1)."""
+def _sizes(classes: DataFrame, forests: dict[int, Forest]) -> list[tuple[int, int, int]]:
+    """(dim, leaf, vectors) of each leaf."""
     shared = classes.sparkSession.sparkContext.broadcast(forests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for dim, b, row, leaf in _homes(whole, shared.value):
-                first = np.full(len(leaf), -1)
-                if large is not None:
-                    mine = large.get(dim, np.zeros(0, int))
-                    first, at = _first_large(row, leaf, mine, b.num_rows), np.isin(leaf, mine)
-                    leaf, first = leaf[at], first[at]
-                keys, n = np.unique(np.stack([leaf, first]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), dim)), pa.array(keys[0].astype(np.int64)), pa.array(keys[1].astype(np.int64)), pa.array(n)],
-                    names=["dim", "leaf", "first", "n"],
-                )
-
-    found = classes.select("rep", "n", "v").mapInArrow(run, "dim bigint, leaf bigint, first bigint, n bigint")
+            for dim, _, _, leaf in _homes(whole, shared.value):
+                keys, n = np.unique(leaf, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), dim)), pa.array(keys.astype(np.int64)), pa.array(n)], names=["dim", "leaf", "n"])
+
+    found = classes.select("rep", "n", "v").mapInArrow(run, "dim bigint, leaf bigint, n bigint")
     # A row a leaf; the sample bounds the leaves.
-    return [tuple(r) for r in found.groupBy("dim", "leaf", "first").agg(F.sum("n")).collect()]
+    return [tuple(r) for r in found.groupBy("dim", "leaf").agg(F.sum("n")).collect()]
 
 
-Parts = dict[tuple[int, int], dict[int, tuple[int, int]]]
+#: Blocks of each leaf of more than one, by dim and leaf.
+Parts = dict[tuple[int, int], int]
 
 
-def parts_of(sizes: list[tuple[int, int, int, int]]) -> Parts:
-    """By dim and large leaf: the first block's number, and the blocks, of the rows of each first large leaf."""
-    out: Parts = {}
-    for dim, leaf, first, n in sorted(sizes):
-        mine = out.setdefault((dim, leaf), {})
-        start = sum(blocks for _, blocks in mine.values())
-        mine[first] = (start, max(math.ceil(n / MOST_BLOCK), min(BLOCKS, math.ceil(n / LEAST_BLOCK))))
-    return out
+def block_of(reps: np.ndarray, blocks: int) -> np.ndarray:
+    return (reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
 
 
-def block_pairs(reps: np.ndarray, leaf: int, first: int, parts: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, block, other block) of all comparisons that rows of one first large leaf take part in.
+def _placed(classes: DataFrame, forests: dict[int, Forest], parts: Parts) -> DataFrame:
+    """A row per class, leaf and pair of blocks of it: dim, leaf, low, high, block, rep, n, v and all the class's leaves.
 
-    Rows whose first large leaf is an earlier one have met each other there.
+    A leaf of k blocks is k * (k + 1) / 2 pairs; each of its rows goes to the k pairs of its own block, which follows from the row alone.
     """
-    start, blocks = parts[first]
-    other = [q for f, (lo, k) in parts.items() for q in range(lo, lo + k) if f != first or f == leaf]
-    mine = start + (reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
-    return np.repeat(np.arange(len(reps)), len(other)), np.repeat(mine, len(other)), np.tile(np.array(other, np.int64), len(reps))
-
-
-def _placed(classes: DataFrame, forests: dict[int, Forest], parts: Parts) -> DataFrame:
-    """A row per class, leaf and pair of blocks: dim, leaf, low, high, block, rep, n, v and all the class's leaves."""
     shared = classes.sparkSession.sparkContext.broadcast((forests, parts))  # bounded by the sample
-    large = {dim: np.array([leaf for d, leaf in parts if d == dim]) for dim in {d for d, _ in parts}}
     names = ("dim", "leaf", "low", "high", "block")
     schema = pa.schema(
         [(k, pa.int32()) for k in names] + [("rep", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("homes", pa.list_(pa.int32()))]
@@ -278,22 +249,19 @@ def _placed(classes: DataFrame, forests: dict[int, Forest], parts: Parts) -> Dat
         for whole in batches:
             for dim, b, row, leaf in _homes(whole, forests):
                 homes = pa.array(np.split(leaf.astype(np.int32), np.flatnonzero(np.diff(row)) + 1), pa.list_(pa.int32()))
-                mine = large.get(dim, np.zeros(0, int))
-                split = np.isin(leaf, mine)
-                first = _first_large(row, leaf, mine, b.num_rows)
-                whole_leaves = np.zeros(int((~split).sum()), np.int64)
-                keys = [(row[~split], leaf[~split], whole_leaves, whole_leaves)]
-                for one, lead in np.unique(np.stack([leaf[split], first[split]]), axis=1).T.tolist():
-                    at = row[split & (leaf == one) & (first == lead)]
-                    k, block, other = block_pairs(b.column(0).take(pa.array(at)).to_numpy(), one, lead, parts[dim, one])
-                    keys.append((at[k], np.full(len(k), one), block, other))
-                for at, leaves, block, other in keys:
-                    for lo in range(0, len(at), 5000):
-                        p, q, take = block[lo : lo + 5000], other[lo : lo + 5000], pa.array(at[lo : lo + 5000])
-                        ints = (np.full(len(p), dim), leaves[lo : lo + 5000], np.minimum(p, q), np.maximum(p, q), p)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c.astype(np.int32)) for c in ints] + [b.column(c).take(take) for c in range(3)] + [homes.take(take)], schema=schema
-                        )
+                found, inverse = np.unique(leaf, return_inverse=True)
+                blocks = np.array([parts.get((dim, k), 1) for k in found.tolist()], np.int64)[inverse]
+                mine = block_of(b.column(0).to_numpy()[row], blocks)
+                # (row, leaf) once for each block of the leaf.
+                each = np.repeat(np.arange(len(row)), blocks)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                for lo in range(0, len(each), 5000):
+                    e, q = each[lo : lo + 5000], other[lo : lo + 5000]
+                    p, take = mine[e], pa.array(row[e])
+                    ints = (np.full(len(e), dim), leaf[e], np.minimum(p, q), np.maximum(p, q), p)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c.astype(np.int32)) for c in ints] + [b.column(c).take(take) for c in range(3)] + [homes.take(take)], schema=schema
+                    )
 
     ints = ", ".join(f"{k} int" for k in names)
     return classes.select("rep", "n", "v").mapInArrow(run, f"{ints}, rep bigint, n bigint, v array<double>, homes array<int>")
@@ -360,11 +328,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
         share = min(1.0, 1.2 * SAMPLE_VECTORS / n)
         drawn = classes.where((F.size("v") == dim) & (draw <= int(share * (1 << 30)))).select("v").limit(SAMPLE_VECTORS)
         forests[dim] = Forest(unit(_matrix(drawn.toArrow().column(0))), n, cosine)
-    large: dict[int, list[int]] = {}
-    for dim, leaf, _, n in _sizes(classes, forests):
-        if n > 2 * LEAST_BLOCK:
-            large.setdefault(dim, []).append(leaf)
-    parts = parts_of(_sizes(classes, forests, {d: np.array(leaves) for d, leaves in large.items()})) if large else {}
+    parts = {(dim, leaf): -(-n // BLOCK) for dim, leaf, n in _sizes(classes, forests) if n > BLOCK}
     found = written(_compare(_placed(classes, forests, parts), cosine), "leaf-links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     names = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,7 +188,7 @@ def test_forest_recall_with_a_dense_group(spark):
 def test_forest_leaves_a_dense_group_whole():
     x = dense_vectors(40_000, 2_000, 64, 4)
     grown = forest.Forest(x[np.random.default_rng(5).permutation(len(x))[:20_000]], len(x))
-    assert len(grown.trees) > 1
+    assert len(grown.trees) >= 6
     rng = np.random.default_rng(6)
     i, j = rng.integers(0, 2_000, 3_000), rng.integers(0, 2_000, 3_000)
     i, j = i[(x[i] * x[j]).sum(axis=1) >= 0.9], j[(x[i] * x[j]).sum(axis=1) >= 0.9]
@@ -205,14 +206,43 @@ def test_forest_blocks_of_leaves_count_each_link_once(spark, monkeypatch):
     x = dense_vectors(8_000, 400, 32, 8)
     near = (x @ x.T >= 0.9).sum(axis=1) - 1
     whole, component = found_vectors(spark, x)
-    monkeypatch.setattr(forest, "LEAST_BLOCK", 100)
+    monkeypatch.setattr(forest, "BLOCK", 100)
     parts = []
-    monkeypatch.setattr(forest, "parts_of", lambda sizes, plain=forest.parts_of: parts.append(plain(sizes)) or parts[-1])
+    monkeypatch.setattr(forest, "_placed", lambda classes, forests, p, plain=forest._placed: parts.append(p) or plain(classes, forests, p))
     got, again = found_vectors(spark, x)
-    assert any(len(p) > 1 for p in parts[0].values())
+    assert sum(k > 1 for k in parts[0].values()) > 6
     assert (got == whole).all() and (again == component).all() and (got <= near).all() and got.sum() >= 0.98 * near.sum()
 
 
+def test_forest_finds_the_links_of_the_given_vectors_by_several_trees(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array([r.embedding for r in rows.orderBy("vec_id").collect()], float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9).sum(axis=1) - 1
+    grown = []
+    plain = forest.Forest.__init__
+    try:
+        forest.Forest.__init__ = lambda self, *a, **k: plain(self, *a, **k) or grown.append(self)
+        got = np.array([r.n_links for r in forest.near_duplicates(rows).orderBy("vec_id").collect()])
+    finally:
+        forest.Forest.__init__ = plain
+    assert len(grown) == 1 and len(grown[0].trees) >= 6 and grown[0].leaves >= 4 * len(grown[0].trees)
+    assert (got <= near).all() and got.sum() >= 0.98 * near.sum()
+
+
+def test_forest_copies_a_vector_hardly_more_than_its_leaves(spark, monkeypatch):
+    """A hundred vectors for each sampled one, with the real bounds on leaves and blocks."""
+    monkeypatch.setattr(forest, "SAMPLE_VECTORS", 500)
+    copies = []
+    monkeypatch.setattr(forest, "_compare", lambda placed, cosine, plain=forest._compare: copies.append(placed.select("dim", "leaf", "low", "high", "rep", F.size("homes").alias("n"))) or plain(placed, cosine))
+    x = np.random.default_rng(12).standard_normal((50_000, 16))
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+    forest.near_duplicates(table)
+    each = copies[0].groupBy("rep").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("leaves"))
+    r = each.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("copies") / F.col("leaves")).alias("most"), F.avg("leaves").alias("leaves")).first()
+    assert r.n == len(x) and r.leaves >= 6 and r.most < 2
+
+
 def test_forest_dense_blocks_equal_plain_pairs():
     rng = np.random.default_rng(9)
     for share in (0.02, 0.5, 1.0):
