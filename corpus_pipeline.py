@@ -29,28 +29,41 @@ def _small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def _by_place(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ... by their place, so that no name clashes, repeats or needs quoting."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts, texts without letters) go; `lang` becomes the prediction."""
     _small_batches(spark)
-    found = with_language(docs, fit(docs)).where(f"lang_pred <> '{UNKNOWN}'")
-    return found.withColumn("lang", found["lang_pred"]).select(docs.columns)
+    names, n = docs.columns, len(docs.columns)
+    found = _by_place(with_language(docs, fit(docs)))  # the prediction and its score are the last two
+    kept = found.where(F.col(f"c{n}") != UNKNOWN).withColumn(f"c{names.index('lang')}", F.col(f"c{n}"))
+    return kept.select([f"c{i}" for i in range(n)]).toDF(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one with the smallest doc_id stays (null ids last); of rows equal in doc_id and text one.
 
-    A row is known by a 64-bit hash of its doc_id and text, as rows equal in both are one.
+    A row is known by a 64-bit hash of its doc_id and text, as rows equal in
+    both are one. Rows that go, and those that are there more than once, are
+    few columns; all others are read once more and kept as they are.
     """
     _small_batches(spark)
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = written(jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")), "row-components")
-    ids = rows.groupBy("_row").agg(F.min("doc_id").alias("id"))
-    each = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))["_row"].alias("_row")
-    kept = each.join(ids, "_row").groupBy("component_id").agg(first).select("_row")
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = _by_place(docs).withColumn("row", F.xxhash64(doc_id, text))
+    found = written(jaccard_components(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text"))), "row-components")
+    ids = rows.groupBy("row").agg(F.min(doc_id).alias("id"))
+    each = found.groupBy(F.col("doc_id").alias("row"), "component_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("first")
+    kept = each.join(ids, "row").groupBy("component_id").agg(first)
     # Written, so that its size is known before the texts are joined with it.
-    gone = written(each.select("_row").join(kept, "_row", "left_anti"), "rows-gone")
-    return rows.join(gone, "_row", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    marked = each.join(kept, F.col("row") == F.col("first"), "left").select("row", F.col("first").isNull().alias("goes"), "n")
+    marked = written(marked.groupBy("row").agg(F.min("goes").alias("goes"), F.max("n").alias("n")).where("goes or n > 1"), "rows-marked")
+    once = rows.join(marked, "row", "left_anti")
+    again = rows.join(marked.where("not goes"), "row", "left_semi").dropDuplicates([doc_id, text])
+    return once.unionByName(again).drop("row").toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
