@@ -21,8 +21,9 @@ from .shingles import fingerprints, shingle_sets
 
 #: n-grams that a fragment holds on average (the number of fragments follows the input), and documents that are cut up at once.
 FRAGMENT_GRAMS, SLICE_ROWS = 1 << 19, 1536
-#: An n-gram in more than 1 / HEAVY_SHARE of all set elements is heavy, so at most HEAVY_SHARE are; they come last in the order.
-HEAVY_SHARE, HEAVY_IN_SLICE = 100_000, 12
+#: An n-gram in more than 1 / HEAVY_SHARE of all set elements is heavy, so at most HEAVY_SHARE are; they come last in the order. A task counts n-grams
+#: of half that share, and of HEAVY_IN_TASK sets at least; elements after which it forgets those that fall short.
+HEAVY_SHARE, HEAVY_IN_TASK, FORGET = 100_000, 12, 400_000
 HEAVY_COUNT = np.uint32(0xFFFFFFFF)
 #: Pivots of the order, rarest n-grams first, by the number of sets that hold one: the sets are cut there into fragments when pairs are counted.
 PIVOTS = np.array([3, 5, 9, 33, 257, 4097, HEAVY_COUNT], np.uint32)
@@ -46,27 +47,60 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(lo, SLICE_ROWS)
 
 
+class FrequentGrams:
+    """The frequent of a stream of n-grams by lossy counting: of each FORGET elements, those counted least are forgotten.
+
+    An n-gram in at least 1 / FORGET of the elements so far is known, its count
+    short by that share at most, whatever the slices it came in. The table
+    holds FORGET n-grams and those that were more frequent so far.
+    """
+
+    def __init__(self):
+        self.grams, self.counts, self.missed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.elements = self.bucket = 0
+
+    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        """Sorted distinct n-grams with their counts."""
+        known = np.searchsorted(self.grams, grams)
+        same = np.zeros(len(grams), bool)
+        inside = known < len(self.grams)
+        same[inside] = self.grams[known[inside]] == grams[inside]
+        self.counts[known[same]] += counts[same]
+        fresh = ~same
+        self.elements += int(counts.sum())
+        self.grams = np.concatenate([self.grams, grams[fresh]])
+        self.counts = np.concatenate([self.counts, counts[fresh]])
+        self.missed = np.concatenate([self.missed, np.full(int(fresh.sum()), self.bucket, np.int64)])
+        self.bucket = self.elements // FORGET
+        keep = self.counts + self.missed > self.bucket
+        self.grams, self.counts, self.missed = self.grams[keep], self.counts[keep], self.missed[keep]
+        order = np.argsort(self.grams, kind="stable")
+        self.grams, self.counts, self.missed = self.grams[order], self.counts[order], self.missed[order]
+
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams, and their counts, of half the share of a heavy one."""
+        n = self.counts + self.missed
+        enough = (n * 2 * HEAVY_SHARE >= self.elements) & (n >= HEAVY_IN_TASK)
+        return self.grams[enough], n[enough]
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Per document (kind 0) doc_id, fingerprint, size; per slice (kind 1) n-grams that many of its distinct sets hold, with their number."""
+    """Per document (kind 0) doc_id, fingerprint, size; per task (kind 1) n-grams that many of its sets hold, with their number."""
+
+    def rows(kind: int, ids: pa.Array, values: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return _batch([np.full(len(n), kind, np.int32), ids, values.view(np.int64), n.astype(np.int64)], ["kind", "doc_id", "value", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = FrequentGrams()
         for b in _slices(batches):
             values, offsets = shingle_sets(b.column(1))
             prints, sizes = fingerprints(values, offsets), np.diff(offsets)
             _, first = np.unique(prints, return_index=True)
             once = np.repeat(np.isin(np.arange(len(sizes)), first), sizes)
-            grams, count = np.unique(values[once], return_counts=True)
-            heavy = count >= HEAVY_IN_SLICE
-            n, m = b.num_rows, int(heavy.sum())
-            yield _batch(
-                [
-                    np.repeat(np.array([0, 1], np.int32), [n, m]),
-                    pa.concat_arrays([b.column(0), pa.nulls(m, pa.int64())]),
-                    np.concatenate([prints, grams[heavy]]).view(np.int64),
-                    np.concatenate([sizes, count[heavy]]).astype(np.int64),
-                ],
-                ["kind", "doc_id", "value", "n"],
-            )
+            often.add(*np.unique(values[once], return_counts=True))
+            yield rows(0, b.column(0), prints, sizes)
+        grams, n = often.frequent()
+        yield rows(1, pa.nulls(len(n), pa.int64()), grams, n)
 
     return docs.mapInArrow(frugal(run), "kind int, doc_id bigint, value bigint, n bigint")
 
@@ -307,8 +341,72 @@ def set_components(sets: DataFrame, share: int) -> DataFrame:
     return components(links)
 
 
-def jaccard_components(docs: DataFrame, share: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: links where 100 * intersection >= share * union.
+#: Sets of a block of a component, n-grams of a fragment within it, sets of components that are counted together.
+BLOCK_SETS, BLOCK_GRAMS, TOGETHER = 1024, 4096, 256
+
+
+def _linked(grams: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, share: int) -> np.ndarray:
+    """Which of the sets `left` are linked with which of `right`. The n-grams in order are cut into fragments, each counts its part of all overlaps."""
+    used = np.union1d(left, right)
+    owner = np.repeat(used, [len(grams[k]) for k in used])
+    order, column = np.unique(np.concatenate([grams[k] for k in used]), return_inverse=True)
+    place = np.argsort(column, kind="stable")
+    owner, column = owner[place], column[place]
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    rows = np.empty(len(grams), np.int64)
+    rows[used] = np.arange(len(used))
+    for lo in range(0, len(order), BLOCK_GRAMS):
+        a, z = np.searchsorted(column, [lo, lo + BLOCK_GRAMS])
+        part = np.zeros((len(used), min(BLOCK_GRAMS, len(order) - lo)), np.float32)
+        part[rows[owner[a:z]], column[a:z] - lo] = 1
+        overlap += part[rows[left]] @ part[rows[right]].T
+    return 100 * overlap >= share * (sizes[left][:, None] + sizes[right] - overlap)
+
+
+def set_links(sets: DataFrame, label: DataFrame, copies: DataFrame, share: int) -> DataFrame:
+    """fp, links: the documents of other sets that each set is linked with. label: fp, label; copies: fp, n (documents).
+
+    Links never leave a component, so the sets of each are compared with each
+    other: small components many at a time, large ones in pairs of blocks that
+    several tasks take. Nothing is emitted for a pair.
+    """
+    several = label.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = label.join(several, "label").join(copies, "fp").join(sets.select("fp", "s", F.flatten("cuts").alias("grams")), "fp")
+    blocks = F.ceil(F.col("m") / BLOCK_SETS).cast("int")
+    tasks = F.when(F.col("m") > TOGETHER, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.lit(4 * shuffle_partitions(sets.sparkSession)))))
+    members = members.withColumns({"task": tasks, "large": F.col("m") > TOGETHER, "block": F.pmod(F.xxhash64("fp"), blocks).cast("int"), "blocks": blocks})
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    members = members.select("large", "task", "label", "fp", "s", "n", "grams", "block", other)
+    members = members.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        low, high = key[2].as_py(), key[3].as_py()
+        label, fp, s, n, block = (t.column(c).to_numpy() for c in ("label", "fp", "s", "n", "block"))
+        offsets, flat = [], []
+        for chunk in t.column("grams").chunks:
+            offsets += np.diff(chunk.offsets.to_numpy()).tolist()
+            flat.append(chunk.flatten().to_numpy())
+        grams = np.split(np.concatenate(flat), np.cumsum(offsets)[:-1])
+        links = np.zeros(len(fp), np.int64)
+        order = np.argsort(label, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            left, right = mine[block[mine] == low], mine[block[mine] == high]
+            if not len(left) or not len(right):
+                continue
+            linked = _linked(grams, s, left, right, share)
+            if low == high:
+                np.fill_diagonal(linked, False)
+            links[left] += linked @ n[right]
+            if low != high:
+                links[right] += n[left] @ linked
+        return pa.table([t.column("fp"), pa.array(links)], names=["fp", "links"])
+
+    found = members.groupBy("large", "task", "low", "high").applyInArrow(_frugal_groups(run), "fp bigint, links bigint")
+    return found.groupBy("fp").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(docs: DataFrame, share: int = 80, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: links where 100 * intersection >= share * union; with links, also n_links, the rows linked with it.
 
     component_id is the smallest doc_id that links reach; documents without
     words, and null texts, link with nothing. Rows that repeat a
@@ -326,16 +424,22 @@ def jaccard_components(docs: DataFrame, share: int = 80) -> DataFrame:
     cut = _fragments_of_sets(rows, fragments, heavy)
     sets = written(linkable_sets(shared_grams(cut, fragments), share), "linkable")
     label = set_components(sets, share).toDF("fp", "label")
-    classes = each.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = each.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    counted = []
+    if links:
+        label = written(label, "labels-of-sets")
+        found = set_links(sets, label, classes.select("fp", "n"), share)
+        classes = classes.join(found, "fp", "left").withColumn("n_links", F.col("n") - 1 + F.coalesce("links", F.lit(0)))
+        counted = [F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")]
     classes = classes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     names = classes.groupBy("label").agg(F.min("first").alias("name"))
-    classes = classes.join(names, "label").select("fp", "name")
+    classes = classes.join(names, "label").drop("label", "first", "n", "links")
     out = each.join(classes, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"), *counted)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), links=True)
 
 
 OP1_SQL = r"""
@@ -353,5 +457,5 @@ o AS (
   SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * hits >= 80 * (na.n + nb.n - hits)
 ), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
-SELECT n.doc_id, n.n AS n_shingles, min(r.seen) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY ALL
+SELECT n.doc_id, n.n AS n_shingles, min(r.seen) AS component_id, (SELECT count(*) FROM e WHERE e.a = n.doc_id) AS n_links FROM n JOIN r ON r.node = n.doc_id GROUP BY ALL
 """

@@ -105,12 +105,13 @@ class SupportVectors:
         # Each class weighs the same in the loss.
         most = COST * len(rows) / (2 * np.array([np.count_nonzero(labels == c) for c in (0, 1)]))[labels]
         w, bias, dual = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
-        values = [self._scaled(r) for r in rows]
-        squares = np.array([float(v @ v) + 1.0 for v in values])
+        # Scaled rows have length 1, or 0 without any feature that tells the classes apart; they are scaled anew when needed.
+        squares = np.array([1.0 + float(self.ratio[r].any()) for r in rows])
         for _ in range(PASSES):
             moved = 0.0
             for i in rng.permutation(len(rows)).tolist():
-                r, v, y = rows[i], values[i], sign[i]
+                r, y = rows[i], sign[i]
+                v = self._scaled(r)
                 slope = y * (float(w[r] @ v) + bias) - 1.0
                 new = min(max(dual[i] - slope / squares[i], 0.0), most[i])
                 if (step := new - dual[i]) != 0.0:

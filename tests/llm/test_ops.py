@@ -56,17 +56,49 @@ def jaccard_texts(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_components_equal_brute_force(spark, seed):
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed):
+    if seed == 2:  # components in pairs of blocks, overlaps over many fragments
+        for name, value in (("BLOCK_SETS", 3), ("BLOCK_GRAMS", 16), ("TOGETHER", 2)):
+            monkeypatch.setattr(ngram_join, name, value)
     texts = jaccard_texts(seed)
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = groups(len(sets), links)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("*", F.lit(1).alias("TEXT"))
-    found = {r.doc_id: r for r in ngram_join.jaccard_components(docs).collect()}
+    found = {r.doc_id: r for r in ngram_join.jaccard_components(docs, links=True).collect()}
+    assert [found[i].n_links for i in range(len(sets))] == [sum(i in p for p in links) for i in range(len(sets))]
     assert [found[i].n_shingles for i in range(len(sets))] == [len(s) for s in sets]
     assert [found[i].component_id for i in range(len(sets))] == want
 
 
+def test_frequent_grams_are_known_whatever_their_slices():
+    rng = np.random.default_rng(8)
+    often = ngram_join.FrequentGrams()
+    total: dict[int, int] = {}
+    for k in range(60):  # one n-gram in 0.7 % of some 30,000 documents, a few of a slice; all others once or twice
+        g, n = np.unique(np.append(rng.integers(0, 1 << 62, 30_000).astype(np.uint64), np.repeat(np.array([7, 9], np.uint64), [4, 1])), return_counts=True)
+        often.add(g, n)
+        assert len(often.grams) < 2 * ngram_join.FORGET + 40_000
+        for x in (7, 9):
+            total[x] = total.get(x, 0) + int(n[np.searchsorted(g, x)])
+    grams, n = often.frequent()
+    found = dict(zip(grams.tolist(), n.tolist(), strict=True))
+    assert total[7] == 240 and 240 - often.elements // ngram_join.FORGET - 1 <= found[7] <= 240 and 9 in found and len(found) < 10
+
+
+def test_an_ngram_of_a_few_in_each_slice_is_heavy(spark, monkeypatch):
+    """In 0.7 % of the documents, below a dozen of a slice: it is dealt by document, and the components stay right."""
+    monkeypatch.setattr(ngram_join, "HEAVY_SHARE", 2_000)
+    monkeypatch.setattr(ngram_join, "FORGET", 8_000)
+    heavy = []
+    monkeypatch.setattr(ngram_join, "_fragments_of_sets", lambda docs, n, found, plain=ngram_join._fragments_of_sets: heavy.append(found) or plain(docs, n, found))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(WORDS, k=8)) + (" common words of seven percent ever" if i % 143 == 0 else "") for i in range(4_000)] + ["a b c d e f g", "a b c d e f g"]
+    found = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), links=True)
+    rows = {r.doc_id: (r.component_id, r.n_links) for r in found.collect()}
+    assert len(heavy[0]) >= 2 and rows[4_000] == rows[4_001] == (4_000, 1) and sum(c != i for i, (c, _) in rows.items()) == 1
+
+
 def test_jaccard_components_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "alone"), (3, "A B c d e f")], "doc_id bigint, text string")
     rows = sorted(((str(r.doc_id), r.component_id) for r in ngram_join.jaccard_components(docs).collect()), key=str)
