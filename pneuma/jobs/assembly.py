@@ -223,14 +223,6 @@ SELECT w.participant_id, count(*) AS n, round(any_value(wx), 6) AS wx, round(any
 round(corr(target, wx * x + wy * y + wz * z), 6) AS r FROM ax JOIN w USING (participant_id) GROUP BY w.participant_id"""
 
 
-def fit_pca(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(K.fit_pca(_axes(spark, sf)))
-
-
-def axis_clarity(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(K.axis_clarity(_axes(spark, sf), 16))
-
-
 def lag_search(spark: SparkSession, sf: str) -> DataFrame:
     p = _axes(spark, sf).select(F.col("participant_id").alias("recording_id"), "idx", F.col("x").alias("a"), F.col("y").alias("b"))
     return rounded(K.lag_search(p, 8))
@@ -383,7 +375,7 @@ QUERIES = {
     "resolve_participants": (resolve_participants, RESOLVE), "reconcile_sessions": (reconcile_sessions, RECONCILE), "dedupe_trials": (dedupe_trials, DEDUPE), "exclude_test_ids": (exclude_test_ids, EXCLUDE),
     "complete_participants": (complete_participants, COMPLETE), "resolve_run_onset": (resolve_run_onset, ONSET), "phase_to_block": (phase_to_block, PHASE), "affect_coordinates": (affect_coordinates, AFFECT),
     "session_windows": (session_windows, WINDOWS), "collect_flags": (collect_flags, FLAGS), "disclosure_guard": (disclosure_guard, GUARD), "pacer_radius": (pacer_radius, PACER), "pacer_overshoot": (pacer_overshoot, OVERSHOOT),
-    "calib_attempts": (calib_attempts, ATTEMPTS), "fit_mlr": (fit_mlr, MLR), "fit_pca": (fit_pca, ""), "axis_clarity": (axis_clarity, ""), "lag_search": (lag_search, LAG), "score_axes": (score_models, SCORES), "quality_index": (quality_index, QUALITY), "welch_psd": (welch_psd, WELCH),
+    "calib_attempts": (calib_attempts, ATTEMPTS), "fit_mlr": (fit_mlr, MLR), "lag_search": (lag_search, LAG), "score_axes": (score_models, SCORES), "quality_index": (quality_index, QUALITY), "welch_psd": (welch_psd, WELCH),
     "band_metrics": (band_metrics, BAND), "stream_phase_rate": (stream_phase_rate, STREAM_PHASE),
     "stream_rolling_r": (stream_rolling_r, STREAM_R), "stream_amplitude_range": (stream_amplitude_range, STREAM_RANGE), "stream_trial_sessions": (stream_trial_sessions, STREAM_SESSIONS),
     "stream_dedupe": (stream_dedupe, DEDUPE), "stream_clamped_breath": (stream_clamped_breath, "SELECT event_id, round(least(1, greatest(0, value / 100)), 6) AS breath FROM events"),

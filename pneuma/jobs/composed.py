@@ -13,10 +13,11 @@ from ..operators import cohort as H
 from ..operators import extrema as X
 from ..operators import quality as Q
 from ..operators import session as N
+from ..operators.recording import analyse
 from ..sources.tables import SAMPLES_SQL, VECTORS_SQL, event_samples, from_vector, read, vector_samples
 from .assembly import _AX, MLR, _axes, calib_packets
 from .filters import _chebyshev, band_response, dft_filter_sql
-from .recordings import EXTREMA_PROMINENCE_SQL
+from .recordings import EXTREMA_PROMINENCE_SQL, POLARITY_SQL, SUMMARY_SQL
 
 S = SAMPLES_SQL
 
@@ -173,7 +174,22 @@ APPLY = f"""WITH {_AX}, src AS (SELECT participant_id AS recording_id, idx, (par
 {dft_filter_sql("rd", band_response(", 0.6", 4), 25.0, 63, "lp")}
 SELECT recording_id, idx, round(CASE WHEN recording_id % 2 = 0 THEN lp.value ELSE rd.value END, 6) AS value FROM rd JOIN lp USING (recording_id, idx)"""
 
+def analyse_recordings(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of 25 Hz as whole recordings: decimated, band-passed, scaled, their breaths summarised, and the polarity that these suggest."""
+    a = analyse(vector_samples(spark, sf), 25.0, 12.5, (0.5, 5.0), None, 0.0, 0.08, spikes=None, grade=False, bounds_s=(0.1, 2.0))
+    return rounded(a.features.join(a.polarity.select(*REC, "suggestion", "contradicted"), list(REC), "left"))
+
+
+_VECTOR_BREATHS = f"""{VECTORS_SQL}, {dft_filter_sql("e", _chebyshev(2), 25.0, 63, "lo")}, dc AS (SELECT recording_id, (idx - 1) // 2 + 1 AS idx, value FROM lo WHERE idx % 2 = 1),
+{dft_filter_sql("dc", band_response("0.5, 5.0", 2), 12.5, 31, "bp", 32)}, md AS (SELECT recording_id, median(value) AS c FROM bp GROUP BY ALL),
+sd AS (SELECT recording_id, any_value(c) AS c, 1.4826 * median(abs(value - c)) AS s FROM bp JOIN md USING (recording_id) GROUP BY ALL),
+s AS (SELECT recording_id, idx, (idx - 1) / 12.5::DOUBLE AS t_s, (value - c) / CASE WHEN sd.s > 0 THEN sd.s ELSE 1 END AS value FROM bp JOIN sd USING (recording_id))"""
+_SUMMARY = SUMMARY_SQL.replace(SAMPLES_SQL, _VECTOR_BREATHS).replace("t_end - t_start < 3600 OR t_end - t_start > 86400", "t_end - t_start < 0.1 OR t_end - t_start > 2")
+_POLARITY = POLARITY_SQL.replace(SAMPLES_SQL, _VECTOR_BREATHS)
+ANALYSE = f"""SELECT f.*, suggestion, coalesce(confident AND suggestion <> 'up', false) AS contradicted FROM ({_SUMMARY}) f LEFT JOIN ({_POLARITY}) p ON p.recording_id = f.recording_id"""
+
 QUERIES = {
+    "analyse_recordings": (analyse_recordings, ANALYSE),
     "from_vector": (from_vectors, FROM_VECTOR), "select_seat_channels": (select_seat_channels, SEATS), "participant_flags": (participant_flags, PARTICIPANT_FLAGS), "preprocess": (preprocess, PREPROCESS),
     "provenance_log": (provenance_log, PROVENANCE), "detect_breaths": (detect_breaths, DETECT), "estimate_breath_period": (estimate_breath_period, PERIOD), "live_breath_onsets": (live_breath_onsets, LIVE),
     "calib_window": (calib_window, CALIB_WINDOW), "calib_overrun": (calib_overrun, CALIB_OVERRUN), "realised_rate": (realised_rate, REALISED), "device_signal": (device_signal, DEVICE_SIGNAL),

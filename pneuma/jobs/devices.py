@@ -10,17 +10,13 @@ from ..operators import cohort as H
 from ..operators import devices as D
 from ..operators import session as N
 from ..operators import trials as T
-from ..sources.tables import SAMPLES_SQL, event_samples, read, vector_samples
+from ..sources.tables import SAMPLES_SQL, event_samples, read
 from .assembly import _AX, _axes
 from .recordings import ALT_SQL, _alternating
 
 S = SAMPLES_SQL
 
 
-def detect_onsets(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(D.detect_onsets(vector_samples(spark, sf, 10.0), 10.0))
-
-
 def cross_coherence(spark: SparkSession, sf: str) -> DataFrame:
     p = _axes(spark, sf).select(F.col("participant_id").alias("recording_id"), "idx", F.col("x").alias("a"), F.col("y").alias("b"))
     return rounded(D.cross_coherence(p, 25.0, 32).select(*REC, "bin", "freq", "n", "coherence", F.when(F.col("bin") > 0, F.cos("phase")).alias("cos_phase")), 5)
@@ -142,7 +138,7 @@ def confidence_mean(spark: SparkSession, sf: str) -> DataFrame:
 CONFIDENCE = "SELECT o_custkey, round(avg(o_totalprice), 4) AS confidence, count(*) AS n, round(CASE WHEN count(*) > 1 THEN stddev_samp(o_totalprice) / sqrt(count(*)) END, 4) AS se FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL"
 
 QUERIES = {
-    "detect_onsets": (detect_onsets, ""), "cross_coherence": (cross_coherence, COHERENCE), "offset_per_breath": (offset_per_breath, OFFSET), "adherence_corr": (adherence_corr, ADHERENCE),
+    "cross_coherence": (cross_coherence, COHERENCE), "offset_per_breath": (offset_per_breath, OFFSET), "adherence_corr": (adherence_corr, ADHERENCE),
     "trial_breaths": (trial_breaths, TRIAL_BREATHS), "match_expected_breaths": (match_expected_breaths, EXPECTED), "recording_qc_code": (recording_qc_code, QC_CODE), "lag_confound": (lag_confound, CONFOUND), "trial_windows": (trial_windows, TRIAL_WINDOWS),
     "confidence_mean": (confidence_mean, CONFIDENCE),
 }

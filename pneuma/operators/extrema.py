@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +15,24 @@ from ..functions.islands import REC, along, run_ids
 from .timebase import fill_gaps
 
 
-def local_maxima(samples: DataFrame) -> DataFrame:
-    """recording_id, idx, value of every plateau above both neighbours: its middle, the left one of two."""
+def _plateaus(samples: DataFrame) -> DataFrame:
+    """recording_id, idx, value and the values before and after of every run of equal values; idx is its middle, the left one of two."""
     runs = run_ids(samples, "value").groupBy(*REC, "run").agg(F.first("value").alias("value"), F.min("idx").alias("start"), F.count(F.lit(1)).alias("n"))
     w = along("run")
-    runs = runs.withColumns({"before": F.lag("value").over(w), "after": F.lead("value").over(w)})
-    top = runs.where((F.col("value") > F.col("before")) & (F.col("value") > F.col("after")))
-    return top.select(*REC, (F.col("start") + F.floor((F.col("n") - 1) / 2)).cast("bigint").alias("idx"), "value")
+    middle = (F.col("start") + F.floor((F.col("n") - 1) / 2)).cast("bigint")
+    return runs.select(*REC, middle.alias("idx"), "value", F.lag("value").over(w).alias("before"), F.lead("value").over(w).alias("after"))
+
+
+def local_maxima(samples: DataFrame) -> DataFrame:
+    """recording_id, idx, value of every plateau above both neighbours: its middle, the left one of two."""
+    return _plateaus(samples).where((F.col("value") > F.col("before")) & (F.col("value") > F.col("after"))).select(*REC, "idx", "value")
 
 
 def turning_points(samples: DataFrame) -> DataFrame:
-    """recording_id, idx, value, kind: maxima as peaks, maxima of the negated signal as troughs."""
-    peaks = local_maxima(samples).withColumn("kind", F.lit("peak"))
-    troughs = local_maxima(samples.withColumn("value", -F.col("value"))).select(*REC, "idx", (-F.col("value")).alias("value"), F.lit("trough").alias("kind"))
-    return peaks.unionByName(troughs)
+    """recording_id, idx, value, kind: plateaus above both neighbours as peaks, plateaus below both as troughs."""
+    v, before, after = F.col("value"), F.col("before"), F.col("after")
+    kind = F.when((v > before) & (v > after), "peak").when((v < before) & (v < after), "trough")
+    return _plateaus(samples).select(*REC, "idx", "value", kind.alias("kind")).where("kind is not null")
 
 
 def enforce_alternation(extrema: DataFrame, rule: str = "extreme", by: tuple[str, ...] = REC) -> DataFrame:
@@ -123,49 +129,92 @@ def _both_valleys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return left[0], left[1], right[0][::-1], right[1][::-1]
 
 
-def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """Valleys within one range of a recording. Values that are the highest so far from either side are kept for the recording:
-    a later range sees only them, and the lowest value since the kept one before (gap)."""
-    rows = rows.sort_values("idx", kind="stable").reset_index(drop=True)
-    x = rows["value"].to_numpy()
-    low, bounded, ahead, bounded_ahead = _both_valleys(x)
-    rows["left"], rows["right"] = np.where(bounded, low, np.nan), np.where(bounded_ahead, ahead, np.nan)
-    kept = ~(bounded & bounded_ahead)
-    gap, least = np.empty(len(x)), np.inf
-    for i in range(len(x)):
-        least = min(least, x[i])
-        gap[i] = least
-        if kept[i]:
-            least = np.inf
-    rows["gap"], rows["kept"] = gap, kept
-    return rows[kept | rows["maximum"]]
-
-
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Prominence of the kept maxima of a recording."""
-    rows = rows.sort_values("idx", kind="stable")
-    x = np.stack([rows["gap"].to_numpy(), rows["value"].to_numpy()], axis=1).ravel()
-    low, _, ahead, _ = _both_valleys(x)
-    left, right = rows["left"].fillna(pd.Series(low[1::2], rows.index)), rows["right"].fillna(pd.Series(ahead[1::2], rows.index))
-    rows["prominence"] = rows["value"] - np.maximum(left, right)
-    return rows.loc[rows["maximum"], ["recording_id", "idx", "value", "prominence"]]
+def _gaps(x: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The lowest value since the kept one before, itself included."""
+    out, at = np.full(len(x), np.nan), np.flatnonzero(kept)
+    if len(at):
+        out[at] = np.minimum.reduceat(x[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
+    return out
 
 
-def peak_prominence(samples: DataFrame, range_samples: int = 1 << 18) -> DataFrame:
-    """Maxima with their prominence.
+_PROMINENT = "recording_id bigint, sign int, idx bigint, value double, prominence double, maximum boolean, left double, right double, gap double"
+_PROMINENT_ARROW = pa.schema(
+    [("recording_id", pa.int64()), ("sign", pa.int32()), ("idx", pa.int64())] + [(c, pa.float64()) for c in ("value", "prominence")] + [("maximum", pa.bool_())]
+    + [(c, pa.float64()) for c in ("left", "right", "gap")]
+)
+
+
+def _lists(column: pa.Array) -> list[dict[str, np.ndarray]]:
+    """Each row of an array of structs as arrays of its fields."""
+    offsets, flat = column.offsets.to_numpy(), column.values
+    fields = {flat.type.field(k).name: flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)}
+    return [{c: v[a:b] for c, v in fields.items()} for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _settled(signs: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per range and sign: maxima with their prominence where the range alone bounds it, and, of a recording of several ranges, also the values that
+    are the highest so far from either side: other ranges see only them, and the lowest value since the kept one before (gap)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for recording, whole, rows in zip(b.column(0), b.column(1).to_pylist(), _lists(b.column(2)), strict=True):
+                for sign in signs:
+                    x, maximum = sign * rows["value"].astype(float), rows["kind"] == sign
+                    low, bounded, ahead, bounded_ahead = _both_valleys(x)
+                    kept = np.zeros(len(x), bool) if whole else ~(bounded & bounded_ahead)
+                    prominence = np.where(maximum & ~kept, x - np.maximum(low, ahead), np.nan)
+                    some = maximum | kept
+                    floats = (x, prominence, np.where(bounded, low, np.nan), np.where(bounded_ahead, ahead, np.nan), _gaps(x, kept))
+                    value, prominence, left, right, gap = (pa.array(f[some], from_pandas=True) for f in floats)
+                    n = int(some.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([recording.as_py()] * n, pa.int64()), pa.array(np.full(n, sign, np.int32)), pa.array(rows["idx"][some]), value, prominence, pa.array(maximum[some]), left, right, gap],
+                        schema=_PROMINENT_ARROW,
+                    )
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prominence of the kept maxima of a recording."""
+    for b in batches:
+        for recording, sign, rows in zip(b.column(0), b.column(1), _lists(b.column(2)), strict=True):
+            x = np.stack([rows["gap"], rows["value"]], axis=1).ravel()
+            low, _, ahead, _ = _both_valleys(x)
+            left, right = (np.where(np.isnan(mine), found[1::2], mine) for mine, found in ((rows["left"], low), (rows["right"], ahead)))
+            top = rows["maximum"].astype(bool)
+            n, nothing = int(top.sum()), pa.nulls(int(top.sum()), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([recording.as_py()] * n, pa.int64()), pa.array([sign.as_py()] * n, pa.int32()), pa.array(rows["idx"][top]), pa.array(rows["value"][top]),
+                 pa.array((rows["value"] - np.maximum(left, right))[top]), pa.array(top[top]), nothing, nothing, nothing],
+                schema=_PROMINENT_ARROW,
+            )
+
+
+def prominences(samples: DataFrame, signs: tuple[int, ...] = (1,), range_samples: int = 1 << 18) -> DataFrame:
+    """recording_id, sign, idx, value, prominence: maxima of the signal (sign 1) and of the negated signal (-1, value negated too).
 
     Only turning points and the two ends go to the helpers: they bound every
-    valley. Ranges of a recording settle most maxima on their own; the values
+    valley. Ranges of a recording are arrays, many to a batch; they settle most
+    maxima on their own, all of them where a recording is one range. The values
     that still stand out of their range are merged per recording.
     """
     ends = samples.groupBy(*REC).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    marks = turning_points(samples).select(*REC, "idx", "value", (F.col("kind") == "peak").alias("maximum"))
-    edge = samples.join(ends, list(REC)).where("idx = lo or idx = hi").select(*REC, "idx", "value", F.lit(False).alias("maximum"))
-    both = marks.unionByName(edge).withColumn("_range", F.floor(F.col("idx") / range_samples))
-    schema = "recording_id bigint, idx bigint, value double, maximum boolean, left double, right double, gap double, kept boolean"
-    settled = both.groupBy(*REC, "_range").applyInPandas(lambda r: _settle(r).drop(columns="_range"), schema)
-    done = settled.where("not kept").select(*REC, "idx", "value", (F.col("value") - F.greatest("left", "right")).alias("prominence"))
-    return done.unionByName(settled.where("kept").groupBy(*REC).applyInPandas(_merge, "recording_id bigint, idx bigint, value double, prominence double"))
+    marks = turning_points(samples).select(*REC, "idx", "value", F.when(F.col("kind") == "peak", 1).otherwise(-1).alias("kind"))
+    edge = samples.join(ends, list(REC)).where("idx = lo or idx = hi").select(*REC, "idx", "value", F.lit(0).alias("kind"))
+    at = lambda c: F.floor(F.col(c) / range_samples)
+    both = marks.unionByName(edge).join(ends.select(*REC, (at("lo") == at("hi")).alias("whole")), list(REC))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("idx").cast("bigint").alias("idx"), "kind", F.col("value").cast("double").alias("value"))))
+    arrays = both.groupBy(*REC, "whole", at("idx").alias("_range")).agg(rows.alias("rows")).select(F.col(REC[0]).cast("bigint").alias(REC[0]), "whole", "rows")
+    settled = arrays.mapInArrow(_settled(signs), _PROMINENT)
+    open_rows = F.array_sort(F.collect_list(F.struct("idx", "maximum", "value", "left", "right", "gap"))).alias("rows")
+    left = settled.where("gap is not null").groupBy(*REC, "sign").agg(open_rows).mapInArrow(_merged, _PROMINENT)
+    return settled.where("gap is null and maximum").unionByName(left).select(*REC, "sign", "idx", "value", "prominence")
+
+
+def peak_prominence(samples: DataFrame, range_samples: int = 1 << 18) -> DataFrame:
+    """Maxima with their prominence."""
+    return prominences(samples, (1,), range_samples).select(*REC, "idx", "value", "prominence")
 
 
 def greedy_spacing(events: DataFrame, gap: float, weight: str, by: tuple[str, ...] = REC, at: str = "idx", batch: int = 512) -> DataFrame:
@@ -199,12 +248,9 @@ def greedy_spacing(events: DataFrame, gap: float, weight: str, by: tuple[str, ..
 
 def extrema_prominence(samples: DataFrame, min_prominence: float = 0.5, min_distance: float = 1.0) -> DataFrame:
     """Peaks and troughs of enough prominence, spaced at least min_distance samples within their kind."""
-    found = None
-    for kind, sign in (("peak", 1.0), ("trough", -1.0)):
-        top = peak_prominence(samples.withColumn("value", sign * F.col("value"))).where(F.col("prominence") >= min_prominence)
-        top = greedy_spacing(top, min_distance, "prominence").withColumn("value", sign * F.col("value")).withColumn("kind", F.lit(kind))
-        found = top if found is None else found.unionByName(top)
-    return found
+    top = prominences(samples, (1, -1)).where(F.col("prominence") >= min_prominence)
+    top = greedy_spacing(top, min_distance, "prominence", (*REC, "sign"))
+    return top.select(*REC, "idx", (F.col("sign") * F.col("value")).alias("value"), "prominence", F.when(F.col("sign") == 1, "peak").otherwise("trough").alias("kind"))
 
 
 def first_paced_onset(peaks: DataFrame, min_breath: float, run: int) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .jobs import assembly, behaviour, cohort, composed, devices, filters, live, recordings, signals, trialwise
+from .jobs import assembly, behaviour, cohort, composed, devices, filters, live, outputs, recordings, signals, trialwise
 
-_ALL = recordings.QUERIES | signals.QUERIES | cohort.QUERIES | assembly.QUERIES | behaviour.QUERIES | devices.QUERIES | filters.QUERIES | composed.QUERIES | live.QUERIES | trialwise.QUERIES
+_ALL = recordings.QUERIES | signals.QUERIES | cohort.QUERIES | assembly.QUERIES | behaviour.QUERIES | devices.QUERIES | filters.QUERIES | composed.QUERIES | live.QUERIES | trialwise.QUERIES | outputs.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

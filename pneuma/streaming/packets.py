@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.islands import correlation
 from ..operators.calibration import pacer_radius
+from ..sources.shared import shared_folder
 
 DELAY = "1 second"
 
@@ -27,14 +27,7 @@ def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for the data there is now, by a file sink and checkpoint in the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    at = shared_folder(spark, "stream")
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").trigger(availableNow=True).start()
     )

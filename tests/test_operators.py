@@ -45,8 +45,15 @@ def test_trigger_edges_and_settle_codes(spark):
 def test_prominence_equals_brute_force(spark):
     rng = random.Random(1)
     signals = [[0, 5, 2, 8, 0]] + [[rng.randint(0, 6) for _ in range(60)] for _ in range(15)] + [np.cumsum([rng.gauss(0, 1) for _ in range(80)]).tolist() for _ in range(8)]
-    found = {(r.recording_id, r.idx): r.prominence for r in X.peak_prominence(samples(spark, *signals)).collect()}
+    table = samples(spark, *signals)
+    found = {(r.recording_id, r.idx): r.prominence for r in X.peak_prominence(table).collect()}
     assert found[0, 2] == 3
+    # Recordings of many ranges, and troughs by the negated signal, give the same.
+    assert found == {(r.recording_id, r.idx): r.prominence for r in X.peak_prominence(table, 7).collect()}
+    down = X.peak_prominence(table.withColumn("value", -table.value)).collect()
+    both = X.prominences(table, (1, -1), 16).collect()
+    assert sorted((r.recording_id, r.idx, r.value, r.prominence) for r in both if r.sign == -1) == sorted(map(tuple, down))
+    assert found == {(r.recording_id, r.idx): r.prominence for r in both if r.sign == 1}
     for rec, x in enumerate(signals):
         n = len(x)
         for i in range(n):
