@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC
+from ..sources.shared import stored
 from .breaths import breath_table, flag_breaths, polarity_verdict, summarise_breaths
 from .epochs import epoch_features
 from .extrema import detect_breaths
@@ -30,14 +31,10 @@ class Analysis:
     rate: float
 
 
-def _as_is(rows: DataFrame, name: str) -> DataFrame:
-    return rows
-
-
 def analyse(
     samples: DataFrame, fs: float, target_fs: float | None = 25.0, detect_band: tuple[float, float] | None = (0.05, 0.6), measure_band: tuple[float, float] | None = (0.05, 2.0),
     min_prominence: float = 0.4, min_distance_s: float = 1.5, method: str = "prominence", polarity: str = "up", refine_window_s: float = 0.5, how: str = "robust",
-    spikes: float | None = 3.0, epochs: DataFrame | None = None, grade: bool = True, bounds_s: tuple[float, float] = (0.8, 20.0), keep: Callable[[DataFrame, str], DataFrame] = _as_is,
+    spikes: float | None = 3.0, epochs: DataFrame | None = None, grade: bool = True, bounds_s: tuple[float, float] = (0.8, 20.0), keep: Callable[[DataFrame, str], DataFrame] = stored,
 ) -> Analysis:
     """samples: recording_id, idx, value at fs; t_s counts from each recording's first sample.
 
@@ -47,13 +44,14 @@ def analyse(
     measure band, or with the same one, there is one copy. Every recording of
     samples has a row of features, of nothing but counts of 0 where it has no
     breath, as a constant one has not. A polarity that the data contradict confidently is marked
-    (`contradicted`), not mended. keep(rows, name) may write or cache a step
-    that several later ones read ("base", "detected", "measured", "breaths");
-    results do not depend on it.
+    (`contradicted`), not mended. Each step that several later ones read
+    ("base", "detected", "measured", "extrema", "breaths") goes through
+    keep(rows, name), which writes it to the shared folder; it may do something
+    else, or nothing, without a change of results.
     """
     base, rate = preprocess(samples, fs, target_fs, None, None, spikes=spikes, how="none")
     # In a constant recording a filter leaves rounding errors alone, and scaling would make breaths of them.
-    moving = base.groupBy(*REC).agg((F.max("value") > F.min("value")).alias("moves")).where("moves").select(*REC)
+    moving = samples.groupBy(*REC).agg((F.max("value") > F.min("value")).alias("moves")).where("moves").select(*REC)
     base = keep(base.select(*REC, "idx", "value").join(moving, list(REC), "left_semi"), "base")
 
     def copy(band: tuple[float, float] | None) -> DataFrame:
@@ -64,7 +62,7 @@ def analyse(
     detected = keep(copy(detect_band), "detected")
     one = measure_band is None or measure_band == detect_band
     measured = detected if one else keep(copy(measure_band), "measured")
-    extrema = detect_breaths(detected, rate, method, min_prominence, min_distance_s, refine_on=None if one else measured, refine_window_s=refine_window_s)
+    extrema = keep(detect_breaths(detected, rate, method, min_prominence, min_distance_s, refine_on=None if one else measured, refine_window_s=refine_window_s), "extrema")
     breaths = keep(flag_breaths(breath_table(extrema, measured, polarity, *bounds_s)), "breaths")
     verdict = polarity_verdict(breaths)
     if polarity == "down":  # the table was made of the turned signal

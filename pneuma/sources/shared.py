@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
@@ -16,3 +16,10 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(rows: DataFrame, tag: str) -> DataFrame:
+    """rows written to a new shared folder and read again: what follows neither computes nor plans what came before."""
+    path = shared_folder(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

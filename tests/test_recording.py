@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from pneuma.operators.recording import analyse
+from pneuma.sources.shared import stored
 
 
 def breathing(seed, fs=25.0, seconds=240, sign=1.0, noise=0.05):
@@ -26,8 +27,8 @@ def test_recordings_to_features(spark):
     down, _ = breathing(2, 50.0, sign=-1.0)
     df = table(spark, {1: good, 2: down, 3: np.full(3000, 0.5)})
     seen = []
-    a = analyse(df, 50.0, 25.0, keep=lambda rows, name: seen.append(name) or rows.persist())
-    assert a.rate == 25.0 and seen == ["base", "detected", "measured", "breaths"]
+    a = analyse(df, 50.0, 25.0, keep=lambda rows, name: seen.append(name) or stored(rows, name))
+    assert a.rate == 25.0 and seen == ["base", "detected", "measured", "extrema", "breaths"]
     f = {r.recording_id: r for r in a.features.collect()}
     assert set(f) == {1, 2, 3} and f[3].n_breaths_total == 0 and f[3].window_coverage_s == 0 and f[3].duration_mean is None
     inner = durations[1:-1]
