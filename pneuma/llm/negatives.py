@@ -120,8 +120,8 @@ def hard_negatives(
     asked = _stored(joined[1], f"{folder}/anchors", _block)
     groups = max(1, asked.count())
     shares = max(1, min(row_blocks, -(-2 * spark.sparkContext.defaultParallelism // groups)))
-    tasks = asked.select("dim", "path").join(spark.range(shares).select(F.col("id").cast("int").alias("share")), how="cross")  # a few shares of each file
-    tasks = tasks.repartition(groups * shares)
+    each = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    tasks = asked.select("dim", "path", each).repartition(groups * shares)
 
     def over(task: dict, step: Callable[[Block], Iterator[tuple]]) -> Iterator[tuple]:
         for path in _paths(f"{folder}/rows", task["dim"], task["share"], shares):
@@ -143,7 +143,7 @@ def hard_negatives(
     first = written(first.withColumn("p", place - 1).where(F.col("p") < positives), "positives")
     # One row a block of anchors: `positives` numbers for each of its anchors.
     held = first.groupBy("path", "dim").agg(F.collect_list(F.struct("a", "p", "score")).alias("found"))
-    tasks = held.join(spark.range(shares).select(F.col("id").cast("int").alias("share")), how="cross").repartition(groups * shares)
+    tasks = held.select("path", "dim", "found", each).repartition(groups * shares)
 
     def find_negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
