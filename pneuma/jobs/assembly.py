@@ -342,7 +342,7 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return W.drained(W.stream_dedupe(p)).select("participant_id", F.unix_micros("ts").alias("onset_us"), "value")
 
 
-DEDUPE = "SELECT DISTINCT user_id AS participant_id, epoch_us(ts) AS onset_us, value FROM events"
+STREAM_DEDUPE = "SELECT DISTINCT user_id AS participant_id, epoch_us(ts) AS onset_us, value FROM events"
 
 
 def stream_clamped_breath(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,6 +378,6 @@ QUERIES = {
     "calib_attempts": (calib_attempts, ATTEMPTS), "fit_mlr": (fit_mlr, MLR), "lag_search": (lag_search, LAG), "score_axes": (score_models, SCORES), "quality_index": (quality_index, QUALITY), "welch_psd": (welch_psd, WELCH),
     "band_metrics": (band_metrics, BAND), "stream_phase_rate": (stream_phase_rate, STREAM_PHASE),
     "stream_rolling_r": (stream_rolling_r, STREAM_R), "stream_amplitude_range": (stream_amplitude_range, STREAM_RANGE), "stream_trial_sessions": (stream_trial_sessions, STREAM_SESSIONS),
-    "stream_dedupe": (stream_dedupe, DEDUPE), "stream_clamped_breath": (stream_clamped_breath, "SELECT event_id, round(least(1, greatest(0, value / 100)), 6) AS breath FROM events"),
+    "stream_dedupe": (stream_dedupe, STREAM_DEDUPE), "stream_clamped_breath": (stream_clamped_breath, "SELECT event_id, round(least(1, greatest(0, value / 100)), 6) AS breath FROM events"),
     "stream_one_pole": (stream_one_pole, ONE_POLE), "stream_calib_status": (stream_calib_status, CALIB_STATUS), "axis_frequency": (model_frequency, FREQUENCY), "batch_report": (batch_report, REPORT),
 }

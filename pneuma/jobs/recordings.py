@@ -318,8 +318,7 @@ FROM d WINDOW w AS (PARTITION BY recording_id)"""
 
 def variability(spark: SparkSession, sf: str) -> DataFrame:
     """Of the sample values of each recording, in order."""
-    v = B.with_differences(event_samples(spark, sf), "value", "idx")
-    return rounded(v.groupBy(*REC).agg(F.count("value").alias("n"), *B.variation("value", "t_s", "v")))
+    return rounded(B.variability(event_samples(spark, sf), "value", "idx", "t_s"))
 
 
 VARIABILITY_SQL = f"""WITH {SAMPLES_SQL}, d AS (SELECT *, (value - lag(value) OVER (PARTITION BY recording_id ORDER BY idx)) ** 2 AS d2 FROM s)

@@ -94,6 +94,12 @@ def with_differences(df: DataFrame, value: str, order: str, by: tuple[str, ...]
     return df.withColumns({f"{value}_d2": F.pow(F.col(value) - before, F.lit(2.0)), f"{value}_k": F.row_number().over(w).cast("double")})
 
 
+def variability(rows: DataFrame, value: str, order: str, time: str, by: tuple[str, ...] = REC, prefix: str = "v") -> DataFrame:
+    """n, mean, median, sd, cv, rmssd and the slopes per step and per second of a column; nulls go before differences are taken."""
+    v = with_differences(rows.where(F.col(value).isNotNull()), value, order, by)
+    return v.groupBy(*by).agg(F.count(value).alias("n"), *variation(value, time, prefix))
+
+
 def summarise_breaths(breaths: DataFrame, by: tuple[str, ...] = REC) -> DataFrame:
     """The feature row of each group: on kept breaths where there are flags, with the number of all."""
     keep = F.coalesce("keep", F.lit(False)) if "keep" in breaths.columns else F.lit(True)

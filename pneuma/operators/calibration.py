@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.islands import REC, correlation, run_ids
+from ..sources.shared import stored
 from .spectrum import calib_bandpass, calib_lowpass, with_halo
 from .timebase import assign_block
 
+#: The base period, breaths at it and in all, what the edges and the software add to a trial (ms).
 BASE_MS, BASE_BREATHS, BREATHS, EDGE_MS, SOFTWARE_MS = 4000.0, 2, 4, 285.0, 548.0
 
 
@@ -187,11 +190,14 @@ def apply_calibration(axes: DataFrame, fits: DataFrame, fs: float = 25.0, band:
     return p.select(*REC, "idx", F.when(F.col("smooth"), F.col("smooth_value")).otherwise(F.col("value")).alias("value"), *AXES)
 
 
+#: The models in the order that ties follow, the correlation below which a fit is low, the samples a fit needs.
 MODELS = ("mlr-wide", "mlr-wide-lp", "pca-wide")
 LOW_FIT, LEAST_SAMPLES = 0.40, 100
 
 
-def score_models(rows: DataFrame, fs: float = 25.0, band: tuple[float, float] = (0.05, 1.0), least: int = LEAST_SAMPLES, most_lag_s: float = 2.0) -> DataFrame:
+def score_models(
+    rows: DataFrame, fs: float = 25.0, band: tuple[float, float] = (0.05, 1.0), least: int = LEAST_SAMPLES, most_lag_s: float = 2.0, keep: Callable[[DataFrame, str], DataFrame] = stored
+) -> DataFrame:
     """The best of three models of the pacer from band-passed axes, by signed correlation; ties go to the first.
 
     rows: recording_id, idx, x, y, z, target of the calibration window. Models:
@@ -199,12 +205,14 @@ def score_models(rows: DataFrame, fs: float = 25.0, band: tuple[float, float] =
     first principal axis. Returns model, r, margin over the runner-up, low_fit
     below 0.40, n, bias, wx, wy, wz, smooth, and the lag with its correlation.
     Fewer than `least` samples, or no model with a fit, give too_few or no model.
+    The band-passed axes and the models' predictions are read several times, so
+    keep(rows, name) writes them to the shared folder; it may do something else.
     """
-    f = calib_bandpass(rows, fs, *band, columns=AXES).join(rows.select(*REC, "idx", "target"), [*REC, "idx"])
+    f = keep(calib_bandpass(rows, fs, *band, columns=AXES).join(rows.select(*REC, "idx", "target"), [*REC, "idx"]), "banded")
     fits = fit_mlr(f, "recording_id").withColumn("kind", F.lit("mlr-wide")).unionByName(fit_pca(f, "recording_id").withColumn("kind", F.lit("pca-wide")))
     p = f.join(fits.select(*REC, "kind", "bias", "wx", "wy", "wz"), list(REC)).withColumn("value", _reading()).select(*REC, "idx", "kind", "value", "target")
     smooth = _with_smooth(p.where("kind = 'mlr-wide'"), fs).select(*REC, "idx", F.lit("mlr-wide-lp").alias("kind"), F.col("smooth_value").alias("value"), "target")
-    p = p.unionByName(smooth)
+    p = keep(p.unionByName(smooth), "predictions")
     r = p.groupBy(*REC, "kind").agg(F.count("value").alias("n"), F.when((F.var_pop("value") > 0) & (F.var_pop("target") > 0), correlation("value", "target")).alias("r"))
     place = sum(F.when(F.col("kind") == m, i).otherwise(0) for i, m in enumerate(MODELS))
     order = Window.partitionBy(*REC).orderBy(F.round("r", 9).desc_nulls_last(), place)

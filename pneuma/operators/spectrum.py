@@ -342,11 +342,14 @@ def decimation_plan(q: int, most: int = STAGE, largest: int = LARGEST) -> list[i
 
 def decimation_plans(factors: DataFrame) -> DataFrame:
     """q, stages, nearby of each distinct factor; stages are null where the factor is refused, nearby then is the factor to take."""
-    rows = []
-    for (q,) in factors.select(F.col("q").cast("int")).where("q >= 1").distinct().collect():  # a row for each pair of rates
-        refused = max(_primes(q), default=1) > LARGEST
-        rows.append((q, None if refused else decimation_plan(q), smooth_factor_near(q) if refused else None))
-    return factors.sparkSession.createDataFrame(rows, "q int, stages array<int>, nearby int")
+
+    def plans(q: pd.Series) -> pd.DataFrame:
+        refused = [max(_primes(f), default=1) > LARGEST for f in q]
+        stages = [None if no else decimation_plan(f) for f, no in zip(q, refused, strict=True)]
+        return pd.DataFrame({"stages": stages, "nearby": pd.array([smooth_factor_near(f) if no else None for f, no in zip(q, refused, strict=True)], "Int32")})
+
+    q = factors.select(F.col("q").cast("int").alias("q")).where("q >= 1").distinct()
+    return q.withColumn("p", F.pandas_udf(plans, "stages array<int>, nearby int")("q")).select("q", "p.stages", "p.nearby")
 
 
 def decimation_factor(fs: Column, target: Column, strict: bool = True) -> Column:

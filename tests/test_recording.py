@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from pneuma.operators.breaths import variability
 from pneuma.operators.recording import analyse
 from pneuma.sources.shared import stored
 
@@ -48,3 +49,12 @@ def test_windows_give_a_row_each(spark):
     epochs = spark.createDataFrame([(1, 1, 10.0, 70.0), (1, 2, 70.0, 130.0), (1, 3, 900.0, 960.0)], "recording_id bigint, epoch int, start double, end double")
     f = {r.epoch: r for r in analyse(table(spark, {1: x}), 25.0, measure_band=None, epochs=epochs, grade=False).features.collect()}
     assert set(f) == {1, 2, 3} and 12 <= f[1].n_breaths <= 18 and f[3].n_breaths_total == 0 and f[1].coverage_frac > 0.9
+
+
+def test_variability_leaves_nulls_out_before_differences(spark):
+    rows = [(1, i, i / 2, v) for i, v in enumerate([1.0, None, 4.0, 2.0, None, 2.5])] + [(2, 0, 0.0, None), (3, 0, 0.0, 7.0)]
+    got = {r.recording_id: r for r in variability(spark.createDataFrame(rows, "recording_id bigint, idx bigint, t_s double, value double"), "value", "idx", "t_s").collect()}
+    v = np.array([1.0, 4.0, 2.0, 2.5])
+    assert set(got) == {1, 3} and got[1].n == 4 and got[1].v_sd == pytest.approx(v.std(ddof=1)) and got[1].v_rmssd == pytest.approx(np.sqrt(np.mean(np.diff(v) ** 2)))
+    assert got[1].v_slope_per_breath == pytest.approx(np.polyfit(range(4), v, 1)[0]) and got[1].v_slope_per_s == pytest.approx(np.polyfit([0, 1, 1.5, 2.5], v, 1)[0])
+    assert got[3].v_mean == 7.0 and got[3].v_sd is None and got[3].v_rmssd is None and got[3].v_slope_per_s is None
