@@ -105,7 +105,8 @@ class SupportVectors:
         # Each class weighs the same in the loss.
         most = COST * len(rows) / (2 * np.array([np.count_nonzero(labels == c) for c in (0, 1)]))[labels]
         w, bias, dual = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
-        # Scaled rows have length 1, or 0 without any feature that tells the classes apart; they are scaled anew when needed.
+        # Scaled rows have length 1, or 0 without any feature that tells the classes apart; they are scaled anew when needed, as all of them
+        # together would be twice the size of the sample.
         squares = np.array([1.0 + float(self.ratio[r].any()) for r in rows])
         for _ in range(PASSES):
             moved = 0.0
