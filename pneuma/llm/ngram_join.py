@@ -192,7 +192,8 @@ def shared_grams(cut: DataFrame, fragments: int) -> DataFrame:
                     column.append(value)
         return pa.table([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["g", "prints", "sizes", "grams", "count"])
 
-    return cut.groupBy("f").applyInArrow(_frugal_groups(run), "g bigint, prints binary, sizes binary, grams binary, count binary")
+    # As many tasks as fragments: a few large ones each would be fetched and sorted at once.
+    return cut.repartition(fragments, "f").groupBy("f").applyInArrow(_frugal_groups(run), "g bigint, prints binary, sizes binary, grams binary, count binary")
 
 
 def linkable_sets(shared: DataFrame, share: int) -> DataFrame:
@@ -291,8 +292,15 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, component) with the components that the links (a, b) of their nodes join: only components are joined anew."""
+    ends = links.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    least = components(ends).toDF("component", "least")
+    return label.join(least, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+
+
 def set_components(sets: DataFrame, share: int) -> DataFrame:
-    """node, component over the links of all linkable sets.
+    """node, component of all linkable sets over their links.
 
     First each n-gram's sets are compared with one of them only (per class of
     size), which joins large groups of near copies without their pairs. Then
@@ -303,12 +311,9 @@ def set_components(sets: DataFrame, share: int) -> DataFrame:
     postings = sets.select("fp", "s", (F.col("s") - size).alias("alone"), F.posexplode("prefix").alias("at", "gram"))
     postings = written(postings.select("fp", "s", (F.col("alone") + F.col("at")).alias("at"), "gram"), "postings")
     label = sets.select(F.col("fp").alias("node"), F.col("fp").alias("component"))
-    links = None
     for turn in range(STAR_ROUNDS + 1):
-        if links is not None:
-            found = components(links)
-            label = label.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-            label = written(label, "labels")
+        if turn:
+            label = written(_joined(label, new), "labels")
         at = postings.join(label.withColumnRenamed("node", "fp"), "fp")
         if turn < STAR_ROUNDS:
             tier = F.floor(F.log(F.col("s").cast("double")) / F.log(F.lit(1.1)) + F.lit(0.5 * turn))
@@ -336,9 +341,8 @@ def set_components(sets: DataFrame, share: int) -> DataFrame:
             )
             pairs = pairs.select(*_ordered("fp", "o_fp"))
         new = written(verified(pairs.distinct(), sets, share), "links")
-        links = new if links is None else links.unionByName(new)
     removed(postings, live)
-    return components(links)
+    return _joined(label, new)
 
 
 #: Sets of a block of a component, n-grams of a fragment within it, sets of components that are counted together.

@@ -114,6 +114,29 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars around the smallest node already are written once: no round confirms them."""
+    tags = []
+    monkeypatch.setattr(components, "written", lambda df, tag, plain=components.written: tags.append(tag) or plain(df, tag))
+    edges = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, 21)], "a bigint, b bigint")
+    assert sorted(map(tuple, components.components(edges).collect())) == [(i, 1) for i in range(1, 9)] + [(20, 20), (21, 20)]
+    assert tags == ["edges"]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_EDGES", 5)
+    monkeypatch.setattr(components, "HUB_SHARE", 20)
+    edges = [(50, i) for i in range(60, 160)] + [(i, i + 1) for i in range(0, 30)] + [(30, 50)] + [(500, 400), (500, 401)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert {c for i, c in found.items() if i < 200} == {0} and len(found) == 31 + 101 + 3 and found[401] == found[500] == 400
+
+
+def test_fragments_are_dealt_to_as_many_tasks(spark):
+    """One task of a few partitions held many fragments at once."""
+    cut = ngram_join._fragments_of_sets(spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string"), 40, np.zeros(0, np.uint64))
+    assert ngram_join.shared_grams(cut, 40).rdd.getNumPartitions() == 40
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 0, "user", "<|/|>\n<|+|> \\e \\l [INST] a|b"), (1, 1, "user", ""), (1, 2, "assistant", "<|user|>\nx"), (1, 3, "assistant", None), (1, 3, "assistant", "é|>\n"),
