@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ from .frames import map_batches, pick, table
 WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Chunks of a generation that a worker keeps, of two generations (results do not depend on it).
 CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 500_000, 150_000
+#: Characters of texts whose distinct chunks the library's encoder takes together, and words of these that it encodes as one text.
+STREAM_CHARS, JOINED_WORDS = 12_000_000, 20_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -251,6 +254,9 @@ class LibraryEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.keeps_space = spec["normalizer"] is None
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.last[[i for t, i in spec["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cache = ChunkCache(self.chunk, CACHE_LIBRARY_CHUNKS)
         self.model = self.library.model
@@ -271,17 +277,67 @@ class LibraryEncoder:
             return self.cache[chunk[:-1]] + self.cache[chunk[-1]]
         return self.whole(chunk)
 
-    def __call__(self, text: str) -> bytes:
+    def parted(self, text: str) -> str | None:
+        """The text as chunks between spaces, or None where it is to be encoded whole."""
         if self.keeps_space or "İ" in text or any([s in text for s in self.special]):
-            return self.whole(text)
+            return None
         # Characters stand for themselves in lower case (no final sigma).
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().replace("\n", " ")
+
+    def __call__(self, text: str) -> bytes:
+        if (chunks := self.parted(text)) is None:
+            return self.whole(text)
         cache = self.cache
-        return b"".join([cache[c] for c in text.replace("\n", " ").split(" ") if c])
+        return b"".join([cache[c] for c in chunks.split(" ") if c])
+
+    def words(self, words: pa.Array) -> pa.Array:
+        """The ids of plain words. Many are encoded as one text; a word ends where a token bears the suffix."""
+        parts = []
+        for lo in range(0, len(words), JOINED_WORDS):
+            some = words.slice(lo, JOINED_WORDS).to_pylist()
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                offsets = np.append(0, 4 * ends).astype(np.int64)
+                parts.append(pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]))
+            else:
+                parts.append(pa.array([self.chunk(w) for w in some], pa.large_binary()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
+
+    def together(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text: each distinct chunk of all of them is encoded once, and Arrow lays out its ids where it stands."""
+        parted = [self.parted(t) for t in texts]
+        lists = pc.split_pattern(pa.array([t or "" for t in parted], pa.large_string()), " ")
+        chunks = lists.values.dictionary_encode()
+        known = chunks.dictionary
+        plain = pc.match_substring_regex(known, f"^{_PLAIN.pattern}[.,]?$")
+        # A last full stop or comma is a pre-token of its own.
+        some = known.filter(plain)
+        words = pc.utf8_rtrim(some, ".,").dictionary_encode()
+        stop = pc.add(pc.ends_with(some, ".").cast(pa.int8()), pc.multiply(pc.ends_with(some, ",").cast(pa.int8()), pa.scalar(2, pa.int8())))
+        stops = pa.array([b"", *(self.cache[c] for c in ".,")], pa.large_binary()).take(stop)
+        some = pc.binary_join_element_wise(self.words(words.dictionary).take(words.indices), stops, pa.scalar(b"", pa.large_binary()))
+        others = pa.array([self.cache[c] if c else b"" for c in known.filter(pc.invert(plain)).to_pylist()], pa.large_binary())
+        place = np.empty(len(known), np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        place[is_plain], place[~is_plain] = np.arange(len(some)), len(some) + np.arange(len(others))
+        ids = pa.concat_arrays([some, others]).take(pa.array(place[chunks.indices.to_numpy()]))
+        _, offsets, content = ids.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[lists.offsets.to_numpy()].tolist()
+        for text, chunk, a, z in zip(texts, parted, cuts, cuts[1:], strict=False):
+            yield self.whole(text) if chunk is None else content.slice(a, z - a).to_pybytes() if z > a else b""
 
     def stream(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each text of a column (null: none)."""
-        return (self(value.as_py() or "") for value in column)
+        held, chars = [], 0
+        for value in column:
+            held.append(value.as_py() or "")
+            chars += len(held[-1])
+            if chars >= STREAM_CHARS:
+                yield from self.together(held)
+                held, chars = [], 0
+        if held:
+            yield from self.together(held)
 
 
 _libraries: dict[str, LibraryEncoder] = {}

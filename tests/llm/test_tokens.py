@@ -1,7 +1,9 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -210,3 +212,18 @@ def test_pack_documents(spark):
         assert at <= 64
     assert sum(r.length for r in rows) == sum(len(encode(texts[d])) // 4 + 1 for d in [*range(len(TEXTS)), None, 100, 101, 101])
     assert packing.pack_documents(_docs(spark).limit(0), path).count() == 0
+
+
+def test_plain_words_are_encoded_together(monkeypatch):
+    """A call for each word that the cache did not hold took most of the time; only stops and other chunks are encoded alone."""
+    alone = []
+    monkeypatch.setattr(tok.LibraryEncoder, "chunk", lambda self, c, plain=tok.LibraryEncoder.chunk: alone.append(c) or plain(self, c))
+    monkeypatch.setattr(tok, "JOINED_WORDS", 7)
+    monkeypatch.setattr(tok, "STREAM_CHARS", 300)
+    encode = tok.LibraryEncoder(tok.vocabulary_path(tok.WORD_BPE))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéß", k=rng.randint(1, 9))) for _ in range(200)]
+    texts = [" ".join(w + rng.choice(["", "", ",", ".", "..", "\n", "$$", " "]) for w in rng.choices([*words, "Σ", "İ", "</s>", "E\u0301", ""], k=20)) for _ in range(60)] + [*TEXTS, None, " ", "."]
+    found = list(encode.stream(pa.array(texts)))
+    assert found == [encode.whole(t or "") for t in texts]
+    assert alone and not [c for c in alone if c.rstrip(".,") in words and c[-2:] != ".."]
