@@ -23,7 +23,7 @@ WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte
 #: Chunks of a generation that a worker keeps, of two generations (results do not depend on it).
 CACHE_CHUNKS, CACHE_LIBRARY_CHUNKS = 500_000, 150_000
 #: Characters of texts whose distinct chunks the library's encoder takes together, and words of these that it encodes as one text.
-STREAM_CHARS, JOINED_WORDS = 12_000_000, 20_000
+STREAM_CHARS, JOINED_WORDS = 4_000_000, 20_000
 
 
 def vocabulary_path(name: str) -> str:
