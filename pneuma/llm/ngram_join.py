@@ -25,7 +25,8 @@ FRAGMENT_GRAMS, SLICE_ROWS = 1 << 19, 1536
 #: of half that share, and of HEAVY_IN_TASK sets at least; elements after which it forgets those that fall short.
 HEAVY_SHARE, HEAVY_IN_TASK, FORGET = 100_000, 12, 400_000
 HEAVY_COUNT = np.uint32(0xFFFFFFFF)
-#: Pivots of the order, rarest n-grams first, by the number of sets that hold one: the sets are cut there into fragments when pairs are counted.
+#: Pivots of the order, rarest n-grams first, by the number of sets that hold one (a set counts in each slice that holds it): the sets are cut there into
+#: fragments when pairs are counted.
 PIVOTS = np.array([3, 5, 9, 33, 257, 4097, HEAVY_COUNT], np.uint32)
 CUTS = len(PIVOTS) + 1
 STAR_ROUNDS = 1
@@ -105,10 +106,38 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(frugal(run), "kind int, doc_id bigint, value bigint, n bigint")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The values byte by byte, all lowest bytes first: bytes that are nearly always zero stand together, and shuffles compress them away."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _gaps(grams: np.ndarray) -> bytes:
+    """Ascending n-grams, as the first one and the gaps between them."""
+    return _planes(np.diff(grams, prepend=np.uint64(0)))
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of each run of equal keys."""
+    cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(keys)], strict=True)) if len(keys) else []
+
+
 def _fragments_of_sets(docs: DataFrame, fragments: int, heavy: np.ndarray) -> DataFrame:
-    """Each slice's sets, once per fingerprint, cut into the fragments of the order: f, prints, sizes, owner, grams (packed).
+    """Each slice's sets, once per fingerprint, cut into the fragments of the order: f, slice, owner, grams, sizes (packed).
 
-    Heavy n-grams go to further fragments, dealt by document, as their count is known.
+    A set is known by its slice and its place there, which takes two bytes an
+    element however few elements of a set a fragment holds; the slice is a hash
+    of its fingerprints. Heavy n-grams go to further fragments, dealt by slice,
+    as their count is known. Still further ones, dealt by fingerprint, get the
+    fingerprints and sizes of the slice's sets.
     """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY_SHARE values
 
@@ -117,42 +146,31 @@ def _fragments_of_sets(docs: DataFrame, fragments: int, heavy: np.ndarray) -> Da
             values, offsets = shingle_sets(b.column(1))
             prints, sizes = fingerprints(values, offsets), np.diff(offsets)
             known, first = np.unique(prints, return_index=True)
-            first = first[known != 0]
-            owner = np.repeat(np.arange(len(sizes)), sizes)
+            known, first = known[known != 0], first[known != 0]
+            number = int(fingerprints(known, np.array([0, len(known)])).view(np.int64)[0])
             rank = np.full(len(sizes), -1)
             rank[first] = np.arange(len(first))
-            owner = rank[owner]
-            values, owner = values[owner >= 0], owner[owner >= 0]
-            f = ((values >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-            f = f.astype(np.int64)
+            owner = np.repeat(rank, sizes)
+            values, owner = values[owner >= 0], owner[owner >= 0].astype(np.uint16)  # SLICE_ROWS sets at most
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
             common = np.isin(values, shared.value)
-            f[common] = fragments + (prints[first][owner[common]] % np.uint64(fragments)).astype(np.int64)
-            order = np.argsort(f, kind="stable")
-            f, values, owner = f[order], values[order], owner[order].astype(np.uint16 if len(first) < 65536 else np.uint32)
-            cuts = np.flatnonzero(np.diff(f)) + 1
-            rows = [[], [], [], [], []]
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(f)], strict=True):
-                if z > a:
-                    own, here = np.unique(owner[a:z], return_inverse=True)
-                    held = first[own.astype(np.int64)]
-                    small = np.uint16 if len(own) < 65536 else np.uint32
-                    for column, value in zip(rows, (int(f[a]), prints[held].tobytes(), sizes[held].astype(np.uint32).tobytes(), here.astype(small).tobytes(), values[a:z].tobytes()), strict=True):
-                        column.append(value)
-            yield _batch([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["f", "prints", "sizes", "owner", "grams"])
-
-    return docs.mapInArrow(frugal(run), "f bigint, prints binary, sizes binary, owner binary, grams binary")
-
-
-def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """print, size and n-gram of each element of a fragment."""
-    prints, sizes, grams = [], [], []
-    for p, s, o, g in zip(*(t.column(c).to_pylist() for c in ("prints", "sizes", "owner", "grams")), strict=True):
-        g = np.frombuffer(g, np.uint64)
-        o = np.frombuffer(o, np.uint16 if len(o) == 2 * len(g) else np.uint32)
-        prints.append(np.frombuffer(p, np.uint64)[o])
-        sizes.append(np.frombuffer(s, np.uint32)[o])
-        grams.append(g)
-    return np.concatenate(prints), np.concatenate(sizes), np.concatenate(grams)
+            rows = []
+            if common.any():
+                rows.append((fragments + number % fragments, _planes(owner[common]), _gaps(values[common]), None))
+                values, owner = values[~common], owner[~common]
+            f = ((values >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+            rows += [(int(f[a]), _planes(owner[a:z]), _gaps(values[a:z]), None) for a, z in _runs(f)]
+            dealt = known % np.uint64(fragments)
+            order = np.argsort(dealt, kind="stable")
+            dealt, known, sizes, owner = dealt[order], known[order], sizes[first][order].astype(np.uint32), order.astype(np.uint16)
+            rows += [(2 * fragments + int(dealt[a]), _planes(owner[a:z]), known[a:z].tobytes(), sizes[a:z].tobytes()) for a, z in _runs(dealt)]
+            if rows:
+                f, owner, grams, sizes = zip(*rows, strict=True)
+                binary = [pa.array(x, pa.binary()) for x in (owner, grams, sizes)]
+                yield _batch([pa.array(f, pa.int64()), np.full(len(rows), number), *binary], ["f", "slice", "owner", "grams", "sizes"])
+
+    return docs.mapInArrow(frugal(run), "f bigint, slice bigint, owner binary, grams binary, sizes binary")
 
 
 def _frugal_groups(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -165,56 +183,89 @@ def _frugal_groups(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tupl
 
 
 def shared_grams(cut: DataFrame, fragments: int) -> DataFrame:
-    """Of each fragment, the elements whose n-gram at least two different sets hold, with that number; dealt by set."""
+    """Of each fragment, the elements whose n-gram several sets hold, with that number; dealt by slice.
+
+    A set counts once in each different slice that holds it. The first of these
+    slices, by number, also gets the set's fingerprint, its size (no other row
+    has `sizes`) and, as `count`, the number of slices that hold it: an n-gram
+    of a greater count is in another set too.
+    """
+
+    def holders(t: pa.Table) -> list[tuple]:
+        number, owner, prints, sizes = (t.column(c).to_pylist() for c in ("slice", "owner", "grams", "sizes"))
+        number = np.repeat(np.array(number, np.int64), [len(x) // 2 for x in owner])
+        owner = np.concatenate([_from_planes(x, np.uint16) for x in owner])
+        prints, sizes = np.frombuffer(b"".join(prints), np.uint64), np.frombuffer(b"".join(sizes), np.uint32)
+        order = np.lexsort((number, prints))
+        bounds = np.array(_runs(prints[order]))
+        held, first = np.diff(bounds, axis=1)[:, 0].astype(np.uint32), order[bounds[:, 0]]
+        order = np.argsort(number[first], kind="stable")
+        held, first = held[order], first[order]
+        return [(int(number[first[a]]), *(_planes(x) for x in (owner[first[a:z]], prints[first[a:z]], held[a:z], sizes[first[a:z]]))) for a, z in _runs(number[first])]
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        prints, sizes, grams = _unpack(t)
-        order = np.lexsort((prints, grams))
-        prints, sizes, grams = prints[order], sizes[order], grams[order]
-        fresh = np.ones(len(grams), bool)
-        fresh[1:] = (grams[1:] != grams[:-1]) | (prints[1:] != prints[:-1])
-        prints, sizes, grams = prints[fresh], sizes[fresh], grams[fresh]
-        if key[0].as_py() >= fragments:
-            count = np.full(len(grams), HEAVY_COUNT)
+        f = key[0].as_py()
+        # Slices of the same number hold the same sets, whatever became of the rows that repeat them.
+        _, once = np.unique(t.column("slice").to_numpy(), return_index=True)
+        t = t.take(pa.array(once))
+        if f >= 2 * fragments:
+            rows = holders(t)
+        elif f >= fragments:
+            rows = [(s, o, g, _planes(np.full(len(o) // 2, HEAVY_COUNT)), None) for s, o, g in zip(*(t.column(c).to_pylist() for c in ("slice", "owner", "grams")), strict=True)]
         else:
-            _, inverse, each = np.unique(grams, return_inverse=True, return_counts=True)
-            count = each[inverse].astype(np.uint32)
-            many = count > 1
-            prints, sizes, grams, count = prints[many], sizes[many], grams[many], count[many]
-        group = (prints % np.uint64(fragments)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        group, prints, sizes, grams, count = group[order], prints[order], sizes[order], grams[order], count[order]
-        cuts = np.flatnonzero(np.diff(group)) + 1 if len(group) else []
-        rows = [[], [], [], [], []]
-        if len(group):
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
-                for column, value in zip(rows, (int(group[a]), *(x[a:z].tobytes() for x in (prints, sizes, grams, count))), strict=True):
-                    column.append(value)
-        return pa.table([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["g", "prints", "sizes", "grams", "count"])
+            number = t.column("slice").to_pylist()
+            owner = [_from_planes(x, np.uint16) for x in t.column("owner").to_pylist()]
+            row = np.repeat(np.arange(len(number), dtype=np.uint32), [len(x) for x in owner])
+            owner, grams = np.concatenate(owner), np.concatenate([_from_gaps(x) for x in t.column("grams").to_pylist()])
+            order = np.argsort(grams, kind="stable")
+            ordered = grams[order]
+            several = np.zeros(len(ordered), bool)
+            several[1:] = ordered[1:] == ordered[:-1]
+            several[:-1] |= several[1:]
+            order, ordered = order[several], ordered[several]
+            lengths = np.array([z - a for a, z in _runs(ordered)], np.uint32)
+            count = np.repeat(lengths, lengths)
+            back = np.argsort(order, kind="stable")  # rows one after the other, n-grams ascending in each
+            order, count = order[back], count[back]
+            row, owner, grams = row[order], owner[order], grams[order]
+            rows = [(number[row[a]], _planes(owner[a:z]), _gaps(grams[a:z]), _planes(count[a:z]), None) for a, z in _runs(row)]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(columns[0], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[1:])], names=["slice", "owner", "grams", "count", "sizes"])
 
     # As many tasks as fragments: a few large ones each would be fetched and sorted at once.
-    return cut.repartition(fragments, "f").groupBy("f").applyInArrow(_frugal_groups(run), "g bigint, prints binary, sizes binary, grams binary, count binary")
+    return cut.repartition(fragments, "f").groupBy("f").applyInArrow(_frugal_groups(run), "slice bigint, owner binary, grams binary, count binary, sizes binary")
 
 
 def linkable_sets(shared: DataFrame, share: int) -> DataFrame:
     """fp, s, bitmap, prefix, cuts of the sets that hold enough shared n-grams to link with any other.
 
-    The order is rarest first, then by hash, heavy n-grams last; the prefix is
-    so long that two linked sets share an element of their prefixes. bitmap
-    holds the parity of n-grams by hash: two sets differ in at least as many
-    elements as their bitmaps in bits. cuts are the shared n-grams of each
-    fragment of the order, between two pivots.
+    Each set is taken from the first slice that holds it, and of its n-grams
+    those that another set holds too. The order is rarest first, then by hash,
+    heavy n-grams last; the prefix is so long that two linked sets share an
+    element of their prefixes. bitmap holds the parity of n-grams by hash: two
+    sets differ in at least as many elements as their bitmaps in bits. cuts are
+    the shared n-grams of each fragment of the order, between two pivots.
     """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        columns = [np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()]) for c, d in (("prints", np.uint64), ("sizes", np.uint32), ("grams", np.uint64), ("count", np.uint32))]
-        order = np.lexsort((columns[2], columns[0]))
-        prints, sizes, grams, count = (c[order] for c in columns)
-        cuts = np.flatnonzero(np.diff(prints)) + 1
-        starts, stops = np.append(0, cuts), np.append(cuts, len(prints))
+        prints, sizes, held = np.zeros(SLICE_ROWS, np.uint64), np.zeros(SLICE_ROWS, np.uint32), np.zeros(SLICE_ROWS, np.uint32)
+        owner, grams, count = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        for o, g, c, s in zip(*(t.column(c).to_pylist() for c in ("owner", "grams", "count", "sizes")), strict=True):
+            o, c = _from_planes(o, np.uint16), _from_planes(c, np.uint32)
+            if s is None:
+                owner.append(o)
+                grams.append(_from_gaps(g))
+                count.append(c)
+            else:
+                prints[o], sizes[o], held[o] = _from_planes(g, np.uint64), _from_planes(s, np.uint32), c
+        owner, grams, count = (np.concatenate(x) for x in (owner, grams, count))
+        mine = (sizes[owner] > 0) & (count > held[owner])
+        owner, grams, count = owner[mine], grams[mine], count[mine]
+        order = np.lexsort((grams, owner))
+        owner, grams, count = owner[order], grams[order], count[order]
         fps, size, bitmaps, prefixes, parts = [], [], [], [], []
-        for a, z in zip(starts.tolist(), stops.tolist(), strict=True):
-            s, k = int(sizes[a]), z - a
+        for a, z in _runs(owner):
+            s, k = int(sizes[owner[a]]), z - a
             least = int(_least(share, s))
             if k < least:
                 continue
@@ -224,7 +275,7 @@ def linkable_sets(shared: DataFrame, share: int) -> DataFrame:
             fragment = np.searchsorted(PIVOTS, count[a:z], "right")
             in_order = mine[np.argsort(fragment, kind="stable")]
             edges = np.append(0, np.cumsum(np.bincount(fragment, minlength=CUTS)))
-            fps.append(prints[a])
+            fps.append(prints[owner[a]])
             size.append(s)
             bitmaps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
             prefixes.append(mine[rare].view(np.int64))
@@ -238,7 +289,7 @@ def linkable_sets(shared: DataFrame, share: int) -> DataFrame:
             names=["fp", "s", "bitmap", "prefix", "cuts"],
         )
 
-    return shared.groupBy("g").applyInArrow(_frugal_groups(run), "fp bigint, s bigint, bitmap array<bigint>, prefix array<bigint>, cuts array<array<bigint>>")
+    return shared.groupBy("slice").applyInArrow(_frugal_groups(run), "fp bigint, s bigint, bitmap array<bigint>, prefix array<bigint>, cuts array<array<bigint>>")
 
 
 def _sizes_fit(a: str, b: str, share: int) -> Column:

@@ -137,6 +137,41 @@ def test_fragments_are_dealt_to_as_many_tasks(spark):
     assert ngram_join.shared_grams(cut, 40).rdd.getNumPartitions() == 40
 
 
+def test_an_element_of_a_fragment_takes_few_bytes(spark):
+    """With the set's fingerprint and size in each fragment that holds a part of it, one took more than 12."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.randrange(1 << 30)}" for _ in range(404))) for i in range(300)], "doc_id bigint, text string").coalesce(1)
+    rows = ngram_join._fragments_of_sets(docs, 150, np.zeros(0, np.uint64)).collect()
+    packed = sum(len(pa.Codec("lz4_raw").compress(b"".join(bytes(x) for x in r if isinstance(x, (bytes, bytearray))))) for r in rows)
+    assert packed < 9 * 300 * 400
+
+
+def test_sets_held_by_several_slices(spark):
+    """Copies in other slices, and slices that repeat whole, are one set: they neither link anew nor make an n-gram shared."""
+    rng = random.Random(9)
+    texts = jaccard_texts(3)[:70]
+    assert len(texts) == 70
+    texts += [" ".join(rng.choices(WORDS, k=40)) for _ in range(10)]  # linked with their copies only
+    texts += texts[:] + rng.sample(texts, 60)
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want, degree = groups(len(sets), links), np.bincount(np.array(links).ravel(), minlength=len(sets)).tolist()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    cut = ngram_join._fragments_of_sets
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    spark.conf.set(size, 10)
+    try:
+        assert cut(docs, 4, np.zeros(0, np.uint64)).select("slice").distinct().count() == 14
+        found = {r.doc_id: r for r in ngram_join.jaccard_components(docs, links=True).collect()}
+        linkable = {r.fp for r in ngram_join.linkable_sets(ngram_join.shared_grams(cut(docs, 4, np.zeros(0, np.uint64)), 4), 80).collect()}
+    finally:
+        spark.conf.set(size, old)
+    assert [(found[i].component_id, found[i].n_links, found[i].n_shingles) for i in range(len(sets))] == [(c, d, len(s)) for c, d, s in zip(want, degree, sets, strict=True)]
+    alone = {frozenset(s) for s in sets[70:80]}
+    assert len(linkable) <= len({frozenset(s) for s in sets}) - len(alone)
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 0, "user", "<|/|>\n<|+|> \\e \\l [INST] a|b"), (1, 1, "user", ""), (1, 2, "assistant", "<|user|>\nx"), (1, 3, "assistant", None), (1, 3, "assistant", "é|>\n"),
