@@ -109,11 +109,18 @@ def fit_clock_drift(aligned: DataFrame) -> DataFrame:
 
 
 def assign_block(samples: DataFrame, windows: DataFrame, bucket_s: float) -> DataFrame:
-    """Samples in windows [start, end] of their recording: an equi-join on time buckets, then the exact bounds."""
-    b = lambda c: F.floor(F.col(c) / bucket_s)
-    w = windows.withColumn("bucket", F.explode(F.sequence(b("start"), b("end"))))
-    s = samples.withColumn("bucket", b("t_s"))
-    return s.join(w, [*REC, "bucket"]).where("t_s between start and end").drop("bucket")
+    """Samples in windows [start, end] of their recording: an equi-join on time buckets, then the exact bounds.
+
+    Buckets last bucket_s, or for longer windows that times the next power of two, so that a window of any length lies in a
+    few of them; a sample is looked up once for each length of bucket that windows of its recording need.
+    """
+    lasts = F.lit(float(bucket_s)) * F.pow(F.lit(2.0), F.col("_level"))
+    b = lambda c: F.floor(F.col(c) / lasts)
+    level = F.ceil(F.log2(F.greatest((F.col("end") - F.col("start")) / bucket_s, F.lit(1.0))))
+    w = windows.where("end >= start").withColumn("_level", level)
+    s = samples.join(w.select(*REC, "_level").distinct(), list(REC)).withColumn("bucket", b("t_s"))
+    w = w.withColumn("bucket", F.explode(F.sequence(b("start"), b("end"))))
+    return s.join(w, [*REC, "_level", "bucket"]).where("t_s between start and end").drop("_level", "bucket")
 
 
 def from_timestamped(samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pneuma.operators import calibration, cohort, devices, stats, trials
+from pneuma.operators import calibration, cohort, devices, stats, timebase, trials
 
 
 def test_models_recover_a_planted_direction_and_lag(spark):
@@ -179,3 +179,15 @@ def test_onsets_of_a_paced_recording(spark):
 def test_condition_boundary_and_its_overshoot(spark):
     r = spark.range(1).select(calibration.condition_boundary(F.lit(1000.0), F.lit(71.25)).alias("b")).first()
     assert r.b == 1000 + 2 * (4000 + 71.25)
+
+
+def test_windows_of_any_length_find_their_samples(spark):
+    rng = np.random.default_rng(8)
+    samples = [(r, k + 1, float(t)) for r in (1, 2, 3) for k, t in enumerate(np.sort(np.round(rng.uniform(-300, 7000, 60), 1)))] + [(1, 61, 9e11)]
+    spans = [0.0, 5.0, 59.9, 60.0, 60.1, 500.0, 3840.0, 1e5, 1e12]
+    windows = [(r, i, samples[7 * i + r][2], samples[7 * i + r][2] + spans[i]) for r in (1, 2) for i in range(len(spans))] + [(2, 90, 10.0, 9.0), (2, 91, None, 9.0), (2, 92, 9.0, None)]
+    s, w = spark.createDataFrame(samples, "recording_id bigint, idx bigint, t_s double"), spark.createDataFrame(windows, "recording_id bigint, trial int, start double, end double")
+    got = timebase.assign_block(s, w, 60.0)
+    assert got.columns == ["recording_id", "idx", "t_s", "trial", "start", "end"]
+    due = [(r, i, n) for r, i, t in samples for q, n, a, z in windows if q == r and a is not None and z is not None and a <= t <= z]
+    assert sorted((x.recording_id, x.idx, x.trial) for x in got.collect()) == sorted(due) and len(due) > 50
