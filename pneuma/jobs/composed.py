@@ -46,7 +46,7 @@ def participant_flags(spark: SparkSession, sf: str) -> DataFrame:
     ids = read(spark, sf, "customer").select(F.col("c_custkey").alias("participant_id"))
     f = H.participant_flags(
         ids, o.where("k % 13 = 0").withColumn("r", of(97)), o.withColumn("quality", of(89)), o.withColumn("r", of(83)), o.where("k % 3 = 0").withColumn("residual_sd_ms", (F.col("k") % 130) * 1.0),
-        o.withColumn("stop_trial", F.when(F.col("k") % 40 != 0, F.col("k"))),
+        o.withColumn("stop_trial", F.when(F.col("k") % 40 != 0, F.col("k"))), order="k",
     )
     return f.select("participant_id", F.array_join("flags", "; ").alias("flags"), "n_flags", "flagged")
 

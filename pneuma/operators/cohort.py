@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.islands import REC, correlation, finite, slope
+from ..functions.islands import REC, along, correlation, finite, slope
 from ..functions.tdist import t_quantile
 from .stats import ccc, classification_agreement, two_predictor_slopes
 
@@ -179,17 +179,23 @@ def participant_extract(matched: DataFrame, depths: DataFrame | None = None, lea
 FLAG_LIMITS = {"fit": 0.40, "quality": 0.50, "adherence": 0.40, "residual_ms": 100.0}
 
 
-def participant_flags(ids: DataFrame, fits: DataFrame, quality: DataFrame, adherence: DataFrame, alignment: DataFrame, staircases: DataFrame, by: str = "participant_id", limits: dict | None = None) -> DataFrame:
+def participant_flags(ids: DataFrame, fits: DataFrame, quality: DataFrame, adherence: DataFrame, alignment: DataFrame, staircases: DataFrame, by: str = "participant_id", limits: dict | None = None, order: str | None = None) -> DataFrame:
     """Every id with what it is flagged for (never excluded): flags array, n_flags, flagged.
 
     fits: by, r; quality: by, quality (rows of the index); adherence: by, r
     (rows of trials); alignment: by, residual_sd_ms; staircases: by, stop_trial
     (a row a staircase). Something an id lacks raises no flag but for a
-    staircase without a stop.
+    staircase without a stop. Where a mean is the limit but for rounding, the
+    order in which quality is added up decides: that of its column `order`, or
+    any without one.
     """
     lim = FLAG_LIMITS | (limits or {})
+    mean = F.avg("quality")
+    if order:
+        every = along(order, (by,)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        quality, mean = quality.withColumn("quality", F.avg("quality").over(every)), F.max("quality")
     parts = (
-        fits.groupBy(by).agg(F.max("r").alias("_fit")), quality.groupBy(by).agg(F.avg("quality").alias("_quality")), adherence.groupBy(by).agg(F.median("r").alias("_adherence")),
+        fits.groupBy(by).agg(F.max("r").alias("_fit")), quality.groupBy(by).agg(mean.alias("_quality")), adherence.groupBy(by).agg(F.median("r").alias("_adherence")),
         alignment.groupBy(by).agg(F.max("residual_sd_ms").alias("_residual")), staircases.groupBy(by).agg(F.count_if(F.col("stop_trial").isNull()).alias("_open")),
     )
     j = ids.select(by).distinct()

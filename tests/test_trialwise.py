@@ -1,12 +1,15 @@
 """Models of a calibration, trials with their pacer, and bounds, against plain computations."""
 
 import hashlib
+import itertools
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pneuma import registry
 from pneuma.operators import calibration, cohort, devices, stats, timebase, trials
 
 
@@ -191,3 +194,21 @@ def test_windows_of_any_length_find_their_samples(spark):
     assert got.columns == ["recording_id", "idx", "t_s", "trial", "start", "end"]
     due = [(r, i, n) for r, i, t in samples for q, n, a, z in windows if q == r and a is not None and z is not None and a <= t <= z]
     assert sorted((x.recording_id, x.idx, x.trial) for x in got.collect()) == sorted(due) and len(due) > 50
+
+
+def test_flags_add_up_quality_in_the_order_of_the_orders(spark, tmp_path):
+    """Means of one half but for rounding, over files whose later orders come first."""
+    values = list(itertools.permutations([42, 75, 55, 6]))
+    o = [(89 * (len(values) * i + c) + q, c, i) for c, v in enumerate(values) for i, q in enumerate(v)]
+    rows = spark.createDataFrame(o, "o_orderkey bigint, o_custkey bigint, i int")
+    for k, part in enumerate(("i >= 2", "i < 2")):
+        rows.where(part).drop("i").coalesce(1).sort("o_orderkey").write.parquet(f"{tmp_path}/orders.parquet/part={k}")
+    spark.range(len(values) + 1).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    duck = duckdb.connect()
+    duck.execute("SET threads = 1")
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*/*.parquet' ORDER BY o_orderkey")
+    duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    due = sorted(duck.execute(registry.oracle_sql()["participant_flags"]).fetchall())
+    assert sorted(tuple(r) for r in registry.queries()["participant_flags"](spark, str(tmp_path)).collect()) == due
+    low = [(a / 89 + b / 89 + c / 89 + d / 89) / 4 < 0.5 for a, b, c, d in values]
+    assert [("low signal quality" in r[1]) for r in due[:-1]] == low and 0 < sum(low) < len(low)
