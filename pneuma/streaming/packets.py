@@ -35,6 +35,15 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
+def to_nearest_second(packets: DataFrame, slide_s: int) -> DataFrame:
+    """Packets half a second or less before a window's start (every slide_s seconds) are that window's: their ts becomes its start.
+
+    So windows hold their packets by times in whole seconds; all other times stay, and with them what the watermark has passed.
+    """
+    later = F.unix_micros("ts") + 500_000
+    return packets.withColumn("ts", F.greatest("ts", F.timestamp_micros(later - F.pmod(later, F.lit(slide_s * 1_000_000)))))
+
+
 def stream_phase_rate(packets: DataFrame, width: str = "1 day") -> DataFrame:
     """Tumbling counts and means per label."""
     g = packets.withWatermark("ts", DELAY).groupBy(F.window("ts", width), "label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))

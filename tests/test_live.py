@@ -2,10 +2,12 @@
 
 import uuid
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pneuma import registry
 from pneuma.streaming import calibrate as C
 from pneuma.streaming import packets as W
 
@@ -103,3 +105,24 @@ def test_a_quiet_calibration_ends_by_its_timer(spark, tmp_path):
     got = {r["participant_id"]: r for r in W.drained(W.stream_calib_status(p, 20.0, 4, 0.82, 3.0, 60.0)).collect()}
     assert (got[1]["status"], got[1]["event_id"], got[1]["elapsed_s"]) == ("timeout", None, 60.0)
     assert (got[2]["status"], got[2]["elapsed_s"]) == ("ready", 23.0)
+
+
+@pytest.mark.parametrize("last", [-0.3, 0.7, 1.0])
+@pytest.mark.parametrize("name", ["stream_amplitude_range"])
+def test_packets_half_a_second_before_a_window_are_those_of_its_sql(spark, tmp_path, name, last):
+    """Packets about the start of each window of two participants; the last packet of all comes so many seconds behind a start."""
+    rng, day = np.random.default_rng(9), 86400
+    near = [-1.0, -0.500001, -0.5, -0.499999, -0.2, 0.0, 0.3]
+    at = [(u, k * 2 * day + d) for u in (1, 2) for k in range(1, 5) for d in (*near[u - 1 :: 2], *rng.uniform(2, 2 * day - 2, 3))] + [(1, 10 * day + last)]
+    rows = ", ".join(f"({i}, make_timestamp({1704153600_000000 + round(t * 1e6)}), {u}::BIGINT, 'view', {round(float(rng.uniform(0, 100)), 2)}::DOUBLE, '{{}}')" for i, (u, t) in enumerate(at))
+    duck = duckdb.connect()
+    duck.execute("SET TimeZone = 'UTC'")
+    duck.execute(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id, event_type, value, props FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet'")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = registry.queries()[name](spark, str(tmp_path))
+    due = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    key = lambda r: (r[0], r[1])
+    got = sorted((tuple(r) for r in got.collect()), key=key)
+    assert len(got) == len(due) > 5
+    for a, b in zip(got, sorted(due, key=key), strict=True):
+        assert a == pytest.approx(b, abs=2e-6)
